@@ -93,6 +93,7 @@ FIGURE_START = r"(?i)^\s*(?:图|fig)"
 FIGURE_LABEL = r"(?i)(图\s*[a-zA-Z]?\s*\d+(?:[.-]\d+)*|Figure\s*\d+(?:[.-]\d+)*|Fig\.?\s*\d+(?:[.-]\d+)*)"
 SENTENCE_ENDS = ".?!。？！"
 CJK = "[一-鿿]"
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # ----------------------------------------------------------------------------------
 
 
@@ -102,7 +103,11 @@ def _c(col) -> Column:
 
 def strip(col) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
+
+
+def lstrip(col) -> Column:
+    return F.ltrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def newline_count(col) -> Column:
@@ -127,12 +132,18 @@ def drop_section(col, headings: list[str] | None = None) -> Column:
     c = _c(col)
     headings = SECTION_HEADINGS if headings is None else headings
     starts = [F.nullif(F.regexp_instr(c, F.lit(f"(?i){h}")), F.lit(0)) for h in headings]
-    any_heading = "(?i)" + "|".join(f"(?:{h})" for h in headings)
-    start = F.coalesce(*starts)
-    stop = F.locate("\n#", c, 1)  # replaced below by a search behind the heading
-    stop = F.expr("0") if stop is None else F.call_function("locate", F.lit("\n#"), c, start + 1)
-    kept = F.when(stop > 0, F.concat(F.left(c, start - 1), F.substr(c, stop))).otherwise(F.left(c, start - 1))
-    return F.when(c.rlike(any_heading), strip(kept)).otherwise(c)
+
+    def cut(start):
+        stop = F.call_function("locate", F.lit("\n#"), c, start + 1)
+        head = F.left(c, start - 1)
+        return strip(F.when(stop > 0, F.concat(head, F.substr(c, stop))).otherwise(head))
+
+    # The lambda binds the position once; texts without any heading never search for it.
+    return F.when(c.rlike(any_heading(headings)), F.transform(F.array(F.coalesce(*starts)), cut)[0]).otherwise(c)
+
+
+def any_heading(headings: list[str]) -> str:
+    return "(?i)" + "|".join(f"(?:{h})" for h in headings)
 
 
 def fix_ocr_digits(col) -> Column:
@@ -151,8 +162,7 @@ def clean_document(col, only_with_section: bool = False) -> Column:
     cleaned = fix_ocr_digits(clean_html_tables(drop_section(c)))
     if not only_with_section:
         return cleaned
-    any_heading = "(?i)" + "|".join(f"(?:{h})" for h in SECTION_HEADINGS)
-    return F.when(c.rlike(any_heading), cleaned).otherwise(c)
+    return F.when(c.rlike(any_heading(SECTION_HEADINGS)), cleaned).otherwise(c)
 
 
 def figure_identifier(col) -> Column:

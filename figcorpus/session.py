@@ -22,6 +22,7 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         .appName("figcorpus")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
     for key, value in SESSION_CONF.items():
@@ -54,3 +55,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputed rounds."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of a few files over all cores; inputs of many files pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
