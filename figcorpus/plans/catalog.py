@@ -2,6 +2,7 @@
 
 from figcorpus.plans import (  # noqa: F401
     figure_queries,
+    screen_queries,
     text_queries,
 )
 from figcorpus.plans.registry import ORACLES, QUERIES  # noqa: F401
