@@ -1,6 +1,7 @@
 """Imports every query module so that the registry is full."""
 
 from figcorpus.plans import (  # noqa: F401
+    context_queries,
     figure_queries,
     screen_queries,
     text_queries,

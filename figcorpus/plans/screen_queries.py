@@ -36,13 +36,13 @@ def a11(spark, sf):
 
 @query(
     "a12_pending_groups",
-    """SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey IN
-    (SELECT c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))""",
+    """SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN
+    (SELECT o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""",
 )
 def a12(spark, sf):
-    customers = table(spark, sf, "customer").select("c_nationkey", "c_custkey")
-    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return sc.pending_groups(customers, done, "c_nationkey", ["c_custkey"])
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    done = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sc.pending_groups(orders, done, "o_custkey", ["o_orderkey"])
 
 
 @query(
