@@ -2,6 +2,7 @@
 
 from figcorpus.plans import (  # noqa: F401
     context_queries,
+    dedup_queries,
     figure_queries,
     screen_queries,
     text_queries,
