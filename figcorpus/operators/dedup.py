@@ -36,20 +36,28 @@ def _cells(unit: Column, dims: list[int], width: float) -> list[Column]:
 
 def _spread_dims(units: DataFrame, n: int, size: int) -> list[int]:
     """The components with the largest variance; the answer has ``size`` numbers."""
-    row = units.agg(*[F.var_pop(F.get("u", F.lit(d))).alias(str(d)) for d in range(size)]).first()
-    return sorted(range(size), key=lambda d: (-(row[str(d)] or 0.0), d))[:n]
+    spread = (
+        units.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.var_pop("x").alias("v")).limit(size).collect()
+    )
+    return [r["d"] for r in sorted(spread, key=lambda r: (-r["v"], r["d"]))[:n]]
 
 
-def _salted(units: DataFrame, cells: list[str], per_salt: int) -> DataFrame:
-    """Rows with the number of salts of their cell: 1, more where a cell is crowded."""
+def _crowded(own: DataFrame, cells: list[str], per_salt: int) -> DataFrame | None:
+    """Cells with more rows than one salt takes and their number of salts; None when there are none."""
     crowd = (
-        units.groupBy(*cells)
+        own.groupBy(*cells)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > per_salt)
         .withColumn("_salts", F.ceil(F.col("_n") / per_salt).cast("int"))
         .drop("_n")
     )
-    return units.join(crowd, cells, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    return None if crowd.isEmpty() else crowd
+
+
+def _with_salts(df: DataFrame, crowd: DataFrame | None, cells: list[str]) -> DataFrame:
+    if crowd is None:
+        return df.withColumn("_salts", F.lit(1))
+    return df.join(crowd, cells, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
 
 
 def similar_units(
@@ -72,8 +80,8 @@ def similar_units(
     own = units
     for name, cell in zip(names, _cells(F.col("u"), grid, r)):
         own = own.withColumn(name, cell)
-    sized = _salted(own, names, per_salt)
-    left = sized.select(
+    crowd = _crowded(own, names, per_salt)
+    left = _with_salts(own, crowd, names).select(
         F.col("rep").alias("i"),
         F.col("u").alias("ui"),
         *names,
@@ -84,11 +92,10 @@ def similar_units(
     right = own
     for name in names:
         right = right.withColumn("_step", F.explode(steps)).withColumn(name, F.col(name) + F.col("_step")).drop("_step")
-    # The salts belong to the cell looked into, so they are read from that cell's count.
-    cell_salts = sized.where("_salts > 1").select(*names, "_salts").distinct()
+    # The salts belong to the cell that is looked into.
     right = (
-        right.join(cell_salts, names, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        _with_salts(right, crowd, names)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
         .select(
             F.col("rep").alias("j"),
             F.col("u").alias("uj"),
@@ -178,19 +185,12 @@ def similar_signatures(reps: DataFrame, max_distance: int = 5, bands: int = 3, h
     sides = F.array(
         *[F.struct(F.lit(k).alias("band"), _band(F.col("sig"), lo, w).alias("value")) for k, (lo, w) in enumerate(layout)]
     )
-    probes = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.array(*[F.lit(m) for m in _flips(w, errors)]),
-                    lambda m, k=k, lo=lo, w=w: F.struct(
-                        F.lit(k).alias("band"), _band(F.col("sig"), lo, w).bitwiseXOR(m).alias("value")
-                    ),
-                )
-                for k, (lo, w) in enumerate(layout)
-            ]
-        )
-    )
+    def probe(k, lo, width):
+        value = _band(F.col("sig"), lo, width)
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _flips(width, errors)])
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("band"), value.bitwiseXOR(m).alias("value")))
+
+    probes = F.flatten(F.array(*[probe(k, lo, w) for k, (lo, w) in enumerate(layout)]))
     left = reps.select(F.col("rep").alias("i"), F.col("sig").alias("si"), F.explode(sides).alias("l"))
     right = reps.select(F.col("rep").alias("j"), F.col("sig").alias("sj"), F.explode(probes).alias("r"))
     distance = F.bit_count(F.col("si").bitwiseXOR(F.col("sj")))

@@ -29,26 +29,25 @@ def with_position(
     placed = durable(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33))
-        .withColumn("_row", F.col("_id").bitwiseAND(F.lit(_MASK)))
-        .drop("_id")
+        .withColumn("__id", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__id", 33))
+        .withColumn("__row", F.col("__id").bitwiseAND(F.lit(_MASK)))
+        .drop("__id")
     )
-    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part", *group)
-        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select("_part", "_first", "_before", *[F.col(g).alias(f"_g_{g}") for g in group])
-        .withColumnRenamed("_part", "_p")
+        placed.groupBy("__part", *group)
+        .agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .select(F.col("__part").alias("__p"), "__first", "__before", *[F.col(g).alias(f"__g_{g}") for g in group])
     )
-    same = F.col("_part") == F.col("_p")
+    same = F.col("__part") == F.col("__p")
     for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     return (
         placed.join(offsets, same)
-        .withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1)
-        .drop("_part", "_row", "_p", "_first", "_before", *[f"_g_{g}" for g in group])
+        .withColumn(name, F.col("__before") + F.col("__row") - F.col("__first") + 1)
+        .drop("__part", "__row", "__p", "__first", "__before", *[f"__g_{g}" for g in group])
     )
 
 

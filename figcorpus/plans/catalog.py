@@ -3,8 +3,11 @@
 from figcorpus.plans import (  # noqa: F401
     context_queries,
     dedup_queries,
+    eval_queries,
     figure_queries,
     screen_queries,
+    series_queries,
     text_queries,
+    tree_queries,
 )
 from figcorpus.plans.registry import ORACLES, QUERIES  # noqa: F401
