@@ -2,6 +2,7 @@
 
 from figcorpus.plans import (  # noqa: F401
     context_queries,
+    corpus_queries,
     dedup_queries,
     eval_queries,
     figure_queries,

@@ -20,7 +20,7 @@ def _rounded(df, cols, digits=4):
 
 
 def _avg(col, k):
-    return f"CASE WHEN n>={k} THEN round(avg({col}) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW),4) END"
+    return f"CASE WHEN n>={k} THEN round(avg({col}) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW),6) END"
 
 
 @query(
@@ -31,7 +31,7 @@ def _avg(col, k):
 )
 def e01(spark, sf):
     out = se.own_rows(se.moving_averages(_rows(spark, sf)))
-    return _rounded(out, [f"ma{k}" for k in se.AVERAGES] + [f"vol_ma{k}" for k in se.VOLUME_AVERAGES])
+    return _rounded(out, [f"ma{k}" for k in se.AVERAGES] + [f"vol_ma{k}" for k in se.VOLUME_AVERAGES], 6)
 
 
 @query(
@@ -151,12 +151,12 @@ def _anchors(spark, sf):
 @query(
     "c19_asof_forward",
     f"""WITH {B}, a AS (SELECT symbol, max(trade_date) end_date, arg_max(close, trade_date) last_close FROM bars GROUP BY symbol, year(trade_date))
-    SELECT a.symbol, a.end_date, a.last_close, """
-    + ", ".join(
-        f"arg_max(b.close, b.trade_date) FILTER (b.trade_date<=a.end_date+{d}) close_{d}d, round((arg_max(b.close, b.trade_date) FILTER (b.trade_date<=a.end_date+{d})-a.last_close)/a.last_close*100,6) pct_change_{d}d"
-        for d in se.HORIZONS
-    )
-    + " FROM a LEFT JOIN bars b ON b.symbol=a.symbol AND b.trade_date>a.end_date AND b.trade_date<=a.end_date+360 GROUP BY ALL",
+    , g AS (SELECT a.symbol, a.end_date, a.last_close, """
+    + ", ".join(f"arg_max(b.close, b.trade_date) FILTER (b.trade_date<=a.end_date+{d}) close_{d}d" for d in se.HORIZONS)
+    + """ FROM a LEFT JOIN bars b ON b.symbol=a.symbol AND b.trade_date>a.end_date AND b.trade_date<=a.end_date+360 GROUP BY a.symbol, a.end_date, a.last_close)
+    SELECT *, """
+    + ", ".join(f"round((close_{d}d-last_close)/last_close*100,6) pct_change_{d}d" for d in se.HORIZONS)
+    + " FROM g",
 )
 def c19(spark, sf):
     out = se.forward_returns(_anchors(spark, sf), fx.bars(spark, sf))
