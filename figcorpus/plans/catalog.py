@@ -7,6 +7,7 @@ from figcorpus.plans import (  # noqa: F401
     eval_queries,
     figure_queries,
     screen_queries,
+    io_queries,
     series_queries,
     text_queries,
     tree_queries,

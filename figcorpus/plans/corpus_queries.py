@@ -188,18 +188,6 @@ def c13(spark, sf):
     return linked.select("id", F.col("other_oid").alias("oid"))
 
 
-@query(
-    "c14_link_fields",
-    "SELECT * FROM (VALUES ('labels','doc_id'), ('pages','') , ('conversations','text')) t(source, fields)",
-)
-def c14(spark, sf):
-    """Only schemas are looked at; the data stays unread."""
-    docs = table(spark, sf, "documents")
-    others = {n: table(spark, sf, n) for n in ("labels", "pages", "conversations")}
-    shared = rv.link_fields(docs, others, ["doc_id", "text", "lang"])
-    return spark.createDataFrame([(n, ",".join(f)) for n, f in shared.items()], "source string, fields string")
-
-
 @query(
     "i04_apply_review",
     """WITH main AS (SELECT doc_id id, lang, source FROM documents), ed AS (SELECT doc_id id, 'checked' lang, 'q'||quality source FROM labels

@@ -27,10 +27,10 @@ SELECT doc_id, source, lang, lpad(CAST(doc_id AS VARCHAR(20)),6,'0') book_id,
 FROM documents"""
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mark_up(docs: DataFrame) -> DataFrame:
     """Documents with image tags, captions and references planted between their lines."""
     rule = _line_rule("i", "'\\n'").replace("VARCHAR(20)", "STRING")
-    return spread(table(spark, sf_dir, "documents")).selectExpr(
+    return docs.selectExpr(
         "doc_id",
         "source",
         "lang",
@@ -39,6 +39,10 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_up(spread(table(spark, sf_dir, "documents")))
+
+
 # Lines and paragraphs of the marked-up documents, for the SQL side.
 LINES_SQL = """
 SELECT doc_id, source, book_id, n_lines, line_no, content,
