@@ -87,10 +87,10 @@ SECTION_HEADINGS = [
 
 IMAGE_TAG = r"!\[.*?\]\(\.\./images/[^/]+/([^)]+)\)"
 RAW_IMAGE_TAG = r"!\[\]\((images/[^)]+)\)"
-CAPTION = r"(?i)(?:图\s*[a-zA-Z]?\d|Fig(?:ure|\.?)\s*\d)"
-FIGURE_START = r"(?i)^\s*(?:图|fig)"
+CAPTION = r"(?iU)(?:图\s*[a-zA-Z]?\d|Fig(?:ure|\.?)\s*\d)"
+FIGURE_START = r"(?iU)^\s*(?:图|fig)"
 # A figure label: 图 with an optional letter, Figure or Fig., then dotted or dashed numbers.
-FIGURE_LABEL = r"(?i)(图\s*[a-zA-Z]?\s*\d+(?:[.-]\d+)*|Figure\s*\d+(?:[.-]\d+)*|Fig\.?\s*\d+(?:[.-]\d+)*)"
+FIGURE_LABEL = r"(?iU)(图\s*[a-zA-Z]?\s*\d+(?:[.-]\d+)*|Figure\s*\d+(?:[.-]\d+)*|Fig\.?\s*\d+(?:[.-]\d+)*)"
 SENTENCE_ENDS = ".?!。？！"
 CJK = "[一-鿿]"
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -123,7 +123,7 @@ def clean_html_tables(col) -> Column:
     for quote in ('"', "'"):
         c = F.regexp_replace(c, rf"(?i)\s*(?:{TABLE_ATTRIBUTES})\s*=\s*{quote}[^{quote}]*{quote}", "")
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"\n\s*\n", "\n\n")
+    c = F.regexp_replace(c, r"(?U)\n\s*\n", "\n\n")
     return strip(c)
 
 
@@ -131,7 +131,7 @@ def drop_section(col, headings: list[str] | None = None) -> Column:
     """Delete the section under the first heading found, trying headings in list order."""
     c = _c(col)
     headings = SECTION_HEADINGS if headings is None else headings
-    starts = [F.nullif(F.regexp_instr(c, F.lit(f"(?i){h}")), F.lit(0)) for h in headings]
+    starts = [F.nullif(F.regexp_instr(c, F.lit(f"(?iU){h}")), F.lit(0)) for h in headings]
 
     def cut(start):
         stop = F.call_function("locate", F.lit("\n#"), c, start + 1)
@@ -143,7 +143,7 @@ def drop_section(col, headings: list[str] | None = None) -> Column:
 
 
 def any_heading(headings: list[str]) -> str:
-    return "(?i)" + "|".join(f"(?:{h})" for h in headings)
+    return "(?iU)" + "|".join(f"(?:{h})" for h in headings)
 
 
 def fix_ocr_digits(col) -> Column:
@@ -443,7 +443,8 @@ def resolve_url(base, href) -> Column:
         F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, h))
         .when(h.startswith("/"), F.concat(host, h))
-        .when(h.startswith("#") | h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
+        .when(h.startswith("#"), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), h))
+        .when(h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
         .when(h == "", b)
         .otherwise(joined)
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,81 +44,89 @@ def _spread_dims(units: DataFrame, n: int, size: int) -> list[int]:
     return [r["d"] for r in sorted(spread, key=lambda r: (-r["v"], r["d"]))[:n]]
 
 
-def _crowded(own: DataFrame, cells: list[str], per_salt: int) -> DataFrame | None:
-    """Cells with more rows than one salt takes and their number of salts; None when there are none."""
+def _tiles(own: DataFrame, cells: list[str], tile: int) -> DataFrame | None:
+    """Cells with more rows than a tile and their number of tiles; None when there are none."""
     crowd = (
         own.groupBy(*cells)
         .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > per_salt)
-        .withColumn("_salts", F.ceil(F.col("_n") / per_salt).cast("int"))
+        .where(F.col("_n") > tile)
+        .withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
         .drop("_n")
     )
     return None if crowd.isEmpty() else crowd
 
 
-def _with_salts(df: DataFrame, crowd: DataFrame | None, cells: list[str]) -> DataFrame:
+def _with_tiles(df: DataFrame, crowd: DataFrame | None, cells: list[str], name: str) -> DataFrame:
     if crowd is None:
-        return df.withColumn("_salts", F.lit(1))
-    return df.join(crowd, cells, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+        return df.withColumn(name, F.lit(1))
+    return df.join(crowd.withColumnRenamed("_tiles", name), cells, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
+def _tile_products(threshold: float, semi: bool):
+    """Products of one tile of left and one of right vectors, as a matrix."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows["_side"].to_numpy()
+        ids = rows["rep"].to_numpy()
+        flat = rows["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        u = flat.reshape(len(ids), -1)
+        left, right = side == 0, side == 1
+        i, j = ids[left], ids[right]
+        score = u[left] @ u[right].T
+        hit = (score >= threshold) & (i[:, None] < j[None, :])
+        if semi:
+            return pa.table({"id": pa.array(j[hit.any(axis=0)], rows.schema.field("rep").type)})
+        a, b = np.nonzero(hit)
+        kind = rows.schema.field("rep").type
+        return pa.table({"i": pa.array(i[a], kind), "j": pa.array(j[b], kind), "similarity": score[a, b]})
+
+    return run
 
 
 def similar_units(
-    units: DataFrame, threshold: float, size: int, grid_dims: int = 2, per_salt: int = 20000, how: str = "inner"
+    units: DataFrame, threshold: float, size: int, grid_dims: int = 2, tile: int = 2048, how: str = "inner"
 ) -> DataFrame:
     """Pairs rep_i < rep_j of unit vectors with cosine >= threshold.
 
     cosine >= t means the vectors lie at most r = sqrt(2 - 2t) apart, so every component
     differs by at most r. Vectors are filed in grid cells of width r over their widest
-    components; the right side looks into its own and the adjacent cells. Pairs that meet
-    are dropped on the first component that is too far apart before the product is taken.
-    Crowded cells are cut into salts on the left and met by all salts on the right.
-    ``left_semi`` keeps right rows with some partner and stops at the first.
+    components; the right side goes to its own and the adjacent cells, so no pair is missed.
+    A crowded cell is cut into tiles by a hash of the id and every left tile meets every
+    right tile in a group of its own: a group holds about two tiles whatever the data
+    looks like. Each meeting is one matrix product; only matching pairs leave it.
+    ``left_semi`` keeps the right ids with some partner and lists no pairs.
     """
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     units = durable(units)
-    dims = _spread_dims(units, size, size)
-    grid, checks = dims[:grid_dims], dims[grid_dims : grid_dims + 16]
-    names = [f"_c{i}" for i in range(len(grid))]
+    grid = _spread_dims(units, grid_dims, size)
+    names = [f"_c{k}" for k in range(len(grid))]
     own = units
     for name, cell in zip(names, _cells(F.col("u"), grid, r)):
         own = own.withColumn(name, cell)
-    crowd = _crowded(own, names, per_salt)
-    left = _with_salts(own, crowd, names).select(
-        F.col("rep").alias("i"),
-        F.col("u").alias("ui"),
-        *names,
-        F.pmod(F.xxhash64("rep"), F.col("_salts")).cast("int").alias("_salt"),
-        *[F.get("u", F.lit(d)).alias(f"a{k}") for k, d in enumerate(checks)],
-    )
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    crowd = _tiles(own, names, tile)
+
+    def tiled(rows, side):
+        """Rows of one side: their own tile, repeated for every tile of the other side."""
+        sized = _with_tiles(rows, crowd, names, "_t")
+        mine = F.pmod(F.xxhash64("rep"), F.col("_t")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("_t") - 1))
+        pair = (mine.alias("_lt"), every.alias("_rt")) if side == 0 else (every.alias("_lt"), mine.alias("_rt"))
+        return sized.select("rep", "u", *names, F.lit(side).alias("_side"), *pair)
+
     right = own
     for name in names:
+        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
         right = right.withColumn("_step", F.explode(steps)).withColumn(name, F.col(name) + F.col("_step")).drop("_step")
-    # The salts belong to the cell that is looked into.
-    right = (
-        _with_salts(right, crowd, names)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        .select(
-            F.col("rep").alias("j"),
-            F.col("u").alias("uj"),
-            *[F.col(n).alias(f"r{n}") for n in names],
-            F.col("_salt").alias("r_salt"),
-            *[F.get("u", F.lit(d)).alias(f"b{k}") for k, d in enumerate(checks)],
-        )
-    )
-    cond = (F.col("_salt") == F.col("r_salt")) & (F.col("i") < F.col("j"))
-    for n in names:
-        cond = cond & (F.col(n) == F.col(f"r{n}"))
-    for k in range(len(checks)):
-        cond = cond & (F.abs(F.col(f"a{k}") - F.col(f"b{k}")) <= r)
-    score = vec.dot("ui", "uj")
-    if how == "left_semi":
-        return right.join(left, cond & (score >= threshold), "left_semi").select(F.col("j").alias("id")).distinct()
-    return (
-        left.join(right, cond)
-        .select("i", "j", score.alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+    kind = units.schema["rep"].dataType.simpleString()
+    semi = how == "left_semi"
+    out = f"id {kind}" if semi else f"i {kind}, j {kind}, similarity double"
+    met = (
+        tiled(own, 0)
+        .unionByName(tiled(right, 1))
+        .groupBy(*names, "_lt", "_rt")
+        .applyInArrow(_tile_products(threshold, semi), out)
     )
+    return met.distinct() if semi else met
 
 
 def _unit_reps(df: DataFrame, id_col: str, vector: str):

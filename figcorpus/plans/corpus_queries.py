@@ -29,7 +29,7 @@ LINKS = """raw AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<l
    unnest(range(1, len(regexp_extract_all(html, '(?is)<li[^>]*>\\s*(<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>)', 1))+1)) link_no FROM pg),
 links AS (SELECT page_id, url, link_no, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) href, trim(regexp_replace(regexp_extract(a, '(?is)<a[^>]*>(.*)</a>', 1), '<[^>]*>', '', 'g')) title FROM raw)"""
 RESOLVE = """CASE WHEN regexp_matches(href,'^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url,'^([a-z]+:)',1)||href
-  WHEN href LIKE '/%' THEN regexp_extract(url,'^([a-z]+://[^/?#]*)',1)||href WHEN href LIKE '#%' OR href LIKE '?%' THEN regexp_extract(url,'^([^?#]*)',1)||href
+  WHEN href LIKE '/%' THEN regexp_extract(url,'^([a-z]+://[^/?#]*)',1)||href WHEN href LIKE '#%' THEN regexp_extract(url,'^([^#]*)',1)||href WHEN href LIKE '?%' THEN regexp_extract(url,'^([^?#]*)',1)||href
   ELSE regexp_extract(url,'^([a-z]+://[^?#]*/)',1)||href END"""
 
 

@@ -102,7 +102,7 @@ FROM orders GROUP BY 1,2"""
 
 
 def _run(spark, sf_dir, name, sql):
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=table(spark, sf_dir, name))
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=spread(table(spark, sf_dir, name)))
 
 
 def screen(spark, sf_dir):

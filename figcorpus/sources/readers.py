@@ -58,7 +58,7 @@ def scan_json_tree(
         "image_id", F.regexp_extract("path", pattern, 2)
     )
     good = tagged.where("_bad IS NULL").drop("_bad", "path")
-    return good, tagged.where("_bad IS NOT NULL").select("book_id", "image_id", "path", F.col("_bad").alias("raw"))
+    return good, tagged.where("_bad IS NOT NULL").withColumnRenamed("_bad", "raw")
 
 
 def scan_json_files(spark: SparkSession, paths: list[str] | str, schema: str | None = None) -> DataFrame:
