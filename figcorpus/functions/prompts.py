@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from figcorpus.functions.text import _c, is_chinese, trim_to_sentences
+from figcorpus.functions.text import _c, bind, is_chinese, trim_to_sentences
 
 # fixed values: the ablation groups and the wording that result files are read back with
 GROUPS = ("image_background_only", "analysis_information_only", "both_contexts", "no_context")
@@ -13,8 +13,12 @@ GROUPS = ("image_background_only", "analysis_information_only", "both_contexts",
 
 def _fit(text: Column) -> Column:
     """Texts over their budget (1000 characters in Chinese, 4000 otherwise) are trimmed."""
-    budget = F.when(is_chinese(text), F.lit(1000)).otherwise(F.lit(4000))
-    return F.when(F.length(text) > budget, trim_to_sentences(text, budget)).otherwise(text)
+
+    def within(t):
+        budget = F.when(is_chinese(t), F.lit(1000)).otherwise(F.lit(4000))
+        return F.when(F.length(t) <= 1000, t).otherwise(trim_to_sentences(t, budget))
+
+    return bind(text, within)
 
 
 def assemble_context(
@@ -27,36 +31,42 @@ def assemble_context(
     A result under 500 characters gets the surrounding text added; ``repeat_surround``
     adds it always, also when it is there already.
     """
-    cap, sur = F.coalesce(_c(caption), F.lit("")), F.coalesce(_c(surround), F.lit(""))
-    around_head = "\n\nThe context surrounding this image is as follows: "
-    around = F.concat(F.lit(around_head), _fit(sur))
+    head = "\n\nThe context surrounding this image is as follows: "
     exact = F.get(F.filter(_c(references), lambda r: r["is_exact_match"]), F.lit(0))["reference_paragraph_extension"]
-    exact = F.nullif(exact, F.lit(""))
-    normal = F.concat(
-        F.lit("The path of this image is: ["),
-        _c(image_path),
-        F.lit("]."),
-        F.when(cap != "", F.concat(F.lit("\n\nThe caption for this image is: "), cap)).otherwise(""),
-        F.when(
-            exact.isNotNull(),
-            F.concat(F.lit("\n\nThis image is referenced in the following content:- "), _fit(exact)),
-        )
-        .when((F.coalesce(F.size(_c(references)), F.lit(0)) > 0) | (sur != ""), around)
-        .otherwise(""),
-    )
-    other = F.concat(
-        F.lit("The path of this image is: ["),
-        _c(image_path),
-        F.lit("]. Refer to the context below to locate where this image appears in the document."),
-        F.when(sur != "", around).otherwise(""),
+    parts = F.struct(
+        F.concat(F.lit("The path of this image is: ["), _c(image_path), F.lit("].")).alias("path"),
+        (_c(classification) == "normal").alias("normal"),
+        F.coalesce(_c(caption), F.lit("")).alias("caption"),
+        _fit(F.nullif(exact, F.lit(""))).alias("exact"),
+        (F.coalesce(F.size(_c(references)), F.lit(0)) > 0).alias("has_refs"),
+        _fit(F.coalesce(_c(surround), F.lit(""))).alias("around"),
     )
-    text = F.when(_c(classification) == "normal", normal).otherwise(other)
-    if repeat_surround:
-        return F.concat(text, around)
-    return F.transform(
-        F.array(text),
-        lambda t: F.when((F.length(t) < 500) & ~t.contains(around_head), F.concat(t, around)).otherwise(t),
-    )[0]
+
+    def join(x):
+        around = F.concat(F.lit(head), x["around"])
+        normal = F.concat(
+            x["path"],
+            F.when(x["caption"] != "", F.concat(F.lit("\n\nThe caption for this image is: "), x["caption"])).otherwise(""),
+            F.when(
+                x["exact"].isNotNull(),
+                F.concat(F.lit("\n\nThis image is referenced in the following content:- "), x["exact"]),
+            )
+            .when(x["has_refs"] | (x["around"] != ""), around)
+            .otherwise(""),
+        )
+        other = F.concat(
+            x["path"],
+            F.lit(" Refer to the context below to locate where this image appears in the document."),
+            F.when(x["around"] != "", around).otherwise(""),
+        )
+        text = F.when(x["normal"], normal).otherwise(other)
+        if repeat_surround:
+            return F.concat(text, around)
+        return bind(
+            text, lambda t: F.when((F.length(t) < 500) & ~t.contains(head), F.concat(t, around)).otherwise(t)
+        )
+
+    return bind(parts, join)
 
 
 def select_prompt_context(classification, caption, caption_references, surround) -> Column:

@@ -207,21 +207,27 @@ def head_tail(text, n: int = 2000) -> Column:
     return F.concat(F.left(_c(text), F.lit(n)), F.right(_c(text), F.lit(n)))
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; an expression used twice is computed twice."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cjk_share(col) -> Column:
-    t = F.regexp_replace(_c(col), r"\s+", "")
-    return F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0))
+    def share(t):
+        return F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0))
+
+    return bind(F.regexp_replace(_c(col), r"\s+", ""), share)
 
 
 def is_chinese(col, share: float = 0.3) -> Column:
     """Share of CJK characters; very short texts need more than half."""
-    t = _c(col)
-    squeezed = strip(F.regexp_replace(t, r"\s+", " "))
-    return F.when(
-        F.length(squeezed) < 3,
-        F.coalesce(
-            F.regexp_count(squeezed, F.lit(CJK)) / F.nullif(F.length(squeezed), F.lit(0)), F.lit(0.0)
-        ) > 0.5,
-    ).otherwise(cjk_share(t) >= share)
+    squeezed = strip(F.regexp_replace(_c(col), r"\s+", " "))
+
+    def judge(t):
+        short = F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0)) > 0.5
+        return F.when(F.length(t) < 3, short).otherwise(cjk_share(t) >= share)
+
+    return bind(squeezed, judge)
 
 
 def _last_end_before(text: Column, stop: Column) -> Column:
@@ -254,46 +260,48 @@ def trim_to_sentences(text, max_chars: int | Column = 1000) -> Column:
     long it is centred on the sentence end nearest the middle (first kept of
     each kind of sentence end, earlier kinds win ties) and snapped again.
     """
-    t = _c(text)
     limit = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
-    size = F.length(t)
-    # One struct per step keeps each search from being expanded again and again.
-    mid = F.floor(size / 2).cast("int")
-    half = F.floor(limit / 2).cast("int")
-
-    def widen(lo, hi):
-        a, b = _snap(t, lo, hi)
-        return F.struct(a.alias("lo"), b.alias("hi"))
-
-    first = widen(
-        F.greatest(F.lit(0), mid - half - 200), F.least(size, mid + half + 200)
-    )
-    # First position of each kind of sentence end within 100 characters of the middle.
-    base = F.greatest(F.lit(0), mid - 100)
-    near = F.substr(t, base + 1, mid + 100 - base)
     marks = F.array(*[F.lit(e) for e in SENTENCE_ENDS])
-    found = F.transform(
-        F.filter(F.transform(marks, lambda e: F.instr(near, e)), lambda p: p > 0),
-        lambda p: base + p - 1,
-    )
-    anchor = F.aggregate(
-        found,
-        F.lit(-1),
-        lambda best, p: F.when((best == -1) | (F.abs(p - mid) < F.abs(best - mid)), p).otherwise(best),
+    sized = F.struct(
+        _c(text).alias("t"),
+        F.length(_c(text)).alias("n"),
+        limit.alias("max"),
+        F.floor(F.length(_c(text)) / 2).cast("int").alias("mid"),
+        F.floor(limit / 2).cast("int").alias("half"),
     )
 
-    def finish(span):
-        recentred = F.transform(
-            F.array(anchor),
-            lambda m: F.when(
-                m >= 0, widen(F.greatest(F.lit(0), m - half), F.least(size, m + half))
-            ).otherwise(span),
-        )[0]
-        return F.when(span["hi"] - span["lo"] > limit, recentred).otherwise(span)
-
-    picked = F.transform(F.array(first), finish)
-    cut = F.transform(picked, lambda s: strip(F.substr(t, s["lo"] + 1, s["hi"] - s["lo"])))[0]
-    return F.when(size <= limit, t).otherwise(cut)
+    def cut(x):
+        t, n, mid, half = x["t"], x["n"], x["mid"], x["half"]
+
+        def widen(lo, hi):
+            return bind(F.struct(lo.alias("lo"), hi.alias("hi")), lambda s: F.struct(*[
+                c.alias(k) for k, c in zip(("lo", "hi"), _snap(t, s["lo"], s["hi"]))
+            ]))
+
+        def anchor():
+            """First position of each kind of sentence end within 100 characters of the middle."""
+            base = F.greatest(F.lit(0), mid - 100)
+            near = F.substr(t, base + 1, mid + 100 - base)
+            found = bind(near, lambda s: F.filter(F.transform(marks, lambda e: F.instr(s, e)), lambda p: p > 0))
+            return F.aggregate(
+                F.transform(found, lambda p: base + p - 1),
+                F.lit(-1),
+                lambda best, p: F.when((best == -1) | (F.abs(p - mid) < F.abs(best - mid)), p).otherwise(best),
+            )
+
+        def finish(span):
+            recentred = bind(
+                anchor(),
+                lambda m: F.when(m >= 0, widen(F.greatest(F.lit(0), m - half), F.least(n, m + half))).otherwise(span),
+            )
+            return F.when(span["hi"] - span["lo"] > x["max"], recentred).otherwise(span)
+
+        first = widen(F.greatest(F.lit(0), mid - half - 200), F.least(n, mid + half + 200))
+        return F.when(n <= x["max"], t).otherwise(
+            bind(bind(first, finish), lambda s: strip(F.substr(t, s["lo"] + 1, s["hi"] - s["lo"])))
+        )
+
+    return bind(sized, cut)
 
 
 def expand_abbreviations(text, table, word_boundary: bool = True, first_only: bool = False) -> Column:

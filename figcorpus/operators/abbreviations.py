@@ -55,11 +55,6 @@ def _phrase(abbr: Column, words: Column, picked: Column) -> Column:
     return F.when(fits, F.array_join(F.slice(words, first + 1, last - first + 1), " "))
 
 
-def _bind(value: Column, use):
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.transform(F.array(value), use)[0]
-
-
 def full_form(abbr: Column, before: Column, after: Column, in_parentheses: Column) -> Column:
     """Full form for one occurrence, NULL when no phrase around it fits.
 
@@ -68,16 +63,16 @@ def full_form(abbr: Column, before: Column, after: Column, in_parentheses: Colum
     n = F.length(abbr)
 
     def last_n(words):
-        return _bind(
+        return tx.bind(
             _content(words),
             lambda c: F.when(F.size(c) >= n, _phrase(abbr, words, F.slice(c, F.size(c) - n + 1, n))),
         )
 
     def first_n(words):
-        return _bind(_content(words), lambda c: F.when(F.size(c) >= n, _phrase(abbr, words, F.slice(c, F.lit(1), n))))
+        return tx.bind(_content(words), lambda c: F.when(F.size(c) >= n, _phrase(abbr, words, F.slice(c, F.lit(1), n))))
 
     def any_n(words):
-        return _bind(
+        return tx.bind(
             _content(words),
             lambda c: F.when(
                 F.size(c) >= n,

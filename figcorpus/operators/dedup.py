@@ -24,9 +24,10 @@ def fold_copies(df: DataFrame, id_col: str, value: str) -> tuple[DataFrame, Data
     The smallest id is found with a map-side aggregate. In the join back the unique side
     holds one row per value, so a hot value is split by the skew join without repeats.
     """
-    reps = df.groupBy(value).agg(F.min(id_col).alias("rep"))
-    links = df.join(reps, value).where(F.col(id_col) != F.col("rep")).select("rep", F.col(id_col).alias("copy"))
-    return reps, links
+    reps = df.groupBy(value).agg(F.min(id_col).alias("rep"), F.count("*").alias("_n"))
+    copied = reps.where("_n > 1").select(value, "rep")
+    links = df.join(copied, value).where(F.col(id_col) != F.col("rep")).select("rep", F.col(id_col).alias("copy"))
+    return reps.drop("_n"), links
 
 
 # ---- cosine ----------------------------------------------------------------------------
