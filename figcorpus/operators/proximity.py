@@ -11,16 +11,20 @@ from figcorpus.operators import paragraphs as pg
 CLASSES = ("normal", "abnormal", "extreme abnormal")
 
 
-def figure_marks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
+def figure_marks(
+    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), contexts: bool = False
+) -> DataFrame:
     """One row per document with the sparse lines that the searches look at.
 
     ``marks`` lists the lines that hold an image tag or a figure label, in order, each
     with its paragraph and its offset there. It is made inside the document's own row,
-    so the text itself is never shuffled.
+    so the text itself is never shuffled. ``contexts`` adds the surroundings that the
+    nested records show: 4000 characters around images, 500 around captions, 1000 around
+    references, and the paragraph itself.
     """
     wanted = f"(?:{tx.IMAGE_TAG})|(?:{tx.CAPTION})"
 
-    def lines_of(p, i):
+    def lines_of(ps, p, i):
         hits = F.filter(
             F.transform(
                 F.split(p["content"], "\n"),
@@ -50,10 +54,23 @@ def figure_marks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
                 h["is_image"].alias("is_image"),
                 h["is_label"].alias("is_label"),
                 tx.is_caption(h["raw"], p["first_line"]).alias("is_start"),
+                *(around(ps, p, i, h) if contexts else ()),
             ),
         )
 
-    paras = F.transform(pg.paragraphs_of(text), lambda p, i: F.when(p["content"].rlike(wanted), lines_of(p, i)))
+    def around(ps, p, i, h):
+        label = h["is_label"]
+        return (
+            F.when(h["is_image"], pg.context_around(ps, i, 4000)).alias("surround"),
+            F.when(label, pg.context_around(ps, i, 500)).alias("near"),
+            F.when(label, pg.context_around(ps, i, 1000)).alias("wide"),
+            F.when(label, p["content"]).alias("paragraph"),
+        )
+
+    paras = tx.bind(
+        pg.paragraphs_of(text),
+        lambda ps: F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), lines_of(ps, p, i))),
+    )
     marked = docs.where(F.col(text).rlike(wanted)).select(
         *keys,
         (tx.newline_count(text) + 1).alias("n_lines"),
@@ -62,6 +79,10 @@ def figure_marks(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     return marked
 
 
+def _mark_fields(marked: DataFrame) -> list[str]:
+    return marked.schema["marks"].dataType.elementType.names
+
+
 def _limit(searched: Column, n_lines: Column, max_range: int) -> Column:
     """Farthest distance of an expanding search: it goes on line by line while every distance
     has a hit; at the first empty distance it looks ``max_range`` lines further at once."""
@@ -77,6 +98,7 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
     marks before and behind it: the band join is a slice of the document's own list.
     ``center_offset=-1`` searches around the line above the tag.
     """
+    extra = _mark_fields(marked)
     reach = 2 * max_range
     span = reach + abs(center_offset)
     marks = F.col("marks")
@@ -95,6 +117,7 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
                         h["content"].alias("content"),
                         F.abs(h["line_no"] - m["line_no"]).alias("distance"),
                         h["is_start"].alias("is_start"),
+                        *([h["near"].alias("content_paragraph")] if "near" in extra else []),
                     ),
                 )
             )
@@ -122,6 +145,7 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
         m["para_no"].alias("para_no"),
         m["para_start"].alias("para_start"),
         m["para_end"].alias("para_end"),
+        *([m["surround"].alias("image_surround_text")] if "surround" in extra else []),
         F.col("x.captions").alias("captions"),
         F.col("x.others").alias("other_images"),
         F.posexplode(F.regexp_extract_all(m["content"], F.lit(tx.IMAGE_TAG), F.lit(1))).alias("tag_no", "image_filename"),

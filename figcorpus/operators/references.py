@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
-from figcorpus.operators import paragraphs as pg
 from figcorpus.operators import proximity as px
 from figcorpus.session import durable
 
@@ -60,6 +59,7 @@ def label_prefixes(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             labels.alias("labels"),
             F.posexplode(F.arrays_zip(labels.alias("label"), positions.alias("at"))).alias("label_no", "z"),
             m["offset"].alias("offset"),
+            *[m[f].alias(f) for f in ("wide", "paragraph") if f in px._mark_fields(marked)],
         )
         .withColumn("char_pos", F.col("offset") + F.col("z.at"))
         .withColumn("label", F.col("z.label"))
@@ -103,9 +103,12 @@ def take_until(hits: DataFrame, group: tuple[str, ...], order: tuple[str, ...],
     )
 
 
-def marked_documents(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
-    """The sparse marks, written once: captions and labels are both read from them."""
-    return durable(px.figure_marks(docs.where(F.col(text).rlike(tx.IMAGE_TAG)), text, keys))
+def marked_documents(
+    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), contexts: bool = False
+) -> DataFrame:
+    """The sparse marks, written once: captions and labels are both read from them, so the
+    documents are scanned a single time."""
+    return durable(px.figure_marks(docs.where(F.col(text).rlike(tx.IMAGE_TAG)), text, keys, contexts))
 
 
 def find_references(marked: DataFrame, keys: tuple[str, ...] = ("book_id",), **search) -> DataFrame:
@@ -206,27 +209,13 @@ def repair_figure_numbers(marked: DataFrame, counts: DataFrame, keys: tuple[str,
 def context_records(docs: DataFrame, text: str = "text", key: str = "book_id", **search) -> DataFrame:
     """The nested record of each image: class, surroundings, neighbours, captions, references.
 
-    Flat tables are joined on (book, paragraph) and nested at the very end.
+    One scan of the documents; references are nested per caption and image and joined to
+    the images, whose other parts were made in the documents' rows.
     """
     keys = (key,)
-    marked = marked_documents(docs, text, keys)
+    marked = marked_documents(docs, text, keys, contexts=True)
     images = px.classify(px.nearby(marked, keys=keys, **search))
     refs = find_references(marked, keys, **search)
-    label = r"(?:" + tx.IMAGE_TAG + r")|(?:" + tx.CAPTION + r")"
-
-    def contexts(wanted, k, name):
-        rows = pg.paragraph_contexts(docs, wanted, k, text, keys)
-        return rows.select(key, "para_no", F.col("context").alias(name))
-
-    around = contexts(tx.IMAGE_TAG, 4000, "image_surround_text")
-    near = contexts(label, 500, "content_paragraph").withColumnRenamed("para_no", "caption_para")
-    wide = contexts(tx.CAPTION, 1000, "reference_paragraph_extension").withColumnRenamed("para_no", "ref_para")
-    own = (
-        pg.split_paragraphs(docs.where(F.col(text).rlike(tx.CAPTION)), text, keys)
-        .where(F.col("content").rlike(tx.CAPTION))
-        .select(key, F.col("para_no").alias("ref_para"), F.col("content").alias("reference_paragraph"))
-    )
-    full = refs.join(wide, [key, "ref_para"], "left").join(own, [key, "ref_para"], "left")
     reference = F.when(
         F.col("ref_line").isNotNull(),
         F.struct(
@@ -239,76 +228,49 @@ def context_records(docs: DataFrame, text: str = "text", key: str = "book_id", *
                 F.col("ref_content").alias("content"),
                 F.col("char_pos").alias("char_position_in_paragraph"),
             ).alias("match_line_info"),
-            F.col("reference_paragraph"),
-            F.col("reference_paragraph_extension"),
+            F.col("paragraph").alias("reference_paragraph"),
+            F.col("wide").alias("reference_paragraph_extension"),
             F.col("para_lines").alias("total_lines_in_paragraph"),
         ),
     )
-    per_caption = full.groupBy(key, *IMAGE_KEY, "caption_no", "caption", "figure_number").agg(
+    per_caption = refs.groupBy(key, *IMAGE_KEY, "caption_no", "caption", "figure_number").agg(
         F.array_sort(F.collect_list(reference)).alias("references")
     )
-    drop_order = F.transform("references", lambda r: r.dropFields("ref_para", "char_pos"))
+    listed = F.struct(
+        F.col("caption_no"),
+        F.col("caption"),
+        F.col("figure_number"),
+        F.size("references").alias("reference_count"),
+        F.transform("references", lambda r: r.dropFields("ref_para", "char_pos")).alias("references"),
+    )
     per_image = per_caption.groupBy(key, *IMAGE_KEY).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("caption_no"),
-                    F.col("caption"),
-                    F.col("figure_number"),
-                    F.size("references").alias("reference_count"),
-                    drop_order.alias("references"),
-                )
-            )
-        ).alias("caption_references"),
+        F.array_sort(F.collect_list(listed)).alias("caption_references"),
         F.sum(F.size("references")).alias("total_reference_count"),
     )
-    caption_rows = images.select(key, *IMAGE_KEY, F.posexplode("captions").alias("pos", "c"))
-    mark_paras = marked.select(key, F.explode("marks").alias("m")).select(
-        key, F.col("m.line_no").alias("caption_line"), F.col("m.para_no").alias("caption_para")
+    neighbours = F.transform(
+        "other_images",
+        lambda o: F.struct(o["line_no"].alias("line_number"), o["content"].alias("content"), o["distance"].alias("distance")),
     )
-    captions = (
-        caption_rows.select(key, *IMAGE_KEY, "pos", "c", F.col("c.line_no").alias("caption_line"))
-        .join(mark_paras, [key, "caption_line"], "left")
-        .join(near, [key, "caption_para"], "left")
-        .groupBy(key, *IMAGE_KEY)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("pos"),
-                        F.col("c.content").alias("content"),
-                        F.col("content_paragraph"),
-                        F.col("c.line_no").alias("line_number"),
-                        F.col("c.distance").alias("distance"),
-                    )
-                )
-            ).alias("captions_found")
-        )
+    captions = F.transform(
+        "captions",
+        lambda c: F.struct(
+            c["content"].alias("content"),
+            c["content_paragraph"].alias("content_paragraph"),
+            c["line_no"].alias("line_number"),
+            c["distance"].alias("distance"),
+        ),
     )
-    return (
-        images.join(around, [key, "para_no"], "left")
-        .join(captions, [key, *IMAGE_KEY], "left")
-        .join(per_image, [key, *IMAGE_KEY], "left")
-        .select(
-            key,
-            "image_filename",
-            F.col("line_no").alias("image_tag_line_number"),
-            "tag_no",
-            "image_surround_text",
-            "classification",
-            F.struct(
-                F.size("other_images").alias("count"),
-                F.transform(
-                    "other_images",
-                    lambda o: F.struct(
-                        o["line_no"].alias("line_number"), o["content"].alias("content"), o["distance"].alias("distance")
-                    ),
-                ).alias("images"),
-            ).alias("other_images_nearby"),
-            "caption_count",
-            F.transform("captions_found", lambda c: c.dropFields("pos")).alias("captions_found"),
-            "nearest_caption",
-            F.transform("caption_references", lambda c: c.dropFields("caption_no")).alias("caption_references"),
-            F.coalesce("total_reference_count", F.lit(0)).alias("total_reference_count"),
-        )
+    return images.join(per_image, [key, *IMAGE_KEY], "left").select(
+        key,
+        "image_filename",
+        F.col("line_no").alias("image_tag_line_number"),
+        "tag_no",
+        "image_surround_text",
+        "classification",
+        F.struct(F.size("other_images").alias("count"), neighbours.alias("images")).alias("other_images_nearby"),
+        "caption_count",
+        captions.alias("captions_found"),
+        "nearest_caption",
+        F.transform("caption_references", lambda c: c.dropFields("caption_no")).alias("caption_references"),
+        F.coalesce("total_reference_count", F.lit(0)).alias("total_reference_count"),
     )
