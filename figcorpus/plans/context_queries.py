@@ -171,8 +171,8 @@ def b03(spark, sf):
 TRIM_ENDS = "['.','?','!','。','？','！']"
 
 
-def _trim_sql(n: int) -> str:
-    """The trimming rule in plain SQL, one CTE per step."""
+def _trim_sql(n: int, source: str = "documents", ids: str = "doc_id") -> str:
+    """The trimming rule in plain SQL, one CTE per step, ending in ``trimmed``."""
     before = f"list_max(list_transform({TRIM_ENDS}, lambda e: CASE WHEN strpos(reverse(left(text, {{a}})), e)>0 THEN {{a}}-strpos(reverse(left(text, {{a}})), e) ELSE -1 END))"
     after = f"list_min(list_filter(list_transform({TRIM_ENDS}, lambda e: CASE WHEN strpos(substring(text, {{b}}+1), e)>0 THEN {{b}}+strpos(substring(text, {{b}}+1), e)-1 END), lambda p: p IS NOT NULL))"
 
@@ -186,17 +186,17 @@ def _trim_sql(n: int) -> str:
 
     lo1, hi1 = snap("a0", "b0")
     lo2, hi2 = snap("a2", "b2")
-    return f"""s0 AS (SELECT doc_id, text, length(text) n, length(text)//2 m, greatest(0, length(text)//2-{n // 2}-200) a0, least(length(text), length(text)//2+{n // 2}+200) b0 FROM documents),
+    return f"""s0 AS (SELECT {ids}, text, length(text) n, length(text)//2 m, greatest(0, length(text)//2-{n // 2}-200) a0, least(length(text), length(text)//2+{n // 2}+200) b0 FROM {source}),
     s1 AS (SELECT *, {lo1} a1, {hi1} b1 FROM s0),
     s2 AS (SELECT *, list_filter(list_transform({TRIM_ENDS}, lambda e: CASE WHEN strpos(substring(text, greatest(0,m-100)+1, m+100-greatest(0,m-100)), e)>0
         THEN greatest(0,m-100)+strpos(substring(text, greatest(0,m-100)+1, m+100-greatest(0,m-100)), e)-1 END), lambda p: p IS NOT NULL) near FROM s1),
     s3 AS (SELECT *, list_filter(near, lambda p: abs(p-m)=list_min(list_transform(near, lambda q: abs(q-m))))[1] anchor FROM s2),
     s4 AS (SELECT *, greatest(0, anchor-{n // 2}) a2, least(n, anchor+{n // 2}) b2 FROM s3),
-    s5 AS (SELECT doc_id, text, n, CASE WHEN b1-a1>{n} AND anchor IS NOT NULL THEN {lo2} ELSE a1 END lo, CASE WHEN b1-a1>{n} AND anchor IS NOT NULL THEN {hi2} ELSE b1 END hi FROM s4)
-    SELECT doc_id, CASE WHEN n<={n} THEN text ELSE trim(substring(text, lo+1, hi-lo), ' '||chr(9)||chr(10)||chr(13)) END AS trimmed FROM s5"""
+    s5 AS (SELECT {ids}, text, n, CASE WHEN b1-a1>{n} AND anchor IS NOT NULL THEN {lo2} ELSE a1 END lo, CASE WHEN b1-a1>{n} AND anchor IS NOT NULL THEN {hi2} ELSE b1 END hi FROM s4),
+    trimmed AS (SELECT {ids}, CASE WHEN n<={n} THEN text ELSE trim(substring(text, lo+1, hi-lo), ' '||chr(9)||chr(10)||chr(13)) END AS trimmed FROM s5)"""
 
 
-@query("b12_trim_to_sentences", "WITH " + _trim_sql(1000))
+@query("b12_trim_to_sentences", "WITH " + _trim_sql(1000) + " SELECT * FROM trimmed")
 def b12(spark, sf):
     docs = spread(table(spark, sf, "documents"))
     return docs.select("doc_id", tx.trim_to_sentences("text", 1000).alias("trimmed"))
@@ -226,7 +226,35 @@ def _image_rows(spark, sf):
     )
 
 
-@query("b16_assemble_context")
+def _around_sql(name: str, target: str, k: int) -> str:
+    """Context of k characters around the paragraphs of a target table, as CTEs."""
+    return f"""{name}_t AS (SELECT t.*, p.para_no, p.before, p.c FROM {target} t JOIN cum p ON p.book_id=t.book_id AND t.at BETWEEN p.start_line AND p.end_line),
+    {name}_s AS (SELECT t.book_id, t.line_no, coalesce(max(CASE WHEN p.para_no<=t.para_no AND t.before-p.before>={k // 2} THEN p.para_no END),1) lo,
+        coalesce(min(CASE WHEN p.para_no>=t.para_no AND p.before+length(p.c)-t.before-length(t.c)>={k // 2} THEN p.para_no END),max(p.para_no)) hi
+      FROM {name}_t t JOIN cum p ON p.book_id=t.book_id GROUP BY t.book_id, t.line_no, t.para_no, t.before, t.c),
+    {name} AS (SELECT s.book_id, s.line_no, '{name}' kind, string_agg(p.c, chr(10)||chr(10) ORDER BY p.para_no) AS text
+      FROM {name}_s s JOIN cum p ON p.book_id=s.book_id AND p.para_no BETWEEN s.lo AND s.hi GROUP BY s.book_id, s.line_no)"""
+
+
+ASSEMBLE = f"""WITH {REFS}, sized AS (SELECT book_id, para_no, start_line, end_line, trim(content) c FROM paras),
+cum AS (SELECT *, coalesce(sum(length(c)+2) OVER (PARTITION BY book_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) before FROM sized),
+shown AS (SELECT book_id, line_no, line_no AS at FROM img),
+exact AS (SELECT book_id, line_no, min(ref_line) AS at FROM refs WHERE is_exact GROUP BY ALL),
+{_around_sql('surround', 'shown', 4000)}, {_around_sql('wide', 'exact', 1000)},
+ctx AS (SELECT * FROM surround UNION ALL SELECT * FROM wide),
+{_trim_sql(4000, 'ctx', 'book_id, line_no, kind')},
+files AS (SELECT book_id, line_no, regexp_extract(content, '([^/]+)\\)', 1) file FROM img),
+parts AS (SELECT c.book_id, c.line_no, c.classification, c.nearest_caption, 'The path of this image is: [images/'||c.book_id||'/'||f.file||'].' head,
+    chr(10)||chr(10)||'The context surrounding this image is as follows: '||s.trimmed around, w.trimmed wide
+  FROM classed c JOIN files f USING (book_id, line_no) JOIN trimmed s ON s.book_id=c.book_id AND s.line_no=c.line_no AND s.kind='surround'
+  LEFT JOIN trimmed w ON w.book_id=c.book_id AND w.line_no=c.line_no AND w.kind='wide'),
+built AS (SELECT *, CASE WHEN classification='normal' THEN head||chr(10)||chr(10)||'The caption for this image is: '||nearest_caption||
+      CASE WHEN wide IS NOT NULL THEN chr(10)||chr(10)||'This image is referenced in the following content:- '||wide ELSE around END
+    ELSE head||' Refer to the context below to locate where this image appears in the document.'||around END t FROM parts)
+SELECT book_id, line_no::BIGINT line_no, CASE WHEN length(t)<500 AND t NOT LIKE '%The context surrounding this image is as follows: %' THEN t||around ELSE t END contextual_information FROM built"""
+
+
+@query("b16_assemble_context", ASSEMBLE)
 def b16(spark, sf):
     rows = _image_rows(spark, sf)
     path = F.concat(F.lit("images/"), "book_id", F.lit("/"), "image_filename")

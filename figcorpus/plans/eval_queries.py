@@ -181,7 +181,14 @@ def _samples(spark, sf):
     )
 
 
-@query("i01_score_batches")
+STUB = "CASE WHEN n%13=0 THEN NULL WHEN n%5=0 THEN 'no idea' ELSE ['A','B','C','D'][n%4+1] END"
+
+
+@query(
+    "i01_score_batches",
+    f"""SELECT doc_id, {STUB} response, CASE WHEN n%13=0 THEN 'error' ELSE 'ok' END status, CASE WHEN n%13=0 THEN 'ValueError: service busy' END error
+    FROM (SELECT doc_id, length(text) n FROM documents)""",
+)
 def i01(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     return inf.score_batches(docs, stub_model, ["doc_id"], batch=16, workers=8)
@@ -189,6 +196,16 @@ def i01(spark, sf):
 
 @query(
     "i02_multi_model_answers",
+    f"""WITH g AS (SELECT unnest(['image_background_only','analysis_information_only','both_contexts','no_context']) grp), m AS (SELECT unnest(['m1','m2']) model),
+    p AS (SELECT p_partkey, grp, model, length(CASE WHEN grp IN ('image_background_only','both_contexts') THEN 'image_background: '||p_type||repeat(chr(10),5) ELSE '' END ||
+      CASE WHEN grp IN ('analysis_information_only','both_contexts') THEN 'analysis_information: '||p_brand||repeat(chr(10),5) ELSE '' END ||
+      'question: '||p_name||repeat(chr(10),5)||'options: {{"A": "rises", "B": "falls", "C": "stays flat", "D": "cannot be told"}}'||repeat(chr(10),5)||
+      CASE WHEN grp='no_context' THEN 'Based on the image, ' ELSE 'Based on the image and the provided information, ' END||
+      'select the correct option. Output ONLY the single letter corresponding to your choice (A, B, C, D) with no additional text, explanations, or formatting. For example, if the answer is ''A'', you must only output: A.') n
+      FROM part, g, m),
+    r AS (SELECT *, upper({STUB}) answer FROM p)
+    SELECT p_partkey sample_id, grp AS "group", model, answer, coalesce(answer IN ('A','B','C','D'), false) AS valid, coalesce(answer=chr(CAST(65+p_partkey%4 AS INT)), false) correct,
+      CASE WHEN answer IS NULL THEN 'api_error' WHEN answer='NO IDEA' THEN 'invalid_format' END error_type FROM r""",
 )
 def i02(spark, sf):
     out = inf.multi_model_answers(_samples(spark, sf), ["m1", "m2"], stub_model, batch=64)

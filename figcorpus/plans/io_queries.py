@@ -16,7 +16,10 @@ from figcorpus.sources import writers as wr
 from figcorpus.streaming import jobs
 
 
-@query("a02_scan_images")
+@query(
+    "a02_scan_images",
+    "SELECT 's_nationkey='||CAST(s_nationkey AS VARCHAR) book_id, sum(octet_length(encode(s_name))+1)::BIGINT length FROM supplier GROUP BY s_nationkey",
+)
 def a02(spark, sf):
     """Listing of one file per supplier's nation."""
     out = scratch_dir(spark, "images")
