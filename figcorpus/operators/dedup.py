@@ -18,15 +18,17 @@ from figcorpus.functions import vectors as vec
 from figcorpus.session import durable
 
 
-def fold_copies(df: DataFrame, id_col: str, value: str) -> tuple[DataFrame, DataFrame]:
+def fold_copies(df: DataFrame, id_col: str, value: str, derived: dict[str, Column] | None = None):
     """(one row per distinct value with its smallest id, links from that id to the other copies).
 
-    The smallest id is found with a map-side aggregate. In the join back the unique side
-    holds one row per value, so a hot value is split by the skew join without repeats.
+    The smallest id is found with a map-side aggregate and written once with what is
+    ``derived`` from the value. Only values with copies are joined back; that side holds
+    one row per value, so a hot value is split by the skew join without repeats.
     """
-    reps = df.groupBy(value).agg(F.min(id_col).alias("rep"), F.count("*").alias("_n"))
-    copied = reps.where("_n > 1").select(value, "rep")
-    links = df.join(copied, value).where(F.col(id_col) != F.col("rep")).select("rep", F.col(id_col).alias("copy"))
+    folded = df.groupBy(value).agg(F.min(id_col).alias("rep"), F.count("*").alias("_n"))
+    reps = durable(folded.withColumns(derived or {}))
+    copied = reps.where("_n > 1").drop("_n")
+    links = df.join(copied, value).where(F.col(id_col) != F.col("rep")).withColumnRenamed(id_col, "copy")
     return reps.drop("_n"), links
 
 
@@ -98,7 +100,6 @@ def similar_units(
     ``left_semi`` keeps the right ids with some partner and lists no pairs.
     """
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    units = durable(units)
     grid = _spread_dims(units, grid_dims, size)
     names = [f"_c{k}" for k in range(len(grid))]
     own = units
@@ -131,10 +132,10 @@ def similar_units(
 
 
 def _unit_reps(df: DataFrame, id_col: str, vector: str):
-    folded, links = fold_copies(df.select(id_col, vector), id_col, vector)
-    units = folded.select("rep", vec.unit(vector).alias("u")).where("u IS NOT NULL")
-    links = links.join(units.select("rep"), "rep", "left_semi")  # zero vectors are similar to nothing
-    return units, links
+    folded, links = fold_copies(df.select(id_col, vector), id_col, vector, {"u": vec.unit(vector)})
+    # zero vectors have no unit vector and are similar to nothing
+    known = "u IS NOT NULL"
+    return folded.select("rep", "u").where(known), links.where(known).select("rep", "copy")
 
 
 def similar_pairs_cosine(df: DataFrame, id_col: str, vector: str, threshold: float = 0.98, size: int = 64) -> DataFrame:

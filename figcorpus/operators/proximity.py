@@ -14,7 +14,7 @@ CLASSES = ("normal", "abnormal", "extreme abnormal")
 def figure_marks(
     docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), contexts: bool = False
 ) -> DataFrame:
-    """One row per document with the sparse lines that the searches look at.
+    """One row per document with images, and the sparse lines that the searches look at.
 
     ``marks`` lists the lines that hold an image tag or a figure label, in order, each
     with its paragraph and its offset there. It is made inside the document's own row,
@@ -71,7 +71,7 @@ def figure_marks(
         pg.paragraphs_of(text),
         lambda ps: F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), lines_of(ps, p, i))),
     )
-    marked = docs.where(F.col(text).rlike(wanted)).select(
+    marked = docs.where(F.col(text).rlike(tx.IMAGE_TAG)).select(
         *keys,
         (tx.newline_count(text) + 1).alias("n_lines"),
         F.flatten(F.filter(paras, lambda a: a.isNotNull())).alias("marks"),
@@ -191,7 +191,7 @@ def near_rows(images: DataFrame, which: str, key: str = "book_id") -> DataFrame:
 
 def image_records(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), **search) -> DataFrame:
     """Documents to classified images, without a shuffle."""
-    return classify(nearby(figure_marks(docs.where(F.col(text).rlike(tx.IMAGE_TAG)), text, keys), keys=keys, **search))
+    return classify(nearby(figure_marks(docs, text, keys), keys=keys, **search))
 
 
 def classification_counts(images: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

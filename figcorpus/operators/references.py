@@ -108,7 +108,7 @@ def marked_documents(
 ) -> DataFrame:
     """The sparse marks, written once: captions and labels are both read from them, so the
     documents are scanned a single time."""
-    return durable(px.figure_marks(docs.where(F.col(text).rlike(tx.IMAGE_TAG)), text, keys, contexts))
+    return durable(px.figure_marks(docs, text, keys, contexts))
 
 
 def find_references(marked: DataFrame, keys: tuple[str, ...] = ("book_id",), **search) -> DataFrame:

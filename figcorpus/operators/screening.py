@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
@@ -60,8 +61,9 @@ def copy_stats(index: DataFrame, files: DataFrame, n_subdirs: Column) -> DataFra
     totals = index.join(have, ["book_id", "image_id"], "left").agg(
         F.count("*").alias("total_processed"), F.count("_have").alias("files_copied")
     )
-    # two one-row tables, joined on a constant key
-    both = totals.withColumn("_k", F.lit(1)).join(folders.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = totals.unionByName(folders, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("total_processed", "files_copied", "total_subdirs")]
+    )
     return both.withColumn("missing_count", F.col("total_processed") - F.col("files_copied")).withColumn(
         "success_rate",
         F.when(
@@ -115,14 +117,8 @@ def histogram_pct(df: DataFrame, col: str, multi: bool = False) -> DataFrame:
     """Count and share of label occurrences per value; a row may hold several labels."""
     values = df.select(F.explode(col).alias("value")) if multi else df.select(F.col(col).alias("value"))
     counts = values.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-    # The total is one number; it rides along on a constant key instead of a global window.
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_k", F.lit(1))
-    return (
-        counts.withColumn("_k", F.lit(1))
-        .join(F.broadcast(total), "_k")
-        .withColumn("pct", 100.0 * F.col("n") / F.col("_total"))
-        .drop("_k", "_total")
-    )
+    # One row per label of the taxonomy is left, so the total over them needs no second scan.
+    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
 def describe_levels(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -256,7 +252,7 @@ def balanced_sample(
         # The limit-th best taker of each theme: per-group top-k, pruned before the shuffle.
         over = (
             chosen.select("theme", "_rank")
-            .withColumn("_k", F.row_number().over(_by_theme()))
+            .withColumn("_k", F.row_number().over(W.partitionBy("theme").orderBy("_rank")))
             .where(F.col("_k") <= limit + 1)
             .groupBy("theme")
             .agg(
@@ -275,12 +271,6 @@ def balanced_sample(
             cuts[r["theme"]] = tuple(r["cut"])
 
 
-def _by_theme():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("theme").orderBy("_rank")
-
-
 def sampler_summary(screen: DataFrame, top: DataFrame, kept: DataFrame) -> DataFrame:
     """Totals at each step of the funnel, one row."""
 
