@@ -178,14 +178,16 @@ def index_within_level(df: DataFrame, level: str = "complexity_level", keys=("bo
 
 
 def sample_by_hash(df: DataFrame, keys: list[str], k: int, seed: int = 0) -> DataFrame:
-    """k rows picked by a seeded hash of their key: random, yet the same on every run."""
+    """A given number of rows picked by a seeded hash: random, yet the same on every run."""
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(k)
 
 
 def sample_books(books: DataFrame, pct: float, key: str = "book_id", seed: int = 0) -> DataFrame:
-    """max(1, pct percent) of the given books."""
+    """max(1, pct percent) of the given books. The number grows with the books, so they are
+    ranked by hash across partitions rather than sorted in one place."""
     k = max(1, int(books.count() * pct / 100))
-    return sample_by_hash(books, [key], k, seed)
+    ranked = with_position(books, [F.xxhash64(key, F.lit(seed)), key], (), "_rank")
+    return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
 def sample_symbols(symbols: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -39,6 +39,19 @@ def b22(spark, sf):
     return rows.select("sample_id", ps.needs_retry("raw_answer", "options").alias("needs_retry"))
 
 
+@query(
+    "f05_random_fallback",
+    f"WITH {EVAL} SELECT sample_id, coalesce(answer IN ('A','B','C','D'), false) AS kept, true AS is_option FROM chk",
+)
+def f05(spark, sf):
+    rows = _checked(spark, sf).withColumn("final", ps.random_option("answer", "options"))
+    return rows.select(
+        "sample_id",
+        F.coalesce(F.col("final") == F.col("answer"), F.lit(False)).alias("kept"),
+        F.array_contains(F.map_keys("options"), F.col("final")).alias("is_option"),
+    )
+
+
 @query(
     "h06_answer_judge",
     f"WITH {EVAL} SELECT sample_id, answer IS NOT DISTINCT FROM gold AS correct FROM chk",

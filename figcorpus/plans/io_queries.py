@@ -109,11 +109,6 @@ def a10(spark, sf):
     return spark.read.parquet(f"{out}/bad")
 
 
-@query("a15_profile_source")
-def a15(spark, sf):
-    return rd.profile_source(table(spark, sf, "documents"))
-
-
 @query(
     "b30_payload_guard",
     """SELECT page_id, round(octet_length(encode(html))/1048576.0,9)::DOUBLE size_mb, (ceil(octet_length(encode(html))/3.0)*4)::BIGINT base64_length,

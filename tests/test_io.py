@@ -45,6 +45,11 @@ def test_index_list(spark, tmp_path):
     assert [r[0] for r in bad.collect()] == ["broken", "1-2-3"]
 
 
+def test_profile(spark):
+    r = rd.profile_source(spark.createDataFrame([(1, "x")], "a int, b string")).first()
+    assert r["fields"] == "a int, b string" and json.loads(r["sample"]) == {"a": 1, "b": "x"}
+
+
 def test_hot_folder_is_written_by_several_tasks(spark, tmp_path):
     df = spark.range(4000).withColumn("book_id", F.lit("hot"))
     # tiny partitions would be merged again
