@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,3 +147,17 @@ def build_prompt(group, background, analysis, question, options) -> Column:
 def default_fields(*names) -> list[Column]:
     """Missing context fields read "None"."""
     return [F.coalesce(F.col(n), F.lit("None")).alias(n) for n in names]
+
+
+def fill_template(template: str, **parts) -> Column:
+    """A caller's prompt text with its ``{name}`` places filled from columns; missing values
+    leave their place empty. Screening, classification and other prompts are given this way."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    out = [F.lit(pieces[0])]
+    for name, rest in zip(pieces[1::2], pieces[2::2]):
+        if name in parts:
+            out.append(F.coalesce(_c(parts[name]).cast("string"), F.lit("")))
+        else:
+            out.append(F.lit("{" + name + "}"))
+        out.append(F.lit(rest))
+    return F.concat(*out)

@@ -147,3 +147,9 @@ def test_random_option_is_stable_and_valid(spark):
     df = spark.range(200).selectExpr("concat('bad', id) AS a", "map('A','x','B','y','C','z') AS o")
     picks = [r[0] for r in df.select(ps.random_option("a", "o")).collect()]
     assert picks == [r[0] for r in df.select(ps.random_option("a", "o")).collect()] and set(picks) == {"A", "B", "C"}
+
+
+def test_template(spark):
+    df = spark.createDataFrame([("q", None, 3)], "a string, b string, n int")
+    got = df.select(pr.fill_template('Ask {a} [{b}] {n}: {"k": 1} {other}', a="a", b="b", n="n")).first()[0]
+    assert got == 'Ask q [] 3: {"k": 1} {other}'
