@@ -73,9 +73,10 @@ def assemble_context(
 
 def select_prompt_context(classification, caption, caption_references, surround) -> Column:
     """``normal`` images with references: caption and first reference if that one is exact,
-    else nothing; other images: the surrounding text."""
-    first = F.get(F.get(_c(caption_references), F.lit(0))["references"], F.lit(0))
-    has_refs = F.coalesce(F.size(_c(caption_references)), F.lit(0)) > 0
+    else nothing; other images: the surrounding text. Captions nobody refers to do not count."""
+    referred = F.filter(_c(caption_references), lambda c: F.size(c["references"]) > 0)
+    first = F.get(F.get(referred, F.lit(0))["references"], F.lit(0))
+    has_refs = F.coalesce(F.size(referred), F.lit(0)) > 0
     return (
         F.when(
             (_c(classification) == "normal") & has_refs,

@@ -267,15 +267,19 @@ def b16(spark, sf):
     )
 
 
-@query(
-    "b17_select_prompt_context",
-    f"""WITH {REFS}, first AS (SELECT book_id, line_no, arg_min(is_exact, ref_line*1000+k) is_exact, arg_min(ref_line, ref_line*1000+k) ref_line FROM refs WHERE caption_no=0 GROUP BY ALL)
-    SELECT c.book_id, c.line_no::BIGINT line_no, CASE WHEN f.is_exact THEN 'Context Information:'||chr(10)||'Caption: '||c.nearest_caption||chr(10)||'Reference Text: '||trim(p.content)||chr(10)||chr(10) ELSE '' END prompt_context
-    FROM classed c LEFT JOIN first f USING (book_id, line_no) LEFT JOIN paras p ON p.book_id=c.book_id AND f.ref_line BETWEEN p.start_line AND p.end_line WHERE c.classification='normal'""",
-)
+PROMPT_CONTEXT = ASSEMBLE[: ASSEMBLE.index("ctx AS (SELECT * FROM surround")] + """
+first AS (SELECT book_id, line_no, arg_min(is_exact, (caption_no, ref_line, k)) is_exact, arg_min(ref_line, (caption_no, ref_line, k)) ref_line FROM refs GROUP BY ALL)
+SELECT c.book_id, c.line_no::BIGINT line_no, CASE
+    WHEN c.classification='normal' AND f.is_exact THEN 'Context Information:'||chr(10)||'Caption: '||c.nearest_caption||chr(10)||'Reference Text: '||trim(p.content)||chr(10)||chr(10)
+    WHEN c.classification='normal' AND f.is_exact IS NOT NULL THEN ''
+    ELSE 'Context Information:'||chr(10)||'Surrounding Text: '||s.text||chr(10)||chr(10) END prompt_context
+FROM classed c JOIN surround s USING (book_id, line_no) LEFT JOIN first f USING (book_id, line_no)
+LEFT JOIN paras p ON p.book_id=c.book_id AND f.ref_line BETWEEN p.start_line AND p.end_line"""
+
+
+@query("b17_select_prompt_context", PROMPT_CONTEXT)
 def b17(spark, sf):
-    rows = _image_rows(spark, sf).where("classification = 'normal'")
-    return rows.select(
+    return _image_rows(spark, sf).select(
         "book_id",
         F.col("image_tag_line_number").alias("line_no"),
         pr.select_prompt_context("classification", "nearest_caption", "caption_references", "image_surround_text").alias(
