@@ -212,6 +212,41 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running_sums(values: Column, block: int = 64) -> Column:
+    """Sum of the values in front of each element of a non-empty integer array.
+
+    Appending to an array copies it, so sums are built in short blocks that start from
+    the sum of the blocks before them; a long document costs little more than its length.
+    """
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        return F.struct((acc["total"] + x).alias("total"), F.array_append(acc["out"], acc["total"]).alias("out"))
+
+    def within(blocks):
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x))
+        return bind(
+            F.aggregate(sums, start, step, lambda acc: acc["out"]),
+            lambda before: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda b, k: F.aggregate(
+                        b,
+                        F.struct(F.get(before, k).alias("total"), F.array().cast("array<int>").alias("out")),
+                        step,
+                        lambda acc: acc["out"],
+                    ),
+                )
+            ),
+        )
+
+    def cut(v):
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+
+    return bind(bind(values, cut), within)
+
+
 def cjk_share(col) -> Column:
     def share(t):
         return F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0))

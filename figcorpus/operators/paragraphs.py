@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
 
-PARAGRAPH = "struct<content:string,start_line:int,end_line:int,first_line:string,before:int>"
-
 
 def explode_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
     """One row per line, empty lines included, numbered from 1."""
@@ -45,28 +43,25 @@ def paragraphs_of(text) -> Column:
             F.length(x["content"]).alias("size"),
         )
 
-    pieces = F.transform(F.transform(F.split(tx._c(text), "\n\n"), measure), extend)
+    def number(pieces):
+        lines = tx.running_sums(F.transform(pieces, lambda x: x["nl"] + 2))
+        sizes = tx.running_sums(F.transform(pieces, lambda x: F.when(x["size"] > 0, x["size"] + 2).otherwise(0)))
+        return tx.bind(F.struct(lines.alias("lines"), sizes.alias("sizes")), lambda sums: place(pieces, sums))
+
+    def place(pieces, sums):
+        def para(x, i):
+            first = F.get(sums["lines"], i) + 1 + x["lead"]
+            return F.struct(
+                x["content"].alias("content"),
+                first.alias("start_line"),
+                (first + x["inner"]).alias("end_line"),
+                F.substring_index(x["content"], "\n", 1).alias("first_line"),
+                F.get(sums["sizes"], i).alias("before"),
+            )
 
-    def step(acc, x):
-        kept = x["size"] > 0
-        first = acc["line"] + x["lead"]
-        para = F.struct(
-            x["content"].alias("content"),
-            first.alias("start_line"),
-            (first + x["inner"]).alias("end_line"),
-            F.substring_index(x["content"], "\n", 1).alias("first_line"),
-            acc["before"].alias("before"),
-        )
-        return F.struct(
-            (acc["line"] + x["nl"] + 2).alias("line"),
-            F.when(kept, acc["before"] + x["size"] + 2).otherwise(acc["before"]).alias("before"),
-            F.when(kept, F.array_append(acc["out"], para)).otherwise(acc["out"]).alias("out"),
-        )
+        return F.filter(F.transform(pieces, para), lambda p: p["content"] != "")
 
-    start = F.struct(
-        F.lit(1).alias("line"), F.lit(0).alias("before"), F.array().cast(f"array<{PARAGRAPH}>").alias("out")
-    )
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return tx.bind(F.transform(F.transform(F.split(tx._c(text), "\n\n"), measure), extend), number)
 
 
 def split_paragraphs(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",)) -> DataFrame:
@@ -124,16 +119,9 @@ def image_char_windows(docs: DataFrame, n: int = 2000, text: str = "text", keys:
     gaps = F.split(t, tag)
     whole = F.regexp_extract_all(t, F.lit(f"({tag})"), F.lit(1))
     paths = F.regexp_extract_all(t, F.lit(tag), F.lit(1))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-    positions = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), whole.alias("w")),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
-            F.array_append(acc["out"], acc["at"] + F.length(x["g"])).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, w: F.length(g) + F.length(w))
+    positions = F.zip_with(tx.running_sums(sizes), gaps, lambda n, g: n + F.length(g) + 1)
+    positions = F.slice(positions, F.lit(1), F.size(whole))
     rows = F.transform(
         F.arrays_zip(paths.alias("path"), positions.alias("at")),
         lambda x, i: F.struct(

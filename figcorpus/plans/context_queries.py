@@ -9,7 +9,7 @@ from figcorpus.functions import text as tx
 from figcorpus.operators import abbreviations as ab
 from figcorpus.operators import references as rf
 from figcorpus.plans import fixtures as fx
-from figcorpus.plans.figure_queries import NEAR, REFS
+from figcorpus.plans.figure_queries import REFS
 from figcorpus.plans.registry import query, table
 from figcorpus.session import spread
 

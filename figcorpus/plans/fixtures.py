@@ -125,7 +125,6 @@ def bars(spark, sf_dir):
     return _run(spark, sf_dir, "orders", BARS_SQL)
 
 
-OPTIONS_SQL = "MAP {'A': 'rises', 'B': 'falls', 'C': 'stays flat', 'D': 'cannot be told'}"
 
 
 def with_options(df: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from figcorpus.operators import proximity as px
 from figcorpus.operators import ranking as rk
 from figcorpus.operators import screening as sc
 from figcorpus.plans import fixtures as fx
-from figcorpus.plans.figure_queries import NEAR
 from figcorpus.plans.registry import query, table
 
 SCREEN = f"""scr AS ({fx.SCREEN_SQL}),

@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
 from figcorpus.operators import paragraphs as pg
@@ -182,3 +181,17 @@ def test_nested_record(docs):
     assert ref["is_exact_match"] and ref["reference_paragraph"] == "see 图1 below"
     assert r["captions_found"][0]["line_number"] == 5
     assert TAG % 1 in r["image_surround_text"] and r["other_images_nearby"]["count"] == 0
+
+
+def test_long_documents_keep_their_line_numbers(docs):
+    rng = random.Random(11)
+    pieces = [rng.choice(["a", "b\nc", "", "\nd", TAG % 3, "e \n\t"]) for _ in range(700)]
+    text = "\n\n".join(pieces)
+    ls = text.split("\n")
+    rows = pg.split_paragraphs(docs(text)).orderBy("para_no").collect()
+    assert len(rows) == sum(1 for p in pieces if p.strip())
+    for r in rows:
+        assert "\n".join(ls[r["start_line"] - 1 : r["end_line"]]).strip() == r["content"]
+    windows = pg.image_char_windows(docs(text), 5).orderBy("image_no").collect()
+    starts = [m.start() for m in re.finditer(r"!\[", text)]
+    assert [w["context"] for w in windows] == [text[max(0, s - 5) : s + 5] for s in starts]
