@@ -19,6 +19,7 @@ one per phrase and chunk of documents, however often a chunk holds it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,12 +103,16 @@ class Parse:
     stop: int
 
 
-def parse(x: np.ndarray, s: Settings) -> Parse:
+def parse(x: np.ndarray, s: Settings, fine_too: bool = True) -> Parse:
     stop = max(0, len(x) - s.match + 1)
     fine, triggers, coarse = [], [], [np.zeros(min(1, stop), np.int64)]
     for at in range(0, stop, SEGMENT):
         upto = min(stop, at + SEGMENT)
         h = rolling(x[at : upto + s.match - 1], s.window)
+        cuts = np.flatnonzero(h[: upto - at] % np.uint64(s.every) == 0) + at
+        coarse.append(cuts[cuts > 0])
+        if not fine_too:
+            continue
         low = sliding_min(h, s.match - s.window + 1)
         starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         sizes = np.diff(np.r_[starts, len(low)])
@@ -117,11 +122,8 @@ def parse(x: np.ndarray, s: Settings) -> Parse:
             starts = np.repeat(starts, more) + nth * MASK_BITS
         fine.append(starts + at)
         triggers.append(low[starts])
-        cuts = np.flatnonzero(h[: upto - at] % np.uint64(s.every) == 0) + at
-        coarse.append(cuts[cuts > 0])
-    if not fine:
-        return Parse(np.zeros(0, np.int64), np.zeros(0, np.uint64), coarse[0], stop)
-    return Parse(np.concatenate(fine), np.concatenate(triggers), np.concatenate(coarse), stop)
+    none = np.zeros(0, np.int64)
+    return Parse(np.concatenate([none, *fine]), np.concatenate([none.astype(np.uint64), *triggers]), np.concatenate(coarse), stop)
 
 
 def _coarse_keys(text: memoryview, p: Parse, s: Settings) -> list[bytes]:
@@ -146,9 +148,11 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
 
 
 def to_chunks(docs: DataFrame, s: Settings) -> DataFrame:
-    """(chunk, bytes, docs): documents in their order of reading, packed together, written once.
+    """(chunk, bytes, docs): documents in their order of reading, packed together.
 
-    ``docs`` must have ``doc_id`` and binary ``text``; all its columns travel along.
+    ``docs`` must have ``doc_id`` and binary ``text``; all its columns travel
+    along. The chunks are written once, as a table bucketed by chunk in the
+    shared folder, so that no later join moves texts.
     """
     at = docs.columns.index("text")
 
@@ -166,9 +170,12 @@ def to_chunks(docs: DataFrame, s: Settings) -> DataFrame:
                 )
                 serial, lo = serial + 1, hi
 
-    path = scratch_dir(docs.sparkSession, "chunks")
-    docs.mapInArrow(run, "chunk bigint, bytes bigint, docs binary").write.option("compression", "none").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    name = f"chunks_{uuid.uuid4().hex}"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.mapInArrow(run, "chunk bigint, bytes bigint, docs binary").repartition(parts, "chunk")
+    writer = packed.write.bucketBy(parts, "chunk").sortBy("chunk").option("compression", "none")
+    writer.option("path", scratch_dir(docs.sparkSession, "chunks")).saveAsTable(name)
+    return docs.sparkSession.table(name)
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
@@ -183,146 +190,199 @@ class _Doc:
     parse: Parse
 
 
-def _docs(blob: bytes, s: Settings) -> tuple[pa.RecordBatch, list[_Doc]]:
+def _docs(blob: bytes, s: Settings, fine_too: bool = True) -> tuple[pa.RecordBatch, list[_Doc]]:
     """The chunk's rows, and the parsed ones among them: those with a doc_id and room for a match."""
     batch = _unpacked(blob)
     ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
     out = []
     for i, (d, t) in enumerate(zip(ids, batch.column(batch.schema.get_field_index("text")).to_pylist())):
         if d is not None and t is not None and len(t) >= s.match:
-            out.append(_Doc(i, d, memoryview(t), parse(np.frombuffer(t, np.uint8), s)))
+            out.append(_Doc(i, d, memoryview(t), parse(np.frombuffer(t, np.uint8), s, fine_too)))
     return batch, out
 
 
-# first exchange: which triggers occur in two chunks, and which document first holds a coarse phrase
+# first exchange: which document first holds a coarse phrase
 
 
-def _short(triggers: np.ndarray) -> np.ndarray:
-    """48 bits of a trigger; the bucket holds others. Equal triggers stay equal, a false match only costs work."""
-    return triggers >> np.uint64(16)
+def _dealt(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its values) by the values' remainder."""
+    by = values % np.uint64(buckets)
+    order = np.argsort(by, kind="stable")
+    cut = np.searchsorted(by[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, order[cut[b] : cut[b + 1]]
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _binary(values) -> pa.Array:
+    return pa.array(values, pa.binary())
 
 
-def _from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-_ENTRIES = "bucket int, chunk bigint, triggers binary, phrases binary, firsts binary"
+_COARSE = "bucket int, chunk bigint, phrases binary, firsts binary"
 
 
-def _entries(s: Settings, buckets: int):
-    """Per chunk and bucket: the distinct triggers, and the distinct coarse phrases with the chunk's smallest doc_id for each."""
+def _coarse_entries(s: Settings, buckets: int):
+    """Per chunk and bucket: the distinct coarse phrases with the chunk's smallest doc_id for each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, docs = _docs(blob, s)
-            if not docs:
-                continue
-            triggers = np.unique(np.concatenate([d.parse.triggers for d in docs]))
+            _, docs = _docs(blob, s, fine_too=False)
             firsts: dict[bytes, int] = {}
             for d in sorted(docs, key=lambda d: d.doc_id):
                 for k in _coarse_keys(d.text, d.parse, s):
                     firsts.setdefault(k, d.doc_id)
             keys = np.frombuffer(b"".join(firsts), "<u8").reshape(-1, 2)
             ids = np.array(list(firsts.values()), np.int64)
-            by, by_key = triggers % np.uint64(buckets), keys[:, 0] % np.uint64(buckets)
-            order, order_key = np.argsort(by, kind="stable"), np.argsort(by_key, kind="stable")
-            cut = np.searchsorted(by[order], np.arange(buckets + 1))
-            cut_key = np.searchsorted(by_key[order_key], np.arange(buckets + 1))
-            for b in range(buckets):
-                own, own_key = order[cut[b] : cut[b + 1]], order_key[cut_key[b] : cut_key[b + 1]]
-                if len(own) or len(own_key):
-                    rows.append((b, chunk, _six(_short(triggers[own])), keys[own_key].tobytes(), ids[own_key].tobytes()))
-        b, c, t, p, f = zip(*rows) if rows else ((),) * 5
-        return pa.RecordBatch.from_arrays(
-            [pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(t, pa.binary()), pa.array(p, pa.binary()), pa.array(f, pa.binary())],
-            ["bucket", "chunk", "triggers", "phrases", "firsts"],
-        )
+            rows += [(b, chunk, keys[own].tobytes(), ids[own].tobytes()) for b, own in _dealt(keys[:, 0], buckets)]
+        b, c, p, f = zip(*rows) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), _binary(p), _binary(f)], ["bucket", "chunk", "phrases", "firsts"])
 
     return per_batch(run)
 
 
-_REPLIES = "chunk bigint, triggers binary, phrases binary, firsts binary"
-
-
-def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads entries sorted by bucket, holds one bucket at a time."""
-
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        triggers = [_from_six(r[2]) for r in rows]
-        every, n = np.unique(np.concatenate(triggers), return_counts=True)
-        shared = every[n > 1]
-        keys = np.concatenate([np.frombuffer(r[3], "<u8").reshape(-1, 2) for r in rows])
-        ids = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
-        ends = np.cumsum([len(r[4]) // 8 for r in rows])
-        least = ids.copy()
-        if len(ids):
-            order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
-            fresh = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(1)]
-            least[order] = ids[order][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        out = []
-        for r, own, hi, size in zip(rows, triggers, ends, [len(r[4]) // 8 for r in rows]):
-            told = np.flatnonzero(least[hi - size : hi] < ids[hi - size : hi]) + hi - size
-            found = own[np.isin(own, shared, assume_unique=True)]
-            if len(found) or len(told):
-                out.append((r[1], _six(found), keys[told].tobytes(), least[told].tobytes()))
-        c, t, p, f = zip(*out) if out else ((),) * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()), pa.array(t, pa.binary()), pa.array(p, pa.binary()), pa.array(f, pa.binary())],
-            ["chunk", "triggers", "phrases", "firsts"],
-        )
+def _by_bucket(work):
+    """Reads rows sorted by bucket and hands on those of one bucket at a time."""
 
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and held[0][0] != row[0]:
-                yield work(held)
-                held = []
-            held.append(row)
-    if held:
-        yield work(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and held[0][0] != row[0]:
+                    yield work(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield work(held)
+
+    return run
 
 
-# second exchange: the dictionary of fine phrases that may hold a repeat
+_COARSE_REPLIES = "chunk bigint, phrases binary, firsts binary"
 
 
-def _candidates(docs: list[_Doc], replies: list, s: Settings):
-    """For each document: its repeated coarse phrases as (start, stop), and its fine phrases in question as (start, stop, trigger).
+def _coarse_replies(rows: list[tuple]) -> pa.RecordBatch:
+    """To each chunk those of its phrases that a smaller document elsewhere holds, and that document."""
+    sizes = [len(r[3]) // 8 for r in rows]
+    keys = np.concatenate([np.frombuffer(r[2], "<u8").reshape(-1, 2) for r in rows])
+    ids = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+    order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
+    fresh = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(1)]
+    least = np.empty(len(ids), np.int64)
+    least[order] = ids[order][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    out, hi = [], 0
+    for r, size in zip(rows, sizes):
+        told = np.flatnonzero(least[hi : hi + size] < ids[hi : hi + size]) + hi
+        hi += size
+        if len(told):
+            out.append((r[1], keys[told].tobytes(), least[told].tobytes()))
+    c, p, f = zip(*out) if out else ((),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), _binary(p), _binary(f)], ["chunk", "phrases", "firsts"])
 
-    A trigger is in question if another chunk has it or two documents of this
-    one do. Fine phrases lose what coarse ones have settled.
-    """
-    shared = np.concatenate([_from_six(r["triggers"]) for r in replies] or [np.zeros(0, np.uint64)])
-    keys = b"".join(r["phrases"] for r in replies)
-    firsts = np.frombuffer(b"".join(r["firsts"] for r in replies), np.int64).tolist()
+
+@dataclass
+class _Open:
+    """A document after the first exchange: its settled starts as (start, stop), and which fine phrases have open starts."""
+
+    doc: _Doc
+    whole: list[tuple[int, int]]
+    stops: np.ndarray
+    open: np.ndarray
+
+
+def _opened(docs: list[_Doc], coarse: list, s: Settings) -> list[_Open]:
+    keys = b"".join(r["phrases"] for r in coarse)
+    firsts = np.frombuffer(b"".join(r["firsts"] for r in coarse), np.int64).tolist()
     first = {keys[16 * i : 16 * i + 16]: d for i, d in enumerate(firsts)}
     own: dict[bytes, int] = {}
-    coarse = {}
+    named = {}
     for d in sorted(docs, key=lambda d: d.doc_id):
-        coarse[d.row] = _coarse_keys(d.text, d.parse, s)
-        for k in coarse[d.row]:
+        named[d.row] = _coarse_keys(d.text, d.parse, s)
+        for k in named[d.row]:
             own.setdefault(k, d.doc_id)
-    seen = [np.unique(d.parse.triggers) for d in docs]
-    every, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-    live = every[(n > 1) | np.isin(_short(every), shared)]
+    out = []
     for d in docs:
         p = d.parse
-        bad = np.array([first.get(k, own[k]) < d.doc_id for k in coarse[d.row]], bool)
+        bad = np.array([first.get(k, own[k]) < d.doc_id for k in named[d.row]], bool)
         ends = np.r_[p.coarse[1:], p.stop]
-        whole = list(zip(p.coarse[bad].tolist(), ends[bad].tolist()))
         settled = np.zeros(p.stop + 1, np.int32)
         np.add.at(settled, p.coarse[bad], 1)
         np.add.at(settled, ends[bad], -1)
-        open_ = np.r_[0, np.cumsum(np.cumsum(settled[:-1]) == 0)]
+        free = np.r_[0, np.cumsum(np.cumsum(settled[:-1]) == 0)]
         stops = np.r_[p.fine[1:], p.stop]
-        ask = np.isin(p.triggers, live) & (open_[stops] > open_[p.fine])
-        yield d, whole, list(zip(p.fine[ask].tolist(), stops[ask].tolist(), p.triggers[ask].tolist()))
+        out.append(_Open(d, list(zip(p.coarse[bad].tolist(), ends[bad].tolist())), stops, free[stops] > free[p.fine]))
+    return out
+
+
+# second exchange: which triggers of open phrases another chunk has
+
+
+def _short(triggers: np.ndarray) -> np.ndarray:
+    """48 bits of a trigger; the bucket holds others. Equal triggers stay equal, a false match only costs work."""
+    return triggers >> np.uint64(16)
+
+
+def _six(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+_FINE = "bucket int, chunk bigint, triggers binary"
+
+
+def _fine_entries(s: Settings, buckets: int):
+    """Per chunk and bucket: the distinct triggers of open phrases."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for chunk, blob, coarse in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            found = [o.doc.parse.triggers[o.open] for o in _opened(_docs(blob, s)[1], coarse, s)]
+            if found:
+                triggers = np.unique(np.concatenate(found))
+                rows += [(b, chunk, _six(_short(triggers[own]))) for b, own in _dealt(triggers, buckets)]
+        b, c, t = zip(*rows) if rows else ((),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), _binary(t)], ["bucket", "chunk", "triggers"])
+
+    return per_batch(run)
+
+
+_FINE_REPLIES = "chunk bigint, triggers binary"
+
+
+def _fine_replies(rows: list[tuple]) -> pa.RecordBatch:
+    """To each chunk those of its triggers that another chunk has as well."""
+    triggers = [_from_six(r[2]) for r in rows]
+    every, n = np.unique(np.concatenate(triggers), return_counts=True)
+    shared = every[n > 1]
+    out = [(r[1], _six(found)) for r, own in zip(rows, triggers) if len(found := own[np.isin(own, shared)])]
+    c, t = zip(*out) if out else ((),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), _binary(t)], ["chunk", "triggers"])
+
+
+# third exchange: the dictionary of fine phrases that may hold a repeat
+
+
+def _asked(docs: list[_Doc], coarse: list, fine: list, s: Settings) -> Iterator[tuple[_Open, list[tuple[int, int, int]]]]:
+    """For each document its fine phrases in question as (start, stop, trigger): open ones with a trigger
+    that another chunk has, or that open phrases of two documents of this chunk have."""
+    opened = _opened(docs, coarse, s)
+    if not opened:
+        return
+    shared = np.concatenate([_from_six(r["triggers"]) for r in fine] or [np.zeros(0, np.uint64)])
+    found = [o.doc.parse.triggers[o.open] for o in opened]
+    every, n = np.unique(np.concatenate([np.unique(t) for t in found]), return_counts=True)
+    live = every[(n > 1) | np.isin(_short(every), shared)]
+    hit = np.isin(np.concatenate(found), live)
+    at = 0
+    for o, t in zip(opened, found):
+        mine = np.flatnonzero(o.open)[hit[at : at + len(t)]]
+        at += len(t)
+        p = o.doc.parse
+        yield o, list(zip(p.fine[mine].tolist(), o.stops[mine].tolist(), p.triggers[mine].tolist()))
 
 
 _PHRASES = "chunk bigint, trigger bigint, name bigint, first bigint, phrase binary"
@@ -333,10 +393,10 @@ def _phrases(s: Settings):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for chunk, blob, replies in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            _, docs = _docs(blob, s)
+        for chunk, blob, coarse, fine in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             found: dict[tuple[int, int], list] = {}
-            for d, _, asked in _candidates(docs, replies or [], s):
+            for o, asked in _asked(_docs(blob, s)[1], coarse, fine, s):
+                d = o.doc
                 for a, b, trigger in asked:
                     phrase = d.text[a : b + s.match - 1]
                     key = (trigger, xxhash.xxh3_64_intdigest(phrase))
@@ -436,28 +496,27 @@ def _answers(s: Settings, rows_at_once: int = 1 << 16):
 # outcome
 
 
-def removed_starts(docs: list[_Doc], replies: list, answers: list, s: Settings) -> Iterator[tuple[_Doc, np.ndarray]]:
+def removed_starts(docs: list[_Doc], coarse: list, fine: list, answers: list, s: Settings) -> Iterator[tuple[_Doc, np.ndarray]]:
     """For each document of a chunk whether the string from each start also starts in a smaller document."""
     masks = {(a["trigger"] & (2**64 - 1), a["name"] & (2**64 - 1)): a["mask"] for a in answers}
-    asked_of = list(_candidates(docs, replies, s))
     # which document of the chunk has a phrase first: all later ones repeat it
     first: dict[tuple[int, int], int] = {}
     named = []
-    for d, whole, asked in asked_of:
-        names = [(t, xxhash.xxh3_64_intdigest(d.text[a : b + s.match - 1])) for a, b, t in asked]
-        named.append(names)
+    for o, asked in _asked(docs, coarse, fine, s):
+        names = [(t, xxhash.xxh3_64_intdigest(o.doc.text[a : b + s.match - 1])) for a, b, t in asked]
+        named.append((o, asked, names))
         for key in names:
-            first[key] = min(d.doc_id, first.get(key, d.doc_id))
-    for (d, whole, asked), names in zip(asked_of, named):
-        gone = np.zeros(d.parse.stop, bool)
-        for a, b in whole:
+            first[key] = min(o.doc.doc_id, first.get(key, o.doc.doc_id))
+    for o, asked, names in named:
+        gone = np.zeros(o.doc.parse.stop, bool)
+        for a, b in o.whole:
             gone[a:b] = True
         for (a, b, _), key in zip(asked, names):
-            if first[key] < d.doc_id:
+            if first[key] < o.doc.doc_id:
                 gone[a:b] = True
             elif mask := masks.get(key):
                 gone[a:b] |= (mask >> np.arange(b - a)) & 1 == 1
-        yield d, gone
+        yield o.doc, gone
 
 
 def spans_of(gone: np.ndarray, n: int, match: int) -> tuple[np.ndarray, np.ndarray]:
@@ -519,31 +578,33 @@ def repeated_spans(docs: DataFrame, finish, schema: str, settings: Settings = Se
     total = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // s.bucket_bytes))
-    entries = chunks.select("chunk", "docs").mapInArrow(_entries(s, buckets), _ENTRIES)
-    replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_replies, _REPLIES)
-    asked_path, answered_path = scratch_dir(spark, "replies"), scratch_dir(spark, "answers")
-    replies.write.parquet(asked_path)
-    replies = spark.read.parquet(asked_path)
-    bundle = _bundle(chunks.select("chunk", "docs"), replies, "replies")
-    phrases = bundle.select("chunk", "docs", "replies").mapInArrow(_phrases(s), _PHRASES)
-    dealt = phrases.repartition(parts, "trigger").sortWithinPartitions("trigger")
-    dealt.mapInArrow(_answers(s), _ANSWERS).write.parquet(answered_path)
-    bundle = _bundle(bundle, spark.read.parquet(answered_path), "answers")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for blob, replied, answered in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            rows, parsed = _docs(blob, s)
-            none = np.zeros(0, np.int64)
-            spans = [(none, none)] * rows.num_rows
-            for d, gone in removed_starts(parsed, replied, answered, s):
-                spans[d.row] = spans_of(gone, len(d.text), s.match)
-            yield finish(rows, spans)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from run(batch)
+    def exchanged(entries: DataFrame, work, schema: str, name: str) -> DataFrame:
+        path = scratch_dir(spark, name)
+        dealt = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+        dealt.mapInArrow(_by_bucket(work), schema).write.parquet(path)
+        return spark.read.parquet(path)
+
+    bundle = chunks.select("chunk", "docs")
+    coarse = exchanged(bundle.mapInArrow(_coarse_entries(s, buckets), _COARSE), _coarse_replies, _COARSE_REPLIES, "coarse")
+    bundle = _bundle(bundle, coarse, "coarse")
+    fine = exchanged(bundle.mapInArrow(_fine_entries(s, buckets), _FINE), _fine_replies, _FINE_REPLIES, "fine")
+    bundle = _bundle(bundle, fine, "fine")
+    phrases = bundle.mapInArrow(_phrases(s), _PHRASES).repartition(parts, "trigger").sortWithinPartitions("trigger")
+    path = scratch_dir(spark, "answers")
+    phrases.mapInArrow(_answers(s), _ANSWERS).write.parquet(path)
+    bundle = _bundle(bundle, spark.read.parquet(path), "answers")
 
-    return bundle.select("docs", "replies", "answers").mapInArrow(each, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            for blob, coarse, fine, answers in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                rows, parsed = _docs(blob, s)
+                spans = [(none, none)] * rows.num_rows
+                for d, gone in removed_starts(parsed, coarse, fine, answers, s):
+                    spans[d.row] = spans_of(gone, len(d.text), s.match)
+                yield finish(rows, spans)
+
+    return bundle.select("docs", "coarse", "fine", "answers").mapInArrow(run, schema)
 
 
 def _digests(rows: pa.RecordBatch, spans: list) -> pa.RecordBatch:
