@@ -34,7 +34,7 @@ from figcorpus.llm.common import per_batch, query, table
 from figcorpus.session import scratch_dir
 
 #: Positions of a text parsed at once.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 14
 #: Positions of a fine phrase at most, so that a word has a bit for each.
 MASK_BITS = 63
 _BASE = 0x9E3779B97F4A7C15
@@ -92,44 +92,56 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Parse:
-    """Of one document: starts of its fine phrases with their triggers, and of its coarse phrases; both end at ``stop``.
+    """Phrases of the documents of a chunk, laid end to end: starts, stops and documents of fine and coarse ones.
 
-    A phrase covers the match starts from its own start to the next one's.
+    A phrase covers the match starts from its own start to its stop, and its
+    text goes on for the match length less one.
     """
 
     fine: np.ndarray
+    fine_stop: np.ndarray
     triggers: np.ndarray
     coarse: np.ndarray
-    stop: int
-
-
-def parse(x: np.ndarray, s: Settings, fine_too: bool = True) -> Parse:
-    stop = max(0, len(x) - s.match + 1)
-    fine, triggers, coarse = [], [], [np.zeros(min(1, stop), np.int64)]
-    for at in range(0, stop, SEGMENT):
-        upto = min(stop, at + SEGMENT)
+    coarse_stop: np.ndarray
+    coarse_doc: np.ndarray
+
+
+def parse(x: np.ndarray, bounds: np.ndarray, s: Settings, fine_too: bool = True) -> Parse:
+    """Parse documents of at least ``match`` bytes each; document i is ``x[bounds[i] : bounds[i + 1]]``."""
+    stops = bounds[1:] - s.match + 1
+    fine, triggers, coarse = [], [], [bounds[:-1]]
+    total = int(stops[-1]) if len(stops) else 0
+    # starts whose string would run into the next document
+    torn = np.zeros(total + 1, np.int32)
+    torn[stops[:-1]] += 1
+    torn[bounds[1:-1]] -= 1
+    torn = np.cumsum(torn[:-1]) > 0
+    # a segment's first start always opens a phrase, which at most adds an entry
+    for at in range(0, total, SEGMENT):
+        upto = min(total, at + SEGMENT)
         h = rolling(x[at : upto + s.match - 1], s.window)
-        cuts = np.flatnonzero(h[: upto - at] % np.uint64(s.every) == 0) + at
-        coarse.append(cuts[cuts > 0])
+        ok = ~torn[at:upto]
+        cuts = np.flatnonzero((h[: upto - at] % np.uint64(s.every) == 0) & ok) + at
+        coarse.append(cuts)
         if not fine_too:
             continue
         low = sliding_min(h, s.match - s.window + 1)
-        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        sizes = np.diff(np.r_[starts, len(low)])
-        if sizes.max() > MASK_BITS:
-            more = -(-sizes // MASK_BITS)
-            nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-            starts = np.repeat(starts, more) + nth * MASK_BITS
+        fresh = np.r_[True, (low[1:] != low[:-1]) | ~ok[:-1]]
+        starts = np.flatnonzero(fresh & ok)
         fine.append(starts + at)
         triggers.append(low[starts])
     none = np.zeros(0, np.int64)
-    return Parse(np.concatenate([none, *fine]), np.concatenate([none.astype(np.uint64), *triggers]), np.concatenate(coarse), stop)
-
-
-def _coarse_keys(text: memoryview, p: Parse, s: Settings) -> list[bytes]:
-    ends = np.r_[p.coarse[1:], p.stop].tolist()
-    digest = xxhash.xxh3_128_digest
-    return [digest(text[a : b + s.match - 1]) for a, b in zip(p.coarse.tolist(), ends)]
+    coarse = np.unique(np.concatenate(coarse))
+    coarse_doc = np.searchsorted(bounds, coarse, "right") - 1
+    coarse_stop = np.minimum(np.r_[coarse[1:], total], stops[coarse_doc]) if len(coarse) else none
+    fine, triggers = np.concatenate([none, *fine]), np.concatenate([none.astype(np.uint64), *triggers])
+    fine_stop = np.minimum(np.r_[fine[1:], total], stops[np.searchsorted(bounds, fine, "right") - 1]) if len(fine) else none
+    if len(fine) and (fine_stop - fine).max() > MASK_BITS:
+        more = -(-(fine_stop - fine) // MASK_BITS)
+        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        fine, fine_stop, triggers = np.repeat(fine, more) + nth * MASK_BITS, np.repeat(fine_stop, more), np.repeat(triggers, more)
+        fine_stop = np.minimum(fine_stop, fine + MASK_BITS)
+    return Parse(fine, fine_stop, triggers, coarse, coarse_stop, coarse_doc)
 
 
 # chunks: documents that travel together
@@ -183,22 +195,33 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 @dataclass
-class _Doc:
-    row: int
-    doc_id: int
-    text: memoryview
+class _Chunk:
+    """A chunk's rows, and its parsed documents end to end: those with a doc_id and room for a match."""
+
+    rows: pa.RecordBatch
+    at: list[int]
+    ids: np.ndarray
+    bounds: np.ndarray
+    text: bytes
     parse: Parse
 
+    def coarse_names(self, s: Settings) -> list[bytes]:
+        text, digest, more = memoryview(self.text), xxhash.xxh3_128_digest, s.match - 1
+        return [digest(text[a : b + more]) for a, b in zip(self.parse.coarse.tolist(), self.parse.coarse_stop.tolist())]
 
-def _docs(blob: bytes, s: Settings, fine_too: bool = True) -> tuple[pa.RecordBatch, list[_Doc]]:
-    """The chunk's rows, and the parsed ones among them: those with a doc_id and room for a match."""
-    batch = _unpacked(blob)
-    ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-    out = []
-    for i, (d, t) in enumerate(zip(ids, batch.column(batch.schema.get_field_index("text")).to_pylist())):
-        if d is not None and t is not None and len(t) >= s.match:
-            out.append(_Doc(i, d, memoryview(t), parse(np.frombuffer(t, np.uint8), s, fine_too)))
-    return batch, out
+    def phrase(self, start: int, stop: int, s: Settings) -> memoryview:
+        return memoryview(self.text)[start : stop + s.match - 1]
+
+
+def _read(blob: bytes, s: Settings, fine_too: bool = True) -> _Chunk:
+    rows = _unpacked(blob)
+    ids = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
+    texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+    at = [i for i, (d, t) in enumerate(zip(ids, texts)) if d is not None and t is not None and len(t) >= s.match]
+    text = b"".join(texts[i] for i in at)
+    bounds = np.cumsum([0, *(len(texts[i]) for i in at)])
+    found = parse(np.frombuffer(text, np.uint8), bounds, s, fine_too)
+    return _Chunk(rows, at, np.array([ids[i] for i in at], np.int64), bounds, text, found)
 
 
 # first exchange: which document first holds a coarse phrase
@@ -217,6 +240,15 @@ def _binary(values) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def _own_firsts(c: _Chunk, names: list[bytes]) -> dict[bytes, int]:
+    """The smallest doc_id of the chunk for each coarse phrase."""
+    ids = c.ids[c.parse.coarse_doc]
+    firsts: dict[bytes, int] = {}
+    for i in np.argsort(ids, kind="stable").tolist():
+        firsts.setdefault(names[i], int(ids[i]))
+    return firsts
+
+
 _COARSE = "bucket int, chunk bigint, phrases binary, firsts binary"
 
 
@@ -225,15 +257,11 @@ def _coarse_entries(s: Settings, buckets: int):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, docs = _docs(blob, s, fine_too=False)
-            firsts: dict[bytes, int] = {}
-            for d in sorted(docs, key=lambda d: d.doc_id):
-                for k in _coarse_keys(d.text, d.parse, s):
-                    firsts.setdefault(k, d.doc_id)
+        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            firsts = _own_firsts(c := _read(blob, s, fine_too=False), c.coarse_names(s))
             keys = np.frombuffer(b"".join(firsts), "<u8").reshape(-1, 2)
             ids = np.array(list(firsts.values()), np.int64)
-            rows += [(b, chunk, keys[own].tobytes(), ids[own].tobytes()) for b, own in _dealt(keys[:, 0], buckets)]
+            rows += [(b, number, keys[own].tobytes(), ids[own].tobytes()) for b, own in _dealt(keys[:, 0], buckets)]
         b, c, p, f = zip(*rows) if rows else ((),) * 4
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), _binary(p), _binary(f)], ["bucket", "chunk", "phrases", "firsts"])
 
@@ -279,38 +307,21 @@ def _coarse_replies(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), _binary(p), _binary(f)], ["chunk", "phrases", "firsts"])
 
 
-@dataclass
-class _Open:
-    """A document after the first exchange: its settled starts as (start, stop), and which fine phrases have open starts."""
-
-    doc: _Doc
-    whole: list[tuple[int, int]]
-    stops: np.ndarray
-    open: np.ndarray
-
-
-def _opened(docs: list[_Doc], coarse: list, s: Settings) -> list[_Open]:
-    keys = b"".join(r["phrases"] for r in coarse)
-    firsts = np.frombuffer(b"".join(r["firsts"] for r in coarse), np.int64).tolist()
-    first = {keys[16 * i : 16 * i + 16]: d for i, d in enumerate(firsts)}
-    own: dict[bytes, int] = {}
-    named = {}
-    for d in sorted(docs, key=lambda d: d.doc_id):
-        named[d.row] = _coarse_keys(d.text, d.parse, s)
-        for k in named[d.row]:
-            own.setdefault(k, d.doc_id)
-    out = []
-    for d in docs:
-        p = d.parse
-        bad = np.array([first.get(k, own[k]) < d.doc_id for k in named[d.row]], bool)
-        ends = np.r_[p.coarse[1:], p.stop]
-        settled = np.zeros(p.stop + 1, np.int32)
-        np.add.at(settled, p.coarse[bad], 1)
-        np.add.at(settled, ends[bad], -1)
-        free = np.r_[0, np.cumsum(np.cumsum(settled[:-1]) == 0)]
-        stops = np.r_[p.fine[1:], p.stop]
-        out.append(_Open(d, list(zip(p.coarse[bad].tolist(), ends[bad].tolist())), stops, free[stops] > free[p.fine]))
-    return out
+def _opened(c: _Chunk, coarse: list, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Which match starts the first exchange has settled as repeats, and which fine phrases have others."""
+    names = c.coarse_names(s)
+    first = _own_firsts(c, names)
+    for r in coarse:
+        keys = r["phrases"]
+        first.update((keys[16 * i : 16 * i + 16], d) for i, d in enumerate(np.frombuffer(r["firsts"], np.int64).tolist()))
+    p = c.parse
+    bad = np.fromiter(map(first.__getitem__, names), np.int64, len(names)) < c.ids[p.coarse_doc]
+    edge = np.zeros(len(c.text) + 1, np.int8)
+    edge[p.coarse[bad]] += 1
+    np.subtract.at(edge, p.coarse_stop[bad], 1)
+    settled = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    free = np.r_[0, np.cumsum(~settled, dtype=np.int32)]
+    return settled, free[p.fine_stop] > free[p.fine]
 
 
 # second exchange: which triggers of open phrases another chunk has
@@ -339,11 +350,10 @@ def _fine_entries(s: Settings, buckets: int):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for chunk, blob, coarse in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            found = [o.doc.parse.triggers[o.open] for o in _opened(_docs(blob, s)[1], coarse, s)]
-            if found:
-                triggers = np.unique(np.concatenate(found))
-                rows += [(b, chunk, _six(_short(triggers[own]))) for b, own in _dealt(triggers, buckets)]
+        for number, blob, coarse in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            c = _read(blob, s)
+            triggers = np.unique(c.parse.triggers[_opened(c, coarse, s)[1]])
+            rows += [(b, number, _six(_short(triggers[own]))) for b, own in _dealt(triggers, buckets)]
         b, c, t = zip(*rows) if rows else ((),) * 3
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), _binary(t)], ["bucket", "chunk", "triggers"])
 
@@ -355,34 +365,48 @@ _FINE_REPLIES = "chunk bigint, triggers binary"
 
 def _fine_replies(rows: list[tuple]) -> pa.RecordBatch:
     """To each chunk those of its triggers that another chunk has as well."""
-    triggers = [_from_six(r[2]) for r in rows]
-    every, n = np.unique(np.concatenate(triggers), return_counts=True)
-    shared = every[n > 1]
-    out = [(r[1], _six(found)) for r, own in zip(rows, triggers) if len(found := own[np.isin(own, shared)])]
+    sizes = [len(r[2]) // 6 for r in rows]
+    triggers = _from_six(b"".join(r[2] for r in rows))
+    ordered = np.sort(triggers, kind="stable")  # each chunk's are sorted already
+    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    hit = _among(triggers, shared)
+    out, hi = [], 0
+    for r, size in zip(rows, sizes):
+        found = triggers[hi : hi + size][hit[hi : hi + size]]
+        hi += size
+        if len(found):
+            out.append((r[1], _six(found)))
     c, t = zip(*out) if out else ((),) * 2
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), _binary(t)], ["chunk", "triggers"])
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 # third exchange: the dictionary of fine phrases that may hold a repeat
 
 
-def _asked(docs: list[_Doc], coarse: list, fine: list, s: Settings) -> Iterator[tuple[_Open, list[tuple[int, int, int]]]]:
-    """For each document its fine phrases in question as (start, stop, trigger): open ones with a trigger
-    that another chunk has, or that open phrases of two documents of this chunk have."""
-    opened = _opened(docs, coarse, s)
-    if not opened:
-        return
-    shared = np.concatenate([_from_six(r["triggers"]) for r in fine] or [np.zeros(0, np.uint64)])
-    found = [o.doc.parse.triggers[o.open] for o in opened]
-    every, n = np.unique(np.concatenate([np.unique(t) for t in found]), return_counts=True)
-    live = every[(n > 1) | np.isin(_short(every), shared)]
-    hit = np.isin(np.concatenate(found), live)
-    at = 0
-    for o, t in zip(opened, found):
-        mine = np.flatnonzero(o.open)[hit[at : at + len(t)]]
-        at += len(t)
-        p = o.doc.parse
-        yield o, list(zip(p.fine[mine].tolist(), o.stops[mine].tolist(), p.triggers[mine].tolist()))
+def _asked(c: _Chunk, coarse: list, fine: list, s: Settings) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The settled starts, and the fine phrases in question as (start, stop, trigger, doc_id).
+
+    Those are open ones whose trigger another chunk has, or open phrases of
+    two documents of this chunk.
+    """
+    settled, open_ = _opened(c, coarse, s)
+    p = c.parse
+    at = np.flatnonzero(open_)
+    triggers, doc = p.triggers[at], np.searchsorted(c.bounds, p.fine[at], "right") - 1
+    shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_from_six(r["triggers"]) for r in fine]]))
+    order = np.lexsort((doc, triggers))
+    t, d = triggers[order], doc[order]
+    several = np.unique(t[1:][(t[1:] == t[:-1]) & (d[1:] != d[:-1])])
+    mine = at[_among(triggers, several) | _among(_short(triggers), shared)]
+    ids = c.ids[np.searchsorted(c.bounds, p.fine[mine], "right") - 1]
+    return settled, list(zip(p.fine[mine].tolist(), p.fine_stop[mine].tolist(), p.triggers[mine].tolist(), ids.tolist()))
 
 
 _PHRASES = "chunk bigint, trigger bigint, name bigint, first bigint, phrase binary"
@@ -393,19 +417,18 @@ def _phrases(s: Settings):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for chunk, blob, coarse, fine in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        for number, blob, coarse, fine in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            c = _read(blob, s)
             found: dict[tuple[int, int], list] = {}
-            for o, asked in _asked(_docs(blob, s)[1], coarse, fine, s):
-                d = o.doc
-                for a, b, trigger in asked:
-                    phrase = d.text[a : b + s.match - 1]
-                    key = (trigger, xxhash.xxh3_64_intdigest(phrase))
-                    old = found.get(key)
-                    if old is None:
-                        found[key] = [d.doc_id, phrase]
-                    elif d.doc_id < old[0]:
-                        old[0] = d.doc_id
-            rows += [(chunk, t, k, d, bytes(x)) for (t, k), (d, x) in found.items()]
+            for a, b, trigger, doc in _asked(c, coarse, fine, s)[1]:
+                phrase = c.phrase(a, b, s)
+                key = (trigger, xxhash.xxh3_64_intdigest(phrase))
+                old = found.get(key)
+                if old is None:
+                    found[key] = [doc, phrase]
+                elif doc < old[0]:
+                    old[0] = doc
+            rows += [(number, t, k, d, bytes(x)) for (t, k), (d, x) in found.items()]
         c, t, k, d, x = zip(*rows) if rows else ((),) * 5
         return pa.RecordBatch.from_arrays(
             [
@@ -496,27 +519,22 @@ def _answers(s: Settings, rows_at_once: int = 1 << 16):
 # outcome
 
 
-def removed_starts(docs: list[_Doc], coarse: list, fine: list, answers: list, s: Settings) -> Iterator[tuple[_Doc, np.ndarray]]:
-    """For each document of a chunk whether the string from each start also starts in a smaller document."""
+def removed_starts(c: _Chunk, coarse: list, fine: list, answers: list, s: Settings) -> np.ndarray:
+    """For each match start of a chunk whether its string also starts in a smaller document."""
     masks = {(a["trigger"] & (2**64 - 1), a["name"] & (2**64 - 1)): a["mask"] for a in answers}
+    gone, asked = _asked(c, coarse, fine, s)
+    names = [(t, xxhash.xxh3_64_intdigest(c.phrase(a, b, s))) for a, b, t, _ in asked]
     # which document of the chunk has a phrase first: all later ones repeat it
     first: dict[tuple[int, int], int] = {}
-    named = []
-    for o, asked in _asked(docs, coarse, fine, s):
-        names = [(t, xxhash.xxh3_64_intdigest(o.doc.text[a : b + s.match - 1])) for a, b, t in asked]
-        named.append((o, asked, names))
-        for key in names:
-            first[key] = min(o.doc.doc_id, first.get(key, o.doc.doc_id))
-    for o, asked, names in named:
-        gone = np.zeros(o.doc.parse.stop, bool)
-        for a, b in o.whole:
+    for key, (_, _, _, doc) in zip(names, asked):
+        if doc < first.get(key, 1 << 63):
+            first[key] = doc
+    for key, (a, b, _, doc) in zip(names, asked):
+        if first[key] < doc:
             gone[a:b] = True
-        for (a, b, _), key in zip(asked, names):
-            if first[key] < o.doc.doc_id:
-                gone[a:b] = True
-            elif mask := masks.get(key):
-                gone[a:b] |= (mask >> np.arange(b - a)) & 1 == 1
-        yield o.doc, gone
+        elif mask := masks.get(key):
+            gone[a:b] |= (mask >> np.arange(b - a)) & 1 == 1
+    return gone
 
 
 def spans_of(gone: np.ndarray, n: int, match: int) -> tuple[np.ndarray, np.ndarray]:
@@ -598,11 +616,14 @@ def repeated_spans(docs: DataFrame, finish, schema: str, settings: Settings = Se
         none = np.zeros(0, np.int64)
         for batch in batches:
             for blob, coarse, fine, answers in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                rows, parsed = _docs(blob, s)
-                spans = [(none, none)] * rows.num_rows
-                for d, gone in removed_starts(parsed, coarse, fine, answers, s):
-                    spans[d.row] = spans_of(gone, len(d.text), s.match)
-                yield finish(rows, spans)
+                c = _read(blob, s)
+                spans = [(none, none)] * c.rows.num_rows
+                if c.at:
+                    gone = removed_starts(c, coarse, fine, answers, s)
+                    for k in np.flatnonzero(np.logical_or.reduceat(gone, c.bounds[:-1])).tolist():
+                        lo, hi = c.bounds[k : k + 2]
+                        spans[c.at[k]] = spans_of(gone[lo:hi], int(hi - lo), s.match)
+                yield finish(c.rows, spans)
 
     return bundle.select("docs", "coarse", "fine", "answers").mapInArrow(run, schema)
 
