@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,6 +16,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from figcorpus.llm.common import query, table, texts
 from figcorpus.session import scratch_dir
@@ -35,13 +35,12 @@ class Settings:
     k1: float = 1.2
     b: float = 0.75
     seed: int = 13
-    words_held: int = 500_000
 
 
 # token ids
 
-#: Where a space touches other white space, the pieces between spaces are not independent.
-_MIXED = re.compile(r" \s|\s | \Z|\A ")
+#: Runs without white space from which on the other implementation is faster.
+_LONG_RUN = re.compile(r"\S{5000}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,50 +50,38 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Bytes of the ids of a space and a word; holds a bounded number, of which frequent words make up the most."""
-
-    def __init__(self, encode, code: str, held: int) -> None:
-        self.encode, self.code, self.held = encode, code, held
-
-    def __missing__(self, word: str) -> bytes:
-        out = array(self.code, self.encode(" " + word)).tobytes()
-        if len(self) < self.held:
-            self[word] = out
-        return out
-
-
 class Encoder:
     """Ids of the byte-level vocabulary in a tokenizers file, without special tokens; their strings are ordinary text.
 
     The file's merges are in the order of their ids, so tiktoken gives the same
-    ids from its vocabulary, and faster. Words between single spaces do not
-    touch each other's ids, so those seen before are looked up. A text comes
-    back as the little-endian bytes of its ids, ``width`` bytes each.
+    ids from its vocabulary, and several times faster; texts with very long
+    unbroken runs, where its time grows with their square, go to tokenizers. A
+    text comes back as the little-endian bytes of its ids, ``kind`` each.
     """
 
-    def __init__(self, path: str, words_held: int) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.size = 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]])
-        self.code, self.width = ("H", 2) if self.size <= 1 << 16 else ("I", 4)
+        self.kind, self.width = ("<u2", 2) if self.size <= 1 << 16 else ("<u4", 4)
         self._encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._words = _Words(self._encode, self.code, words_held)
+        self._slow = Tokenizer.from_file(path)
+        self._slow.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
-        if len(text) < 2 or _MIXED.search(text):
-            return array(self.code, self._encode(text)).tobytes()
-        words = text.split(" ")
-        first = array(self.code, self._encode(words[0])).tobytes()
-        return first + b"".join(map(self._words.__getitem__, words[1:]))
+        if len(text) >= 5000 and _LONG_RUN.search(text):
+            ids = self._slow.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self._encode(text)
+        return np.array(ids, self.kind).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str, words_held: int) -> Encoder:
-    return Encoder(public_tokenizers.path(vocabulary), words_held)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(public_tokenizers.path(vocabulary))
 
 
 _TOKENS = "row bigint, doc_id bigint, n bigint, ids binary"
@@ -105,8 +92,8 @@ def tokenize(docs: DataFrame, s: Settings) -> DataFrame:
     path = scratch_dir(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(s.vocabulary, s.words_held)
-        end = array(encode.code, [s.end_id]).tobytes()
+        encode = encoder(s.vocabulary)
+        end = np.array([s.end_id], encode.kind).tobytes()
         serial = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -132,7 +119,7 @@ def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and how often each occurs; numpy sorts 16-bit numbers by radix."""
     ordered = np.sort(ids, kind="stable")
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[starts].astype(np.int64), np.diff(np.r_[starts, len(ids)])
+    return ordered[starts], np.diff(np.r_[starts, len(ids)])
 
 
 def document_counts(tokens: DataFrame, size: int) -> np.ndarray:
@@ -286,7 +273,7 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     sums = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     if not sums.n:
         return spark.createDataFrame([], _PIECES)
-    size = encoder(s.vocabulary, s.words_held).size
+    size = encoder(s.vocabulary).size
     counts = document_counts(tokens, size)
     idf = np.log(1 + (sums.n - counts + 0.5) / (counts + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)  # a number per id of the vocabulary
