@@ -268,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in found.T]], ["toxic", "a", "b", "c"])
 
     seen_rows = rows.select("toxic", "words").mapInArrow(per_batch(measure), "toxic int, a double, b double, c double")
-    x = seen_rows.orderBy("toxic", "a", "b").toPandas().to_numpy(float)  # max_labelled rows of numbers
+    x = seen_rows.toPandas().to_numpy(float)  # max_labelled rows of numbers
+    x = x[np.lexsort(x.T)]  # sums in one order, so reruns agree
     w = _logistic(x[:, 1:], x[:, 0])
     return Model(lexicon, exceptions, tuple(map(float, w[:3])), float(w[3]))
 
