@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figcorpus.llm.common import fold_of, per_batch, query, table, text_buffer
@@ -29,6 +28,7 @@ class Settings:
 
     per_language: int = 1500
     max_rows: int = 12000
+    max_languages: int = 400
     max_chars: int = 1500
     bits: int = 16
     dim: int = 16
@@ -191,19 +191,21 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Learning rows (text, lang): the first of each language by a hash of doc_id, up to the settings' bounds.
+    """Learning rows (text, lang): of each language those whose hash of doc_id is below a bound that keeps about
+    ``per_language`` of them; in all at most ``max_rows``, in the order of the hash.
 
-    The rank is pruned before the shuffle, so a hot language sends only its
-    first rows.
+    Languages are counted first, so only sampled rows move. A table with more
+    than ``max_languages`` values of lang learns the most frequent.
     """
-    order = [F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id"), F.xxhash64("text")]
-    ranked = (
-        docs.where("lang is not null and text is not null")
-        .select("doc_id", "lang", F.substring("text", 1, settings.max_chars).alias("text"))
-        .withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
-        .where(F.col("place") <= settings.per_language)
+    known = docs.where("lang is not null and text is not null").withColumn(
+        "place", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     )
-    return ranked.orderBy("place", "lang").limit(settings.max_rows).select("text", "lang")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)
+    bounds = counts.select("lang", (F.lit(float(settings.per_language)) / F.col("count")).alias("bound"))
+    # limit() above proves the size: a row per language
+    picked = known.join(F.broadcast(bounds), "lang").where("place < bound")
+    cut = picked.select("place", "doc_id", "lang", F.substring("text", 1, settings.max_chars).alias("text"))
+    return cut.orderBy("place", "doc_id", "lang", "text").limit(settings.max_rows).select("text", "lang")
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
