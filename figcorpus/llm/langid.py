@@ -133,7 +133,7 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
         return model
     scores = np.array([logits_of[examples[i][0]].mean(0) + bias for i in held], np.float64)
     truth = np.array([examples[i][1] for i in held])
-    grid = np.geomspace(0.05, 20, 61)
+    grid = np.geomspace(0.2, 20, 61)
     loss = [_log_loss(scores / t, truth) for t in grid]
     return Model(languages, logits_of, model.bias, float(grid[int(np.argmin(loss))]), settings.bits)
 
