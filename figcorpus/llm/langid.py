@@ -24,7 +24,10 @@ _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and rates of the training; the sample is bounded in rows, and in characters of each row."""
+    """Bounds and rates of the training; the sample is bounded in rows, and in characters of each row.
+
+    A small sample is gone through more often, ``min_steps`` batches in all.
+    """
 
     per_language: int = 1500
     max_rows: int = 12000
@@ -33,11 +36,12 @@ class Settings:
     bits: int = 16
     dim: int = 16
     epochs: int = 6
+    min_steps: int = 1200
     batch: int = 32
     rate: float = 20.0
     per_step: int = 256
     calibration: float = 0.2
-    reject_below: float = 0.5
+    reject_below: float = 0.35
     seed: int = 7
 
 
@@ -108,8 +112,10 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
     emb = rng.normal(0, 1 / settings.dim, (1 << settings.bits, settings.dim)).astype(np.float32)
     out = np.zeros((settings.dim, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    steps, done = max(1, settings.epochs * len(learn) // settings.batch), 0
-    for _ in range(settings.epochs):
+    per_epoch = -(-len(learn) // settings.batch)
+    epochs = max(settings.epochs, -(-settings.min_steps // max(1, per_epoch))) if per_epoch else 0
+    steps, done = max(1, epochs * per_epoch), 0
+    for _ in range(epochs):
         for at in range(0, len(learn), settings.batch):
             rate = settings.rate * max(0.02, 1 - done / steps)
             done += 1
