@@ -34,6 +34,8 @@ HEADLINE = [
     "e02_macd",
     "c19_asof_forward",
     "c13_link_records",
+    "a06_context_records",
+    "i02_multi_model_answers",
 ]
 
 

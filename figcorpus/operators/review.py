@@ -59,13 +59,12 @@ def link_records(main: DataFrame, other: DataFrame, fields: dict[str, str], with
 def apply_review(main: DataFrame, edits: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Records with the edits written over them; edits of unknown records are added.
 
-    Edited records carry review_info(reviewer, timestamp, original_index).
+    Of several edits of a record the latest counts; at one time the one with the
+    larger index, then the larger reviewer. Edited records carry review_info(reviewer, timestamp, original_index).
     """
-    e = edits.select(
-        *keys,
-        *[F.col(f).alias(f"_e_{f}") for f in fields],
-        F.struct("reviewer", "timestamp", "original_index").alias("review_info"),
-    )
+    info = F.struct("reviewer", "timestamp", "original_index")
+    written = F.struct(*[F.col(f).alias(f"_e_{f}") for f in fields], info.alias("review_info"))
+    e = edits.groupBy(*keys).agg(F.max_by(written, F.struct("timestamp", "original_index", "reviewer")).alias("_e")).select(*keys, "_e.*")
     joined = main.join(e, keys, "full")
     out = [F.when(F.col("review_info").isNotNull(), F.col(f"_e_{f}")).otherwise(F.col(f)).alias(f) for f in fields]
     kept = [c for c in main.columns if c not in keys and c not in fields]

@@ -7,6 +7,8 @@ each, so rolling windows of a long series run in many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +31,12 @@ def blocked(bars: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def with_history(rows: DataFrame, block: int = BLOCK, history: int = HISTORY) -> DataFrame:
-    """Repeats the last rows of a block in front of the next one, marked by ``warm``."""
+    """Repeats the last rows of a block in front of the next one, marked by ``warm``.
+
+    A window of k rows needs k - 1 of them; give the operators the same ``history``.
+    """
+    if history > block:
+        raise ValueError("the history cannot be longer than a block")
     late = F.pmod(F.col("n") - 1, F.lit(block)) >= block - history
     homes = F.when(late, F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("w")), F.struct((F.col("block") + 1).alias("b"), F.lit(True).alias("w")))).otherwise(
         F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("w")))
@@ -46,7 +53,9 @@ def own_rows(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("warm")).drop("warm")
 
 
-def _frame(k: int):
+def _frame(k: int, history: int = HISTORY):
+    if k - 1 > history:
+        raise ValueError(f"a window of {k} rows needs a history of {k - 1}, not {history}")
     return W.partitionBy("symbol", "block").orderBy("n").rowsBetween(-(k - 1), 0)
 
 
@@ -68,12 +77,12 @@ def moving_averages(rows: DataFrame) -> DataFrame:
     )
 
 
-def rsi(rows: DataFrame, k: int = 14) -> DataFrame:
+def rsi(rows: DataFrame, k: int = 14, history: int = HISTORY) -> DataFrame:
     """Relative strength from plain means of gains and losses; the first change counts as 0."""
     delta = F.coalesce(F.col("close") - F.lag("close").over(_back()), F.lit(0.0))
     with_delta = rows.withColumn("_d", delta)
-    gain = F.avg(F.greatest(F.col("_d"), F.lit(0.0))).over(_frame(k))
-    loss = F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(_frame(k))
+    gain = F.avg(F.greatest(F.col("_d"), F.lit(0.0))).over(_frame(k, history))
+    loss = F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(_frame(k, history))
     value = (
         F.when((F.col("_g") == 0) & (F.col("_l") == 0), F.lit(None).cast("double"))
         .when(F.col("_l") == 0, F.lit(100.0))
@@ -87,8 +96,8 @@ def rsi(rows: DataFrame, k: int = 14) -> DataFrame:
     )
 
 
-def bollinger(rows: DataFrame, k: int = 20, width: float = 2.0) -> DataFrame:
-    mean, std = F.avg("close").over(_frame(k)), F.stddev_samp("close").over(_frame(k))
+def bollinger(rows: DataFrame, k: int = 20, width: float = 2.0, history: int = HISTORY) -> DataFrame:
+    mean, std = F.avg("close").over(_frame(k, history)), F.stddev_samp("close").over(_frame(k, history))
     return rows.select(
         "*",
         _full(mean + width * std, k).alias("upper_band"),
@@ -96,38 +105,55 @@ def bollinger(rows: DataFrame, k: int = 20, width: float = 2.0) -> DataFrame:
     )
 
 
-def raw_stochastic(rows: DataFrame, k: int = 9) -> DataFrame:
+def raw_stochastic(rows: DataFrame, k: int = 9, history: int = HISTORY) -> DataFrame:
     """Place of the close between the lowest low and highest high; NULL when they are equal."""
-    low, high = F.min("low").over(_frame(k)), F.max("high").over(_frame(k))
+    low, high = F.min("low").over(_frame(k, history)), F.max("high").over(_frame(k, history))
     spread = F.nullif(high - low, F.lit(0.0))
     return rows.withColumn("rsv", _full((F.col("close") - low) / spread * 100, k))
 
 
+def _folded(ends: Column, step: float) -> Column:
+    """The last of s_i = step * s_(i-1) + e_i."""
+    return F.aggregate(ends, F.lit(0.0), lambda s, e: s * step + e)
+
+
 def _decayed_sums(rows: DataFrame, sums: dict[str, tuple[Column, float]]) -> DataFrame:
     """Adds s_t = decay * s_(t-1) + v_t for each name -> (v, decay), over the whole series.
 
-    In a block this is a running sum of v / decay^i scaled back by decay^i. What came
-    before enters through the last value of the block in front; everything older has
-    decayed below the precision of a double over one block of rows.
+    In a piece of rows this is a running sum of v / decay^i scaled back by
+    decay^i; pieces are short enough that the powers stay finite. What came
+    before enters through the ends of the pieces in front, one row each, as far
+    back as a double can tell; a decay of 0 keeps the value itself.
     """
-    i = F.pmod(F.col("n") - 1, F.lit(BLOCK)).cast("double")
-    running = W.partitionBy("symbol", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    least = min((d for _, d in sums.values() if d > 0), default=1.0)
+    size = BLOCK if least == 1.0 else max(1, min(BLOCK, int(250 * math.log(10) / -math.log(least))))
+    piece = F.floor((F.col("n") - 1) / size)
+    i = F.pmod(F.col("n") - 1, F.lit(size)).cast("double")
+    live = {name: (v, d) for name, (v, d) in sums.items() if d > 0}
+    rows = rows.withColumns({name: v for name, (v, d) in sums.items() if d <= 0}).withColumn("_piece", piece)
+    running = W.partitionBy("symbol", "_piece").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     local = rows.select(
         "*",
         *[
             (F.sum(v * F.pow(F.lit(d), -i)).over(running) * F.pow(F.lit(d), i)).alias(f"_{name}")
-            for name, (v, d) in sums.items()
+            for name, (v, d) in live.items()
         ],
     )
-    ends = local.groupBy("symbol", (F.col("block") + 1).alias("block")).agg(
-        *[F.max_by(f"_{name}", "n").alias(f"_e_{name}") for name in sums]
-    )
-    joined = local.join(ends, ["symbol", "block"], "left")
-    for name, (_, d) in sums.items():
+    if not live:
+        return local.drop("_piece")
+    ends = local.groupBy("symbol", "_piece").agg(*[F.max_by(f"_{name}", "n").alias(f"_e_{name}") for name in live])
+    carried = []
+    for name, (_, d) in live.items():
+        far = 1 if d >= 1 else math.ceil(18 * math.log(10) / (size * -math.log(d)))
+        before = F.collect_list(f"_e_{name}").over(W.partitionBy("symbol").orderBy("_piece").rowsBetween(-far, 0))
+        carried.append(_folded(before, float(d**size)).alias(f"_e_{name}"))
+    ends = ends.select("symbol", (F.col("_piece") + 1).alias("_piece"), *carried)
+    joined = local.join(ends, ["symbol", "_piece"], "left")
+    for name, (_, d) in live.items():
         joined = joined.withColumn(
             name, F.col(f"_{name}") + F.coalesce(f"_e_{name}", F.lit(0.0)) * F.pow(F.lit(d), i + 1)
         )
-    return joined.drop(*[f"_{n}" for n in sums], *[f"_e_{n}" for n in sums])
+    return joined.drop("_piece", *[f"_{n}" for n in live], *[f"_e_{n}" for n in live])
 
 
 def ema(rows: DataFrame, spans: dict[str, tuple[str, int]]) -> DataFrame:

@@ -91,21 +91,17 @@ def _field(g, m):
 
 @query(
     "d27_wide_answers",
-    f"""WITH {EVAL} SELECT sample_id//40 AS sheet, """
+    f"""WITH {EVAL} SELECT sample_id AS sheet, """
     + ", ".join(
-        f"""any_value(answer ORDER BY sample_id) FILTER (model='{m}' AND {GROUP_SQL}='{g}' AND k=1) AS "{_field(g, m)}\""""
+        f"""max(answer) FILTER (model='{m}' AND {GROUP_SQL}='{g}') AS "{_field(g, m)}\""""
         for g in ("image_background_only", "analysis_information_only", "both_contexts", "no_context")
         for m in MODELS
-    ).replace("any_value(answer ORDER BY sample_id)", "max(answer)")
-    + f""" FROM (SELECT *, row_number() OVER (PARTITION BY sample_id//40, model, {GROUP_SQL} ORDER BY sample_id) k FROM chk) GROUP BY 1""",
+    )
+    + " FROM chk GROUP BY 1",
 )
 def d27(spark, sf):
-    from pyspark.sql import Window as W
-
-    rows = _checked(spark, sf).withColumn("group", F.expr(GROUP_SQL)).withColumn("sheet", F.expr("sample_id div 40"))
-    first = W.partitionBy("sheet", "model", "group").orderBy("sample_id")
-    once = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
-    return ev.wide_answers(once, "sheet", MODELS)
+    rows = _checked(spark, sf).withColumn("group", F.expr(GROUP_SQL)).withColumn("sheet", F.col("sample_id"))
+    return ev.wide_answers(rows, "sheet", MODELS)
 
 
 # The lines of an order vote with a letter made from their part.
@@ -204,7 +200,7 @@ STUB = "CASE WHEN n%13=0 THEN NULL WHEN n%5=0 THEN 'no idea' ELSE ['A','B','C','
 )
 def i01(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return inf.score_batches(docs, stub_model, ["doc_id"], batch=16, workers=8)
+    return inf.score_batches(docs, stub_model, ["doc_id"], batch=16)
 
 
 @query(

@@ -124,7 +124,8 @@ def b30(spark, sf):
 
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    stream = jobs.read_files(spark, sf, schema, f"{name}.parquet")
+    # as a glob the path may be one file or a folder of part files
+    stream = jobs.read_files(spark, f"{sf}/{name}.parque[t]", schema)
     # watermarks need a point in time, the table holds clock times
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 

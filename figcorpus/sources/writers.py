@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
 from figcorpus.operators import screening as sc
+from figcorpus.session import durable
 
 
-def write_partitioned(df: DataFrame, path: str, keys: list[str], fmt: str = "json", mode: str = "overwrite", salts: int = 1) -> None:
-    """One folder per key. ``salts`` lets that many tasks write the folder of a hot key."""
+def write_partitioned(df: DataFrame, path: str, keys: list[str], fmt: str = "json", mode: str = "overwrite", salts: int = 8) -> None:
+    """One folder per key. ``salts`` lets that many tasks write the folder of a hot key.
+
+    With ``overwrite`` only the folders of keys in ``df`` are replaced, so a
+    resumed run keeps what earlier ones wrote.
+    """
     spread = [F.col(k) for k in keys]
     if salts > 1:
         others = [c for c in df.columns if c not in keys]
         spread.append(F.pmod(F.xxhash64(*others), F.lit(salts)))
-    df.repartition(*spread).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    writer = df.repartition(*spread).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*keys).format(fmt).save(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -38,7 +44,11 @@ def write_report(histogram: DataFrame, path: str, title: str) -> None:
 
 
 def write_with_errors(df: DataFrame, failed: Column, good_path: str, error_path: str, fmt: str = "parquet") -> None:
-    """Good rows replace the output, failed rows are added to the error table."""
-    good, bad = sc.quarantine(df, failed)
+    """Good rows replace the output, failed rows are added to the error table.
+
+    The rows are computed once, so a model behind them is asked once and no row
+    can land in both tables.
+    """
+    good, bad = sc.quarantine(durable(df), failed)
     good.write.mode("overwrite").format(fmt).save(good_path)
     bad.write.mode("append").format(fmt).save(error_path)

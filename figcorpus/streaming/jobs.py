@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
+    """Files below a folder, or a single file where ``path`` is a glob, with names that match ``glob``."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)

@@ -112,3 +112,44 @@ def test_checkpoints_go_to_the_named_folder(spark):
     folder = session.checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir().startswith(folder.split(":")[-1][:5]) or folder
     assert session.scratch_dir(spark, "x").startswith(folder.rstrip("/"))
+
+
+def test_resumed_write_keeps_earlier_books(spark, tmp_path):
+    from figcorpus.sources import writers
+
+    def rows(*books):
+        return spark.createDataFrame([(b, i) for b in books for i in range(20)], "book string, i int")
+
+    path = str(tmp_path / "books")
+    writers.write_partitioned(rows("b1", "b2"), path, ["book"])
+    writers.write_partitioned(rows("b3"), path, ["book"])
+    writers.write_partitioned(rows("b2").limit(5), path, ["book"])
+    assert {r.book: r["count"] for r in spark.read.json(path).groupBy("book").count().collect()} == {"b1": 20, "b2": 5, "b3": 20}
+
+
+def test_rows_with_errors_are_computed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from figcorpus.sources import writers
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    df = spark.range(100).mapInPandas(ask, "id bigint")
+    writers.write_with_errors(df, F.col("id") % 10 == 0, str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert calls.value == 100
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 90 and spark.read.parquet(str(tmp_path / "bad")).count() == 10
+
+
+def test_streams_read_files_and_folders(spark, tmp_path):
+    from conftest import SF
+    from figcorpus.plans.catalog import QUERIES
+
+    spark.read.parquet(f"{SF}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("j02_stream_dedupe", "j04_stream_error_rate"):
+        one, many = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
+        assert one == many and one

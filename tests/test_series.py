@@ -136,3 +136,29 @@ def test_patterns(spark):
 def test_random_period(spark):
     rows = se.random_period(spark.range(300).withColumnRenamed("id", "k"), "k", "2026-01-01").select(F.datediff("end_date", "start_date")).collect()
     assert 60 <= min(r[0] for r in rows) and max(r[0] for r in rows) <= 250
+
+
+@pytest.mark.parametrize("span", [1, 3, 60, 250, 3000])
+def test_long_and_short_averages(bars, prices, span):
+    got = se.ema(se.blocked(bars), {"e": ("close", span)}).toPandas().sort_values(["symbol", "n"])
+    for symbol, part in got.groupby("symbol"):
+        want = prices[prices.symbol == symbol].sort_values("trade_date").close.ewm(span=span, adjust=False).mean()
+        assert np.allclose(part.e, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("com", [0.01, 0.2, 300.0])
+def test_weighted_averages_of_any_weight(bars, prices, com):
+    got = se.weighted_ema(se.blocked(bars), "e", "close", com).toPandas().sort_values(["symbol", "n"])
+    for symbol, part in got.groupby("symbol"):
+        want = prices[prices.symbol == symbol].sort_values("trade_date").close.ewm(com=com, ignore_na=False).mean()
+        assert np.allclose(part.e, want, rtol=1e-10)
+
+
+def test_windows_beyond_the_history(bars, prices):
+    with pytest.raises(ValueError):
+        se.bollinger(se.with_history(se.blocked(bars)), 400)
+    rows = se.own_rows(se.bollinger(se.with_history(se.blocked(bars), history=400), 400, history=400)).toPandas()
+    for symbol, part in rows.sort_values(["symbol", "n"]).groupby("symbol"):
+        close = prices[prices.symbol == symbol].sort_values("trade_date").close
+        want = close.rolling(400).mean() + 2 * close.rolling(400).std()
+        assert np.allclose(part.upper_band.astype(float), want, equal_nan=True)

@@ -218,3 +218,11 @@ def test_nested_text_form_and_back(spark):
     assert as_text.first().asDict(recursive=True) == {"a": "1", "m": {"k": "2.5"}, "l": ["true", ""], "s": {"u": "", "v": "x"}}
     back = rv.restore_types(as_text, df.schema).first().asDict(recursive=True)
     assert back == {"a": 1, "m": {"k": 2.5}, "l": [True, None], "s": {"u": None, "v": "x"}}
+
+
+def test_latest_edit_of_a_record_counts(spark):
+    from figcorpus.operators import review
+
+    main = spark.createDataFrame([(1, "a"), (2, "b")], "id int, lang string")
+    edits = spark.createDataFrame([(1, "x", "r", 5, 0), (1, "y", "r", 9, 0), (3, "z", "r", 1, 0)], "id int, lang string, reviewer string, timestamp int, original_index int")
+    assert sorted((r.id, r.lang) for r in review.apply_review(main, edits, ["id"], ["lang"]).collect()) == [(1, "y"), (2, "b"), (3, "z")]
