@@ -368,7 +368,7 @@ def test_overlapping_sources(spark):
     for r in got.itertuples():
         assert r.taken == r.size * len(r.copies) <= 2 * r.size
         for c in r.copies:
-            taken[c.source] += r.size
+            taken[c["source"]] += r.size
     total = got["size"].sum()
     assert abs(taken["a"] - 0.225 * total) < 20 and abs(taken["b"] - 0.675 * total) < 20
     # no word is repeated while fresh ones are left
