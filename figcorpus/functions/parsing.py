@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from figcorpus.functions.draws import draw
 from figcorpus.functions.text import _c, strip, to_int, to_ints
 
 # fixed values
@@ -105,7 +106,7 @@ def validate_node(col) -> Column:
     ok = p.isNotNull() & p["instruction"].isNotNull() & p["question"].isNotNull()
     ok = ok & p["choices"].isNotNull() & p["capability"].isNotNull()
     names = F.array(*[F.lit(x) for x in CAPABILITIES])
-    picked = F.element_at(names, (F.pmod(F.xxhash64(c), F.lit(len(CAPABILITIES))) + 1).cast("int"))
+    picked = F.element_at(names, (draw(c) % len(CAPABILITIES) + 1).cast("int"))
     known = F.array_contains(names, p["capability"])
     # fixed values: the node used when generation fails
     fallback = F.create_map(
@@ -124,7 +125,7 @@ def validate_node(col) -> Column:
 def random_option(answer, options, seed: int = 0) -> Column:
     """An option letter stays; anything else becomes an option picked from a seeded hash."""
     keys = F.map_keys(_c(options))
-    pick = F.element_at(keys, (F.pmod(F.xxhash64(_c(answer), F.lit(seed)), F.size(keys)) + 1).cast("int"))
+    pick = F.element_at(keys, (draw(_c(answer), seed=seed) % F.size(keys) + 1).cast("int"))
     return F.when(F.array_contains(keys, _c(answer)), _c(answer)).otherwise(pick)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
+from figcorpus.functions.draws import draw
 from figcorpus.operators.ranking import with_position
 from figcorpus.session import durable
 
@@ -179,14 +180,14 @@ def index_within_level(df: DataFrame, level: str = "complexity_level", keys=("bo
 
 def sample_by_hash(df: DataFrame, keys: list[str], k: int, seed: int = 0) -> DataFrame:
     """A given number of rows picked by a seeded hash: random, yet the same on every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(k)
+    return df.orderBy(draw(*keys, seed=seed), *keys).limit(k)
 
 
 def sample_books(books: DataFrame, pct: float, key: str = "book_id", seed: int = 0) -> DataFrame:
     """max(1, pct percent) of the given books. The number grows with the books, so they are
     ranked by hash across partitions rather than sorted in one place."""
     k = max(1, int(books.count() * pct / 100))
-    ranked = with_position(books, [F.xxhash64(key, F.lit(seed)), key], (), "_rank")
+    ranked = with_position(books, [draw(key, seed=seed), key], (), "_rank")
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 

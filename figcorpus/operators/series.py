@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from figcorpus.functions.draws import draw
 from figcorpus.operators.ranking import with_position
 
 # fixed values
@@ -335,5 +336,5 @@ def join_symbol_info(bars: DataFrame, info: DataFrame, text_cols: list[str]) ->
 def random_period(keys: DataFrame, key: str, as_of: str, seed: int = 0) -> DataFrame:
     """A period of 60 to 250 days that ends a year before ``as_of``, drawn by a seeded hash."""
     end = F.date_sub(F.lit(as_of).cast("date"), 365)
-    length = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(191)) + 60).cast("int")
+    length = (draw(key, seed=seed) % 191 + 60).cast("int")
     return keys.withColumn("end_date", end).withColumn("start_date", F.date_sub(F.col("end_date"), length))

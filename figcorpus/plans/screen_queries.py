@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import parsing as ps
 from figcorpus.functions import text as tx
+from figcorpus.functions.draws import draw_sql
 from figcorpus.operators import proximity as px
 from figcorpus.operators import ranking as rk
 from figcorpus.operators import screening as sc
 from figcorpus.plans import fixtures as fx
+from figcorpus.plans.figure_queries import NEAR
 from figcorpus.plans.registry import query, table
 
 SCREEN = f"""scr AS ({fx.SCREEN_SQL}),
@@ -245,7 +247,19 @@ def b20(spark, sf):
     return _replies(spark, sf).select("p_partkey", ps.parse_screening("reply").alias("s")).select("p_partkey", "s.*")
 
 
-@query("b36_validate_node")
+_KNOWN = ", ".join(f"'{c}'" for c in ps.CAPABILITIES)
+
+
+@query(
+    "b36_validate_node",
+    f"""WITH given AS (SELECT p_partkey, p_name, p_partkey%5<>4 ok, [{_KNOWN}, 'Guessing'][p_size%7+1] capability,
+      '{{"instruction":"Read the chart","question":"' || p_name || '","choices":{{"A":"' || p_brand || '","B":"' || p_type
+        || '"}},"capability":"' || [{_KNOWN}, 'Guessing'][p_size%7+1] || '"}}' reply FROM part)
+    SELECT p_partkey, CASE WHEN ok THEN 'Read the chart' ELSE 'Identify the main trend line in the image' END instruction,
+    CASE WHEN ok THEN p_name ELSE 'Is the primary trend line increasing or decreasing?' END question,
+    CASE WHEN NOT ok THEN 'visual recognition' WHEN capability<>'Guessing' THEN capability
+      ELSE [{_KNOWN}][{draw_sql("reply")}%6+1] END capability, false can_answer_finalq, ok generated FROM given""",
+)
 def b36(spark, sf):
     """Nodes generated from the parts; one in five replies is no node and falls back."""
     nodes = table(spark, sf, "part").select(
@@ -330,7 +344,18 @@ def d08(spark, sf):
     return sc.state_counts(states, "state", ("user_id",))
 
 
-@query("d28_abnormal_sample_summary")
+# One book in ten of those with abnormal images, at least one.
+SAMPLED = f"""{NEAR},
+per AS (SELECT book_id, count(*) n_abnormal FROM classed WHERE classification='abnormal' GROUP BY book_id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {draw_sql("book_id")}, book_id) <= greatest(1, count(*) OVER ()//10) picked FROM per)"""
+
+
+@query(
+    "d28_abnormal_sample_summary",
+    f"""WITH {SAMPLED} SELECT count(*) total_books, coalesce(sum(n_abnormal),0)::BIGINT total_abnormal,
+    count(*) FILTER (picked) sampled_books, coalesce(sum(n_abnormal) FILTER (picked),0)::BIGINT sampled_abnormal,
+    10.0::DOUBLE percentage FROM ranked""",
+)
 def d28(spark, sf):
     per_book = px.books_with_abnormal(px.image_records(fx.markdown(spark, sf)))
     return sc.abnormal_sample_summary(per_book, sc.sample_books(per_book, 10), 10)
@@ -356,12 +381,16 @@ def f02(spark, sf):
     return sc.sort_by_complexity(screened(spark, sf)).select("book_id", "image_id", "complexity_level")
 
 
-@query("f03_sample_books")
+@query("f03_sample_books", f"WITH {SAMPLED} SELECT book_id, n_abnormal FROM ranked WHERE picked")
 def f03(spark, sf):
     return sc.sample_books(px.books_with_abnormal(px.image_records(fx.markdown(spark, sf))), 10)
 
 
-@query("f04_sample_symbols")
+@query(
+    "f04_sample_symbols",
+    f"""WITH s AS (SELECT c_custkey symbol, c_name AS name, DATE '2010-01-01' + (c_custkey*7%5000)::INT list_date FROM customer)
+    SELECT * FROM s WHERE NOT contains(name, 'ST') AND list_date < DATE '2020-01-01' ORDER BY {draw_sql("symbol")}, symbol LIMIT 50""",
+)
 def f04(spark, sf):
     symbols = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("symbol"),

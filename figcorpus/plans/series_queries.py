@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from figcorpus.functions.draws import draw_sql
 from figcorpus.operators import series as se
 from figcorpus.plans import fixtures as fx
 from figcorpus.plans.registry import query, table
@@ -190,6 +191,10 @@ def c21(spark, sf):
     return out.withColumn("pe", F.round("pe", 4))
 
 
-@query("f08_random_period")
+@query(
+    "f08_random_period",
+    f"""SELECT c_custkey, DATE '2026-01-01' - 365 end_date,
+    DATE '2026-01-01' - 365 - ({draw_sql("c_custkey")} % 191 + 60)::INT start_date FROM customer""",
+)
 def f08(spark, sf):
     return se.random_period(table(spark, sf, "customer").select("c_custkey"), "c_custkey", "2026-01-01")
