@@ -8,6 +8,7 @@ that row rather than as all its pairs.
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +48,19 @@ def _spread_dims(units: DataFrame, n: int, size: int) -> list[int]:
     return [r["d"] for r in sorted(spread, key=lambda r: (-r["v"], r["d"]))[:n]]
 
 
-def _tiles(own: DataFrame, cells: list[str], tile: int) -> DataFrame | None:
-    """Cells with more rows than a tile and their number of tiles; None when there are none."""
-    crowd = (
-        own.groupBy(*cells)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > tile)
-        .withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
-        .drop("_n")
-    )
-    return None if crowd.isEmpty() else crowd
+def _meetings(own: DataFrame, cells: list[str], offsets: list[tuple[int, ...]], tile: int) -> DataFrame:
+    """Per cell with rows of its own: the tiles of its left rows (``_lts``) and of all rows that come to it as right ones (``_rts``)."""
+    n = own.groupBy(*cells).agg(F.count("*").alias("_n"))
+    coming = _moved(n, cells, offsets).groupBy(*cells).agg(F.sum("_n").alias("_m"))
+    tiles = [F.ceil(F.col(c) / tile).cast("int").alias(t) for c, t in (("_n", "_lts"), ("_m", "_rts"))]
+    return n.join(coming, cells).select(*cells, *tiles)
 
 
-def _with_tiles(df: DataFrame, crowd: DataFrame | None, cells: list[str], name: str) -> DataFrame:
-    if crowd is None:
-        return df.withColumn(name, F.lit(1))
-    return df.join(crowd.withColumnRenamed("_tiles", name), cells, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+def _moved(rows: DataFrame, cells: list[str], offsets: list[tuple[int, ...]]) -> DataFrame:
+    """Each row once per offset, filed in the cell that lies there; ``_home`` marks its own cell."""
+    steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+    out = rows.withColumn("_step", F.explode(steps)).withColumn("_home", F.forall("_step", lambda x: x == 0))
+    return out.withColumns({c: F.col(c) + F.col("_step")[k] for k, c in enumerate(cells)}).drop("_step")
 
 
 def _tile_products(threshold: float, semi: bool):
@@ -71,17 +69,21 @@ def _tile_products(threshold: float, semi: bool):
     def run(rows: pa.Table) -> pa.Table:
         side = rows["_side"].to_numpy()
         ids = rows["rep"].to_numpy()
+        home = rows["_home"].to_numpy()
         flat = rows["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         u = flat.reshape(len(ids), -1)
         left, right = side == 0, side == 1
         i, j = ids[left], ids[right]
         score = u[left] @ u[right].T
-        hit = (score >= threshold) & (i[:, None] < j[None, :])
-        if semi:
-            return pa.table({"id": pa.array(j[hit.any(axis=0)], rows.schema.field("rep").type)})
+        # rows of one cell stand on both sides and meet twice, rows of two cells once
+        hit = (score >= threshold) & (~home[right][None, :] | (i[:, None] < j[None, :]))
         a, b = np.nonzero(hit)
+        score, a, b = score[a, b], i[a], j[b]
+        lower, upper = np.where(a < b, a, b), np.where(a < b, b, a)
         kind = rows.schema.field("rep").type
-        return pa.table({"i": pa.array(i[a], kind), "j": pa.array(j[b], kind), "similarity": score[a, b]})
+        if semi:
+            return pa.table({"id": pa.array(np.unique(upper), kind)})
+        return pa.table({"i": pa.array(lower, kind), "j": pa.array(upper, kind), "similarity": score})
 
     return run
 
@@ -93,44 +95,46 @@ def similar_units(
 
     cosine >= t means the vectors lie at most r = sqrt(2 - 2t) apart, so every component
     differs by at most r. Vectors are filed in grid cells of width r over their widest
-    components; the right side goes to its own and the adjacent cells, so no pair is missed.
-    A crowded cell is cut into tiles by a hash of the id and every left tile meets every
-    right tile in a group of its own: a group holds about two tiles whatever the data
-    looks like. Each meeting is one matrix product; only matching pairs leave it.
-    ``left_semi`` keeps the right ids with some partner and lists no pairs.
+    components; the right side goes to its own cell and to half of the adjacent ones, so
+    two cells meet once and no pair is missed. Both sides are counted where they meet and
+    cut into tiles by a hash of the id, every left tile meeting every right tile in a
+    group of its own: whatever the cells look like, a group holds about two tiles. Cells
+    without a left row are left out. Each meeting is one matrix product; only matching
+    pairs leave it. ``left_semi`` keeps the right ids with some partner and lists no pairs.
     """
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     grid = _spread_dims(units, grid_dims, size)
-    names = [f"_c{k}" for k in range(len(grid))]
-    own = units
-    for name, cell in zip(names, _cells(F.col("u"), grid, r)):
-        own = own.withColumn(name, cell)
-    crowd = _tiles(own, names, tile)
-
-    def tiled(rows, side):
-        """Rows of one side: their own tile, repeated for every tile of the other side."""
-        sized = _with_tiles(rows, crowd, names, "_t")
-        mine = F.pmod(F.xxhash64("rep"), F.col("_t")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("_t") - 1))
-        pair = (mine.alias("_lt"), every.alias("_rt")) if side == 0 else (every.alias("_lt"), mine.alias("_rt"))
-        return sized.select("rep", "u", *names, F.lit(side).alias("_side"), *pair)
-
-    right = own
-    for name in names:
-        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        right = right.withColumn("_step", F.explode(steps)).withColumn(name, F.col(name) + F.col("_step")).drop("_step")
     kind = units.schema["rep"].dataType.simpleString()
     semi = how == "left_semi"
     out = f"id {kind}" if semi else f"i {kind}, j {kind}, similarity double"
-    met = (
-        tiled(own, 0)
-        .unionByName(tiled(right, 1))
-        .groupBy(*names, "_lt", "_rt")
-        .applyInArrow(_tile_products(threshold, semi), out)
-    )
+    if not grid:
+        return units.sparkSession.createDataFrame([], out)
+    met = meeting_rows(units, grid, r, tile).groupBy(*_names(grid), "_lt", "_rt").applyInArrow(_tile_products(threshold, semi), out)
     return met.distinct() if semi else met
 
 
+def _names(grid: list[int]) -> list[str]:
+    return [f"_c{k}" for k in range(len(grid))]
+
+
+def meeting_rows(units: DataFrame, grid: list[int], r: float, tile: int) -> DataFrame:
+    """The rows (rep, u, side) of every meeting (cells, _lt, _rt) of a left and a right tile."""
+    names = _names(grid)
+    own = units.withColumns(dict(zip(names, _cells(F.col("u"), grid, r))))
+    offsets = [o for o in product((-1, 0, 1), repeat=len(grid)) if o >= (0,) * len(grid)]
+    meetings = durable(_meetings(own, names, offsets, tile))
+
+    def tiled(rows, side):
+        """Rows of one side: their own tile, repeated for every tile of the other side."""
+        mine, theirs = ("_lts", "_rts") if side == 0 else ("_rts", "_lts")
+        at = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
+        pair = (at.alias("_lt"), every.alias("_rt")) if side == 0 else (every.alias("_lt"), at.alias("_rt"))
+        return rows.join(meetings, names).select("rep", "u", *names, F.lit(side).alias("_side"), "_home", *pair)
+
+    return tiled(own.withColumn("_home", F.lit(True)), 0).unionByName(tiled(_moved(own, names, offsets), 1))
+
+
 def _unit_reps(df: DataFrame, id_col: str, vector: str):
     folded, links = fold_copies(df.select(id_col, vector), id_col, vector, {"u": vec.unit(vector)})
     # zero vectors have no unit vector and are similar to nothing

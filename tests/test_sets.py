@@ -106,6 +106,22 @@ def test_cosine_plan_equals_brute_force_with_hot_copies(spark):
     assert dd.similar_units(units, 0.98, 64).count() == len(key(dd.similar_units(units, 0.98, 64, grid_dims=3)))
 
 
+def test_cosine_groups_are_bounded_beside_a_crowded_cell(spark):
+    """One crowded cell, single rows in the cells around it: no group holds more than two tiles and some."""
+    rng = np.random.default_rng(8)
+    crowd = np.c_[0.5 + rng.uniform(0.01, 0.09, (3000, 2)), rng.normal(0, 1e-3, (3000, 3))]
+    single = [[0.5 + 0.2 * a, 0.5 + 0.2 * b, 0.0, 0.0, 0.0] for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*crowd, *single])]
+    units = spark.createDataFrame(rows, "rep long, u array<double>")
+    met = dd.meeting_rows(units, [0, 1], 0.2, 256)
+    sides = met.groupBy("_c0", "_c1", "_lt", "_rt").agg(
+        F.count_if(F.col("_side") == 0).alias("left"), F.count_if(F.col("_side") == 1).alias("right")
+    )
+    assert max(sides.agg(F.max("left"), F.max("right")).first()) <= 400
+    held = {(r["_c0"], r["_c1"]) for r in met.where("_side = 0").select("_c0", "_c1").distinct().collect()}
+    assert {(r["_c0"], r["_c1"]) for r in met.select("_c0", "_c1").distinct().collect()} == held
+
+
 @pytest.mark.parametrize("bands", [2, 3, 6])
 def test_hamming_pairs_equal_brute_force(spark, bands):
     rng = random.Random(bands)
