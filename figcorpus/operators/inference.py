@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import prompts as pr
 from figcorpus.operators import evaluation as ev
+from figcorpus.session import durable
 
 
 def score_batches(
@@ -21,17 +22,20 @@ def score_batches(
     workers: int | None = None,
     retries: int = 0,
     delay: float = 0.0,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Call ``fn`` on batches of rows: keys, response, status, error.
+    """Call ``fn`` on batches of rows: keys, carried columns, response, status, error.
 
     Batches run in Arrow workers, one per partition; ``workers`` bounds how many. A batch
     that fails is tried again row by row, so one bad row never costs its neighbours.
+    ``carry`` names columns that come out again without ``fn`` seeing them.
     """
     if workers:
         df = df.repartition(workers)
-    columns = df.columns
+    columns = [c for c in df.columns if c not in carry]
+    kept = [*keys, *carry]
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{k}` {fields[k]}" for k in keys] + ["response string", "status string", "error string"])
+    schema = ", ".join([f"`{k}` {fields[k]}" for k in kept] + ["response string", "status string", "error string"])
 
     def attempt(part: pd.DataFrame):
         for k in range(retries + 1):
@@ -47,7 +51,7 @@ def score_batches(
         for frame in frames:
             for lo in range(0, len(frame), batch):
                 part = frame.iloc[lo : lo + batch][columns]
-                out = part[keys].copy()
+                out = frame.iloc[lo : lo + batch][kept].copy()
                 replies, problem = attempt(part)
                 if problem is None:
                     out["response"], out["status"], out["error"] = replies, "ok", None
@@ -68,21 +72,29 @@ def multi_model_answers(
     asked = ev.prompt_matrix(samples, models, groups).withColumn(
         "prompt", pr.build_prompt("group", "image_background", "analysis_information", "question", "options")
     )
-    replies = score_batches(asked.select(key, "group", "model", "prompt"), fn, [key, "group", "model"], **how)
-    joined = replies.join(samples.select(key, "options", "gold"), key)
-    checked = ev.checked_answers(joined, "response")
+    return _answers(asked, fn, key, **how)
+
+
+def _answers(asked: DataFrame, fn, key: str, **how) -> DataFrame:
+    rows = asked.select(key, "group", "model", "prompt", "options", "gold")
+    replies = score_batches(rows, fn, [key, "group", "model"], carry=("options", "gold"), **how)
+    checked = ev.checked_answers(replies, "response")
     return checked.withColumn(
         "error_type", F.when(F.col("status") == "error", F.lit("api_error")).otherwise(F.col("error_type"))
     )
 
 
 def retry_failed(answers: DataFrame, samples: DataFrame, fn, key: str = "sample_id", **how) -> DataFrame:
-    """Ask again for every failed answer; the others stay."""
+    """Ask again for every failed answer; the others stay.
+
+    The answers are computed once, so the model behind them is not asked again to
+    tell which failed.
+    """
+    answers = durable(answers)
     bad = answers.where("error_type IS NOT NULL").select(key, "group", "model")
     prompts = bad.join(samples, key).withColumn(
         "prompt", pr.build_prompt("group", "image_background", "analysis_information", "question", "options")
     )
-    replies = score_batches(prompts.select(key, "group", "model", "prompt"), fn, [key, "group", "model"], **how)
-    redone = ev.checked_answers(replies.join(samples.select(key, "options", "gold"), key), "response")
+    redone = _answers(prompts, fn, key, **how)
     good = answers.where("error_type IS NULL")
     return good.unionByName(redone.select(*good.columns))

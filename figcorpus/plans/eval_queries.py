@@ -203,15 +203,18 @@ def i01(spark, sf):
     return inf.score_batches(docs, stub_model, ["doc_id"], batch=16)
 
 
-@query(
-    "i02_multi_model_answers",
-    f"""WITH g AS (SELECT unnest(['image_background_only','analysis_information_only','both_contexts','no_context']) grp), m AS (SELECT unnest(['m1','m2']) model),
+PROMPTS = f"""g AS (SELECT unnest(['image_background_only','analysis_information_only','both_contexts','no_context']) grp), m AS (SELECT unnest(['m1','m2']) model),
     p AS (SELECT p_partkey, grp, model, length(CASE WHEN grp IN ('image_background_only','both_contexts') THEN 'image_background: '||p_type||repeat(chr(10),5) ELSE '' END ||
       CASE WHEN grp IN ('analysis_information_only','both_contexts') THEN 'analysis_information: '||p_brand||repeat(chr(10),5) ELSE '' END ||
       'question: '||p_name||repeat(chr(10),5)||'options: {{"A": "rises", "B": "falls", "C": "stays flat", "D": "cannot be told"}}'||repeat(chr(10),5)||
       CASE WHEN grp='no_context' THEN 'Based on the image, ' ELSE 'Based on the image and the provided information, ' END||
       'select the correct option. Output ONLY the single letter corresponding to your choice (A, B, C, D) with no additional text, explanations, or formatting. For example, if the answer is ''A'', you must only output: A.') n
-      FROM part, g, m),
+      FROM part, g, m)"""
+
+
+@query(
+    "i02_multi_model_answers",
+    f"""WITH {PROMPTS},
     r AS (SELECT *, upper({STUB}) answer FROM p)
     SELECT p_partkey sample_id, grp AS "group", model, answer, coalesce(answer IN ('A','B','C','D'), false) AS valid, coalesce(answer=chr(CAST(65+p_partkey%4 AS INT)), false) correct,
       CASE WHEN answer IS NULL THEN 'api_error' WHEN answer='NO IDEA' THEN 'invalid_format' END error_type FROM r""",
@@ -219,3 +222,22 @@ def i01(spark, sf):
 def i02(spark, sf):
     out = inf.multi_model_answers(_samples(spark, sf), ["m1", "m2"], stub_model, batch=64)
     return out.select("sample_id", "group", "model", "answer", "valid", "correct", "error_type")
+
+
+def second_model(part):
+    """Stands in for the model of a second pass: always has an answer, and never the first one's."""
+    return ["ABCD"[(len(p) + 1) % 4] for p in part["prompt"]]
+
+
+@query(
+    "i02_retry_failed",
+    f"""WITH {PROMPTS},
+    r AS (SELECT *, ['A','B','C','D'][CASE WHEN n%13=0 OR n%5=0 THEN (n+1)%4+1 ELSE n%4+1 END] answer FROM p)
+    SELECT p_partkey sample_id, grp AS "group", model, answer, answer=chr(CAST(65+p_partkey%4 AS INT)) correct, NULL::VARCHAR error_type FROM r""",
+)
+def i02_retry(spark, sf):
+    """Answers that failed or were no option are asked for again, the others stay."""
+    samples = _samples(spark, sf)
+    first = inf.multi_model_answers(samples, ["m1", "m2"], stub_model, batch=64)
+    out = inf.retry_failed(first, samples, second_model, batch=64)
+    return out.select("sample_id", "group", "model", "answer", "correct", "error_type")
