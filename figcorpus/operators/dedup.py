@@ -122,7 +122,7 @@ def meeting_rows(units: DataFrame, grid: list[int], r: float, tile: int) -> Data
     names = _names(grid)
     own = units.withColumns(dict(zip(names, _cells(F.col("u"), grid, r))))
     offsets = [o for o in product((-1, 0, 1), repeat=len(grid)) if o >= (0,) * len(grid)]
-    meetings = durable(_meetings(own, names, offsets, tile))
+    meetings = _meetings(own, names, offsets, tile)
 
     def tiled(rows, side):
         """Rows of one side: their own tile, repeated for every tile of the other side."""

@@ -119,6 +119,15 @@ def b30(spark, sf):
     return rows.select("page_id", F.round("size_mb", 9).alias("size_mb"), "base64_length", "error")
 
 
+@query(
+    "a15_profile_source",
+    """SELECT 'doc_id bigint, quality int, toxic int' AS fields, '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}' AS sample
+    FROM labels ORDER BY doc_id, quality, toxic LIMIT 1""",
+)
+def a15(spark, sf):
+    return rd.profile_source(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+
+
 # ---- streams -----------------------------------------------------------------------------
 
 

@@ -101,6 +101,21 @@ def d11(spark, sf):
     return out.select("fq_no", "question_node_no", "visit_count", "victory_count")
 
 
+@query(
+    "d11_chain_wins",
+    f"""{R}, e AS (SELECT fq_no, 'question' AS "type", "no", correct FROM log
+      UNION ALL SELECT fq_no, 'answer', "no"*2+CASE WHEN answer='A' THEN 1 ELSE 0 END, correct FROM log
+      UNION ALL SELECT fq_no, 'final_answer', node%4, correct FROM chains)
+    SELECT fq_no::BIGINT fq_no, "type", "no"::BIGINT AS "no", count(*) visit_count, count(*) FILTER (correct) victory_count FROM e GROUP BY ALL""",
+)
+def d11_wins(spark, sf):
+    """Visits and victories of questions, of the answers given to them and of final answers."""
+    log = _log(spark, sf).select("fq_no", "type", F.col("no").cast("bigint").alias("no"), "correct", "answer")
+    given = log.withColumns({"type": F.lit("answer"), "no": F.col("no") * 2 + (F.col("answer") == "A").cast("bigint")})
+    final = _chains(spark, sf).select("fq_no", F.lit("final_answer").alias("type"), F.expr("node % 4").cast("bigint").alias("no"), "correct")
+    return tr.chain_wins(log.unionByName(given).drop("answer").unionByName(final), ("fq_no",))
+
+
 @query(
     "d12_visit_counts",
     f"""{R}, s AS (SELECT fq_no, "no" question_node_no, answer, count(*) visit_count, min(chain_no*1000+pos) f FROM log GROUP BY ALL)

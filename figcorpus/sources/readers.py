@@ -96,7 +96,8 @@ def scan_books(spark: SparkSession, root: str) -> DataFrame:
     return cp.scan_books(docs, dirs, pdfs)
 
 
-def profile_source(df: DataFrame) -> DataFrame:
-    """One sample record as JSON beside the list of fields."""
+def profile_source(df: DataFrame, key: str | None = None) -> DataFrame:
+    """One sample record as JSON beside the list of fields: the record of the smallest ``key``, or any."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.limit(1).select(F.lit(fields).alias("fields"), F.to_json(F.struct("*")).alias("sample"))
+    first = df.limit(1) if key is None else df.orderBy(key, *[c for c in df.columns if c != key]).limit(1)
+    return first.select(F.lit(fields).alias("fields"), F.to_json(F.struct("*")).alias("sample"))
