@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +45,20 @@ class Settings:
     """Limits of the verdict.
 
     A word is common if it makes up ``common_share`` of a language's words; the
-    histogram holds the ``max_words`` most common. Histograms of fewer than
-    ``min_words`` words or ``min_chars`` characters are not judged. A distance
-    fails above its limit plus ``slack`` over the root of the number counted.
+    histogram holds all that are. Histograms of fewer than ``min_words`` words
+    or ``min_chars`` characters are not judged. A distance fails above its limit
+    plus ``slack`` over the root of the number counted. ``word_limit`` lies
+    between the farthest good text of the labelled rows (0.24 without slack) and
+    a text without any common word (0.36). ``held_words`` are the counts that a
+    task holds at once; results don't depend on it.
     """
 
     common_share: float = 0.004
-    max_words: int = 256
+    held_words: int = 500_000
     min_words: int = 50
     min_chars: int = 300
     class_limit: float = 0.25
-    word_limit: float = 0.36
+    word_limit: float = 0.30
     slack: float = 1.0
 
 
@@ -94,26 +99,34 @@ def repeated_lines(text: bytes) -> int:
 def common_words(docs: DataFrame, settings: Settings) -> list[str]:
     """The words that make up ``common_share`` of the words of some language, counted over all documents.
 
-    A word with that share of all has it in at least one batch, so only words
-    that reach it in their batch are candidates, and few rows leave a task.
-    Which of them are kept, and their counts, the next pass over all documents
-    decides; ties go to the word that sorts first.
+    A task adds its batches up and gives off its counts whenever it holds
+    ``held_words`` of them; sums over all tasks decide, so neither batches nor
+    partitions matter. A language has at most 1 / ``common_share`` such words.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if lang is not None and text:
-                counts.setdefault(lang, Counter()).update(text.lower().split())
-        rows = []
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
-            total = sum(c.values())
-            rows += [(w.decode(), n / total) for w, n in c.items() if n >= settings.common_share * total and total >= 1000]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.float64())], ["word", "part"])
+            # the language's total is the row without a word
+            words, n = [None, *c], [sum(c.values()), *c.values()]
+            langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(words), np.int32)))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    found = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(per_batch(run), "word string, part double")
-    best = found.groupBy("word").agg(F.max("part").alias("part"), F.count("*").alias("n"))
-    return [r.word for r in best.orderBy(F.desc("n"), F.desc("part"), "word").limit(settings.max_words).collect()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lang is not None and text:
+                    counts.setdefault(lang, Counter()).update(text.lower().split())
+            if sum(map(len, counts.values())) >= settings.held_words:
+                yield from rows(counts)
+                counts = {}
+        yield from rows(counts)
+
+    found = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, word binary, n bigint")
+    summed = durable(found.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = summed.where("word is null").select("lang", F.col("n").alias("total"))
+    common = summed.where("word is not null").join(totals, "lang").where(F.col("n") >= F.lit(settings.common_share) * F.col("total"))
+    return sorted(bytes(r.word).decode() for r in common.select("word").distinct().collect())
 
 
 _BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -122,7 +135,7 @@ BASE_COLUMNS = [x.split()[0] for x in _BASE.split(", ")]
 
 def counts(docs: DataFrame, words: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(\\*keep, base counts, class histogram, histogram of ``words`` and the rest) of every whole text."""
-    common = [w.encode() for w in words]
+    common = {w.encode(): k for k, w in enumerate(words)}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(batch.num_columns - 1)
@@ -146,11 +159,10 @@ def counts(docs: DataFrame, words: list[str], keep: tuple[str, ...] = ()) -> Dat
             ids, known = _ids(list_)
             base[i, 4] = repeated_words(ids, len(known))
             lowered = Counter(text.lower().split()) if common else {}
-            for k, w in enumerate(common):
-                if (c := lowered.get(w)) is not None:
-                    rows.append(i)
-                    places.append(k)
-                    values.append(c)
+            for w in lowered.keys() & common.keys():
+                rows.append(i)
+                places.append(common[w])
+                values.append(lowered[w])
         per_row = np.bincount(np.array(rows, np.int64), minlength=n) if n else np.zeros(0, np.int64)
         offsets = pa.array(np.r_[0, np.cumsum(per_row)], pa.int32())
         out = [pa.array(base[:, k]) for k in range(5)]
@@ -171,13 +183,15 @@ def references(counted: DataFrame, n_words: int, limit: int = 1000) -> dict[str,
     classes = {r.lang: r for r in known.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).orderBy("lang").limit(limit).collect()}
     pairs = known.select("lang", F.explode(F.arrays_zip("places", "times")).alias("z"))
     listed = pairs.groupBy("lang", "z.places").agg(F.sum("z.times").alias("n")).collect()  # languages x common words
+    of_lang: dict[str, list[tuple[int, int]]] = {}
+    for x in listed:
+        of_lang.setdefault(x.lang, []).append((x.places, x.n))
     out = {}
     for lang, r in classes.items():
         by_class = np.array([r[f"c{k}"] for k in range(8)], float)
         by_word = np.zeros(n_words + 1)
-        for x in listed:
-            if x.lang == lang:
-                by_word[x.places] = x.n
+        for place, times in of_lang.get(lang, []):
+            by_word[place] = times
         by_word[n_words] = max(0.0, r.n - by_word.sum())
         if by_class.sum() and by_word.sum():
             out[lang] = (by_class / by_class.sum(), by_word / by_word.sum())
@@ -195,28 +209,40 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (part(p) + part(np.broadcast_to(q, p.shape))) / 2))
 
 
+def sparse_js_distance(rows: np.ndarray, places: np.ndarray, share: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
+    """As :func:`js_distance` for ``n`` rows that hold ``share`` at their ``places`` and nothing elsewhere."""
+    there = q[places]
+    m = (share + there) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = np.where(share > 0, share * np.log2(share / m), 0.0) + np.where(there > 0, there * np.log2(there / m), 0.0)
+    # a place that the row lacks adds q itself
+    return np.sqrt(np.maximum(0.0, (np.bincount(rows, both - there, n) + q.sum()) / 2))
+
+
 def judge(counted: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], n_words: int, settings: Settings, keep: tuple[str, ...]) -> DataFrame:
     """Adds ``base_failed``, the distances from the nearest reference (null where guarded) and ``kept``."""
     names = sorted(refs)
 
-    def nearest(hist: np.ndarray, which: int) -> np.ndarray:
-        share = hist / np.maximum(1, hist.sum(1, keepdims=True))
-        if not names:
-            return np.zeros(len(hist))
-        return np.min([js_distance(share, refs[k][which]) for k in names], axis=0)
+    def nearest(n: int, distances: Iterator[np.ndarray]) -> np.ndarray:
+        return reduce(np.minimum, distances) if names else np.zeros(n)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
         n = batch.num_rows
         base = {k: col[k].to_numpy(zero_copy_only=False) for k in BASE_COLUMNS}
         classes = np.array(col["classes"].to_pylist(), float).reshape(n, 8)
-        words = np.zeros((n, n_words + 1))
         at = np.repeat(np.arange(n), col["places"].value_lengths().to_numpy(zero_copy_only=False))
-        words[at, col["places"].flatten().to_numpy(zero_copy_only=False)] = col["times"].flatten().to_numpy(zero_copy_only=False)
-        words[:, n_words] = np.maximum(0, base["n_words"] - words.sum(1))
+        places = col["places"].flatten().to_numpy(zero_copy_only=False)
+        times = col["times"].flatten().to_numpy(zero_copy_only=False).astype(float)
+        rest = np.maximum(0, base["n_words"] - np.bincount(at, times, n))
+        # the words that are not common stand at the last place of every row
+        at, places, times = np.r_[at, np.arange(n)], np.r_[places, np.full(n, n_words)], np.r_[times, rest]
+        share = times / np.maximum(1, np.bincount(at, times, n))[at]
         failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
         chars = classes.sum(1)
-        d_class, d_word = nearest(classes, 0), nearest(words, 1)
+        by_class = classes / np.maximum(1, chars[:, None])
+        d_class = nearest(n, (js_distance(by_class, refs[k][0]) for k in names))
+        d_word = nearest(n, (sparse_js_distance(at, places, share, n, refs[k][1]) for k in names))
         long_chars, long_words = chars >= settings.min_chars, base["n_words"] >= settings.min_words
         bad = long_chars & (d_class > settings.class_limit + settings.slack / np.sqrt(np.maximum(1, chars)))
         bad |= long_words & (d_word > settings.word_limit + settings.slack / np.sqrt(np.maximum(1, base["n_words"])))

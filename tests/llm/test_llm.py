@@ -423,6 +423,42 @@ def test_js_distance():
     assert quality.js_distance(p, q)[1] == 0 and quality.js_distance(p, np.array([0.0, 1.0]))[0] == pytest.approx(1)
 
 
+def test_sparse_distance_is_js_distance():
+    rng = np.random.default_rng(5)
+    p = rng.random((20, 30)) * (rng.random((20, 30)) < 0.3)
+    p, q = p / np.maximum(1e-9, p.sum(1, keepdims=True)), rng.random(30) * (rng.random(30) < 0.5)
+    at, places = np.nonzero(p)
+    assert np.allclose(quality.sparse_js_distance(at, places, p[at, places], 20, q / q.sum()), quality.js_distance(p, q / q.sum()))
+
+
+def test_common_words_are_counted_over_all_documents(spark):
+    # a language of many small batches, one whose words would not fit a common limit, and one of few words
+    rows = [("a", "the " * (i % 3) + f"x{i}") for i in range(3000)] + [("b", " ".join(f"w{j}" for j in range(240)))] * 20
+    rows += [("a", f"burst {'burst ' * 40 if i == 7 else ''}") for i in range(8)] + [("c", "few words"), (None, "no language"), ("a", None)]
+    rows += [(k, " ".join(f"{k}{j}" for j in range(200))) for k in "def"]
+    by_lang = {}
+    for lang, text in rows:
+        if lang and text:
+            by_lang.setdefault(lang, []).extend(text.split())
+    want = {w for words in by_lang.values() for w in words if words.count(w) >= 0.004 * len(words)}
+    made = spark.createDataFrame(rows, "lang string, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for per_batch in (50, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+            for held in (100, 500_000):
+                assert quality.common_words(made, quality.Settings(held_words=held)) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_long_text_without_common_words_fails(spark, docs):
+    strange = " ".join(f"{'bcdfghjk'[i % 8]}{'aeiou'[i % 5]}{'lmnprst'[i % 7]}{'aeiou'[i % 3]}{chr(97 + i % 23)}" for i in range(2000))
+    got = quality.quality(docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(-1, strange, None)], "doc_id bigint, text string, lang string")))
+    (r,) = got.where("doc_id = -1").collect()
+    assert not r.base_failed and not r.kept and r.word_distance > 0.3
+
+
 def test_quality_odd_rows(spark):
     got = {r.doc_id: r for r in quality.quality(odd_docs(spark)).collect()}
     assert got[2].n_words == 0 and got[4].n_repeat_words == 30000 and not got[4].kept
