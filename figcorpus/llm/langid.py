@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,14 @@ _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 class Settings:
     """Bounds and rates of the training; the sample is bounded in rows, and in characters of each row.
 
-    A small sample is gone through more often, ``min_steps`` batches in all.
+    ``max_rows`` are shared out among the languages; a language learns about
+    ``least`` rows even if that is more, or all it has. A small sample is gone through more often,
+    ``min_steps`` batches in all.
     """
 
     per_language: int = 1500
     max_rows: int = 12000
-    max_languages: int = 400
+    least: int = 30
     max_chars: int = 1500
     bits: int = 16
     dim: int = 16
@@ -47,13 +49,17 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``table[h]`` holds the logits that subword bucket h adds; a text's logits are their mean."""
+    """``table[h]`` holds the logits that subword bucket h adds; a text's logits are their mean.
+
+    With more languages than dimensions it holds embeddings instead, and ``head`` makes logits of their mean.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     bits: int
+    head: np.ndarray | None = None
 
 
 def subwords(text: np.ndarray, bits: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +139,17 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
             out -= np.float32(rate * 0.05) * (mean.T @ prob)
             bias -= np.float32(rate * 0.05) * prob.sum(0)
             np.add.at(emb, flat, np.repeat(-rate * back, sizes, axis=0).astype(np.float32))
-    logits_of = (emb @ out).astype(np.float32)
-    model = Model(languages, logits_of, bias.astype(np.float64), 1.0, settings.bits)
+    wide = len(languages) > settings.dim
+    table, head = (emb, out) if wide else ((emb @ out).astype(np.float32), None)
+    model = Model(languages, table, bias.astype(np.float64), 1.0, settings.bits, head)
     if not n_cal:
         return model
-    scores = np.array([logits_of[examples[i][0]].mean(0) + bias for i in held], np.float64)
+    means = np.array([table[examples[i][0]].mean(0) for i in held])
+    scores = ((means @ head if wide else means) + bias).astype(np.float64)
     truth = np.array([examples[i][1] for i in held])
     grid = np.geomspace(0.2, 20, 61)
     loss = [_log_loss(scores / t, truth) for t in grid]
-    return Model(languages, logits_of, model.bias, float(grid[int(np.argmin(loss))]), settings.bits)
+    return replace(model, temperature=float(grid[int(np.argmin(loss))]))
 
 
 def _log_loss(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -167,7 +175,7 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
     """Mean logits of every whole text, piece by piece; rows without subwords have the bias alone."""
     data, ends = plain_bytes(column)
     n = len(ends) - 1
-    total, count = np.zeros((n, len(model.languages))), np.zeros(n, np.int64)
+    total, count = np.zeros((n, model.table.shape[1])), np.zeros(n, np.int64)
     for first, last, lo, hi in _pieces(ends):
         bounds = np.clip(ends[first : last + 1], lo, hi) - lo
         for order in ORDERS:
@@ -193,30 +201,31 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
             stops = np.maximum(lim, starts)
             total[first:last] += sums[stops] - sums[starts]
             count[first:last] += good[stops] - good[starts]
-    return total / np.maximum(count, 1)[:, None] + model.bias
+    mean = total / np.maximum(count, 1)[:, None]
+    return (mean if model.head is None else mean @ model.head) + model.bias
 
 
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Learning rows (text, lang): of each language those whose hash of doc_id is below a bound that keeps about
-    ``per_language`` of them; in all at most ``max_rows``, in the order of the hash.
+    """Learning rows (place, doc_id, lang, text): of each language those whose hash of doc_id is below a bound that keeps
+    about its share of them.
 
-    Languages are counted first, so only sampled rows move. A table with more
-    than ``max_languages`` values of lang learns the most frequent.
+    Languages are counted first, so only sampled rows move. Every value of lang has a share, small ones all rows.
     """
     known = docs.where("lang is not null and text is not null").withColumn(
         "place", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)
-    bounds = counts.select("lang", (F.lit(float(settings.per_language)) / F.col("count")).alias("bound"))
-    # limit() above proves the size: a row per language
+    counts = known.groupBy("lang").count().collect()  # a row per language
+    share = max(settings.least, min(settings.per_language, settings.max_rows / max(1, len(counts))))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, share / r["count"]) for r in counts], "lang string, bound double")
+    # as small as the list it is made of
     picked = known.join(F.broadcast(bounds), "lang").where("place < bound")
-    cut = picked.select("place", "doc_id", "lang", F.substring("text", 1, settings.max_chars).alias("text"))
-    return cut.orderBy("place", "doc_id", "lang", "text").limit(settings.max_rows).select("text", "lang")
+    return picked.select("place", "doc_id", "lang", F.substring("text", 1, settings.max_chars).alias("text"))
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on the bounded sample of ``docs(doc_id, text, lang)``."""
-    return train([(r.text, r.lang) for r in sample(docs, settings).collect()], settings)
+    rows = sorted(sample(docs, settings).collect(), key=lambda r: (r.place, str(r.doc_id), r.lang, r.text))
+    return train([(r.text, r.lang) for r in rows], settings)
 
 
 def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:

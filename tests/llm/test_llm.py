@@ -282,6 +282,22 @@ def test_logits_in_pieces():
         assert np.allclose(want, g, atol=1e-4)
 
 
+def test_rare_languages_keep_their_learning_rows(spark):
+    # 20 frequent languages and rare ones share a small bound; each has words of its own
+    frequent, rare = [f"f{i:02d}" for i in range(20)], [f"r{i}" for i in range(3)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = {k: [letters[i % 26] + letters[(i * 7 + 3) % 26] + letters[(i * 11 + 5) % 26]] for i, k in enumerate(frequent + rare)}
+    rows = [(k, f"{names[k][0]} " * 20) for k in frequent for _ in range(300)] + [(k, f"{names[k][0]} " * 20) for k in rare for _ in range(40)]
+    made = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    s = langid.Settings(per_language=60, max_rows=240, least=30)
+    kept = {r.lang: r["count"] for r in langid.sample(made, s).groupBy("lang").count().collect()}
+    assert len(kept) == 23 and all(10 <= kept[k] <= 60 for k in frequent) and all(kept[k] >= 15 for k in rare)
+    model = langid.fit(made, s)
+    assert model.head is not None and model.languages == tuple(frequent + rare)
+    got = langid.identify(made, model, keep=("lang",)).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.97
+
+
 def test_language_odd_rows(spark):
     model = langid.fit(odd_docs(spark))
     got = {(r.doc_id, r.lang_pred == "und") for r in langid.identify(odd_docs(spark), model).collect()}
