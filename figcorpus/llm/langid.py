@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,17 +25,18 @@ _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and rates of the training; the sample is bounded in rows, and in characters of each row.
+    """Bounds and rates of the training; the sample is bounded in rows, and in subwords of each row.
 
     ``max_rows`` are shared out among the languages; a language learns about
-    ``least`` rows even if that is more, or all it has. A small sample is gone through more often,
+    ``least`` rows even if that is more, or all it has. A row's ``max_subwords``
+    are drawn from its whole text. A small sample is gone through more often,
     ``min_steps`` batches in all.
     """
 
     per_language: int = 1500
     max_rows: int = 12000
     least: int = 30
-    max_chars: int = 1500
+    max_subwords: int = 4096
     bits: int = 16
     dim: int = 16
     epochs: int = 6
@@ -98,8 +100,29 @@ def _features(text: str, bits: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def drawn(text: str, settings: Settings) -> np.ndarray:
+    """At most ``max_subwords`` buckets of the whole text's subwords: a seeded draw from all positions, piece by piece."""
+    data, _ = plain_bytes(pa.array([text]))
+    rng = np.random.default_rng([settings.seed, zlib.crc32(data.tobytes())])
+    keys, kept = np.zeros(0), np.zeros(0, np.int64)
+    for lo in range(0, len(data), CHUNK):
+        for order in ORDERS:
+            ids, ok = subwords(data[lo : lo + CHUNK + order - 1], settings.bits, order)
+            keys, kept = np.r_[keys, rng.random(int(ok.sum()))], np.r_[kept, ids[ok]]
+            if len(keys) > settings.max_subwords:
+                # the smallest keys of all positions so far
+                at = np.sort(np.argpartition(keys, settings.max_subwords)[: settings.max_subwords])
+                keys, kept = keys[at], kept[at]
+    return kept.astype("<u2" if settings.bits <= 16 else "<u4")
+
+
 def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model:
-    """Fit on (text, language) rows by stochastic gradient descent; a share of them calibrates.
+    """Fit on (text, language) rows, see :func:`learn`."""
+    return learn([(drawn(text, settings), lang) for text, lang in rows], settings)
+
+
+def learn(rows: list[tuple[np.ndarray, str]], settings: Settings = Settings()) -> Model:
+    """Fit on (subword buckets, language) rows by stochastic gradient descent; a share of them calibrates.
 
     Embeddings and softmax are trained together, then multiplied, since the
     logits of a mean are the mean of the logits. The temperature minimises the
@@ -110,8 +133,7 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
         return Model((), np.zeros((1 << settings.bits, 0), np.float32), np.zeros(0), 1.0, settings.bits)
     rng = np.random.default_rng(settings.seed)
     where = {lang: i for i, lang in enumerate(languages)}
-    examples = [(_features(text[: settings.max_chars], settings.bits), where[lang]) for text, lang in rows]
-    examples = [x for x in examples if len(x[0])]
+    examples = [(ids, where[lang]) for ids, lang in rows if len(ids)]
     order = rng.permutation(len(examples))
     n_cal = int(len(examples) * settings.calibration)
     held, learn = order[:n_cal], order[n_cal:]
@@ -206,10 +228,11 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Learning rows (place, doc_id, lang, text): of each language those whose hash of doc_id is below a bound that keeps
-    about its share of them.
+    """Learning rows (place, doc_id, lang, ids): of each language those whose hash of doc_id is below a bound that keeps
+    about its share of them, with buckets drawn from their whole texts.
 
-    Languages are counted first, so only sampled rows move. Every value of lang has a share, small ones all rows.
+    Languages are counted first, so only sampled rows move, and their subwords
+    instead of their texts. Every value of lang has a share, small ones all rows.
     """
     known = docs.where("lang is not null and text is not null").withColumn(
         "place", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -218,14 +241,20 @@ def sample(docs: DataFrame, settings: Settings) -> DataFrame:
     share = max(settings.least, min(settings.per_language, settings.max_rows / max(1, len(counts))))
     bounds = docs.sparkSession.createDataFrame([(r.lang, share / r["count"]) for r in counts], "lang string, bound double")
     # as small as the list it is made of
-    picked = known.join(F.broadcast(bounds), "lang").where("place < bound")
-    return picked.select("place", "doc_id", "lang", F.substring("text", 1, settings.max_chars).alias("text"))
+    picked = known.join(F.broadcast(bounds), "lang").where("place < bound").select("place", "doc_id", "lang", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [drawn(t, settings).tobytes() for t in batch.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["place", "doc_id", "lang", "ids"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
+    return picked.mapInArrow(per_batch(run), f"{kinds}ids binary")
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on the bounded sample of ``docs(doc_id, text, lang)``."""
-    rows = sorted(sample(docs, settings).collect(), key=lambda r: (r.place, str(r.doc_id), r.lang, r.text))
-    return train([(r.text, r.lang) for r in rows], settings)
+    rows = sorted(sample(docs, settings).collect(), key=lambda r: (r.place, str(r.doc_id), r.lang, r.ids))
+    return learn([(np.frombuffer(r.ids, "<u2" if settings.bits <= 16 else "<u4"), r.lang) for r in rows], settings)
 
 
 def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:

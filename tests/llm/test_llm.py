@@ -298,6 +298,17 @@ def test_rare_languages_keep_their_learning_rows(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97
 
 
+def test_learning_reads_whole_texts():
+    s = langid.Settings()
+    text = "shared opening " * 200 + "eigene worte " * 2000
+    all_, got = langid._features(text, s.bits), langid.drawn(text, s)
+    behind = set(langid._features("eigene worte ", s.bits)) - set(langid._features("shared opening ", s.bits))
+    assert len(got) == s.max_subwords and np.isin(got, list(behind)).mean() == pytest.approx(np.isin(all_, list(behind)).mean(), abs=0.03)
+    long = "wort " * (langid.CHUNK // 2)
+    assert sorted(langid.drawn(long, langid.Settings(max_subwords=10**7))) == sorted(langid._features(long, s.bits))
+    assert (langid.drawn(text, s) == got).all() and len(langid.drawn("", s)) == 0
+
+
 def test_language_odd_rows(spark):
     model = langid.fit(odd_docs(spark))
     got = {(r.doc_id, r.lang_pred == "und") for r in langid.identify(odd_docs(spark), model).collect()}
