@@ -24,7 +24,12 @@ from figcorpus.session import scratch_dir
 
 @dataclass(frozen=True)
 class Settings:
-    """``shard_tokens`` bounds a shard (but for one longer document); ``terms`` are a seed's query terms, ``keep`` its ranked neighbours."""
+    """``shard_tokens`` is about a shard's size, cut by ``cuts`` sampled documents a
+    shard, whose weights are projected to ``sketch`` numbers.
+
+    A seed asks with its ``terms`` heaviest terms for ``keep`` neighbours at a
+    time; when they yield no more, with all its terms.
+    """
 
     vocabulary: str = "byte_bpe_50k.json"
     window: int = 2048
@@ -32,6 +37,8 @@ class Settings:
     shard_tokens: int = 4_000_000
     terms: int = 12
     keep: int = 16
+    cuts: int = 64
+    sketch: int = 64
     k1: float = 1.2
     b: float = 0.75
     seed: int = 13
@@ -140,6 +147,76 @@ def document_counts(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _weights(ids: np.ndarray, idf: np.ndarray, mean: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document and their BM25 weights."""
+    t, tf = _counted(ids)
+    return t, idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(ids) / mean))
+
+
+@lru_cache(maxsize=2)
+def _signs(size: int, s: Settings) -> np.ndarray:
+    return np.random.default_rng(s.seed).choice(np.array([-1, 1], np.float32), (size, s.sketch))
+
+
+def sketch(ids: np.ndarray, idf: np.ndarray, mean: float, s: Settings) -> np.ndarray:
+    """Random projection of a document's weights to a unit vector; lexically close documents have close ones."""
+    t, w = _weights(ids, idf, mean, s)
+    v = (w * idf[t]).astype(np.float32) @ _signs(len(idf), s)[t]
+    return v / max(1e-9, float(np.linalg.norm(v)))
+
+
+def _scores(vectors: np.ndarray, axes: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Where vectors lie along an axis, in steps; ``ties`` in [0, 1) part those in one step, such as a crowd of copies."""
+    return np.floor((vectors.astype(float) * axes).sum(1) * 1e4) + ties
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Splits of sketches; a child below 0 is the shard ~child."""
+
+    axes: np.ndarray
+    at: np.ndarray
+    children: np.ndarray
+
+    def place(self, vectors: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        node = np.full(len(vectors), 0 if len(self.at) else -1)
+        while len(open_ := np.flatnonzero(node >= 0)):
+            k = node[open_]
+            node[open_] = self.children[k, (_scores(vectors[open_], self.axes[k], ties[open_]) > self.at[k]).astype(int)]
+        return ~node
+
+
+def grow(vectors: np.ndarray, ties: np.ndarray, sizes: np.ndarray, shards: int) -> Tree:
+    """Cut a sample again and again along its widest direction, into ``shards`` parts of about equal size."""
+    axes, at, children = [], [], []
+
+    def split(rows: np.ndarray, first: int, n: int) -> int:
+        if n == 1:
+            return ~first
+        x = vectors[rows].astype(float)
+        x = x - x.mean(0) if len(rows) else x
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+        score = _scores(vectors[rows], axis[None, :], ties[rows])
+        order = np.argsort(score, kind="stable")
+        sums = np.cumsum(sizes[rows][order])
+        cut = int(np.searchsorted(sums, sums[-1] * (n // 2) / n)) if len(rows) else 0
+        here = len(at)
+        axes.append(axis)
+        at.append(score[order[min(cut, len(rows) - 1)]] if len(rows) else 0.0)
+        children.append([0, 0])
+        low = score <= at[here]
+        children[here] = [split(rows[low], first, n // 2), split(rows[~low], first + n // 2, n - n // 2)]
+        return here
+
+    split(np.arange(len(vectors)), 0, shards)
+    return Tree(np.array(axes).reshape(len(at), vectors.shape[1]), np.array(at), np.array(children, np.int64).reshape(len(at), 2))
+
+
+def _ties(rows: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) of each row."""
+    return (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(float) / (1 << 40)
+
+
 class Index:
     """BM25 over the documents of a shard, with document counts of the whole corpus."""
 
@@ -148,13 +225,12 @@ class Index:
         terms, owners, weights = [], [], []
         self.queries = []
         for i, ids in enumerate(docs):
-            t, tf = _counted(ids)
-            w = idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(ids) / mean))
+            t, w = _weights(ids, idf, mean, s)
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w.astype(np.float32))
-            top = np.argpartition(-w, s.terms - 1)[: s.terms] if len(t) > s.terms else np.arange(len(t))
-            self.queries.append(t[top])
+            # the heaviest stand in front
+            self.queries.append(t[np.argpartition(-w, s.terms - 1)] if len(t) > s.terms else t)
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
         self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(weights)[order]
@@ -162,8 +238,12 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share the seed's most telling terms, best first; ties to the earlier one."""
-        lists = [(self.bounds[t], self.bounds[t + 1]) for t in self.queries[seed].tolist()]
+        """Unused documents that share the seed's most telling terms, or else any of its terms, best first; ties to the earlier one."""
+        terms = self.queries[seed]
+        return self._best(terms[: self.s.terms], used) or (self._best(terms, used) if len(terms) > self.s.terms else [])
+
+    def _best(self, terms: np.ndarray, used: np.ndarray) -> list[int]:
+        lists = [(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()]
         own = np.concatenate([self.owners[lo:hi] for lo, hi in lists])
         scores = np.bincount(own, np.concatenate([self.weights[lo:hi] for lo, hi in lists]), self.n)
         scores[used] = 0
@@ -188,8 +268,9 @@ def pack(sizes: list[int], neighbours, window: int) -> list[Piece]:
 
     A window begins with what was left of the last document, or the next unused
     one, and takes that seed's nearest unused neighbours until it is full; the
-    last to come is cut, and its rest seeds the next window. When neighbours run
-    out, the next unused document comes. What does not fill a window in the end
+    last to come is cut, and its rest seeds the next window. When its ranked
+    neighbours are placed, the same seed asks again; only when it has none left,
+    the next unused document comes and asks. What does not fill a window in the end
     is cut into sequences whose lengths are powers of two, which need no padding.
     ``neighbours(seed, used)`` lists documents, best first; ``used`` may be read
     as a mask.
@@ -201,6 +282,7 @@ def pack(sizes: list[int], neighbours, window: int) -> list[Piece]:
     sequence, room, following = 0, window, 0
     left: tuple[int, int] | None = None
     ranked: list[int] = []
+    seed: int | None = None  # whose neighbours are ranked; none when it has no more
 
     def close(pieces: list[tuple[int, int, int]]) -> None:
         nonlocal sequence
@@ -214,6 +296,10 @@ def pack(sizes: list[int], neighbours, window: int) -> list[Piece]:
         if left is None:
             while ranked and used[ranked[0]]:
                 ranked.pop(0)
+            if not ranked and open_ and seed is not None:
+                ranked = [d for d in neighbours(seed, used) if not used[d]]
+                if not ranked:
+                    seed = None
             if ranked:
                 doc = ranked.pop(0)
             else:
@@ -224,12 +310,12 @@ def pack(sizes: list[int], neighbours, window: int) -> list[Piece]:
                 doc = following
                 if open_:
                     used[doc] = True
-                    ranked = neighbours(doc, used)
+                    seed, ranked = doc, neighbours(doc, used)
             used[doc] = True
             left = (doc, 0)
         doc, start = left
         if not open_:
-            ranked = neighbours(doc, used)
+            seed, ranked = doc, neighbours(doc, used)
         take = min(room, sizes[doc] - start)
         open_.append((doc, start, take))
         room -= take
@@ -262,8 +348,9 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     Every id of every text and the end id behind it lies in exactly one piece;
     null text is the end id alone. Sequences hold ``window`` ids, those at a
     shard's end a smaller power of two, so nothing is padded. Documents are
-    dealt to shards by a hash of their place in the token table, so rows that
-    share a doc_id are documents of their own. A shard holds its own inverted
+    dealt to shards by cuts along the widest directions of their projected
+    weights, so that lexically close ones meet at any size of the table; rows that share a doc_id are
+    documents of their own, and equal ones may lie in several shards. A shard holds its own inverted
     index, weighted by document counts over the whole corpus, and packs itself;
     sequence ids go on from the shard's number times 2**32.
     """
@@ -309,8 +396,36 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         if held:
             yield work(now, held)
 
-    place = F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(shards))
-    dealt = tokens.select(place.alias("shard"), "row", "doc_id", "n", "ids").repartition(parts, "shard").sortWithinPartitions("shard", "row")
+    step = sums.tokens / shards / s.cuts
+    drawn = F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("n") / F.lit(step)
+
+    def sketches(batch: pa.RecordBatch) -> np.ndarray:
+        sizes, blobs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        return np.array([sketch(_array(blob, n), shared.value, mean, s) for n, blob in zip(sizes, blobs)], np.float32)
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.array([v.tobytes() for v in sketches(batch)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["row", "n", "vector"])
+
+    # documents drawn by their tokens, about ``cuts`` a shard
+    some = tokens.where(drawn).select("row", "n", "ids").mapInArrow(taken, "row bigint, n bigint, vector binary").collect() if shards > 1 else []
+    some = sorted(some, key=lambda r: r.row)
+    vectors = np.array([np.frombuffer(r.vector, np.float32) for r in some], np.float32).reshape(len(some), s.sketch)
+    sizes_ = np.array([max(r.n, step) for r in some], float)
+    tree = spark.sparkContext.broadcast(grow(vectors, _ties(np.array([r.row for r in some], np.int64)), sizes_, shards))  # a split per shard
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0).to_numpy()
+            shard = tree.value.place(sketches(batch), _ties(rows)) if shards > 1 else np.zeros(len(rows), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], ["shard", "row", "doc_id", "n", "ids"])
+
+    placed = tokens.select("row", "doc_id", "n", "ids").mapInArrow(place, f"shard bigint, {_TOKENS}")
+    dealt = placed.repartition(parts, "shard").sortWithinPartitions("shard", "row")
     return dealt.mapInArrow(run, _PIECES)
 
 

@@ -235,6 +235,34 @@ def test_pieces_hold_every_id_once(spark, docs):
     assert all(n <= 2048 and n & (n - 1) == 0 for n in sizes)
 
 
+def test_close_documents_share_windows_in_many_shards(spark):
+    import json
+
+    import public_tokenizers
+
+    # 40 topics of 30 documents in few shards
+    rng = np.random.default_rng(6)
+    # words of one token each
+    words = [t[1:] for t, i in sorted(json.load(open(public_tokenizers.path("byte_bpe_50k.json")))["model"]["vocab"].items(), key=lambda x: x[1]) if re.fullmatch("Ġ[a-z]{5,}", t)]
+    topics, common = [words[100 + 8 * t : 108 + 8 * t] for t in range(40)], words[:30]
+    rows = [(t * 100 + i, " ".join(rng.permutation([*topics[t] * 2, *rng.choice(common, 12)]))) for t in range(40) for i in range(30)]
+    made = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id bigint, text string").repartition(7)
+    made = made.union(spark.createDataFrame([(10**6, "same text again")] * 300, "doc_id bigint, text string"))
+    got = packing.pack_documents(made, packing.Settings(window=256, shard_tokens=8000)).toPandas()
+    assert (got.sequence_id // 2**32).nunique() >= 4
+    full = got[got.doc_id < 10**6].assign(topic=lambda x: x.doc_id // 100)
+    share = full.groupby(["sequence_id", "topic"]).length.sum().groupby("sequence_id").max() / full.groupby("sequence_id").length.sum()
+    assert share.mean() > 0.75
+    whole = got[got.doc_id < 10**6].groupby("doc_id").agg(n=("length", "sum"), m=("doc_tokens", "max"))
+    assert len(whole) == 1200 and (whole.n == whole.m).all()
+
+
+def test_seed_asks_again_until_the_window_is_full():
+    close = {0: [3, 5, 7, 9, 11, 13]}
+    pieces = packing.pack([10] * 14, lambda seed, used: [d for d in close.get(seed, []) if not used[d]][:2], 70)
+    assert [p.doc for p in pieces if p.sequence == 0] == [0, 3, 5, 7, 9, 11, 13]
+
+
 def test_packing_odd_rows(spark):
     assert packing.pack_documents(no_docs(spark)).count() == 0
     got = packing.pack_documents(odd_docs(spark)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum("doc_tokens")).collect()
