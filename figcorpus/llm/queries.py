@@ -4,6 +4,7 @@ from figcorpus.llm import (  # noqa: F401
     ann,
     chat,
     html_extract,
+    interaction,
     langid,
     mixing,
     packing,
