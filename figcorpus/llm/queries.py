@@ -8,6 +8,7 @@ from figcorpus.llm import (  # noqa: F401
     langid,
     mixing,
     packing,
+    prefix_trie,
     quality,
     simhash,
     suffix_dedup,
