@@ -10,6 +10,7 @@ from figcorpus.llm import (  # noqa: F401
     packing,
     prefix_trie,
     quality,
+    recurrent_lm,
     simhash,
     suffix_dedup,
     toxicity,
