@@ -204,31 +204,27 @@ class Limits:
     symbols: str = "#$%&*|"
 
 
-def _per_text(data: np.ndarray, offsets: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """How many hits (one per byte) each text has."""
-    upto = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
-    return upto[offsets[1:]] - upto[offsets[:-1]]
+UPPER = bytes(range(65, 91))
+INNER = bytes(range(128, 192))  # bytes that go on a code point
 
 
 def _marked(limits: Limits) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    symbol = np.zeros(256, bool)
-    symbol[list(limits.symbols.encode())] = True
+    symbols = limits.symbols.encode()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_buffer(batch.column("text"))
-        whole = data.tobytes()
-        words, distinct = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        fails = np.zeros(batch.num_rows, np.int64)
         for i in range(batch.num_rows):
-            found = whole[offsets[i] : offsets[i + 1]].split()  # bytes split at the six ASCII blanks only
-            words[i], distinct[i] = len(found), len(set(found))
-        upper = _per_text(data, offsets, (data >= 65) & (data <= 90))
-        points = _per_text(data, offsets, data & 0xC0 != 0x80)
-        fails = (
-            (words < limits.min_words).astype(np.int64)
-            | (100 * distinct < limits.min_distinct_percent * words).astype(np.int64) << 1
-            | (100 * upper > limits.max_upper_percent * points).astype(np.int64) << 2
-            | (_per_text(data, offsets, symbol[data]) > 0).astype(np.int64) << 3
-        )
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            points = len(text.translate(None, INNER))
+            upper = len(text) - len(text.translate(None, UPPER))
+            words = text.split()  # bytes split at the six ASCII blanks only
+            fails[i] = (
+                (len(words) < limits.min_words)
+                + (100 * len(set(words)) < limits.min_distinct_percent * len(words)) * 2
+                + (100 * upper > limits.max_upper_percent * points) * 4
+                + (len(text.translate(None, symbols)) < len(text)) * 8
+            )
         kept = [batch.column(c) for c in ("part", "doc_id", "digest")]
         return pa.RecordBatch.from_arrays([*kept, pa.array(fails)], ["part", "doc_id", "digest", "lists"])
 
