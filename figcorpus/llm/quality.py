@@ -49,11 +49,15 @@ class Settings:
     or ``min_chars`` characters are not judged. A distance fails above its limit
     plus ``slack`` over the root of the number counted. ``word_limit`` lies
     between the farthest good text of the labelled rows (0.24 without slack) and
-    a text without any common word (0.36). ``held_words`` are the counts that a
+    a text without any common word (0.36). A language is a reference from
+    ``ref_docs`` documents with words and ``ref_words`` words on, all of them
+    counted; smaller ones give neither common words nor a distance. ``held_words`` are the counts that a
     task holds at once; results don't depend on it.
     """
 
     common_share: float = 0.004
+    ref_docs: int = 20
+    ref_words: int = 2_000
     held_words: int = 500_000
     min_words: int = 50
     min_chars: int = 300
@@ -97,35 +101,39 @@ def repeated_lines(text: bytes) -> int:
 
 
 def common_words(docs: DataFrame, settings: Settings) -> list[str]:
-    """The words that make up ``common_share`` of the words of some language, counted over all documents.
+    """The words that make up ``common_share`` of the words of some reference language, counted over all documents.
 
     A task adds its batches up and gives off its counts whenever it holds
     ``held_words`` of them; sums over all tasks decide, so neither batches nor
     partitions matter. A language has at most 1 / ``common_share`` such words.
     """
 
-    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    def rows(counts: dict[str, Counter], docs_of: Counter) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
-            # the language's total is the row without a word
-            words, n = [None, *c], [sum(c.values()), *c.values()]
+            # the language's total is the row without a word, its documents that of the empty word
+            words, n = [None, b"", *c], [sum(c.values()), docs_of[lang], *c.values()]
             langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(words), np.int32)))
             yield pa.RecordBatch.from_arrays([langs, pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        docs_of: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang is not None and text:
-                    counts.setdefault(lang, Counter()).update(text.lower().split())
+                words = text.lower().split() if lang is not None and text else []
+                if words:
+                    counts.setdefault(lang, Counter()).update(words)
+                    docs_of[lang] += 1
             if sum(map(len, counts.values())) >= settings.held_words:
-                yield from rows(counts)
-                counts = {}
-        yield from rows(counts)
+                yield from rows(counts, docs_of)
+                counts, docs_of = {}, Counter()
+        yield from rows(counts, docs_of)
 
     found = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, word binary, n bigint")
     summed = durable(found.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = summed.where("word is null").select("lang", F.col("n").alias("total"))
-    common = summed.where("word is not null").join(totals, "lang").where(F.col("n") >= F.lit(settings.common_share) * F.col("total"))
+    enough = summed.where("length(word) = 0").where(F.col("n") >= settings.ref_docs).select("lang")
+    totals = summed.where("word is null").where(F.col("n") >= settings.ref_words).select("lang", F.col("n").alias("total")).join(enough, "lang")
+    common = summed.where("length(word) > 0").join(totals, "lang").where(F.col("n") >= F.lit(settings.common_share) * F.col("total"))
     return sorted(bytes(r.word).decode() for r in common.select("word").distinct().collect())
 
 
@@ -176,13 +184,15 @@ def counts(docs: DataFrame, words: list[str], keep: tuple[str, ...] = ()) -> Dat
     return rows.mapInArrow(per_batch(run), f"{kinds}{_BASE}, classes array<bigint>, places array<int>, times array<bigint>")
 
 
-def references(counted: DataFrame, n_words: int, limit: int = 1000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word distribution of each language, summed over all its documents; at most ``limit`` languages."""
-    known = counted.where("lang is not null")
+def references(counted: DataFrame, n_words: int, settings: Settings) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Class and word counts of each reference language, summed over all its documents."""
+    known = counted.where("lang is not null and n_words > 0")
     sums = [F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(8)]
-    classes = {r.lang: r for r in known.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).orderBy("lang").limit(limit).collect()}
-    pairs = known.select("lang", F.explode(F.arrays_zip("places", "times")).alias("z"))
-    listed = pairs.groupBy("lang", "z.places").agg(F.sum("z.times").alias("n")).collect()  # languages x common words
+    large = known.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n"), *sums)
+    large = durable(large.where((F.col("docs") >= settings.ref_docs) & (F.col("n") >= settings.ref_words)))
+    classes = {r.lang: r for r in large.collect()}
+    pairs = known.join(large.select("lang"), "lang", "left_semi").select("lang", F.explode(F.arrays_zip("places", "times")).alias("z"))
+    listed = pairs.groupBy("lang", "z.places").agg(F.sum("z.times").alias("n")).collect()  # reference languages x common words
     of_lang: dict[str, list[tuple[int, int]]] = {}
     for x in listed:
         of_lang.setdefault(x.lang, []).append((x.places, x.n))
@@ -194,7 +204,7 @@ def references(counted: DataFrame, n_words: int, limit: int = 1000) -> dict[str,
             by_word[place] = times
         by_word[n_words] = max(0.0, r.n - by_word.sum())
         if by_class.sum() and by_word.sum():
-            out[lang] = (by_class / by_class.sum(), by_word / by_word.sum())
+            out[lang] = (by_class, by_word)
     return out
 
 
@@ -209,18 +219,23 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (part(p) + part(np.broadcast_to(q, p.shape))) / 2))
 
 
-def sparse_js_distance(rows: np.ndarray, places: np.ndarray, share: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
-    """As :func:`js_distance` for ``n`` rows that hold ``share`` at their ``places`` and nothing elsewhere."""
-    there = q[places]
+def sparse_js_distance(rows: np.ndarray, share: np.ndarray, n: int, there: np.ndarray) -> np.ndarray:
+    """As :func:`js_distance` for ``n`` rows that hold ``share`` at some places and nothing elsewhere.
+
+    ``there`` is what the other distribution, one for each row, holds at these places.
+    """
     m = (share + there) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         both = np.where(share > 0, share * np.log2(share / m), 0.0) + np.where(there > 0, there * np.log2(there / m), 0.0)
-    # a place that the row lacks adds q itself
-    return np.sqrt(np.maximum(0.0, (np.bincount(rows, both - there, n) + q.sum()) / 2))
+    # a place that the row lacks adds what the other holds, which is 1 in all
+    return np.sqrt(np.maximum(0.0, (np.bincount(rows, both - there, n) + 1.0) / 2))
 
 
 def judge(counted: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], n_words: int, settings: Settings, keep: tuple[str, ...]) -> DataFrame:
-    """Adds ``base_failed``, the distances from the nearest reference (null where guarded) and ``kept``."""
+    """Adds ``base_failed``, the distances from the nearest reference (null where guarded) and ``kept``.
+
+    A document of a reference's own language meets what the others of that language hold.
+    """
     names = sorted(refs)
 
     def nearest(n: int, distances: Iterator[np.ndarray]) -> np.ndarray:
@@ -241,8 +256,22 @@ def judge(counted: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], n_
         failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
         chars = classes.sum(1)
         by_class = classes / np.maximum(1, chars[:, None])
-        d_class = nearest(n, (js_distance(by_class, refs[k][0]) for k in names))
-        d_word = nearest(n, (sparse_js_distance(at, places, share, n, refs[k][1]) for k in names))
+        lang = np.array(col["lang"].to_pylist(), object)
+        totals = np.bincount(at, times, n)
+
+        def class_distance(k: str) -> np.ndarray:
+            others = refs[k][0] - classes * (lang == k)[:, None]
+            left = others.sum(1, keepdims=True)
+            return np.where(left[:, 0] > 0, js_distance(by_class, others / np.maximum(1, left)), np.inf)
+
+        def word_distance(k: str) -> np.ndarray:
+            own = lang == k
+            left = refs[k][1].sum() - totals * own
+            there = (refs[k][1][places] - times * own[at]) / np.maximum(1, left)[at]
+            return np.where(left > 0, sparse_js_distance(at, share, n, there), np.inf)
+
+        d_class = nearest(n, map(class_distance, names))
+        d_word = nearest(n, map(word_distance, names))
         long_chars, long_words = chars >= settings.min_chars, base["n_words"] >= settings.min_words
         bad = long_chars & (d_class > settings.class_limit + settings.slack / np.sqrt(np.maximum(1, chars)))
         bad |= long_words & (d_word > settings.word_limit + settings.slack / np.sqrt(np.maximum(1, base["n_words"])))
@@ -262,14 +291,16 @@ def quality(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``base_failed``: fewer than 20 words, or over 30 % of them in repeated
     windows of 8 words. Others fail if their class or common-word histogram is
-    far from the reference of every language; ``lang`` only says which
-    documents make up a reference, never which one a document meets. Null text
-    counts as empty. Short histograms are not judged. Without any known
-    language nothing is judged but the base. Repeated rows count again.
+    far from the reference of every language that is large enough for one;
+    ``lang`` says which documents make up a reference, and a document's own
+    counts are taken out of its language's before the two meet. Null text
+    counts as empty. Short histograms are not judged; texts of any length are
+    counted whole. Without a reference nothing is judged but the base. Repeated
+    rows count again, an empty table gives no rows, other columns are not looked at.
     """
     words = common_words(docs, settings)
     counted = durable(counts(docs, words, ("doc_id", "lang")))
-    return judge(counted, references(counted, len(words)), len(words), settings, ("doc_id",))
+    return judge(counted, references(counted, len(words), settings), len(words), settings, ("doc_id",))
 
 
 @query("op9_quality_rules")
