@@ -58,7 +58,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary in a tokenizers file, without special tokens; their strings are ordinary text.
+    """Ids of the byte-level vocabulary in a tokenizers file; the strings of its added tokens give those tokens' ids.
 
     The file's merges are in the order of their ids, so tiktoken gives the same
     ids from its vocabulary, and several times faster; texts with very long
@@ -70,19 +70,20 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self._added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self._added}
         self.size = 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]])
         self.kind, self.width = ("<u2", 2) if self.size <= 1 << 16 else ("<u4", 4)
-        self._encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
         self._slow = Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
         if len(text) >= 5000 and _LONG_RUN.search(text):
             ids = self._slow.encode(text, add_special_tokens=False).ids
+        elif any(t in text for t in self._added):
+            ids = self._fast.encode(text, allowed_special="all")
         else:
-            ids = self._encode(text)
+            ids = self._fast.encode_ordinary(text)
         return np.array(ids, self.kind).tobytes()
 
 
