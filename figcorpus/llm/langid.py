@@ -17,7 +17,7 @@ from figcorpus.llm.common import fold_of, per_batch, query, table, text_buffer
 ORDERS = (2, 3, 4)
 #: Bytes of text whose subwords a task holds at once.
 CHUNK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHAR = re.compile(r"[^\W\d_]")
 # everything in ASCII that is not a letter separates words
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -227,15 +227,20 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
     return (mean if model.head is None else mean @ model.head) + model.bias
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; fractions, circled and Roman numerals are not."""
+    return any(m[0].isalpha() for m in _WORD_CHAR.finditer(text))
+
+
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Learning rows (place, doc_id, lang, ids): of each language those whose hash of doc_id is below a bound that keeps
+    """Learning rows (place, doc_id, lang, ids): of each language those whose hash of doc_id and text is below a bound that keeps
     about its share of them, with buckets drawn from their whole texts.
 
     Languages are counted first, so only sampled rows move, and their subwords
     instead of their texts. Every value of lang has a share, small ones all rows.
     """
     known = docs.where("lang is not null and text is not null").withColumn(
-        "place", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        "place", F.pmod(F.xxhash64("doc_id", "text", F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     )
     counts = known.groupBy("lang").count().collect()  # a row per language
     share = max(settings.least, min(settings.per_language, settings.max_rows / max(1, len(counts))))
@@ -263,7 +268,9 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), kee
     Null text, text without a letter, and every text under a model without
     languages gets ``und`` with score 0. ``rejected`` is true for ``und`` and
     for a probability below ``settings.reject_below``. Ties go to the language
-    that sorts first. Texts are read whole, in pieces.
+    that sorts first. Texts of any length are read whole, in pieces. Repeated
+    rows are told each, an empty table gives no rows, and other columns than
+    ``keep`` are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits rows of one float per language
     columns = ["doc_id", *keep]
@@ -272,7 +279,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), kee
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         text = batch.column(batch.num_columns - 1)
-        known = np.array([t is not None and bool(_LETTER.search(t)) for t in text.to_pylist()], bool) & bool(m.languages)
+        known = np.array([t is not None and has_letter(t) for t in text.to_pylist()], bool) & bool(m.languages)
         if m.languages:
             scaled = logits(text, m) / m.temperature
             prob = np.exp(scaled - scaled.max(1, keepdims=True))
