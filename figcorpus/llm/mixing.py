@@ -242,7 +242,7 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights=cycle_we
     source's taken words differ from its share of the flow by at most half a
     row at each cut. ``source_size`` and ``target`` are those of the row's first
     source. Null text has size 0; a null source is a source of its own, last in
-    order. Rows that share a doc_id are taken together. Rows without words are
+    order. More than 100,000 membership patterns raise an error. Rows that share a doc_id are taken together. Rows without words are
     taken with their hash like any other, and count nothing. An empty table
     gives an empty result.
     """
@@ -301,10 +301,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 11, most: int = 2) -> DataFrame:
-    """The documents of the mix: a row for each taken copy, with the columns of ``docs``."""
+    """The documents of the mix: a row for each taken copy, with the columns of ``docs``.
+
+    Other columns are carried along whatever their names. Null and empty texts
+    count nothing and are taken by their hash; repeated rows are taken together;
+    an empty table stays empty.
+    """
     members = F.array("source")
     sized = durable(sized_rows(docs, members, seed))
     mix = plan(sized, cycle_weights((3, 1, 2)), most=most)
-    rows = docs.withColumns({"key": F.to_json(members), "h": seeded("doc_id", seed)})
+    # the row is carried whole, so no column of its own can meet one of the mix
+    rows = docs.select(F.to_json(members).alias("key"), seeded("doc_id", seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     taken = with_copies(rows, mix, most)
-    return taken.withColumn("__copy", F.explode("copies")).select(*docs.columns)
+    return taken.select("row", F.explode("copies")).select("row.*")
