@@ -59,10 +59,10 @@ def fold(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training. ``max_labelled`` bounds the labelled rows, ``max_entries`` the lexicon and its exceptions."""
+    """Bounds of the training. ``max_labelled`` bounds the labelled rows; more than ``max_entries`` entries or exceptions raise an error."""
 
     max_labelled: int = 30_000
-    max_entries: int = 4_000
+    max_entries: int = 100_000
     prefix: tuple[int, int] = (4, 8)
     min_word: int = 3
     min_rows: int = 4
@@ -196,6 +196,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _bounded(rows: list, settings: Settings) -> None:
+    if len(rows) > settings.max_entries:
+        raise ValueError(f"more than {settings.max_entries} entries")
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn lexicon, exceptions and slopes from ``labels(doc_id, toxic)`` and the texts of ``docs``.
 
@@ -227,9 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         .withColumns({"z": z, "weight": weight})
         .where((F.col("z") >= settings.min_z) & (F.col("weight") >= settings.min_weight))
         .orderBy(F.desc("z"), "term")
-        .limit(settings.max_entries)
+        .limit(settings.max_entries + 1)
         .collect()
     )
+    _bounded(best, settings)
     weights = {r.term: float(r.weight) for r in best}
     counts = {r.term: (r.bad, r.fine) for r in best}
     lexicon = {t: weights[t] for t in telling(counts)}
@@ -256,9 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         _presence(learn, around)
         .where((F.col("bad") == 0) & (F.col("fine") >= settings.min_rows))
         .orderBy(F.desc("fine"), "term")
-        .limit(settings.max_entries)
+        .limit(settings.max_entries + 1)
         .collect()
     )
+    _bounded(spared, settings)
     exceptions = tuple(sorted(r.term for r in spared))
     machine_of = (dict(lexicon), exceptions)
 
