@@ -1,7 +1,8 @@
 """Near-duplicate pairs of vectors and signatures, and what to delete.
 
-Both searches are exact. Identical rows are folded into the one with the smallest id
-first, so a group of copies costs one row in the pair join and is listed as links to
+Every listed pair is checked exactly. Signatures and grid cells miss none; projection
+bands find each pair with a chosen probability, and their work grows with the table
+instead of its square. Identical rows are folded into the one with the smallest id first, so a group of copies costs one row in the pair join and is listed as links to
 that row rather than as all its pairs.
 """
 
@@ -40,12 +41,10 @@ def _cells(unit: Column, dims: list[int], width: float) -> list[Column]:
     return [F.floor(F.get(unit, F.lit(d)) / width) for d in dims]
 
 
-def _spread_dims(units: DataFrame, n: int, size: int) -> list[int]:
-    """The components with the largest variance; the answer has ``size`` numbers."""
-    spread = (
-        units.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.var_pop("x").alias("v")).limit(size).collect()
-    )
-    return [r["d"] for r in sorted(spread, key=lambda r: (-r["v"], r["d"]))[:n]]
+def _spread_dims(units: DataFrame, n: int) -> list[int]:
+    """The ``n`` components with the largest variance."""
+    spread = units.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.var_pop("x").alias("v"))
+    return [r["d"] for r in spread.orderBy(F.desc("v"), "d").limit(n).collect()]
 
 
 def _meetings(own: DataFrame, cells: list[str], offsets: list[tuple[int, ...]], tile: int) -> DataFrame:
@@ -89,7 +88,7 @@ def _tile_products(threshold: float, semi: bool):
 
 
 def similar_units(
-    units: DataFrame, threshold: float, size: int, grid_dims: int = 2, tile: int = 2048, how: str = "inner"
+    units: DataFrame, threshold: float, grid_dims: int = 2, tile: int = 2048, how: str = "inner"
 ) -> DataFrame:
     """Pairs rep_i < rep_j of unit vectors with cosine >= threshold.
 
@@ -103,7 +102,7 @@ def similar_units(
     pairs leave it. ``left_semi`` keeps the right ids with some partner and lists no pairs.
     """
     r = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    grid = _spread_dims(units, grid_dims, size)
+    grid = _spread_dims(units, grid_dims)
     kind = units.schema["rep"].dataType.simpleString()
     semi = how == "left_semi"
     out = f"id {kind}" if semi else f"i {kind}, j {kind}, similarity double"
@@ -135,6 +134,103 @@ def meeting_rows(units: DataFrame, grid: list[int], r: float, tile: int) -> Data
     return tiled(own.withColumn("_home", F.lit(True)), 0).unionByName(tiled(_moved(own, names, offsets), 1))
 
 
+def band_layout(n: int, threshold: float, recall: float, bucket: int) -> tuple[int, int]:
+    """(sign bits of a band, bands) for ``n`` vectors.
+
+    A band has so many bits that evenly spread vectors fill its buckets with about
+    ``bucket`` of them, and there are so many bands that a pair at the threshold shares
+    one with probability ``recall``. A bit differs with probability angle / pi.
+    """
+    bits = max(1, min(62, math.ceil(math.log2(max(2.0, n / bucket)))))
+    same = min(1 - 1e-12, (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits)
+    return bits, max(1, math.ceil(math.log(max(1e-300, 1 - recall)) / math.log1p(-same)))
+
+
+def _signs(bits: int, bands: int, seed: int):
+    """Adds ``keys``: in each band the signs of a vector's projections on seeded random directions, as one number."""
+
+    def run(batches):
+        planes = None
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(u.shape[1], bits * bands))
+            keys = ((u @ planes >= 0).reshape(-1, bits) @ weights).astype(np.int64)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("u"), rows], ["rep", "u", "keys"])
+
+    return run
+
+
+def _bucket_products(threshold: float, semi: bool):
+    """Similar pairs of one bucket (side 2: all its rows) or of a left and a right tile of it (0 and 1).
+
+    A pair counts in the first band that it shares.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, band = rows["_side"].to_numpy(), rows["_band"][0].as_py()
+        ids = rows["rep"].to_numpy()
+        u, keys = (rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for c in ("u", "keys"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a, b = np.nonzero((u[left] @ u[right].T >= threshold) & (ids[left][:, None] < ids[right][None, :]))
+        a, b = left[a], right[b]
+        first = (keys[a] == keys[b]).argmax(axis=1) == band
+        a, b = a[first], b[first]
+        kind = rows.schema.field("rep").type
+        if semi:
+            return pa.table({"id": pa.array(np.unique(ids[b]), kind)})
+        return pa.table({"i": pa.array(ids[a], kind), "j": pa.array(ids[b], kind), "similarity": np.einsum("ij,ij->i", u[a], u[b])})
+
+    return run
+
+
+def bucket_rows(units: DataFrame, bits: int, bands: int, tile: int = 2048, seed: int = 7) -> DataFrame:
+    """The rows (rep, u, keys, _band, _key, _lt, _rt, _side) of every bucket of two vectors or more.
+
+    A vector is in one bucket of each band. Buckets are counted first: a bucket up to
+    ``tile`` rows is one group with each row once; a larger one is cut by a hash of the id,
+    its left tiles meeting its right tiles.
+    """
+    kind = units.schema["rep"].dataType.simpleString()
+    signed = units.select("rep", "u").mapInArrow(_signs(bits, bands, seed), f"rep {kind}, u array<double>, keys array<bigint>")
+    filed = signed.select("rep", "u", "keys", F.posexplode("keys").alias("_band", "_key"))
+    tiles = filed.groupBy("_band", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    tiles = tiles.select("_band", "_key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    met = filed.join(tiles, ["_band", "_key"])
+    mine, every = F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int"), F.sequence(F.lit(0), F.col("_tiles") - 1)
+
+    def placed(side: int, lt, rt):
+        return F.struct(F.lit(side).alias("_side"), lt.alias("_lt"), rt.alias("_rt"))
+
+    zero = F.lit(0)
+    both = F.concat(F.transform(every, lambda t: placed(0, mine, t)), F.transform(every, lambda t: placed(1, t, mine)))
+    places = F.when(F.col("_tiles") == 1, F.array(placed(2, zero, zero))).otherwise(both)
+    return met.withColumn("_place", F.explode(places)).select("rep", "u", "keys", "_band", "_key", "_place.*")
+
+
+def similar_by_bands(
+    units: DataFrame, threshold: float, recall: float = 0.9999, bucket: int = 64, tile: int = 2048, how: str = "inner", seed: int = 7
+) -> DataFrame:
+    """Pairs rep_i < rep_j of unit vectors with cosine >= threshold that share a band of projection signs.
+
+    Each true pair is found with at least the probability ``recall``, each listed pair is
+    checked on the vectors, and each counts once. The number of buckets grows with the
+    table, so a vector meets about ``bucket`` others in each band. ``left_semi``
+    keeps the right ids with some partner.
+    """
+    semi = how == "left_semi"
+    kind = units.schema["rep"].dataType.simpleString()
+    bits, bands = band_layout(units.count(), threshold, recall, bucket)
+    out = f"id {kind}" if semi else f"i {kind}, j {kind}, similarity double"
+    groups = bucket_rows(units, bits, bands, tile, seed).groupBy("_band", "_key", "_lt", "_rt")
+    met = groups.applyInArrow(_bucket_products(threshold, semi), out)
+    return met.distinct() if semi else met
+
+
 def _unit_reps(df: DataFrame, id_col: str, vector: str):
     folded, links = fold_copies(df.select(id_col, vector), id_col, vector, {"u": vec.unit(vector)})
     # zero vectors have no unit vector and are similar to nothing
@@ -142,10 +238,19 @@ def _unit_reps(df: DataFrame, id_col: str, vector: str):
     return folded.select("rep", "u").where(known), links.where(known).select("rep", "copy")
 
 
-def similar_pairs_cosine(df: DataFrame, id_col: str, vector: str, threshold: float = 0.98, size: int = 64) -> DataFrame:
-    """(left_id, right_id, similarity): pairs of distinct vectors, and one link per copy."""
+def _similar(units: DataFrame, threshold: float, recall: float | None, how: str = "inner") -> DataFrame:
+    return similar_units(units, threshold, how=how) if recall is None else similar_by_bands(units, threshold, recall, how=how)
+
+
+def similar_pairs_cosine(df: DataFrame, id_col: str, vector: str, threshold: float = 0.98, recall: float | None = 0.9999) -> DataFrame:
+    """(left_id, right_id, similarity): pairs of distinct vectors, and one link per copy.
+
+    ``recall`` is the probability with which a pair at the threshold is found by
+    projection bands; closer ones are found more surely. None takes grid cells, which
+    miss none and cost the square of what a crowded cell holds.
+    """
     units, links = _unit_reps(df, id_col, vector)
-    pairs = similar_units(units, threshold, size).select(
+    pairs = _similar(units, threshold, recall).select(
         F.col("i").alias("left_id"), F.col("j").alias("right_id"), "similarity"
     )
     return pairs.unionByName(
@@ -153,14 +258,14 @@ def similar_pairs_cosine(df: DataFrame, id_col: str, vector: str, threshold: flo
     )
 
 
-def cosine_delete_set(df: DataFrame, id_col: str, vector: str, threshold: float = 0.98, size: int = 64) -> DataFrame:
+def cosine_delete_set(df: DataFrame, id_col: str, vector: str, threshold: float = 0.98, recall: float | None = 0.9999) -> DataFrame:
     """Ids that are the right member of some pair, without listing the pairs.
 
     A copy always is; a vector's smallest id is if some smaller id is close, which is
     decided among the smallest ids.
     """
     units, links = _unit_reps(df, id_col, vector)
-    close = similar_units(units, threshold, size, how="left_semi")
+    close = _similar(units, threshold, recall, how="left_semi")
     return close.select("id").unionByName(links.select(F.col("copy").alias("id")))
 
 

@@ -20,12 +20,12 @@ def link_records(main: DataFrame, other: DataFrame, fields: dict[str, str], with
     ``within`` are key columns both sides always have (the book, or book and image).
 
     Whether a field takes part depends on both rows, so each row is filed once for every
-    pattern of missing fields the other side may have; rows that meet agree on the
+    pattern of missing fields that occurs on the other side; rows that meet agree on the
     pattern and on all fields it leaves. That is one equi-join without a cross product,
-    and a large book spreads over the values of its fields.
+    and a large book spreads over the values of its fields. The patterns come from one
+    aggregate of each side, at most 2 to the number of fields.
     """
     pairs = list(fields.items())
-    n = len(pairs)
 
     def mask(cols):
         m = F.lit(0)
@@ -38,16 +38,19 @@ def link_records(main: DataFrame, other: DataFrame, fields: dict[str, str], with
             *[F.when(both.bitwiseAND(F.lit(1 << i)) != 0, F.col(c).cast("string")).otherwise("") for i, c in enumerate(cols)]
         )
 
-    patterns = F.array(*[F.lit(p) for p in range(1 << n)])
+    def occurring(df: DataFrame, cols) -> Column:
+        found = sorted(r[0] for r in df.select(mask(cols).alias("m")).distinct().collect())
+        return F.array(*[F.lit(p) for p in found]).cast("array<int>")
+
     left = (
         main.withColumn("_m", mask([a for a, _ in pairs]))
-        .withColumn("_o", F.explode(patterns))
+        .withColumn("_o", F.explode(occurring(other, [b for _, b in pairs])))
         .withColumn("_key", key([a for a, _ in pairs], F.col("_m").bitwiseAND(F.col("_o"))))
     )
     right = other.select(*[F.col(c).alias(f"other_{c}") for c in other.columns])
     right = (
         right.withColumn("_ro", mask([f"other_{b}" for _, b in pairs]))
-        .withColumn("_rm", F.explode(patterns))
+        .withColumn("_rm", F.explode(occurring(main, [a for a, _ in pairs])))
         .withColumn("_rkey", key([f"other_{b}" for _, b in pairs], F.col("_rm").bitwiseAND(F.col("_ro"))))
     )
     on = (F.col("_m") == F.col("_rm")) & (F.col("_o") == F.col("_ro")) & (F.col("_key") == F.col("_rkey"))
@@ -71,6 +74,44 @@ def apply_review(main: DataFrame, edits: DataFrame, keys: list[str], fields: lis
     return joined.select(*keys, *out, *kept, "review_info")
 
 
+def carried_edits(
+    main: DataFrame, other: DataFrame, edits: DataFrame, keys: list[str], other_id: str, fields: dict[str, str], within: list[str]
+) -> DataFrame:
+    """Another source's records with the edits of the main records that they are linked to.
+
+    Links are those of the unedited values (:func:`link_records`). An edited main
+    record writes its mapped ``fields`` over those of every linked record; where several edited records
+    reach one, the latest edit counts, at one time the larger index, then the
+    larger reviewer. Records that are reached carry review_info(reviewer, timestamp,
+    original_index) of that edit, the others null. Each source is merged by
+    its own id, so repeating the same edits changes nothing.
+    """
+    info = F.struct("reviewer", "timestamp", "original_index")
+    version = F.struct("timestamp", "original_index", "reviewer")
+    values = F.struct(*[F.col(a).alias(f"_e_{b}") for a, b in fields.items()])
+    latest = edits.groupBy(*keys).agg(F.max_by(F.struct(values.alias("v"), info.alias("info"), version.alias("at")), version).alias("_e"))
+    # only edited records are linked
+    touched = main.join(latest, keys).select(*keys, *[c for c in {*fields, *within} if c not in keys], "_e")
+    links = link_records(touched, other.select(other_id, *{*fields.values(), *within}), fields, within)
+    newest = links.groupBy(F.col(f"other_{other_id}").alias(other_id)).agg(F.max_by(F.col("_e"), F.col("_e.at")).alias("_e"))
+    joined = other.join(newest, other_id, "left")
+    hit = F.col("_e").isNotNull()
+    mapped = [F.when(hit, F.col(f"_e.v._e_{b}")).otherwise(F.col(b)).alias(b) for b in fields.values()]
+    kept = [c for c in other.columns if c != other_id and c not in fields.values()]
+    return joined.select(other_id, *mapped, *kept, F.col("_e.info").alias("review_info"))
+
+
+def apply_linked_review(
+    main: DataFrame, edits: DataFrame, keys: list[str], fields: list[str], others: dict[str, tuple[DataFrame, str, dict[str, str]]], within: list[str]
+) -> dict[str, DataFrame]:
+    """The reviewed main records (under ``main``) and those of every linked source, by its name.
+
+    ``others`` gives each source's records, id and mapped fields.
+    """
+    out = {"main": apply_review(main, edits, keys, fields)}
+    return out | {name: carried_edits(main, df, edits, keys, id_, mapped, within) for name, (df, id_, mapped) in others.items()}
+
+
 def _stringify(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.StructType):
         return F.struct(*[_stringify(c[f.name], f.dataType).alias(f.name) for f in t.fields])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figcorpus.functions import parsing as ps
-from figcorpus.operators.ranking import with_position
+from figcorpus.operators.ranking import with_position, with_running_sum
 from figcorpus.session import durable
 
 TREE = ("fq_no",)
@@ -143,6 +143,49 @@ def answer_actions(log: DataFrame, tree=TREE, node="question_node_no") -> DataFr
     return numbered.withColumn("answer_no", F.col("answer_no") - 1).drop("_first")
 
 
+def selection_visits(log: DataFrame, tree=TREE, step="step", child="child_no") -> DataFrame:
+    """Adds ``root_visits`` and ``child_visits`` of a logged search as they stand at each selection.
+
+    ``log`` has a row per selection, in the order of ``step``: tree, ``restart``
+    (the search begins again at the root), the parent and the selected child. A
+    restart is a visit of the root; a selection is one of the child, counted from the next step on.
+    """
+    rooted = with_running_sum(log, [step], F.col("restart").cast("bigint"), tree, "root_visits")
+    chosen = with_position(rooted, [step], (*tree, child), "child_visits")
+    return chosen.withColumn("child_visits", F.col("child_visits") - 1)
+
+
+def replay_selections(
+    log: DataFrame, nodes: DataFrame, tree=TREE, node="question_node_no", parent="parent_node_no", step="step", child="child_no", c: float = EXPLORATION
+) -> DataFrame:
+    """What each logged selection chose, and the best child by the scores as they stood then.
+
+    ``nodes`` holds the visits and victories before the log, ``log`` has ``won`` for
+    each selection. Each selection is written out once per child of its parent, and
+    a child's visits and victories then are running sums over its own rows, so the work is the
+    log times the children of a node. Adds best_node, best_uct, uct (that of the chosen child) and
+    ``was_best``; the lowest number wins a tie.
+    """
+    kids = nodes.select(*tree, parent, F.col(node).alias("_kid"), F.col("visit_count").alias("_v"), F.col("victory_count").alias("_w"))
+    rows = log.select(*tree, step, parent, child, "won").join(kids, [*tree, parent])
+    taken = F.col("_kid") == F.col(child)
+    order, group = [step], (*tree, parent, "_kid")
+    rows = rows.withColumn("_taken", taken.cast("bigint")).withColumn("_won", (taken & F.col("won")).cast("bigint"))
+    both = with_running_sum(rows, order, F.col("_taken"), group, "_seen")
+    both = with_running_sum(both, order, F.col("_won"), group, "_wins")
+    visits = F.col("_v") + F.col("_seen") - F.col("_taken")
+    wins = F.col("_w") + F.col("_wins") - F.col("_won")
+    then = both.withColumns({"_n": visits, "_q": wins / visits})
+    total = then.groupBy(*tree, step).agg(F.sum("_n").alias("_total"))
+    scored = then.join(total, [*tree, step]).withColumn("_uct", F.col("_q") + F.lit(c) * F.sqrt(F.log(F.col("_total").cast("double")) / F.col("_n")))
+    best = F.max_by(F.struct("_kid", "_uct"), F.struct(F.col("_uct"), -F.col("_kid")))
+    told = scored.groupBy(*tree, step, parent, child).agg(best.alias("_b"), F.max(F.when(F.col("_kid") == F.col(child), F.col("_uct"))).alias("uct"))
+    return told.select(
+        *tree, step, parent, child, "uct", F.col("_b._kid").alias("best_node"), F.col("_b._uct").alias("best_uct"),
+        (F.col("_b._kid") == F.col(child)).alias("was_best"),
+    )
+
+
 def child_counts(nodes: DataFrame, node="question_node_no", parent="parent_node_no", tree=TREE) -> DataFrame:
     """Children of every node, and whether it is a leaf."""
     kids = nodes.groupBy(*tree, F.col(parent).alias(node)).agg(F.count("*").alias("n_children"))

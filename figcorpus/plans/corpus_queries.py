@@ -214,6 +214,57 @@ def i04(spark, sf):
     )
 
 
+# Two sources hang on the orders of a customer: reports by status, notes by whatever is given.
+LINKED = """m AS (SELECT o_orderkey id, o_custkey book_id, CASE WHEN o_orderkey%7=0 THEN NULL ELSE o_orderstatus END st, CAST(o_orderkey%4 AS VARCHAR) grade FROM orders),
+rep AS (SELECT o_orderkey rid, o_custkey book_id, CASE WHEN o_orderkey%5=0 THEN NULL ELSE o_orderstatus END status FROM orders),
+notes AS (SELECT c_custkey nid, c_custkey book_id, CASE WHEN c_custkey%2=0 THEN CAST(c_custkey%4 AS VARCHAR) END mark, c_mktsegment status FROM customer),
+ed AS (SELECT id, 'x'||id%3 st, 'g'||id%2 grade, 'ann' reviewer, '2025-01-01' "timestamp", id original_index FROM m WHERE id%3=0
+  UNION ALL SELECT id, 'y'||id%3, 'h', 'bob', CASE WHEN id%4=0 THEN '2024-12-31' ELSE '2025-01-02' END, id FROM m WHERE id%2=0)"""
+
+
+def _linked(spark, sf):
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    main = orders.selectExpr(
+        "o_orderkey id", "o_custkey book_id", "CASE WHEN o_orderkey%7=0 THEN NULL ELSE o_orderstatus END st", "CAST(o_orderkey%4 AS STRING) grade"
+    )
+    reports = orders.selectExpr("o_orderkey rid", "o_custkey book_id", "CASE WHEN o_orderkey%5=0 THEN NULL ELSE o_orderstatus END status")
+    notes = customer.selectExpr(
+        "c_custkey nid", "c_custkey book_id", "CASE WHEN c_custkey%2=0 THEN CAST(c_custkey%4 AS STRING) END mark", "c_mktsegment status"
+    )
+    first = main.where("id % 3 = 0").selectExpr(
+        "id", "concat('x', id%3) st", "concat('g', id%2) grade", "'ann' reviewer", "'2025-01-01' timestamp", "id original_index"
+    )
+    second = main.where("id % 2 = 0").selectExpr(
+        "id", "concat('y', id%3) st", "'h' grade", "'bob' reviewer", "CASE WHEN id%4=0 THEN '2024-12-31' ELSE '2025-01-02' END timestamp", "id original_index"
+    )
+    others = {"reports": (reports, "rid", {"st": "status"}), "notes": (notes, "nid", {"grade": "mark"})}
+    return rv.apply_linked_review(main, first.unionByName(second), ["id"], ["st", "grade"], others, ["book_id"])
+
+
+@query(
+    "i04_linked_review",
+    f"""WITH {LINKED}, v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "timestamp" DESC, original_index DESC, reviewer DESC) k FROM ed), e AS (SELECT * FROM v WHERE k=1),
+    t AS (SELECT m.*, e.st new_st, e.grade new_grade, e.reviewer, e."timestamp" ts, e.original_index FROM m JOIN e USING (id)),
+    lr AS (SELECT r.rid, t.*, row_number() OVER (PARTITION BY r.rid ORDER BY t.ts DESC, t.original_index DESC, t.reviewer DESC) k
+      FROM t JOIN rep r ON r.book_id=t.book_id AND (t.st IS NULL OR r.status IS NULL OR t.st=r.status)),
+    ln AS (SELECT n.nid, t.*, row_number() OVER (PARTITION BY n.nid ORDER BY t.ts DESC, t.original_index DESC, t.reviewer DESC) k
+      FROM t JOIN notes n ON n.book_id=t.book_id AND (n.mark IS NULL OR t.grade=n.mark))
+    SELECT 'main' AS "source", m.id, CASE WHEN e.id IS NOT NULL THEN e.st ELSE m.st END AS "value", e.reviewer, e.original_index FROM m LEFT JOIN e USING (id)
+    UNION ALL SELECT 'reports', r.rid, CASE WHEN l.rid IS NOT NULL THEN l.new_st ELSE r.status END, l.reviewer, l.original_index FROM rep r LEFT JOIN lr l ON l.rid=r.rid AND l.k=1
+    UNION ALL SELECT 'notes', n.nid, CASE WHEN l.nid IS NOT NULL THEN l.new_grade ELSE n.mark END, l.reviewer, l.original_index FROM notes n LEFT JOIN ln l ON l.nid=n.nid AND l.k=1""",
+)
+def i04_linked(spark, sf):
+    done = _linked(spark, sf)
+
+    def told(name, id_, value):
+        return done[name].select(
+            F.lit(name).alias("source"), F.col(id_).alias("id"), F.col(value).alias("value"),
+            F.col("review_info.reviewer").alias("reviewer"), F.col("review_info.original_index").alias("original_index"),
+        )
+
+    return told("main", "id", "st").unionByName(told("reports", "rid", "status")).unionByName(told("notes", "nid", "mark"))
+
+
 @query(
     "i05_stringify_leaves",
     """SELECT CAST(d.doc_id AS VARCHAR) doc_id, trim(d.lang) lang, coalesce(CAST(l.quality AS VARCHAR),'') quality, coalesce(CAST(l.toxic AS VARCHAR),'') toxic FROM documents d LEFT JOIN labels l USING (doc_id)""",

@@ -125,6 +125,47 @@ def d12(spark, sf):
     return tr.answer_actions(_log(spark, sf).withColumnRenamed("no", "question_node_no"))
 
 
+# Every chain is one run of a search from the root; each step down it selects a child.
+SELECTED = """sel AS (SELECT l.fq_no, l.chain_no*1000+l.pos step, l.pos=1 AS "restart", t.parent_node_no, l."no" child_no, l.correct won
+  FROM log l JOIN tree t ON t.fq_no=l.fq_no AND t.question_node_no=l."no" WHERE l.pos>0)"""
+
+
+def _selections(spark, sf):
+    chains = _chains(spark, sf).select("fq_no", "chain_no", "correct", "path", F.posexplode("path").alias("pos", "child_no"))
+    return chains.where("pos > 0").select(
+        "fq_no", (F.col("chain_no") * 1000 + F.col("pos")).alias("step"), (F.col("pos") == 1).alias("restart"),
+        F.get("path", F.col("pos") - 1).alias("parent_node_no"), "child_no", F.col("correct").alias("won"),
+    )
+
+
+@query(
+    "d12_selection_visits",
+    f"""{R}, {SELECTED} SELECT fq_no::BIGINT fq_no, step::BIGINT step, parent_node_no::BIGINT parent_node_no, child_no::BIGINT child_no,
+      count(*) FILTER ("restart") OVER (PARTITION BY fq_no ORDER BY step) root_visits, row_number() OVER (PARTITION BY fq_no, child_no ORDER BY step)-1 child_visits FROM sel""",
+)
+def d12_selections(spark, sf):
+    return tr.selection_visits(_selections(spark, sf), ("fq_no",)).select(
+        "fq_no", "step", "parent_node_no", "child_no", "root_visits", "child_visits"
+    )
+
+
+@query(
+    "e12_replayed_choices",
+    f"""{R}, {SELECTED},
+    kid AS (SELECT s.*, t.question_node_no node, t.visit_count + coalesce(sum((t.question_node_no=s.child_no)::INT) OVER w, 0) n,
+        t.victory_count + coalesce(sum((t.question_node_no=s.child_no AND s.won)::INT) OVER w, 0) q
+      FROM sel s JOIN tree t ON t.fq_no=s.fq_no AND t.parent_node_no=s.parent_node_no
+      WINDOW w AS (PARTITION BY s.fq_no, s.parent_node_no, t.question_node_no ORDER BY s.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    sc AS (SELECT *, q/n::DOUBLE+sqrt(2.0::DOUBLE)*sqrt(ln((sum(n) OVER (PARTITION BY fq_no, step))::DOUBLE)/n) score FROM kid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fq_no, step ORDER BY score DESC, node) k FROM sc)
+    SELECT a.fq_no::BIGINT fq_no, a.step::BIGINT step, a.child_no::BIGINT child_no, a.node::BIGINT best_node, round(a.score,6) best_uct, round(b.score,6) uct, a.node=a.child_no was_best
+    FROM r a JOIN r b ON a.fq_no=b.fq_no AND a.step=b.step AND b.node=b.child_no WHERE a.k=1""",
+)
+def e12_replay(spark, sf):
+    out = tr.replay_selections(_selections(spark, sf), _nodes(spark, sf), ("fq_no",))
+    return out.select("fq_no", "step", "child_no", "best_node", F.round("best_uct", 6).alias("best_uct"), F.round("uct", 6).alias("uct"), "was_best")
+
+
 @query(
     "d13_child_counts",
     f"""{R} SELECT t.fq_no::BIGINT fq_no, t.question_node_no::BIGINT question_node_no, count(c.question_node_no) n_children, count(c.question_node_no)=0 is_leaf

@@ -156,3 +156,119 @@ def test_streams_read_files_and_folders(spark, tmp_path):
     for name in ("j02_stream_dedupe", "j04_stream_error_rate"):
         one, many = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
         assert one == many and one
+
+
+def test_a_failing_batch_is_halved(spark, tmp_path):
+    """Calls are counted: one bad row in a batch of 64 costs about two calls a level, and good rows no more than those."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def model(part):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(",".join(map(str, part["id"])))
+        if (part["id"] % 100 == 13).any():
+            raise RuntimeError("bad row")
+        return [str(i) for i in part["id"]]
+
+    df = spark.range(0, 640, 1, 1)
+    rows = inf.score_batches(df, model, ["id"], batch=64).collect()
+    assert {r["id"] for r in rows if r["status"] == "error"} == {13, 113, 213, 313, 413, 513, 613}
+    assert all(r["response"] == str(r["id"]) for r in rows if r["status"] == "ok")
+    asked = [list(map(int, f.read_text().split(","))) for f in log.iterdir()]
+    assert len(asked) <= 10 + 7 * 2 * 6
+    whole = [x for x in range(640) if sum(x in a for a in asked) == 1]
+    assert set(range(64 * 7, 64 * 8)) <= set(whole)  # a batch without a bad row is asked once
+    assert max(sum(x in a for a in asked) for x in range(640)) <= 7
+
+
+def test_a_function_may_report_single_rows(spark):
+    def model(part):
+        return [inf.RowError("no") if i == 5 else i for i in part["id"]]
+
+    rows = {r["id"]: r for r in inf.score_batches(spark.range(20), model, ["id"], batch=20).collect()}
+    assert rows[5]["error"] == "no" and rows[5]["status"] == "error" and rows[6]["response"] == "6"
+    short = inf.score_batches(spark.range(2), lambda p: [], ["id"]).collect()
+    assert all("0 replies" in r["error"] for r in short)
+
+
+def test_several_calls_are_open_at_once_and_no_more(spark, tmp_path):
+    def model(part):
+        import time
+        import uuid
+
+        mark = tmp_path / uuid.uuid4().hex
+        mark.touch()
+        time.sleep(0.2)
+        n = len(list(tmp_path.iterdir()))
+        mark.unlink()
+        return [n] * len(part)
+
+    got = inf.score_batches(spark.range(0, 40, 1, 1), model, ["id"], batch=4, in_flight=4).collect()
+    assert [r["id"] for r in got] == list(range(40))
+    assert 2 <= max(int(r["response"]) for r in got) <= 4
+
+
+def test_a_journal_asks_no_answered_key_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(die_at):
+        def fn(part):
+            import uuid
+
+            (calls / uuid.uuid4().hex).write_text(",".join(map(str, part["id"])))
+            if die_at is not None and (part["id"] == die_at).any():
+                import os
+
+                os._exit(1)  # the worker is lost in the middle of the job
+            return ["bad" if i == 7 else str(i) for i in part["id"]]
+
+        return fn
+
+    df, journal = spark.range(0, 60, 1, 2), str(tmp_path / "journal")
+    try:
+        inf.journaled_batches(df, model(42), ["id"], journal, slices=4, batch=4).collect()
+        raise AssertionError("the job should have been lost")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    kept = {r["id"] for r in spark.read.parquet(f"{journal}/*").collect()} if any((tmp_path / "journal").glob("*/*.parquet")) else set()
+    for f in calls.iterdir():
+        f.unlink()
+    rows = {r["id"]: r for r in inf.journaled_batches(df, model(None), ["id"], journal, slices=4, batch=4).collect()}
+    assert set(rows) == set(range(60)) and all(r["response"] == str(i) for i, r in rows.items() if i != 7)
+    asked = [int(x) for f in calls.iterdir() for x in f.read_text().split(",")]
+    assert len(asked) == len(set(asked)) and set(asked) == set(range(60)) - kept
+    for f in calls.iterdir():
+        f.unlink()
+    assert inf.journaled_batches(df, model(None), ["id"], journal, slices=4).count() == 60 and not list(calls.iterdir())
+
+
+def test_a_journal_keeps_the_last_success(spark, tmp_path):
+    journal = str(tmp_path / "j")
+
+    def failing(part):
+        raise RuntimeError("down")
+
+    df = spark.range(6)
+    assert inf.journaled_batches(df, failing, ["id"], journal, slices=2).where("status = 'error'").count() == 6
+    assert inf.journaled_batches(df, lambda p: p["id"], ["id"], journal, slices=2).where("status = 'error'").count() == 6
+    assert inf.journaled_batches(df, lambda p: p["id"], ["id"], journal, slices=2, again=True).where("status = 'ok'").count() == 6
+    assert inf.journaled_batches(df, failing, ["id"], journal, slices=2, again=True).where("status = 'ok'").count() == 6
+
+
+def test_edits_reach_linked_records(spark):
+    from figcorpus.operators import review as rv
+
+    main = spark.createDataFrame([(1, "b", "x"), (2, "b", None), (3, "c", "x")], "id int, book string, f string")
+    other = spark.createDataFrame([(10, "b", "x", 5), (11, "b", "y", 6), (12, "c", "y", 7)], "oid int, book string, g string, n int")
+    edits = spark.createDataFrame(
+        [(1, "one", "ann", "t1", 0), (1, "late", "ann", "t3", 0), (2, "two", "bob", "t2", 1), (9, "new", "bob", "t9", 2)],
+        "id int, f string, reviewer string, timestamp string, original_index int",
+    )
+    done = rv.apply_linked_review(main, edits, ["id"], ["f"], {"o": (other, "oid", {"f": "g"})}, ["book"])
+    got = {r["oid"]: (r["g"], r["n"], r["review_info"] and r["review_info"]["reviewer"]) for r in done["o"].collect()}
+    assert got == {10: ("late", 5, "ann"), 11: ("two", 6, "bob"), 12: ("y", 7, None)}
+    assert {r["id"]: r["f"] for r in done["main"].collect()} == {1: "late", 2: "two", 3: "x", 9: "new"}

@@ -102,8 +102,8 @@ def test_cosine_plan_equals_brute_force_with_hot_copies(spark):
     # small tiles give the same result
     units = dd._unit_reps(df, "id", "e")[0]
     key = lambda d: sorted((r["i"], r["j"]) for r in d.collect())
-    assert key(dd.similar_units(units, 0.98, 64, tile=7)) == key(dd.similar_units(units, 0.98, 64))
-    assert dd.similar_units(units, 0.98, 64).count() == len(key(dd.similar_units(units, 0.98, 64, grid_dims=3)))
+    assert key(dd.similar_units(units, 0.98, tile=7)) == key(dd.similar_units(units, 0.98))
+    assert dd.similar_units(units, 0.98).count() == len(key(dd.similar_units(units, 0.98, grid_dims=3)))
 
 
 def test_cosine_groups_are_bounded_beside_a_crowded_cell(spark):
@@ -242,3 +242,60 @@ def test_latest_edit_of_a_record_counts(spark):
     main = spark.createDataFrame([(1, "a"), (2, "b")], "id int, lang string")
     edits = spark.createDataFrame([(1, "x", "r", 5, 0), (1, "y", "r", 9, 0), (3, "z", "r", 1, 0)], "id int, lang string, reviewer string, timestamp int, original_index int")
     assert sorted((r.id, r.lang) for r in review.apply_review(main, edits, ["id"], ["lang"]).collect()) == [(1, "y"), (2, "b"), (3, "z")]
+
+
+def near_vectors(spark, n, dim=24, seed=3):
+    """n distinct vectors, half of them 0.98 or more alike to another one."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 2, dim))
+    near = base + rng.normal(scale=0.2 * np.linalg.norm(base, axis=1, keepdims=True) / np.sqrt(dim), size=base.shape) * rng.uniform(0, 1, (n // 2, 1))
+    v = np.concatenate([base, near])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(n)
+    return u, spark.createDataFrame(list(zip(ids.tolist(), u.tolist())), "rep long, u array<double>")
+
+
+def test_bands_find_what_they_promise_and_only_true_pairs_once(spark):
+    u, units = near_vectors(spark, 4000)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1)))}
+    for recall, tile in ((0.95, 2048), (0.9999, 2048), (0.9999, 16)):
+        got = [(r["i"], r["j"]) for r in dd.similar_by_bands(units, 0.98, recall, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= recall * len(want) * 0.999
+    right = {r["id"] for r in dd.similar_by_bands(units, 0.98, how="left_semi").collect()}
+    assert right <= {j for _, j in want} and len(right) >= 0.999 * len({j for _, j in want})
+
+
+def test_work_of_bands_grows_with_the_table(spark):
+    """Four times the vectors: about four times the rows dealt, and groups as small as before."""
+    found = []
+    for n in (10_000, 40_000):
+        units = near_vectors(spark, n)[1]
+        layout = dd.band_layout(n, 0.98, 0.95, 64)
+        rows = dd.bucket_rows(units, *layout)
+        sizes = rows.groupBy("_band", "_key", "_lt", "_rt").count()
+        found.append((rows.count() / n, sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0] / n))
+    (few, small), (many, large) = found
+    assert many < 1.6 * few and large < 2 * small
+
+
+def test_a_crowded_bucket_is_cut_into_tiles(spark):
+    rng = np.random.default_rng(6)
+    crowd = np.r_[np.ones(8)] + rng.normal(scale=0.01, size=(900, 8))
+    units = spark.createDataFrame([(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(crowd)], "rep long, u array<double>")
+    rows = dd.bucket_rows(units, 3, 2, tile=64)
+    assert rows.groupBy("_band", "_key", "_lt", "_rt").count().agg(F.max("count")).first()[0] < 64 * 4
+    got = dd.similar_by_bands(units, 0.98, bucket=900, tile=64)
+    assert got.count() == 900 * 899 // 2
+
+
+def test_running_sums_cross_partitions(spark):
+    from figcorpus.operators.ranking import with_running_sum
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 5)) for i in range(300)]
+    got = with_running_sum(spark.createDataFrame(rows, "g string, at int, v int"), ["at"], F.col("v"), ("g",), parts=7).collect()
+    want, upto = {}, {}
+    for g, i, v in rows:
+        upto[g] = upto.get(g, 0) + v
+        want[i] = upto[g]
+    assert {r["at"]: r["running"] for r in got} == want
