@@ -111,31 +111,61 @@ def marked_documents(
     return durable(px.figure_marks(docs, text, keys, contexts))
 
 
+def _exact(prefix: str) -> Column:
+    return F.exists("labels", lambda x: F.lower(x) == F.col(prefix))
+
+
+def _rankings(captions: DataFrame, listed: DataFrame, list_key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(captions with _out_para and _out_line, slices with both): which slice of its number's list each caption takes.
+
+    ``listed`` holds each number's labels; its list in order is cut where it is complete.
+    A caption takes that slice unless its image's paragraph is in it. For each such
+    paragraph there is a slice of the list without it, and likewise one without
+    each caption line that is in the caption's slice. A slice is short once an
+    exact label came, so few paragraphs and lines have lists of their own, however many captions
+    share the number; what is not in a slice changes nothing by being left out.
+    """
+    order, none = ("ref_para", "char_pos"), F.lit(-1).cast("bigint")
+    whole = take_until(listed, tuple(list_key), order).withColumn("_out_para", none)
+    touched = whole.select(*list_key, F.col("ref_para").cast("bigint").alias("_out_para")).distinct()
+    near = captions.join(
+        touched.withColumns({"image_para": F.col("_out_para"), "_hit": F.lit(True)}).drop("_out_para"), [*list_key, "image_para"], "left"
+    ).withColumn("_out_para", F.when(F.col("_hit"), F.col("image_para").cast("bigint")).otherwise(none))
+    near = durable(near.drop("_hit"))
+    own = near.where("_out_para >= 0").select(*list_key, "_out_para").distinct()
+    apart = take_until(listed.join(own, list_key).where("ref_para <> _out_para"), (*list_key, "_out_para"), order)
+    slices = durable(whole.unionByName(apart)).withColumn("_out_line", none)
+    key = [*list_key, "_out_para"]
+    lines = slices.select(*key, F.col("ref_line").alias("caption_line"), F.lit(True).alias("_hit")).distinct()
+    near = near.join(lines, [*key, "caption_line"], "left")
+    near = near.withColumn("_out_line", F.when(F.col("_hit"), F.col("caption_line").cast("bigint")).otherwise(none)).drop("_hit")
+    own = near.where("_out_line >= 0").select(*key, "_out_line").distinct()
+    without = listed.join(own, list_key).where("ref_para <> _out_para and ref_line <> _out_line")
+    return near, slices.unionByName(take_until(without, (*key, "_out_line"), order))
+
+
 def find_references(marked: DataFrame, keys: tuple[str, ...] = ("book_id",), **search) -> DataFrame:
     """Every caption of every image with its references; captions without any keep one row
     with NULL reference columns.
 
-    Equi-join on (book, number prefix). Both sides are sparse, and the key spreads a
-    large book over its figure numbers. Paragraphs with the image and the caption's own
-    line do not count.
+    Labels are ranked once per (book, number prefix), and a caption takes a slice of
+    its number's list (:func:`_rankings`), so captions that share a number don't meet
+    all its labels. Both sides are sparse, and the key spreads a large book over its
+    figure numbers. Paragraphs with the image and the caption's own line do not count.
     """
     book = keys[0]
+    list_key = [book, "prefix"]
     captions = _captions(marked, keys, search).withColumn("prefix", F.lower("figure_number"))
-    labels = label_prefixes(marked.select(book, "marks"), (book,)).withColumnRenamed(book, "_book")
-    hits = captions.join(
-        labels.withColumnRenamed("prefix", "_prefix"),
-        (F.col(book) == F.col("_book"))
-        & (F.col("prefix") == F.col("_prefix"))
-        & (F.col("ref_para") != F.col("image_para"))
-        & (F.col("ref_line") != F.col("caption_line")),
-        "left",
-    ).withColumn(
-        "is_exact",
-        F.when(F.col("ref_line").isNotNull(), F.exists("labels", lambda x: F.lower(x) == F.col("prefix"))),
-    )
-    found = hits.withColumn("_known", F.coalesce("is_exact", F.lit(False)))
-    kept = take_until(found, (book, "prefix", *IMAGE_KEY, "caption_no"), ("ref_para", "char_pos"), "_known")
-    return kept.drop("_book", "_prefix", "_known", "prefix", "label", "label_no")
+    labels = label_prefixes(marked.select(book, "marks"), (book,)).withColumn("is_exact", _exact("prefix"))
+    wanted = captions.select(*list_key).distinct()
+    listed = durable(labels.join(wanted, list_key, "left_semi").select(*list_key, "ref_para", "char_pos", "ref_line", "is_exact"))
+    near, slices = _rankings(captions, listed, list_key)
+    placed = near.join(
+        slices.select(*list_key, "_out_para", "_out_line", "ref_para", "char_pos"), [*list_key, "_out_para", "_out_line"], "left"
+    ).drop("_out_para", "_out_line")
+    # what a reference says is fetched once the slices are known
+    told = labels.drop("label", "label_no")
+    return placed.join(told, [*list_key, "ref_para", "char_pos"], "left").drop("prefix")
 
 
 def reference_counts(refs: DataFrame, keys: tuple[str, ...] = ("book_id",), keep_unreferenced: bool = True) -> DataFrame:
@@ -176,16 +206,23 @@ def repair_figure_numbers(marked: DataFrame, counts: DataFrame, keys: tuple[str,
             )
         ),
     )
-    labels = label_prefixes(marked.select(book, "marks"), (book,)).withColumnRenamed(book, "_book")
-    found = tried.join(
-        labels,
-        (F.col(book) == F.col("_book"))
-        & (F.lower("candidate") == F.col("prefix"))
-        & (F.col("ref_para") != F.col("image_para")),
-    )
-    per_candidate = found.groupBy(*keys, *IMAGE_KEY, "image_filename", "caption_no", "figure_number", "candidate").agg(
-        F.count("*").alias("reference_count"),
-        F.count_if(F.col("label") == F.col("candidate")).alias("exact_count"),
+    # a candidate's references are its number's, without those in the image's paragraph
+    full = F.when(F.lower("label") == F.col("prefix"), F.col("label"))
+    labels = label_prefixes(marked.select(book, "marks"), (book,)).groupBy(book, "prefix", full.alias("full"), "ref_para").agg(F.count("*").alias("n"))
+    labels = durable(labels)
+    tried = tried.withColumn("prefix", F.lower("candidate"))
+    named = [*keys, *IMAGE_KEY, "image_filename", "caption_no", "figure_number", "candidate"]
+    counted = labels.groupBy(book, "prefix", "full").agg(F.sum("n").alias("n"))
+    everywhere = tried.join(counted, [book, "prefix"]).select(*named, "full", "n")
+    beside = tried.join(labels.withColumnRenamed("ref_para", "image_para"), [book, "prefix", "image_para"]).select(*named, "full", (-F.col("n")).alias("n"))
+    per_candidate = (
+        everywhere.unionByName(beside)
+        .groupBy(*named)
+        .agg(
+            F.sum("n").alias("reference_count"),
+            F.coalesce(F.sum(F.when(F.col("full") == F.col("candidate"), F.col("n"))), F.lit(0)).alias("exact_count"),
+        )
+        .where("reference_count > 0")
     )
     off = F.abs(_digits(F.col("candidate")) - _digits(F.col("image_filename")))
     best = F.min_by(

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
 from figcorpus.operators import paragraphs as pg
@@ -195,3 +196,60 @@ def test_long_documents_keep_their_line_numbers(docs):
     windows = pg.image_char_windows(docs(text), 5).orderBy("image_no").collect()
     starts = [m.start() for m in re.finditer(r"!\[", text)]
     assert [w["context"] for w in windows] == [text[max(0, s - 5) : s + 5] for s in starts]
+
+
+def brute_references(captions, labels):
+    """Every caption against every label of its number, in order, up to one exact and two others."""
+    out = set()
+    for c in captions:
+        exact = other = 0
+        for x in sorted(labels, key=lambda x: (x["ref_para"], x["char_pos"])):
+            if x["book_id"] != c["book_id"] or x["prefix"] != c["figure_number"].lower():
+                continue
+            if x["ref_para"] == c["image_para"] or x["ref_line"] == c["caption_line"] or (exact >= 1 and other >= 2):
+                continue
+            is_exact = c["figure_number"].lower() in [y.lower() for y in x["labels"]]
+            exact, other = exact + is_exact, other + (not is_exact)
+            out.add((c["book_id"], c["line_no"], c["tag_no"], c["caption_no"], x["ref_para"], x["char_pos"], is_exact))
+    return out
+
+
+def shared_numbers(docs, seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(6):
+        blocks = []
+        for i in range(40):
+            label = rng.choice(["Figure 1", "Figure 1", "Figure 12", "Figure 2", "图1", "图12"])
+            if rng.random() < 0.4:
+                blocks += [TAG % i, f"{label} growth {i}"]
+            else:
+                blocks.append(f"As {label} and Figure 1 say, so be it." + rng.choice(["", f"\nAnd {label}a too.\n{TAG % (100 + i)}"]))
+        texts.append(lines(*blocks))
+    return docs(*texts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_references_equal_brute_force_where_numbers_are_shared(docs, seed):
+    marked = rf.marked_documents(shared_numbers(docs, seed))
+    captions = rf._captions(marked, ("book_id",), {}).collect()
+    labels = rf.label_prefixes(marked.select("book_id", "marks"), ("book_id",)).collect()
+    got = rf.find_references(marked).collect()
+    found = [r for r in got if r["ref_line"] is not None]
+    want = brute_references(captions, labels)
+    assert {(r["book_id"], r["line_no"], r["tag_no"], r["caption_no"], r["ref_para"], r["char_pos"], r["is_exact"]) for r in found} == want
+    assert len(found) == len(want) > 0
+    assert len({(r["book_id"], r["line_no"], r["tag_no"], r["caption_no"]) for r in got}) == len(captions)
+
+
+def test_many_captions_of_one_number_cost_linear_rows(docs):
+    """400 captions of one number and as many references: the slices stay short and the answer is linear."""
+    images = [lines(TAG % i, f"Figure 7 title {i}", "plain words") for i in range(400)]
+    refs = [f"Then Figure 7{"a" * (i % 2)} says {i}." for i in range(400)]
+    marked = rf.marked_documents(docs(lines(*[x for both in zip(images, refs) for x in both])))
+    captions = rf._captions(marked, ("book_id",), {}).withColumn("prefix", F.lower("figure_number"))
+    assert captions.count() >= 400
+    listed = rf.label_prefixes(marked.select("book_id", "marks"), ("book_id",)).withColumn("is_exact", rf._exact("prefix"))
+    _, slices = rf._rankings(captions, listed.select("book_id", "prefix", "ref_para", "char_pos", "ref_line", "is_exact"), ["book_id", "prefix"])
+    assert slices.count() < 3 * captions.count()
+    assert rf.find_references(marked).count() < 20 * captions.count()
