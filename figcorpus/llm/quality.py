@@ -191,8 +191,9 @@ def references(counted: DataFrame, n_words: int, settings: Settings) -> dict[str
     large = known.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n"), *sums)
     large = durable(large.where((F.col("docs") >= settings.ref_docs) & (F.col("n") >= settings.ref_words)))
     classes = {r.lang: r for r in large.collect()}
-    pairs = known.join(large.select("lang"), "lang", "left_semi").select("lang", F.explode(F.arrays_zip("places", "times")).alias("z"))
-    listed = pairs.groupBy("lang", "z.places").agg(F.sum("z.times").alias("n")).collect()  # reference languages x common words
+    pairs = known.select("lang", F.explode(F.arrays_zip("places", "times")).alias("z"))
+    summed = pairs.groupBy("lang", "z.places").agg(F.sum("z.times").alias("n"))
+    listed = summed.join(large.select("lang"), "lang", "left_semi").collect()  # reference languages x common words
     of_lang: dict[str, list[tuple[int, int]]] = {}
     for x in listed:
         of_lang.setdefault(x.lang, []).append((x.places, x.n))
