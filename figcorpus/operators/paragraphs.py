@@ -131,9 +131,9 @@ def image_char_windows(docs: DataFrame, n: int = 2000, text: str = "text", keys:
     return docs.where(F.col(text).rlike(tag)).select(*keys, F.inline(rows))
 
 
-def context_around(paras: Column, at: Column, k: int) -> Column:
-    """Paragraph ``at`` (0-based) with whole paragraphs before it until k/2 characters
-    are reached, and after it likewise, joined by blank lines."""
+def window_around(paras: Column, at: Column, k: int) -> Column:
+    """First and last paragraph (0-based) of the context of k characters around paragraph ``at``:
+    whole paragraphs before it until k/2 characters are reached, and after it likewise."""
     half = k // 2
     here = F.get(paras, at)
     size = F.size(paras)
@@ -158,7 +158,46 @@ def context_around(paras: Column, at: Column, k: int) -> Column:
         ),
         size - 1,
     )
-    return F.array_join(F.transform(F.slice(paras, lo + 1, hi - lo + 1), lambda p: p["content"]), "\n\n")
+    return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+
+def _joined(paras: Column, window: Column) -> Column:
+    within = F.slice(paras, window["lo"] + 1, window["hi"] - window["lo"] + 1)
+    return F.array_join(F.transform(within, lambda p: p["content"]), "\n\n")
+
+
+def context_around(paras: Column, at: Column, k: int) -> Column:
+    """The paragraphs of :func:`window_around`, joined by blank lines."""
+    return tx.bind(window_around(paras, at, k), lambda w: _joined(paras, w))
+
+
+def nested_contexts(paras: Column, at: Column, widest: Column, **sizes: int) -> Column:
+    """One text around a paragraph that all its contexts are slices of.
+
+    ``widest`` is the largest context in characters, given as a window. Every name of
+    ``sizes`` becomes struct(at, n): where that context lies in ``text``; ``own`` is the
+    paragraph itself. So contexts of several sizes cost their text once.
+    """
+
+    def place(w):
+        start = F.get(paras, w["widest"]["lo"])["before"]
+
+        def part(lo, hi):
+            last = F.get(paras, hi)
+            first = F.get(paras, lo)["before"]
+            return F.struct(
+                (first - start).cast("int").alias("at"),
+                (last["before"] + F.length(last["content"]) - first).cast("int").alias("n"),
+            )
+
+        return F.struct(
+            _joined(paras, w["widest"]).alias("text"),
+            part(at, at).alias("own"),
+            *[part(w[name]["lo"], w[name]["hi"]).alias(name) for name in sizes],
+        )
+
+    windows = F.struct(widest.alias("widest"), *[window_around(paras, at, k).alias(name) for name, k in sizes.items()])
+    return tx.bind(windows, place)
 
 
 def paragraph_contexts(

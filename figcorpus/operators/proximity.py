@@ -12,15 +12,17 @@ CLASSES = ("normal", "abnormal", "extreme abnormal")
 
 
 def figure_marks(
-    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), contexts: bool = False
+    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), texts: bool = False
 ) -> DataFrame:
     """One row per document with images, and the sparse lines that the searches look at.
 
     ``marks`` lists the lines that hold an image tag or a figure label, in order, each
     with its paragraph and its offset there. It is made inside the document's own row,
-    so the text itself is never shuffled. ``contexts`` adds the surroundings that the
-    nested records show: 4000 characters around images, 500 around captions, 1000 around
-    references, and the paragraph itself.
+    so the text itself is never shuffled. ``texts`` adds a second list, one entry for each
+    paragraph with marks (however many it has): a text around it, and where in that text the paragraph and
+    the contexts lie that nested records show, 500 characters around captions, 1000 around
+    references. Around a paragraph with an image the text is the image's own context of 4000
+    characters. Marks point to it by ``para_no``, so it is fetched only where it is wanted.
     """
     wanted = f"(?:{tx.IMAGE_TAG})|(?:{tx.CAPTION})"
 
@@ -54,33 +56,27 @@ def figure_marks(
                 h["is_image"].alias("is_image"),
                 h["is_label"].alias("is_label"),
                 tx.is_caption(h["raw"], p["first_line"]).alias("is_start"),
-                *(around(ps, p, i, h) if contexts else ()),
             ),
         )
 
-    def around(ps, p, i, h):
-        label = h["is_label"]
-        return (
-            F.when(h["is_image"], pg.context_around(ps, i, 4000)).alias("surround"),
-            F.when(label, pg.context_around(ps, i, 500)).alias("near"),
-            F.when(label, pg.context_around(ps, i, 1000)).alias("wide"),
-            F.when(label, p["content"]).alias("paragraph"),
+    def text_of(ps, p, i):
+        widest = F.when(p["content"].rlike(tx.IMAGE_TAG), pg.window_around(ps, i, 4000)).otherwise(pg.window_around(ps, i, 1000))
+        return F.struct((i + 1).alias("para_no"), pg.nested_contexts(ps, i, widest, near=500, wide=1000).alias("told"))
+
+    def sparse(ps, made):
+        found = F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), made(ps, p, i)))
+        return F.filter(found, lambda a: a.isNotNull())
+
+    def lists(ps):
+        return F.struct(
+            F.flatten(sparse(ps, lines_of)).alias("marks"), *([sparse(ps, text_of).alias("texts")] if texts else [])
         )
 
-    paras = tx.bind(
-        pg.paragraphs_of(text),
-        lambda ps: F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), lines_of(ps, p, i))),
-    )
-    marked = docs.where(F.col(text).rlike(tx.IMAGE_TAG)).select(
+    return docs.where(F.col(text).rlike(tx.IMAGE_TAG)).select(
         *keys,
         (tx.newline_count(text) + 1).alias("n_lines"),
-        F.flatten(F.filter(paras, lambda a: a.isNotNull())).alias("marks"),
-    )
-    return marked
-
-
-def _mark_fields(marked: DataFrame) -> list[str]:
-    return marked.schema["marks"].dataType.elementType.names
+        tx.bind(pg.paragraphs_of(text), lists).alias("_x"),
+    ).select(*keys, "n_lines", "_x.*")
 
 
 def _limit(searched: Column, n_lines: Column, max_range: int) -> Column:
@@ -98,7 +94,6 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
     marks before and behind it: the band join is a slice of the document's own list.
     ``center_offset=-1`` searches around the line above the tag.
     """
-    extra = _mark_fields(marked)
     reach = 2 * max_range
     span = reach + abs(center_offset)
     marks = F.col("marks")
@@ -117,7 +112,7 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
                         h["content"].alias("content"),
                         F.abs(h["line_no"] - m["line_no"]).alias("distance"),
                         h["is_start"].alias("is_start"),
-                        *([h["near"].alias("content_paragraph")] if "near" in extra else []),
+                        h["para_no"].alias("para_no"),
                     ),
                 )
             )
@@ -145,7 +140,6 @@ def nearby(marked: DataFrame, max_range: int = 5, center_offset: int = 0, keys:
         m["para_no"].alias("para_no"),
         m["para_start"].alias("para_start"),
         m["para_end"].alias("para_end"),
-        *([m["surround"].alias("image_surround_text")] if "surround" in extra else []),
         F.col("x.captions").alias("captions"),
         F.col("x.others").alias("other_images"),
         F.posexplode(F.regexp_extract_all(m["content"], F.lit(tx.IMAGE_TAG), F.lit(1))).alias("tag_no", "image_filename"),

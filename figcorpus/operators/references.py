@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import text as tx
 from figcorpus.operators import proximity as px
-from figcorpus.session import durable
+from figcorpus.session import durable, scratch_dir
 
 IMAGE_KEY = ("line_no", "tag_no")
 
@@ -59,7 +59,6 @@ def label_prefixes(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             labels.alias("labels"),
             F.posexplode(F.arrays_zip(labels.alias("label"), positions.alias("at"))).alias("label_no", "z"),
             m["offset"].alias("offset"),
-            *[m[f].alias(f) for f in ("wide", "paragraph") if f in px._mark_fields(marked)],
         )
         .withColumn("char_pos", F.col("offset") + F.col("z.at"))
         .withColumn("label", F.col("z.label"))
@@ -104,11 +103,17 @@ def take_until(hits: DataFrame, group: tuple[str, ...], order: tuple[str, ...],
 
 
 def marked_documents(
-    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), contexts: bool = False
+    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), texts: bool = False
 ) -> DataFrame:
     """The sparse marks, written once: captions and labels are both read from them, so the
-    documents are scanned a single time."""
-    return durable(px.figure_marks(docs, text, keys, contexts))
+    documents are scanned a single time. ``texts`` are a column of their own in the file,
+    read by those alone who ask for it."""
+    marked = px.figure_marks(docs, text, keys, texts)
+    if not texts:
+        return durable(marked)
+    out = scratch_dir(docs.sparkSession, "marks")
+    marked.write.parquet(out)
+    return docs.sparkSession.read.schema(marked.schema).parquet(out)
 
 
 def _exact(prefix: str) -> Column:
@@ -243,47 +248,62 @@ def repair_figure_numbers(marked: DataFrame, counts: DataFrame, keys: tuple[str,
     )
 
 
-def context_records(docs: DataFrame, text: str = "text", key: str = "book_id", **search) -> DataFrame:
+def _fetched(marked: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The texts that each image wants, as a map from the paragraph's number.
+
+    ``wanted`` holds keys only (``key``, image, ``para_no``). Each marked paragraph travels
+    once, from the written table to the images that want it; a text that an image wants
+    several times is one entry.
+    """
+    texts = marked.select(key, F.explode("texts").alias("t")).select(key, "t.para_no", "t.told").dropDuplicates([key, "para_no"])
+    return (
+        wanted.join(texts, [key, "para_no"])
+        .groupBy(key, *IMAGE_KEY)
+        .agg(F.map_from_entries(F.collect_set(F.struct("para_no", "told"))).alias("texts"))
+    )
+
+
+def _part(texts: Column, para_no: Column, name: str) -> Column:
+    told = F.try_element_at(texts, para_no)
+    return F.substring(told["text"], told[name]["at"] + 1, told[name]["n"])
+
+
+def context_records(docs: DataFrame, text: str = "text", key: str = "book_id", every: bool = True, **search) -> DataFrame:
     """The nested record of each image: class, surroundings, neighbours, captions, references.
 
-    One scan of the documents; references are nested per caption and image and joined to
-    the images, whose other parts were made in the documents' rows.
+    One scan of the documents. Searches, joins and nesting carry keys and single lines; what
+    paragraphs say is fetched at the end, once for each (image, paragraph). ``every=False``
+    fetches only what contexts and prompts show: the image's own surroundings and, for
+    ``normal`` images, the first exact reference and the first one of all; the other texts are null.
     """
     keys = (key,)
-    marked = marked_documents(docs, text, keys, contexts=True)
-    images = px.classify(px.nearby(marked, keys=keys, **search))
-    refs = find_references(marked, keys, **search)
+    image = [key, *IMAGE_KEY]
+    marked = marked_documents(docs, text, keys, texts=True)
+    lean = marked.drop("texts")
+    images = px.classify(px.nearby(lean, keys=keys, **search))
+    refs = find_references(lean, keys, **search)
     reference = F.when(
         F.col("ref_line").isNotNull(),
-        F.struct(
-            F.col("ref_para"),
-            F.col("char_pos"),
-            F.col("labels").alias("reference_text"),
-            F.col("is_exact").alias("is_exact_match"),
-            F.struct(
-                F.col("ref_line").alias("line_number"),
-                F.col("ref_content").alias("content"),
-                F.col("char_pos").alias("char_position_in_paragraph"),
-            ).alias("match_line_info"),
-            F.col("paragraph").alias("reference_paragraph"),
-            F.col("wide").alias("reference_paragraph_extension"),
-            F.col("para_lines").alias("total_lines_in_paragraph"),
-        ),
+        F.struct("ref_para", "char_pos", "labels", "is_exact", "ref_line", "ref_content", "para_lines"),
     )
-    per_caption = refs.groupBy(key, *IMAGE_KEY, "caption_no", "caption", "figure_number").agg(
+    per_caption = refs.groupBy(*image, "caption_no", "caption", "figure_number").agg(
         F.array_sort(F.collect_list(reference)).alias("references")
     )
-    listed = F.struct(
-        F.col("caption_no"),
-        F.col("caption"),
-        F.col("figure_number"),
-        F.size("references").alias("reference_count"),
-        F.transform("references", lambda r: r.dropFields("ref_para", "char_pos")).alias("references"),
-    )
-    per_image = per_caption.groupBy(key, *IMAGE_KEY).agg(
-        F.array_sort(F.collect_list(listed)).alias("caption_references"),
-        F.sum(F.size("references")).alias("total_reference_count"),
-    )
+    listed = F.struct("caption_no", "caption", "figure_number", "references")
+    per_image = per_caption.groupBy(*image).agg(F.array_sort(F.collect_list(listed)).alias("cited"))
+    records = durable(images.join(per_image, image, "left"))
+
+    told = F.flatten(F.transform("cited", lambda c: c["references"]))
+    nos = F.transform(told, lambda r: r["ref_para"])
+    if every:
+        wanted = F.array_union(F.transform("captions", lambda c: c["para_no"]), F.coalesce(nos, F.array().cast("array<int>")))
+    else:
+        firsts = F.array(F.get(nos, F.lit(0)), F.get(F.filter(told, lambda r: r["is_exact"]), F.lit(0))["ref_para"])
+        wanted = F.when(F.col("classification") == px.CLASSES[0], firsts).otherwise(F.array().cast("array<int>"))
+    needs = records.select(*image, F.explode(F.array_union(F.array("para_no"), wanted)).alias("para_no")).where("para_no IS NOT NULL")
+    full = records.join(_fetched(marked, needs, key), image, "left")
+
+    texts = F.col("texts")
     neighbours = F.transform(
         "other_images",
         lambda o: F.struct(o["line_no"].alias("line_number"), o["content"].alias("content"), o["distance"].alias("distance")),
@@ -292,22 +312,46 @@ def context_records(docs: DataFrame, text: str = "text", key: str = "book_id", *
         "captions",
         lambda c: F.struct(
             c["content"].alias("content"),
-            c["content_paragraph"].alias("content_paragraph"),
+            _part(texts, c["para_no"], "near").alias("content_paragraph"),
             c["line_no"].alias("line_number"),
             c["distance"].alias("distance"),
         ),
     )
-    return images.join(per_image, [key, *IMAGE_KEY], "left").select(
+
+    def shown(r):
+        return F.struct(
+            r["labels"].alias("reference_text"),
+            r["is_exact"].alias("is_exact_match"),
+            F.struct(
+                r["ref_line"].alias("line_number"),
+                r["ref_content"].alias("content"),
+                r["char_pos"].alias("char_position_in_paragraph"),
+            ).alias("match_line_info"),
+            _part(texts, r["ref_para"], "own").alias("reference_paragraph"),
+            _part(texts, r["ref_para"], "wide").alias("reference_paragraph_extension"),
+            r["para_lines"].alias("total_lines_in_paragraph"),
+        )
+
+    cited = F.transform(
+        "cited",
+        lambda c: F.struct(
+            c["caption"].alias("caption"),
+            c["figure_number"].alias("figure_number"),
+            F.size(c["references"]).alias("reference_count"),
+            F.transform(c["references"], shown).alias("references"),
+        ),
+    )
+    return full.select(
         key,
         "image_filename",
         F.col("line_no").alias("image_tag_line_number"),
         "tag_no",
-        "image_surround_text",
+        F.try_element_at(texts, F.col("para_no"))["text"].alias("image_surround_text"),
         "classification",
         F.struct(F.size("other_images").alias("count"), neighbours.alias("images")).alias("other_images_nearby"),
         "caption_count",
         captions.alias("captions_found"),
         "nearest_caption",
-        F.transform("caption_references", lambda c: c.dropFields("caption_no")).alias("caption_references"),
-        F.coalesce("total_reference_count", F.lit(0)).alias("total_reference_count"),
+        cited.alias("caption_references"),
+        F.coalesce(F.size(told), F.lit(0)).alias("total_reference_count"),
     )

@@ -9,7 +9,7 @@ from figcorpus.functions import text as tx
 from figcorpus.operators import abbreviations as ab
 from figcorpus.operators import references as rf
 from figcorpus.plans import fixtures as fx
-from figcorpus.plans.figure_queries import REFS
+from figcorpus.plans.figure_queries import NEAR, REFS
 from figcorpus.plans.registry import query, table
 from figcorpus.session import spread
 
@@ -218,8 +218,8 @@ def b13(spark, sf):
 
 
 def _image_rows(spark, sf):
-    """One row per image with its first reference, from the nested records."""
-    r = rf.context_records(fx.markdown(spark, sf))
+    """One row per image with the texts of its first references, from the nested records."""
+    r = rf.context_records(fx.markdown(spark, sf), every=False)
     return r.withColumn(
         "references",
         F.flatten(F.transform("caption_references", lambda c: c["references"])),
@@ -236,9 +236,65 @@ def _around_sql(name: str, target: str, k: int) -> str:
       FROM {name}_s s JOIN cum p ON p.book_id=s.book_id AND p.para_no BETWEEN s.lo AND s.hi GROUP BY s.book_id, s.line_no)"""
 
 
-ASSEMBLE = f"""WITH {REFS}, sized AS (SELECT book_id, para_no, start_line, end_line, trim(content) c FROM paras),
+SIZED = """sized AS (SELECT book_id, para_no, start_line, end_line, trim(content) c FROM paras),
 cum AS (SELECT *, coalesce(sum(length(c)+2) OVER (PARTITION BY book_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) before FROM sized),
-shown AS (SELECT book_id, line_no, line_no AS at FROM img),
+shown AS (SELECT book_id, line_no, line_no AS at FROM img)"""
+
+# Nested records, one row per reference of a caption; captions and images without any keep a row.
+RECORDS = f"""WITH {REFS}, {SIZED},
+cited AS (SELECT DISTINCT book_id, ref_line AS line_no, ref_line AS at FROM refs),
+{_around_sql('surround', 'shown', 4000)}, {_around_sql('wide', 'cited', 1000)},
+totals AS (SELECT book_id, line_no, sum(n) total FROM refcount GROUP BY ALL)
+SELECT c.book_id, c.line_no::BIGINT line_no, c.classification, c.caption_count::BIGINT caption_count, c.other_count::BIGINT other_count,
+  md5(s.text) surround, k.caption, k.fig figure_number, k.n::BIGINT reference_count, coalesce(t.total,0)::BIGINT total_reference_count,
+  r.ref_line::BIGINT ref_line, r.is_exact, array_to_string(r.labels, '|') reference_text, md5(p.c) paragraph, md5(w.text) extension
+FROM classed c JOIN surround s USING (book_id, line_no) LEFT JOIN totals t USING (book_id, line_no)
+LEFT JOIN refcount k ON k.book_id=c.book_id AND k.line_no=c.line_no
+LEFT JOIN refs r ON r.book_id=k.book_id AND r.line_no=k.line_no AND r.caption_no=k.caption_no
+LEFT JOIN wide w ON w.book_id=r.book_id AND w.line_no=r.ref_line
+LEFT JOIN cum p ON p.book_id=r.book_id AND r.ref_line BETWEEN p.start_line AND p.end_line"""
+
+
+@query("a06_context_records", RECORDS)
+def a06(spark, sf):
+    """The nested records, their captions and references laid out in rows, long texts as digests."""
+    r = rf.context_records(fx.markdown(spark, sf))
+    image = ["book_id", F.col("image_tag_line_number").alias("line_no"), "classification", "caption_count", "total_reference_count"]
+    captions = r.select(
+        *image,
+        F.col("other_images_nearby.count").alias("other_count"),
+        F.md5("image_surround_text").alias("surround"),
+        F.explode_outer("caption_references").alias("k"),
+    )
+    return captions.withColumn("r", F.explode_outer("k.references")).select(
+        *[c for c in captions.columns if c != "k"],
+        "k.caption",
+        "k.figure_number",
+        "k.reference_count",
+        F.col("r.match_line_info.line_number").alias("ref_line"),
+        F.col("r.is_exact_match").alias("is_exact"),
+        F.array_join("r.reference_text", "|").alias("reference_text"),
+        F.md5("r.reference_paragraph").alias("paragraph"),
+        F.md5("r.reference_paragraph_extension").alias("extension"),
+    )
+
+
+@query(
+    "a06_context_captions",
+    f"""WITH {NEAR}, {SIZED}, capt AS (SELECT DISTINCT book_id, hit_line AS line_no, hit_line AS at FROM caps), {_around_sql('near', 'capt', 500)}
+    SELECT c.book_id, c.line_no::BIGINT line_no, c.hit_line::BIGINT caption_line, c.content, c.d::BIGINT distance, md5(n.text) content_paragraph
+    FROM caps c JOIN near n ON n.book_id=c.book_id AND n.line_no=c.hit_line""",
+)
+def a06_captions(spark, sf):
+    """The captions that nested records list, with what stands around them."""
+    r = rf.context_records(fx.markdown(spark, sf))
+    found = r.select("book_id", F.col("image_tag_line_number").alias("line_no"), F.explode("captions_found").alias("c"))
+    return found.select(
+        "book_id", "line_no", F.col("c.line_number").alias("caption_line"), "c.content", "c.distance", F.md5("c.content_paragraph").alias("content_paragraph")
+    )
+
+
+ASSEMBLE = f"""WITH {REFS}, {SIZED},
 exact AS (SELECT book_id, line_no, min(ref_line) AS at FROM refs WHERE is_exact GROUP BY ALL),
 {_around_sql('surround', 'shown', 4000)}, {_around_sql('wide', 'exact', 1000)},
 ctx AS (SELECT * FROM surround UNION ALL SELECT * FROM wide),

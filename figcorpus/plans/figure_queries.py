@@ -210,9 +210,3 @@ def h05(spark, sf):
     return rf.repair_figure_numbers(marked, counts).select(
         "book_id", F.col("line_no").alias("image_line"), "figure_number", "repaired_number", "reference_count", "exact_count"
     )
-
-
-@query("a06_context_records")
-def a06(spark, sf):
-    """The nested records as JSON text, the shape written per book."""
-    return rf.context_records(fx.markdown(spark, sf)).select("book_id", F.to_json(F.struct("*")).alias("record"))

@@ -253,3 +253,79 @@ def test_many_captions_of_one_number_cost_linear_rows(docs):
     _, slices = rf._rankings(captions, listed.select("book_id", "prefix", "ref_para", "char_pos", "ref_line", "is_exact"), ["book_id", "prefix"])
     assert slices.count() < 3 * captions.count()
     assert rf.find_references(marked).count() < 20 * captions.count()
+
+
+def around(paras, at, k):
+    """Whole paragraphs on both sides until half of k is reached."""
+    def side(step):
+        out, size = [], 0
+        i = at + step
+        while 0 <= i < len(paras) and size < k / 2:
+            out.append(paras[i])
+            size += len(paras[i]) + 2
+            i += step
+        return out
+
+    return "\n\n".join([*side(-1)[::-1], paras[at], *side(1)])
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_records_hold_the_texts_their_lines_lie_in(docs, seed):
+    made = shared_numbers(docs, seed)
+    texts = {r["book_id"]: r["text"].split("\n\n") for r in made.collect()}
+    rows = rf.context_records(made).collect()
+    n_references = 0
+    for r in rows:
+        paras, first = texts[r["book_id"]], {}
+        line = 1
+        for i, p in enumerate(paras):
+            for j in range(p.count("\n") + 1):
+                first[line + j] = i
+            line += p.count("\n") + 2
+        assert r["image_surround_text"] == around(paras, first[r["image_tag_line_number"]], 4000)
+        for c in r["captions_found"]:
+            assert c["content_paragraph"] == around(paras, first[c["line_number"]], 500)
+        for ref in [x for c in r["caption_references"] or () for x in c["references"]]:
+            at = first[ref["match_line_info"]["line_number"]]
+            assert ref["reference_paragraph"] == paras[at]
+            assert ref["reference_paragraph_extension"] == around(paras, at, 1000)
+            n_references += 1
+    assert n_references > 0 and len(rows) == sum(p.count("![") for ps in texts.values() for p in ps)
+
+
+def test_first_texts_give_the_same_contexts(docs):
+    from figcorpus.functions import prompts as pr
+
+    made = shared_numbers(docs, 5)
+
+    def contexts(every):
+        r = rf.context_records(made, every=every)
+        r = r.withColumn("references", F.flatten(F.transform("caption_references", lambda c: c["references"])))
+        return sorted(
+            tuple(x)
+            for x in r.select(
+                "book_id", "image_tag_line_number", "tag_no",
+                F.coalesce(pr.assemble_context("classification", "image_filename", "nearest_caption", "references", "image_surround_text"), F.lit("")),
+                pr.select_prompt_context("classification", "nearest_caption", "caption_references", "image_surround_text"),
+            ).collect()
+        )
+
+    assert contexts(True) == contexts(False)
+
+
+def test_marks_of_a_long_paragraph_cost_linear_bytes(docs):
+    """A paragraph with a label on every line is kept once, not once per label."""
+    sizes = []
+    for kb in (5, 10, 20):
+        para = "\n".join(f"Then Figure 7 says {i:04d}." for i in range(kb * 40))
+        marked = rf.marked_documents(docs(lines(TAG % 1, "Figure 7 title", para)), texts=True)
+        told = F.transform("texts", lambda t: F.length(t["told"]["text"]))
+        row = marked.select(F.length(F.to_json("marks")).alias("marks"), F.aggregate(told, F.lit(0), lambda a, x: a + x).alias("texts")).first()
+        sizes.append(row["marks"] + row["texts"])
+    assert sizes[1] < 2.2 * sizes[0] and sizes[2] < 2.2 * sizes[1]
+
+
+def test_records_of_no_documents_and_of_repeated_ids(spark, docs):
+    assert rf.context_records(spark.createDataFrame([], "book_id string, text string")).count() == 0
+    one = docs(lines("see 图1 below", TAG % 1, "图1 growth", *["x"] * 9))
+    assert {r["image_surround_text"] is not None for r in rf.context_records(one.unionByName(one)).collect()} == {True}
