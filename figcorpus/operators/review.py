@@ -59,6 +59,38 @@ def link_records(main: DataFrame, other: DataFrame, fields: dict[str, str], with
     return left.join(right, on).drop("_m", "_o", "_key", "_rm", "_ro", "_rkey", *[f"other_{w}" for w in within])
 
 
+def class_of(fields: list[str]) -> Column:
+    """The class of a record among those of its ``within`` keys: its field values as text."""
+    return F.to_json(F.array(*[F.col(f).cast("string") for f in fields]), {"ignoreNullFields": "false"})
+
+
+def _classes(df: DataFrame, fields: list[str], within: list[str], *aggs: Column) -> DataFrame:
+    given = [F.col(w) for w in within] + [F.col(f).cast("string").alias(f) for f in fields if f not in within]
+    grouped = df.groupBy(*given, class_of(fields).alias("_class"))
+    return grouped.agg(*aggs) if aggs else grouped.agg(F.count("*").alias("n")).drop("n")
+
+
+def link_classes(main: DataFrame, other: DataFrame, fields: dict[str, str], within: list[str]) -> DataFrame:
+    """The links of :func:`link_records` between classes of equal records, not record by record.
+
+    One row per linked pair of classes: ``within``, ``main_class``, ``other_class`` and the records
+    in each, n_main and n_other. A record's class is ``class_of`` its fields, so copies, and
+    records that lack every field and match all of their book, cost one row a class.
+    Both sides are counted before anything is filed by pattern.
+    """
+    m = _classes(main, list(fields), within, F.count("*").alias("n_main")).withColumnRenamed("_class", "main_class")
+    o = _classes(other, list(fields.values()), within, F.count("*").alias("n_other"))
+    linked = link_records(m, o, fields, within)
+    return linked.select(*within, "main_class", F.col("other__class").alias("other_class"), "n_main", F.col("other_n_other").alias("n_other"))
+
+
+def link_counts(main: DataFrame, links: DataFrame, fields: list[str], within: list[str]) -> DataFrame:
+    """Every main record with its class and the number of records it is linked to, 0 if none."""
+    n = links.groupBy(*within, F.col("main_class").alias("class")).agg(F.sum("n_other").alias("n_links"))
+    found = main.withColumn("class", class_of(fields)).join(n, [*within, "class"], "left")
+    return found.select(*main.columns, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def apply_review(main: DataFrame, edits: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Records with the edits written over them; edits of unknown records are added.
 
@@ -90,11 +122,14 @@ def carried_edits(
     version = F.struct("timestamp", "original_index", "reviewer")
     values = F.struct(*[F.col(a).alias(f"_e_{b}") for a, b in fields.items()])
     latest = edits.groupBy(*keys).agg(F.max_by(F.struct(values.alias("v"), info.alias("info"), version.alias("at")), version).alias("_e"))
-    # only edited records are linked
-    touched = main.join(latest, keys).select(*keys, *[c for c in {*fields, *within} if c not in keys], "_e")
-    links = link_records(touched, other.select(other_id, *{*fields.values(), *within}), fields, within)
-    newest = links.groupBy(F.col(f"other_{other_id}").alias(other_id)).agg(F.max_by(F.col("_e"), F.col("_e.at")).alias("_e"))
-    joined = other.join(newest, other_id, "left")
+    touched = main.join(latest, keys)
+    newer = F.max_by(F.col("_e"), F.col("_e.at")).alias("_e")
+    # classes of edited records meet classes of the other source; of a class the latest edit counts
+    edited = _classes(touched, list(fields), within, newer)
+    reached = _classes(other, list(fields.values()), within)
+    links = link_records(edited.drop("_class"), reached, fields, within)
+    newest = links.groupBy(*within, F.col("other__class").alias("_class")).agg(newer)
+    joined = other.withColumn("_class", class_of(list(fields.values()))).join(newest, [*within, "_class"], "left")
     hit = F.col("_e").isNotNull()
     mapped = [F.when(hit, F.col(f"_e.v._e_{b}")).otherwise(F.col(b)).alias(b) for b in fields.values()]
     kept = [c for c in other.columns if c != other_id and c not in fields.values()]

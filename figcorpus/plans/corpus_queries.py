@@ -177,6 +177,11 @@ o AS (SELECT o_orderkey oid, o_custkey book_id, CASE WHEN o_orderkey%4=0 THEN NU
     AND (m.st IS NULL OR o.status IS NULL OR m.st=o.status) AND (m.k IS NULL OR o.kk IS NULL OR CAST(m.k AS VARCHAR)=o.kk)""",
 )
 def c13(spark, sf):
+    linked = rv.link_records(*_link_sources(spark, sf), {"st": "status", "k": "kk"}, ["book_id"])
+    return linked.select("id", F.col("other_oid").alias("oid"))
+
+
+def _link_sources(spark, sf):
     orders = table(spark, sf, "orders")
     main = orders.selectExpr(
         "o_orderkey id", "o_custkey book_id", "CASE WHEN o_orderkey%7=0 THEN NULL ELSE o_orderstatus END st", "CASE WHEN o_orderkey%5=0 THEN NULL ELSE o_orderkey%3 END k"
@@ -184,8 +189,31 @@ def c13(spark, sf):
     other = orders.selectExpr(
         "o_orderkey oid", "o_custkey book_id", "CASE WHEN o_orderkey%4=0 THEN NULL ELSE o_orderstatus END status", "CASE WHEN o_orderkey%6=0 THEN NULL ELSE CAST(o_orderkey%3 AS STRING) END kk"
     )
-    linked = rv.link_records(main, other, {"st": "status", "k": "kk"}, ["book_id"])
-    return linked.select("id", F.col("other_oid").alias("oid"))
+    return main, other
+
+
+CLASS_SQL = """'['||coalesce('"'||{a}||'"','null')||','||coalesce('"'||CAST({b} AS VARCHAR)||'"','null')||']'"""
+
+
+@query(
+    "c13_link_classes",
+    f"""WITH {LINK_MAIN}, mc AS (SELECT book_id, st, k, count(*) n_main FROM m GROUP BY ALL), oc AS (SELECT book_id, status, kk, count(*) n_other FROM o GROUP BY ALL)
+    SELECT m.book_id, {CLASS_SQL.format(a='m.st', b='m.k')} main_class, {CLASS_SQL.format(a='o.status', b='o.kk')} other_class, n_main, n_other FROM mc m JOIN oc o ON m.book_id=o.book_id
+    AND (m.st IS NULL OR o.status IS NULL OR m.st=o.status) AND (m.k IS NULL OR o.kk IS NULL OR CAST(m.k AS VARCHAR)=o.kk)""",
+)
+def c13_classes(spark, sf):
+    return rv.link_classes(*_link_sources(spark, sf), {"st": "status", "k": "kk"}, ["book_id"])
+
+
+@query(
+    "c13_link_counts",
+    f"""WITH {LINK_MAIN} SELECT m.id, {CLASS_SQL.format(a='m.st', b='m.k')} AS "class", count(o.oid) n_links FROM m LEFT JOIN o ON m.book_id=o.book_id
+    AND (m.st IS NULL OR o.status IS NULL OR m.st=o.status) AND (m.k IS NULL OR o.kk IS NULL OR CAST(m.k AS VARCHAR)=o.kk) GROUP BY ALL""",
+)
+def c13_counts(spark, sf):
+    main, other = _link_sources(spark, sf)
+    links = rv.link_classes(main, other, {"st": "status", "k": "kk"}, ["book_id"])
+    return rv.link_counts(main, links, ["st", "k"], ["book_id"]).select("id", "class", "n_links")
 
 
 @query(

@@ -47,6 +47,40 @@ def dedupe(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFra
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_results(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, however late it comes again: the state keeps every key and forgets none.
+
+    The state holds keys only; a session whose keys outgrow memory sets the RocksDB state store.
+    """
+    return stream.dropDuplicates(keys)
+
+
+def _latest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    kept = F.struct(*[c for c in rows.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(kept, F.struct(*version)).alias("_v")).select(*keys, "_v.*")
+
+
+def run_latest(stream: DataFrame, keys: list[str], version: list[str], out: str, checkpoint: str) -> None:
+    """Keep the latest result of each key, over all runs on one checkpoint and without a time limit.
+
+    The state holds one row a key, the largest by ``version``; a late or repeated older one
+    changes nothing. Every batch writes the keys whose row it looked at to a folder of
+    its own, overwritten if the batch is repeated; :func:`read_latest` reads them back.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _latest(stream, keys, version).writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_latest(spark: SparkSession, out: str, keys: list[str], version: list[str]) -> DataFrame:
+    """One row a key: the latest that any batch of :func:`run_latest` wrote."""
+    return _latest(spark.read.parquet(out).drop("batch"), keys, version)
+
+
 def daily_bars(ticks: DataFrame, symbol: str, time: str, price: str, delay: str = "1 day", order: str | None = None) -> DataFrame:
     """Daily open, high, low, close and count; ticks of one instant are ordered by ``order``."""
     rank = F.struct(time, order) if order else F.col(time)

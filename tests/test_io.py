@@ -158,6 +158,28 @@ def test_streams_read_files_and_folders(spark, tmp_path):
         assert one == many and one
 
 
+def test_keyed_state_outlives_runs_and_delays(spark, tmp_path):
+    """Results come again years later and in another run: the first counts once, the latest one wins."""
+    from figcorpus.streaming import jobs
+
+    runs = [
+        [("a", "2020-01-01", 1), ("b", "2020-01-02", 2), ("a", "2020-01-01", 1)],
+        [("a", "2024-06-01", 3), ("c", "2024-06-01", 4)],
+        [("b", "2019-01-01", 5), ("c", "2024-06-01", 4), (None, "2024-06-02", 6)],
+    ]
+    seen = []
+    for run in runs:
+        made = spark.createDataFrame(run, "k string, at string, v int").selectExpr("k", "CAST(at AS TIMESTAMP) AS at", "v")
+        made.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), made.schema)
+        jobs.run_available(jobs.first_results(stream, ["k"]), str(tmp_path / "first"), str(tmp_path / "s1"))
+        jobs.run_latest(stream, ["k"], ["at", "v"], str(tmp_path / "latest"), str(tmp_path / "s2"))
+        seen.append(spark.read.parquet(str(tmp_path / "first")).count())
+    assert seen == [2, 3, 4]
+    got = jobs.read_latest(spark, str(tmp_path / "latest"), ["k"], ["at", "v"]).collect()
+    assert {r["k"]: r["v"] for r in got} == {"a": 3, "b": 2, "c": 4, None: 6}
+
+
 def test_a_failing_batch_is_halved(spark, tmp_path):
     """Calls are counted: one bad row in a batch of 64 costs about two calls a level, and good rows no more than those."""
     log = tmp_path / "calls"

@@ -223,6 +223,36 @@ def test_links_with_missing_fields_equal_brute_force(spark):
     assert got == want
 
 
+def test_class_links_expand_to_the_links_of_records(spark):
+    rng = random.Random(4)
+    pick = lambda xs: rng.choice(xs)
+    main = [(i, "hot" if i % 3 else f"b{i % 5}", pick([None, 1, 2]), pick([None, "x", 'y"'])) for i in range(120)]
+    other = [(i, "hot" if i % 3 else f"b{i % 5}", pick([None, "1", "2"]), pick([None, "x", 'y"'])) for i in range(110)]
+    m = spark.createDataFrame(main, "id int, book string, a int, b string")
+    o = spark.createDataFrame(other, "oid int, book string, p string, q string")
+    fields = {"a": "p", "b": "q"}
+    links = rv.link_classes(m, o, fields, ["book"])
+    pairs = rv.link_records(m, o, fields, ["book"])
+    mine = m.select("id", "book", rv.class_of(["a", "b"]).alias("main_class"))
+    theirs = o.select("oid", "book", rv.class_of(["p", "q"]).alias("other_class"))
+    expanded = links.join(mine, ["book", "main_class"]).join(theirs, ["book", "other_class"])
+    want = sorted((r["id"], r["other_oid"]) for r in pairs.collect())
+    assert sorted((r["id"], r["oid"]) for r in expanded.collect()) == want
+    rows = links.collect()
+    assert sum(r["n_main"] * r["n_other"] for r in rows) == len(want) and len(rows) < len(want) / 2
+    counts = {r["id"]: r["n_links"] for r in rv.link_counts(m, links, ["a", "b"], ["book"]).collect()}
+    assert counts == {x[0]: sum(p[0] == x[0] for p in want) for x in main}
+
+
+def test_class_links_of_a_hot_book_stay_small(spark):
+    """Records without any field match their whole book: 3,000 times 3,000 links are one row."""
+    m = spark.range(3000).selectExpr("id", "'b' AS book", "CAST(NULL AS STRING) AS a")
+    o = spark.range(3000).selectExpr("id AS oid", "'b' AS book", "CAST(NULL AS STRING) AS p")
+    rows = rv.link_classes(m, o, {"a": "p"}, ["book"]).collect()
+    assert [(r["n_main"], r["n_other"], r["main_class"]) for r in rows] == [(3000, 3000, "[null]")]
+    assert rv.link_classes(m.limit(0), o, {"a": "p"}, ["book"]).count() == 0
+
+
 def test_link_fields(spark):
     main, other = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(1, 2)], "b int, c int")
     assert rv.link_fields(main, {"o": other}, ["a", "b", "z"]) == {"o": ["b"]}
