@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ from figcorpus.session import scratch_dir
 @dataclass(frozen=True)
 class Settings:
     """``shard_tokens`` is about a shard's size, cut by ``cuts`` sampled documents a
-    shard, whose weights are projected to ``sketch`` numbers.
+    shard, whose weights are projected to ``sketch`` numbers. One tree of cuts makes
+    at most ``fan`` parts; more shards are cut in levels.
 
     A seed asks with its ``terms`` heaviest terms for ``keep`` neighbours at a
     time; when they yield no more, with all its terms.
@@ -39,6 +41,7 @@ class Settings:
     keep: int = 16
     cuts: int = 64
     sketch: int = 64
+    fan: int = 256
     k1: float = 1.2
     b: float = 0.75
     seed: int = 13
@@ -218,6 +221,17 @@ def _ties(rows: np.ndarray) -> np.ndarray:
     return (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(float) / (1 << 40)
 
 
+def levels(shards: int, fan: int) -> tuple[int, int]:
+    """(levels, parts of each cut): the fewest levels of at most ``fan`` parts that make ``shards`` parts or little more."""
+    depth, made = 1, fan
+    while made < shards:
+        depth, made = depth + 1, made * fan
+    parts = max(1, round(shards ** (1 / depth)))
+    while parts**depth < shards:
+        parts += 1
+    return depth, parts
+
+
 class Index:
     """BM25 over the documents of a shard, with document counts of the whole corpus."""
 
@@ -343,6 +357,85 @@ def pack(sizes: list[int], neighbours, window: int) -> list[Piece]:
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _sampled(placed: DataFrame, step: float, sketches: Callable[[pa.RecordBatch], np.ndarray], s: Settings) -> DataFrame:
+    """(shard, row, n, vector) of documents drawn by their tokens, one in about ``step`` tokens, by a hash of the row."""
+    drawn = F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("n") / F.lit(step)
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.array([v.tobytes() for v in sketches(batch)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["shard", "row", "n", "vector"])
+
+    return placed.where(drawn).select("shard", "row", "n", "ids").mapInArrow(taken, "shard bigint, row bigint, n bigint, vector binary")
+
+
+def _grown(some: list[tuple[int, int, bytes]], step: float, fan: int, s: Settings) -> Tree:
+    """The tree of a sample of (row, tokens, sketch)."""
+    some = sorted(some)
+    vectors = np.array([np.frombuffer(v, np.float32) for _, _, v in some], np.float32).reshape(len(some), s.sketch)
+    sizes = np.array([max(n, step) for _, n, _ in some], float)
+    return grow(vectors, _ties(np.array([row for row, _, _ in some], np.int64)), sizes, fan)
+
+
+def _cut_again(placed: DataFrame, fan: int, tokens: float, below: int, sketches: Callable[[pa.RecordBatch], np.ndarray], s: Settings) -> DataFrame:
+    """Documents with their shard cut into ``fan`` parts of about ``tokens`` tokens.
+
+    Every shard's tree grows in a task from that shard's own sample, about ``cuts``
+    documents a part, and travels ahead of the shard's documents, so neither the driver nor a
+    broadcast holds trees. A shard of many parts (``below``) is dealt over several tasks, each with the tree.
+    """
+    spark = placed.sparkSession
+    out = scratch_dir(spark, "placed")
+    placed.write.parquet(out)
+    placed = spark.read.schema(placed.schema).parquet(out)
+    step = tokens / s.cuts
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def planted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([pickle.dumps(_grown(held, step, fan, s))], pa.binary())], ["shard", "ids"])
+
+        for batch in batches:
+            for shard, row, n, vector in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and shard != now:
+                    yield planted()
+                    held = []
+                now = shard
+                held.append((row, n, vector))
+        if held:
+            yield planted()
+
+    salts = max(1, below // 16)
+    sample = _sampled(placed, step, sketches, s).repartition("shard").sortWithinPartitions("shard")
+    trees = sample.mapInArrow(plant, "shard bigint, ids binary").select(
+        "shard", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"), *[F.lit(None).cast("bigint").alias(c) for c in ("row", "doc_id", "n")], "ids"
+    )
+    own = placed.select("shard", F.pmod(F.xxhash64("row", F.lit(s.seed + 1)), F.lit(salts)).alias("salt"), "row", "doc_id", "n", "ids")
+    together = trees.unionByName(own).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("row").asc_nulls_first())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of = None, None
+        for batch in batches:
+            batch = batch.select(["shard", "row", "doc_id", "n", "ids"])
+            shards, heads = batch.column(0).to_numpy(), np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            # runs of one shard; a tree stands in front of its documents
+            starts = np.unique([0, *heads, *(np.flatnonzero(np.diff(shards)) + 1)]).astype(int) if len(shards) else []
+            for lo, hi in zip(starts, [*starts[1:], len(shards)]):
+                if lo in heads:
+                    tree, of, lo = pickle.loads(batch.column(4)[lo].as_py()), shards[lo], lo + 1
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                first = int(shards[lo]) * fan
+                # a shard of which nothing was drawn is small and stays whole
+                cut = tree.place(sketches(part), _ties(part.column(1).to_numpy())) if of == shards[lo] else np.zeros(hi - lo, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(first + cut, pa.int64()), *part.columns[1:]], ["shard", "row", "doc_id", "n", "ids"])
+
+    return together.mapInArrow(place, f"shard bigint, {_TOKENS}")
+
+
 def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of ``docs(doc_id, text)``.
 
@@ -350,7 +443,8 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     null text is the end id alone. Sequences hold ``window`` ids, those at a
     shard's end a smaller power of two, so nothing is padded. Documents are
     dealt to shards by cuts along the widest directions of their projected
-    weights, so that lexically close ones meet at any size of the table; rows that share a doc_id are
+    weights, so that lexically close ones meet at any size of the table. The driver holds one tree of at
+    most ``fan`` parts and its sample; parts are cut further in tasks (:func:`_cut_again`). Rows that share a doc_id are
     documents of their own, and equal ones may lie in several shards. A shard holds its own inverted
     index, weighted by document counts over the whole corpus, and packs itself;
     sequence ids go on from the shard's number times 2**32.
@@ -365,7 +459,8 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     counts = document_counts(tokens, size)
     idf = np.log(1 + (sums.n - counts + 0.5) / (counts + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)  # a number per id of the vocabulary
-    shards = -(-sums.tokens // s.shard_tokens)
+    depth, fan = levels(-(-sums.tokens // s.shard_tokens), s.fan)
+    shards = fan**depth
     mean = sums.tokens / sums.n
     parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -397,25 +492,14 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         if held:
             yield work(now, held)
 
-    step = sums.tokens / shards / s.cuts
-    drawn = F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("n") / F.lit(step)
-
     def sketches(batch: pa.RecordBatch) -> np.ndarray:
         sizes, blobs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-        return np.array([sketch(_array(blob, n), shared.value, mean, s) for n, blob in zip(sizes, blobs)], np.float32)
-
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = pa.array([v.tobytes() for v in sketches(batch)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["row", "n", "vector"])
+        return np.array([sketch(_array(blob, n), shared.value, mean, s) for n, blob in zip(sizes, blobs)], np.float32).reshape(len(sizes), s.sketch)
 
-    # documents drawn by their tokens, about ``cuts`` a shard
-    some = tokens.where(drawn).select("row", "n", "ids").mapInArrow(taken, "row bigint, n bigint, vector binary").collect() if shards > 1 else []
-    some = sorted(some, key=lambda r: r.row)
-    vectors = np.array([np.frombuffer(r.vector, np.float32) for r in some], np.float32).reshape(len(some), s.sketch)
-    sizes_ = np.array([max(r.n, step) for r in some], float)
-    tree = spark.sparkContext.broadcast(grow(vectors, _ties(np.array([r.row for r in some], np.int64)), sizes_, shards))  # a split per shard
+    # documents drawn by their tokens, about ``cuts`` a part
+    step = sums.tokens / fan / s.cuts
+    some = _sampled(tokens.withColumn("shard", F.lit(0).cast("bigint")), step, sketches, s).collect() if shards > 1 else []
+    tree = spark.sparkContext.broadcast(_grown([(r.row, r.n, r.vector) for r in some], step, fan, s))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,6 +510,8 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], ["shard", "row", "doc_id", "n", "ids"])
 
     placed = tokens.select("row", "doc_id", "n", "ids").mapInArrow(place, f"shard bigint, {_TOKENS}")
+    for level in range(2, depth + 1):
+        placed = _cut_again(placed, fan, sums.tokens / fan**level, shards // fan ** (level - 1), sketches, s)
     dealt = placed.repartition(parts, "shard").sortWithinPartitions("shard", "row")
     return dealt.mapInArrow(run, _PIECES)
 

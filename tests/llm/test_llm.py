@@ -256,6 +256,30 @@ def test_close_documents_share_windows_in_many_shards(spark):
     assert len(whole) == 1200 and (whole.n == whole.m).all()
 
 
+def test_cuts_in_levels_lose_nothing_and_keep_close_documents_together(spark):
+    assert packing.levels(1, 256) == (1, 1) and packing.levels(256, 256) == (1, 256) and packing.levels(257, 256) == (2, 17)
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}o" for a in "bdfgklm" for b in "aeiou" for c in "nprst"]
+    rows = [(t * 100 + i, " ".join(rng.permutation(words[8 * t : 8 * t + 8] * 3))) for t in range(20) for i in range(30)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    made = made.union(spark.createDataFrame([(10**6, "same text again"), (None, None)] * 100, "doc_id bigint, text string"))
+    flat = packing.pack_documents(made, packing.Settings(window=256, shard_tokens=1500)).toPandas()
+    deep = packing.pack_documents(made, packing.Settings(window=256, shard_tokens=1500, fan=3)).toPandas()
+    assert packing.levels(flat.length.sum() // 1500, 3)[0] >= 2
+    for got in (flat, deep):
+        ordered = got.sort_values(["sequence_id", "offset"])
+        assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all()
+        assert all(n <= 256 and n & (n - 1) == 0 for n in ordered.groupby("sequence_id").length.sum())
+        whole = got[got.doc_id < 10**6].groupby("doc_id").agg(n=("length", "sum"), m=("doc_tokens", "max"))
+        assert len(whole) == 600 and (whole.n == whole.m).all()
+        part = got[got.doc_id < 10**6].assign(topic=lambda x: x.doc_id // 100)
+        share = part.groupby(["sequence_id", "topic"]).length.sum().groupby("sequence_id").max() / part.groupby("sequence_id").length.sum()
+        assert share.mean() > 0.75
+    assert flat.length.sum() == deep.length.sum()
+    of = deep.assign(shard=deep.sequence_id // 2**32).groupby("shard").length.sum()
+    assert len(of) >= 9 and of.max() < 6 * 1500
+
+
 def test_seed_asks_again_until_the_window_is_full():
     close = {0: [3, 5, 7, 9, 11, 13]}
     pieces = packing.pack([10] * 14, lambda seed, used: [d for d in close.get(seed, []) if not used[d]][:2], 70)
