@@ -168,6 +168,41 @@ def b03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fix_ocr_digits(t).alias("text"))
 
 
+# The cleaning that stands in front of the figure queries, over headed documents with a table behind: directory, markup, digits.
+CLEAN_SQL = r"""x AS (SELECT doc_id, text, CASE doc_id%4 WHEN 1 THEN strpos(text, '# List of Figures') WHEN 2 THEN strpos(text,'# 图目录') WHEN 3 THEN strpos(text,'# Index of Charts') ELSE 0 END s FROM tabled),
+y AS (SELECT *, strpos(substring(text, s+1), chr(10)||'#') k FROM x),
+kept AS (SELECT doc_id, CASE WHEN s=0 THEN text ELSE trim(CASE WHEN k>0 THEN left(text, s-1)||substring(text, s+k) ELSE left(text, s-1) END, ' '||chr(9)||chr(10)||chr(13)) END t FROM y),
+t1 AS (SELECT doc_id, regexp_replace(t, '(?i)<(t[dh])([0-9. ])', '<\1>\2', 'g') t FROM kept),
+t2 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)</?(td|th)[^>]*>', chr(10), 'g'), '(?i)</?(table|tr|tbody|thead|tfoot)[^>]*>', '', 'g') t FROM t1),
+t3 AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10)||chr(10), 'g'), ' '||chr(9)||chr(10)||chr(13)) t FROM t2),
+t4 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([Ff]ig(ure|\.?)\s*\d+)[oO]', '\10', 'g'), '(图\s*\d+)[oO]', '\10', 'g') t FROM t3),
+cleaned AS (SELECT doc_id, regexp_replace(t, '(\d)一(\d)', '\1-\2', 'g') AS text FROM t4)"""
+
+
+def _tabled(spark, sf):
+    table_ = "<table><tr><td>Figure 1o</td><td 2>图2O or 图3一4</td></tr></table>"
+    return _headed(spark, sf).withColumn("text", F.concat("text", F.lit("\n\n" + table_)))
+
+
+TABLED_SQL = f"tabled AS (SELECT doc_id, text||chr(10)||chr(10)||'<table><tr><td>Figure 1o</td><td 2>图2O or 图3一4</td></tr></table>' AS text FROM ({HEADED_SQL}))"
+
+
+@query("b02_clean_document", f"WITH {TABLED_SQL}, {CLEAN_SQL} SELECT doc_id, text FROM cleaned")
+def b02_clean(spark, sf):
+    return _tabled(spark, sf).select("doc_id", tx.clean_document("text").alias("text"))
+
+
+@query(
+    "b07_cleaned_labels",
+    f"""WITH {TABLED_SQL}, {CLEAN_SQL} SELECT doc_id, label, count(*) n FROM (
+      SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(图\\s*[a-zA-Z]?\\s*\\d+(?:[.-]\\d+)*|Figure\\s*\\d+(?:[.-]\\d+)*|Fig\\.?\\s*\\d+(?:[.-]\\d+)*)', 1)) label FROM cleaned) GROUP BY ALL""",
+)
+def b07_cleaned(spark, sf):
+    """Figure labels, in both scripts, as they read once the documents are cleaned."""
+    labels = _tabled(spark, sf).select("doc_id", F.explode(tx.figure_labels(tx.clean_document("text"))).alias("label"))
+    return labels.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
 TRIM_ENDS = "['.','?','!','。','？','！']"
 
 
