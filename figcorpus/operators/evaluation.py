@@ -89,16 +89,20 @@ def field_name(group, model) -> Column:
     return F.when(F.col(group) == "both_contexts", F.col(model)).otherwise(F.concat_ws("_", F.col(group), F.col(model)))
 
 
-def wide_answers(long: DataFrame, key: str, models: list[str], group: str = "group", model: str = "model", value: str = "answer") -> DataFrame:
+def wide_answers(
+    long: DataFrame, key: str, models: list[str], group: str = "group", model: str = "model", value: str = "answer", latest: str | None = None
+) -> DataFrame:
     """One column per group and model, named as result files name them.
 
-    The columns are given, not discovered, so no extra job is needed.
+    The columns are given, not discovered, so no extra job is needed. Where several answers of
+    a group and model meet in a row, that with the largest ``latest`` counts (any, if not given); missing answers never do.
     """
     cols = []
     for g in pr.GROUPS:
         for m in models:
             name = m if g == "both_contexts" else f"{g}_{m}"
-            cols.append(F.first(F.when((F.col(group) == g) & (F.col(model) == m), F.col(value)), ignorenulls=True).alias(name))
+            own = F.when((F.col(group) == g) & (F.col(model) == m), F.col(value))
+            cols.append((F.first(own, ignorenulls=True) if latest is None else F.max_by(own, F.when(own.isNotNull(), F.col(latest)))).alias(name))
     return long.groupBy(key).agg(*cols)
 
 

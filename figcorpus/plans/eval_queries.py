@@ -104,6 +104,22 @@ def d27(spark, sf):
     return ev.wide_answers(rows, "sheet", MODELS)
 
 
+@query(
+    "d27_wide_sheets",
+    f"""WITH {EVAL} SELECT (sample_id // 64)::BIGINT AS sheet, """
+    + ", ".join(
+        f"""arg_max(answer, sample_id) FILTER (model='{m}' AND {GROUP_SQL}='{g}' AND answer IS NOT NULL) AS "{_field(g, m)}\""""
+        for g in ("image_background_only", "analysis_information_only", "both_contexts", "no_context")
+        for m in MODELS
+    )
+    + " FROM chk GROUP BY 1",
+)
+def d27_sheets(spark, sf):
+    """Sheets of 64 sample numbers: answers of every group and model meet in a row, the latest of each counts."""
+    rows = _checked(spark, sf).withColumn("group", F.expr(GROUP_SQL)).withColumn("sheet", F.floor(F.col("sample_id") / 64))
+    return ev.wide_answers(rows, "sheet", MODELS, latest="sample_id")
+
+
 # The lines of an order vote with a letter made from their part.
 VOTES = """votes AS (SELECT l_orderkey q, l_linenumber model_no, chr(CAST(65+l_partkey%3 AS INT)) answer FROM
   (SELECT l_orderkey, l_linenumber, min(l_partkey) l_partkey FROM lineitem GROUP BY ALL))"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from figcorpus.functions import text as tx
 from figcorpus.operators import proximity as px
 from figcorpus.operators import screening as sc
+from figcorpus.operators import variants as va
 from figcorpus.plans import fixtures as fx
 from figcorpus.plans.figure_queries import NEAR
 from figcorpus.plans.registry import query, table
@@ -42,6 +43,53 @@ def a03(spark, sf):
     return good
 
 
+# Suppliers as files of three shapes; every eleventh is cut off.
+SHAPE_JSON = """CASE WHEN s_suppkey%11=0 THEN '{"name": "'||s_name
+  WHEN s_suppkey%3=0 THEN '{"name":"'||s_name||'","nation":'||CAST(s_nationkey AS {s})||'}'
+  WHEN s_suppkey%3=1 THEN '{"supplier":{"name":"'||s_name||'","nation":"'||CAST(s_nationkey AS {s})||'"}}'
+  ELSE '{"extra":{},"name":"'||s_name||'","notes":['||CAST(s_nationkey AS {s})||',"new",null]}' END"""
+
+
+def _shape(string):
+    return SHAPE_JSON.replace("{s}", string)
+
+
+GOOD = "FROM supplier WHERE s_suppkey%11<>0"
+
+
+def _shapes(spark, sf):
+    out = scratch_dir(spark, "shapes")
+    rows = table(spark, sf, "supplier").selectExpr("s_nationkey", "s_suppkey", f"{_shape('STRING')} AS value")
+    rows.repartition("s_nationkey").write.partitionBy("s_nationkey", "s_suppkey").text(out)
+    return rd.scan_json_variants(spark, out, r"s_nationkey=([^/]+)/s_suppkey=([^/]+)/[^/]+$", "*.txt")
+
+
+@query(
+    "a03_variant_leaves",
+    f"""SELECT CAST(s_suppkey AS VARCHAR) image_id, unnest(CASE s_suppkey%3 WHEN 0 THEN ['name','nation'] WHEN 1 THEN ['supplier.name','supplier.nation'] ELSE ['extra','name','notes[0]','notes[1]','notes[2]'] END) AS leaf,
+      unnest(CASE s_suppkey%3 WHEN 0 THEN ['STRING','BIGINT'] WHEN 1 THEN ['STRING','STRING'] ELSE ['OBJECT<>','STRING','BIGINT','STRING','VOID'] END) kind,
+      unnest(CASE s_suppkey%3 WHEN 2 THEN ['{{}}',s_name,CAST(s_nationkey AS VARCHAR),'new',NULL] ELSE [s_name,CAST(s_nationkey AS VARCHAR)] END) AS "value" {GOOD}
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no JSON', 'error', '{{"name": "'||s_name FROM supplier WHERE s_suppkey%11=0""",
+)
+def a03_leaves(spark, sf):
+    """Leaves of records of three shapes, and the files that are no JSON with their text."""
+    good, bad = _shapes(spark, sf)
+    leaves = va.variant_leaves(good, ["image_id"]).select("image_id", va.path_text().alias("leaf"), "kind", "value")
+    return leaves.unionByName(bad.select("image_id", F.col("error").alias("leaf"), F.lit("error").alias("kind"), F.col("raw").alias("value")))
+
+
+@query(
+    "i05_variant_round_trip",
+    f"SELECT image_id, record, record AS again FROM (SELECT CAST(s_suppkey AS VARCHAR) image_id, {_shape('VARCHAR')} record {GOOD}) q",
+)
+def i05_variants(spark, sf):
+    """Records as read, and put together again from their leaves."""
+    good, _ = _shapes(spark, sf)
+    again = va.rebuild_variants(va.variant_leaves(good, ["image_id"]), ["image_id"])
+    both = good.select("image_id", F.to_json("record").alias("record")).join(again.select("image_id", F.to_json("record").alias("again")), "image_id", "full")
+    return both.select("image_id", "record", "again")
+
+
 @query("a04_scan_json_files", "SELECT n_nationkey, n_name, n_regionkey, s_name FROM nation JOIN supplier ON s_nationkey=n_nationkey")
 def a04(spark, sf):
     out = scratch_dir(spark, "json")

@@ -35,6 +35,13 @@ def a11(spark, sf):
     return sc.pending(docs, table(spark, sf, "labels"), ["doc_id"])
 
 
+@query("a11_pending_by_filter", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def a11_filter(spark, sf):
+    """Few orders are done: those with a line of a large quantity."""
+    done = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sc.pending_by_filter(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
+
+
 @query(
     "a12_pending_groups",
     """SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN

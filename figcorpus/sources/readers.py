@@ -61,6 +61,27 @@ def scan_json_tree(
     return good, tagged.where("_bad IS NOT NULL").withColumnRenamed("_bad", "raw")
 
 
+def scan_json_variants(
+    spark: SparkSession, root: str, pattern: str = r"([^/]+)/([^/]+)\.json$", glob: str = "*.json"
+) -> tuple[DataFrame, DataFrame]:
+    """(records, unreadable files) of one JSON value per file, whatever its shape.
+
+    No schema is asked for or inferred: ``record`` is a VARIANT, and ``operators.variants`` lists
+    its leaves. Unreadable files keep their path and text, with what is wrong in ``error``.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    tagged = files.select(
+        F.regexp_extract("_metadata.file_path", pattern, 1).alias("book_id"),
+        F.regexp_extract("_metadata.file_path", pattern, 2).alias("image_id"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("raw"),
+        F.try_parse_json("value").alias("record"),
+    )
+    empty = F.trim(F.regexp_replace("raw", r"\s+", " ")) == ""
+    bad = tagged.where("record IS NULL").drop("record").withColumn("error", F.when(empty, "empty file").otherwise("no JSON"))
+    return tagged.where("record IS NOT NULL").drop("path", "raw"), bad
+
+
 def scan_json_files(spark: SparkSession, paths: list[str] | str, schema: str | None = None) -> DataFrame:
     """Files that hold one object or a list of objects; list items become rows."""
     reader = spark.read.option("multiLine", True)
