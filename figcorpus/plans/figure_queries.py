@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from figcorpus.operators import longbooks as lb
+from figcorpus.operators import paragraphs as pg
 from figcorpus.operators import proximity as px
 from figcorpus.operators import references as rf
 from figcorpus.plans import fixtures as fx
@@ -53,6 +55,30 @@ def d05(spark, sf):
     )
 
 
+def _lines(spark, sf):
+    return pg.explode_lines(fx.markdown(spark, sf))
+
+
+@query(
+    "d05_classify_by_lines",
+    f"""WITH {NEAR} SELECT book_id, line_no::BIGINT line_no, caption_count::BIGINT caption_count, other_count::BIGINT other_count,
+    classification, nearest_caption FROM classed""",
+)
+def d05_lines(spark, sf):
+    """The same classes from line tables, as long books are searched."""
+    found = lb.image_records(_lines(spark, sf))
+    return found.select("book_id", "line_no", "caption_count", "other_count", "classification", "nearest_caption")
+
+
+@query(
+    "b04_line_paragraphs",
+    f"""WITH {fx.MD_PARAS} SELECT book_id, para_no::BIGINT para_no, start_line::BIGINT start_line, end_line::BIGINT end_line,
+    md5(trim(content, chr(32)||chr(9)||chr(10)||chr(13))) content FROM paras""",
+)
+def b04_lines(spark, sf):
+    return lb.line_paragraphs(_lines(spark, sf)).select("book_id", "para_no", "start_line", "end_line", F.md5("content").alias("content"))
+
+
 @query(
     "c01_near_captions",
     f"""WITH {NEAR} SELECT book_id, line_no::BIGINT image_line, hit_line::BIGINT hit_line, content hit_content, d::BIGINT distance FROM caps""",

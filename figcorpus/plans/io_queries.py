@@ -43,6 +43,18 @@ def a03(spark, sf):
     return good
 
 
+@query(
+    "b05_scan_lines",
+    "SELECT CAST(c_nationkey AS VARCHAR) book_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) line_no, c_name AS content FROM customer",
+)
+def b05_lines(spark, sf):
+    """Customers as the lines of a file per nation, numbered again when read."""
+    out = scratch_dir(spark, "lines")
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("value"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(out)
+    return rd.scan_lines(spark, out, r"c_nationkey=([^/]+)/[^/]+$", "*.txt")
+
+
 # Suppliers as files of three shapes; every eleventh is cut off.
 SHAPE_JSON = """CASE WHEN s_suppkey%11=0 THEN '{"name": "'||s_name
   WHEN s_suppkey%3=0 THEN '{"name":"'||s_name||'","nation":'||CAST(s_nationkey AS {s})||'}'

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figcorpus.operators import corpus as cp
+from figcorpus.operators import longbooks as lb
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")
 
@@ -117,6 +118,24 @@ def scan_books(spark: SparkSession, root: str) -> DataFrame:
     return cp.scan_books(docs, dirs, pdfs)
 
 
+def scan_lines(spark: SparkSession, root: str, pattern: str = r"([^/]+)\.md$", glob: str = "*.md") -> DataFrame:
+    """Lines of text files of any length: ``book_id`` from the path, ``line_no`` from 1, ``content``.
+
+    Files are read in splits, so a long book is many tasks; lines are numbered over the splits in
+    the order of their place in the file. A line break at a file's end ends its last line.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
+    rows = files.select(
+        F.regexp_extract("_metadata.file_path", pattern, 1).alias("book_id"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        # rows of a split lie in one partition, in their order
+        F.monotonically_increasing_id().alias("_row"),
+        F.col("value").alias("content"),
+    )
+    return lb.number_lines(rows, ["_file", "_split", "_row"]).select("book_id", "line_no", "content")
+
+
 def profile_source(df: DataFrame, key: str | None = None) -> DataFrame:
     """One sample record as JSON beside the list of fields: the record of the smallest ``key``, or any."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
