@@ -82,12 +82,9 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if len(text) >= 5000 and _LONG_RUN.search(text):
-            ids = self._slow.encode(text, add_special_tokens=False).ids
-        elif any(t in text for t in self._added):
-            ids = self._fast.encode(text, allowed_special="all")
-        else:
-            ids = self._fast.encode_ordinary(text)
-        return np.array(ids, self.kind).tobytes()
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        allowed = "all" if any(t in text for t in self._added) else set()
+        return self._fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype(self.kind).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -126,11 +123,24 @@ def _array(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4")
 
 
-def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often each occurs; numpy sorts 16-bit numbers by radix."""
-    ordered = np.sort(ids, kind="stable")
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[starts], np.diff(np.r_[starts, len(ids)])
+def _counted_each(docs: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents counted in runs of about ``most`` ids, by one sort of (document, id) each: the
+    run's first document, where each document's part begins (and the last one ends), the distinct ids of each, how often each occurs.
+    """
+    sizes = np.array([len(x) for x in docs], np.int64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(docs):
+        hi = min(lo + (1 << 16), max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + most, "right"))))
+        ids = np.concatenate(docs[lo:hi])
+        kind, bits = (np.uint32, 16) if ids.dtype.itemsize == 2 else (np.uint64, 32)
+        keys = np.repeat(np.arange(hi - lo, dtype=kind) << kind(bits), sizes[lo:hi]) | ids
+        keys.sort()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        seen = keys[starts]
+        bounds = np.searchsorted(seen >> kind(bits), np.arange(hi - lo + 1))
+        yield lo, bounds, (seen & kind((1 << bits) - 1)).astype(ids.dtype), np.diff(np.r_[starts, len(keys)])
+        lo = hi
 
 
 def document_counts(tokens: DataFrame, size: int) -> np.ndarray:
@@ -139,8 +149,9 @@ def document_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[_counted(_array(blob, n))[0]] += 1
+            ids = [_array(blob, n) for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            for _, _, found, _ in _counted_each(ids):
+                seen += np.bincount(found, minlength=size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["term", "n"])
 
@@ -151,10 +162,13 @@ def document_counts(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document and their BM25 weights."""
-    t, tf = _counted(ids)
-    return t, idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(ids) / mean))
+def _weights(docs: list[np.ndarray], idf: np.ndarray, mean: float, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct ids of each document and their BM25 weights."""
+    for lo, bounds, t, tf in _counted_each(docs):
+        sizes = np.repeat([len(x) for x in docs[lo : lo + len(bounds) - 1]], np.diff(bounds))
+        w = idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * sizes / mean))
+        for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield t[first:end], w[first:end]
 
 
 @lru_cache(maxsize=2)
@@ -162,11 +176,14 @@ def _signs(size: int, s: Settings) -> np.ndarray:
     return np.random.default_rng(s.seed).choice(np.array([-1, 1], np.float32), (size, s.sketch))
 
 
-def sketch(ids: np.ndarray, idf: np.ndarray, mean: float, s: Settings) -> np.ndarray:
-    """Random projection of a document's weights to a unit vector; lexically close documents have close ones."""
-    t, w = _weights(ids, idf, mean, s)
-    v = (w * idf[t]).astype(np.float32) @ _signs(len(idf), s)[t]
-    return v / max(1e-9, float(np.linalg.norm(v)))
+def sketches_of(docs: list[np.ndarray], idf: np.ndarray, mean: float, s: Settings) -> np.ndarray:
+    """Random projections of the documents' weights to unit vectors; lexically close documents have close ones."""
+    signs = _signs(len(idf), s)
+    out = np.empty((len(docs), s.sketch), np.float32)
+    for v, (t, w) in zip(out, _weights(docs, idf, mean, s)):
+        v[:] = (w * idf[t]).astype(np.float32) @ signs[t]
+        v /= max(1e-9, float(np.linalg.norm(v)))
+    return out
 
 
 def _scores(vectors: np.ndarray, axes: np.ndarray, ties: np.ndarray) -> np.ndarray:
@@ -239,8 +256,7 @@ class Index:
         self.s = s
         terms, owners, weights = [], [], []
         self.queries = []
-        for i, ids in enumerate(docs):
-            t, w = _weights(ids, idf, mean, s)
+        for i, (t, w) in enumerate(_weights(docs, idf, mean, s)):
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w.astype(np.float32))
@@ -494,7 +510,7 @@ def pack_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
     def sketches(batch: pa.RecordBatch) -> np.ndarray:
         sizes, blobs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-        return np.array([sketch(_array(blob, n), shared.value, mean, s) for n, blob in zip(sizes, blobs)], np.float32).reshape(len(sizes), s.sketch)
+        return sketches_of([_array(blob, n) for n, blob in zip(sizes, blobs)], shared.value, mean, s)
 
     # documents drawn by their tokens, about ``cuts`` a part
     step = sums.tokens / fan / s.cuts
