@@ -81,7 +81,7 @@ def _shapes(spark, sf):
     f"""SELECT CAST(s_suppkey AS VARCHAR) image_id, unnest(CASE s_suppkey%3 WHEN 0 THEN ['name','nation'] WHEN 1 THEN ['supplier.name','supplier.nation'] ELSE ['extra','name','notes[0]','notes[1]','notes[2]'] END) AS leaf,
       unnest(CASE s_suppkey%3 WHEN 0 THEN ['STRING','BIGINT'] WHEN 1 THEN ['STRING','STRING'] ELSE ['OBJECT<>','STRING','BIGINT','STRING','VOID'] END) kind,
       unnest(CASE s_suppkey%3 WHEN 2 THEN ['{{}}',s_name,CAST(s_nationkey AS VARCHAR),'new',NULL] ELSE [s_name,CAST(s_nationkey AS VARCHAR)] END) AS "value" {GOOD}
-    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no JSON', 'error', '{{"name": "'||s_name FROM supplier WHERE s_suppkey%11=0""",
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'no JSON', 'error', '{{"name": "'||s_name||chr(10) FROM supplier WHERE s_suppkey%11=0""",
 )
 def a03_leaves(spark, sf):
     """Leaves of records of three shapes, and the files that are no JSON with their text."""

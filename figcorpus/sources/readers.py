@@ -70,7 +70,7 @@ def scan_json_variants(
     No schema is asked for or inferred: ``record`` is a VARIANT, and ``operators.variants`` lists
     its leaves. Unreadable files keep their path and text, with what is wrong in ``error``.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     tagged = files.select(
         F.regexp_extract("_metadata.file_path", pattern, 1).alias("book_id"),
         F.regexp_extract("_metadata.file_path", pattern, 2).alias("image_id"),
@@ -101,9 +101,8 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def scan_books(spark: SparkSession, root: str) -> DataFrame:
     """Documents of a corpus folder (markdown/, images/<book>/, pdf/) that have images."""
     docs = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
-        .text(f"{root}/markdown")
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(f"{root}/markdown", wholetext=True)
         .select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     )
     dirs = scan_images(spark, f"{root}/images").select("book_id")

@@ -12,9 +12,9 @@ def test_corpus_folder(spark, tmp_path):
     for p in ("markdown/000001.md", "markdown/000002.md", "markdown/notes.md", "images/000001/000001.JPG", "images/000001/x.txt", "pdf/000001.pdf"):
         f = tmp_path / p
         f.parent.mkdir(parents=True, exist_ok=True)
-        f.write_text(f"text of {p}")
+        f.write_text(f"text of {p}\nand more")
     rows = rd.scan_books(spark, str(tmp_path)).collect()
-    assert [(r["book_id"], r["text"], r["has_pdf"]) for r in rows] == [("000001", "text of markdown/000001.md", True)]
+    assert [(r["book_id"], r["text"], r["has_pdf"]) for r in rows] == [("000001", "text of markdown/000001.md\nand more", True)]
     images = rd.scan_images(spark, str(tmp_path)).collect()
     assert [(r["book_id"], r["image_id"]) for r in images] == [("000001", "000001")]
     loaded = rd.payload_guard(rd.load_images(spark, str(tmp_path / "images"))).first()

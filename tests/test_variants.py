@@ -21,7 +21,7 @@ RECORDS = [
 def _folder(spark, tmp_path):
     for i, r in enumerate(RECORDS):
         (tmp_path / f"b{i % 2}").mkdir(exist_ok=True)
-        (tmp_path / f"b{i % 2}" / f"r{i}.json").write_text(json.dumps(r, ensure_ascii=False))
+        (tmp_path / f"b{i % 2}" / f"r{i}.json").write_text(json.dumps(r, ensure_ascii=False, indent=i % 3 or None))
     (tmp_path / "b0" / "cut.json").write_text('{"a": ')
     (tmp_path / "b0" / "blank.json").write_text(" \n")
     return rd.scan_json_variants(spark, str(tmp_path))
