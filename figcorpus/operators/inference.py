@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from figcorpus.functions import prompts as pr
 from figcorpus.operators import evaluation as ev
-from figcorpus.session import durable
+from figcorpus.session import dealt, durable
 
 
 class RowError:
@@ -146,8 +146,11 @@ def journaled_batches(df: DataFrame, fn, keys: list[str], journal: str, slices:
 def multi_model_answers(
     samples: DataFrame, models: list[str], fn, key: str = "sample_id", groups=pr.GROUPS, **how
 ) -> DataFrame:
-    """Answers of every model for every sample and prompt group, checked and typed."""
-    asked = ev.prompt_matrix(samples, models, groups).withColumn(
+    """Answers of every model for every sample and prompt group, checked and typed.
+
+    Samples are dealt over the tasks before they are repeated, so asking takes all cores.
+    """
+    asked = ev.prompt_matrix(dealt(samples), models, groups).withColumn(
         "prompt", pr.build_prompt("group", "image_background", "analysis_information", "question", "options")
     )
     return _answers(asked, fn, key, **how)
@@ -170,7 +173,7 @@ def retry_failed(answers: DataFrame, samples: DataFrame, fn, key: str = "sample_
     """
     answers = durable(answers)
     bad = answers.where("error_type IS NOT NULL").select(key, "group", "model")
-    prompts = bad.join(samples, key).withColumn(
+    prompts = dealt(bad.join(samples, key)).withColumn(
         "prompt", pr.build_prompt("group", "image_background", "analysis_information", "question", "options")
     )
     redone = _answers(prompts, fn, key, **how)

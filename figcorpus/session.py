@@ -66,6 +66,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows over four tasks a core, however they came: for work that costs much more than moving its rows.
+
+    Splits of a file say little about where its rows are, and what is joined or grouped before
+    may have been merged into few tasks by its size; a stated number of parts is not merged again.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from figcorpus.operators import corpus as cp
 from figcorpus.operators import inference as inf
+from figcorpus.plans import fixtures as fx
 from figcorpus.sources import readers as rd
 from figcorpus.sources import writers as wr
 
@@ -294,3 +295,18 @@ def test_edits_reach_linked_records(spark):
     got = {r["oid"]: (r["g"], r["n"], r["review_info"] and r["review_info"]["reviewer"]) for r in done["o"].collect()}
     assert got == {10: ("late", 5, "ann"), 11: ("two", 6, "bob"), 12: ("y", 7, None)}
     assert {r["id"]: r["f"] for r in done["main"].collect()} == {1: "late", 2: "two", 3: "x", 9: "new"}
+
+
+def test_models_are_asked_in_many_tasks(spark):
+    def task(part):
+        from pyspark import TaskContext
+
+        return [f"task {TaskContext.get().partitionId()}"] * len(part)
+
+    rows = spark.range(400).coalesce(1).selectExpr("id AS sample_id", "'b' AS image_background", "'a' AS analysis_information", "'q' AS question", "'A' AS gold")
+    samples = fx.with_options(rows)
+    first = inf.multi_model_answers(samples, ["m"], task).collect()
+    assert len(first) == 1600 and len({r["answer"] for r in first}) > 8
+    # none is an option, so all are asked again
+    again = inf.retry_failed(inf.multi_model_answers(samples, ["m"], task), samples, task).collect()
+    assert len(again) == 1600 and len({r["answer"] for r in again}) > 8
