@@ -36,7 +36,7 @@ def a02(spark, sf):
 def a03(spark, sf):
     out = scratch_dir(spark, "tree")
     rows = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
-    rows.repartition("s_nationkey").write.partitionBy("s_nationkey", "s_suppkey").json(out)
+    wr.write_tree(rows, out, ["s_nationkey", "s_suppkey"])
     good, _ = rd.scan_json_tree(
         spark, out, "s_name STRING, s_acctbal DOUBLE", r"s_nationkey=([^/]+)/s_suppkey=([^/]+)/[^/]+\.json$"
     )
@@ -72,7 +72,7 @@ GOOD = "FROM supplier WHERE s_suppkey%11<>0"
 def _shapes(spark, sf):
     out = scratch_dir(spark, "shapes")
     rows = table(spark, sf, "supplier").selectExpr("s_nationkey", "s_suppkey", f"{_shape('STRING')} AS value")
-    rows.repartition("s_nationkey").write.partitionBy("s_nationkey", "s_suppkey").text(out)
+    wr.write_tree(rows, out, ["s_nationkey", "s_suppkey"], "text")
     return rd.scan_json_variants(spark, out, r"s_nationkey=([^/]+)/s_suppkey=([^/]+)/[^/]+$", "*.txt")
 
 

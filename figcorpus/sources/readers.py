@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,18 @@ def _ending(exts) -> str:
     return r"(?i)\.(" + "|".join(exts) + ")$"
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by four tasks a core, many folders each; by default each is a task, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scan_images(spark: SparkSession, root: str, exts=IMAGE_EXTENSIONS) -> DataFrame:
     """Path, size and ids of the images below a folder; the contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -45,16 +60,16 @@ def scan_json_tree(
     spark: SparkSession, root: str, schema: str, pattern: str = r"([^/]+)/([^/]+)\.json$"
 ) -> tuple[DataFrame, DataFrame]:
     """(records, unreadable files) of one JSON object per file, ids taken from the path."""
-    rows = (
+    reader = (
         spark.read.schema(f"{schema}, _bad STRING")
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .json(root)
-        .withColumn("path", F.col("_metadata.file_path"))
     )
+    with _listing(spark):
+        rows = reader.json(root).withColumn("path", F.col("_metadata.file_path"))
     tagged = rows.withColumn("book_id", F.regexp_extract("path", pattern, 1)).withColumn(
         "image_id", F.regexp_extract("path", pattern, 2)
     )
@@ -70,7 +85,8 @@ def scan_json_variants(
     No schema is asked for or inferred: ``record`` is a VARIANT, and ``operators.variants`` lists
     its leaves. Unreadable files keep their path and text, with what is wrong in ``error``.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+    with _listing(spark):
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     tagged = files.select(
         F.regexp_extract("_metadata.file_path", pattern, 1).alias("book_id"),
         F.regexp_extract("_metadata.file_path", pattern, 2).alias("image_id"),

@@ -24,6 +24,16 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str], fmt: str = "jso
     writer.partitionBy(*keys).format(fmt).save(path)
 
 
+def write_tree(df: DataFrame, path: str, keys: list[str], fmt: str = "json") -> None:
+    """One file per combination of ``keys``, in a new folder, for trees of very many small files.
+
+    A file costs much more than its rows, so combinations are dealt over four tasks a core, which are
+    not merged by size.
+    """
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    df.repartition(parts, *keys).write.partitionBy(*keys).format(fmt).save(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from figcorpus.operators import corpus as cp
 from figcorpus.operators import inference as inf
 from figcorpus.plans import fixtures as fx
+from figcorpus.plans.catalog import QUERIES
 from figcorpus.sources import readers as rd
 from figcorpus.sources import writers as wr
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_corpus_folder(spark, tmp_path):
     for p in ("markdown/000001.md", "markdown/000002.md", "markdown/notes.md", "images/000001/000001.JPG", "images/000001/x.txt", "pdf/000001.pdf"):
@@ -310,3 +313,19 @@ def test_models_are_asked_in_many_tasks(spark):
     # none is an option, so all are asked again
     again = inf.retry_failed(inf.multi_model_answers(samples, ["m"], task), samples, task).collect()
     assert len(again) == 1600 and len({r["answer"] for r in again}) > 8
+
+
+def test_trees_of_small_files_are_written_by_many_tasks(spark):
+    files = QUERIES["a03_scan_json_tree"](spark, SF).inputFiles()
+    tasks = {f.split("/part-")[1].split("-")[0] for f in files}
+    assert len(files) > 8 and len(tasks) > 4
+
+
+def test_listing_leaves_the_session_as_it_was(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.json").write_text('{"level": 1}')
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    rd.scan_json_tree(spark, str(tmp_path), "level STRING")
+    rd.scan_json_variants(spark, str(tmp_path))
+    assert spark.conf.get(name) == before
