@@ -120,9 +120,16 @@ def clean_html_tables(col) -> Column:
     c = F.regexp_replace(_c(col), r"(?i)<(t[dh])(?=[0-9. ])", "<$1>")
     c = F.regexp_replace(c, r"(?i)</?(?:td|th)[^>]*>", "\n")
     c = F.regexp_replace(c, r"(?i)</?(?:table|tr|tbody|thead|tfoot)[^>]*>", "")
-    for quote in ('"', "'"):
-        c = F.regexp_replace(c, rf"(?i)\s*(?:{TABLE_ATTRIBUTES})\s*=\s*{quote}[^{quote}]*{quote}", "")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+
+    def plain(t):
+        for quote in ('"', "'"):
+            t = F.regexp_replace(t, rf"(?i)\s*(?:{TABLE_ATTRIBUTES})\s*=\s*{quote}[^{quote}]*{quote}", "")
+        return t
+
+    # the names are tried at every place of a text, so only where a value in quotes is in it
+    c = bind(c, lambda t: F.when(t.rlike("=\\s*[\"']"), plain(t)).otherwise(t))
+    # runs of blanks, without the single ones, which stay what they are
+    c = F.regexp_replace(c, r"\t[ \t]*| [ \t]+", " ")
     c = F.regexp_replace(c, r"(?U)\n\s*\n", "\n\n")
     return strip(c)
 
@@ -143,6 +150,10 @@ def drop_section(col, headings: list[str] | None = None) -> Column:
 
 
 def any_heading(headings: list[str]) -> str:
+    """One pattern for all headings; the mark that they all start with is looked for once, not once a heading."""
+    mark = r"#\s*"
+    if headings and all(h.startswith(mark) and h[len(mark) :][:1] not in ("+", "?") and "|" not in h for h in headings):
+        return f"(?iU){mark}(?:" + "|".join(h[len(mark) :] for h in headings) + ")"
     return "(?iU)" + "|".join(f"(?:{h})" for h in headings)
 
 

@@ -153,3 +153,20 @@ def test_template(spark):
     df = spark.createDataFrame([("q", None, 3)], "a string, b string, n int")
     got = df.select(pr.fill_template('Ask {a} [{b}] {n}: {"k": 1} {other}', a="a", b="b", n="n")).first()[0]
     assert got == 'Ask q [] 3: {"k": 1} {other}'
+
+
+def test_headings_share_one_search(spark):
+    pattern = tx.any_heading(tx.SECTION_HEADINGS)
+    assert pattern.count("#") == 1
+    apart = "(?iU)" + "|".join(f"(?:{h})" for h in tx.SECTION_HEADINGS)
+    texts = ["## 图 目录", "# list  of\nfigures", "#3 Results", "# 3 resultsand", "#", "# # summary", "summary", "x # 图\u3000索 引", "#\xa0Conclusions", "", None]
+    assert many(spark, texts, lambda x: x.rlike(pattern)) == many(spark, texts, lambda x: x.rlike(apart))
+    # other marks, and lists whose parts are not one alternative each, are searched as they are
+    for headings in (["# A|B", "# C"], ["A", r"#\s*B"], [r"#\s*?A"], [r"#\s*A|B"]):
+        assert tx.any_heading(headings) == "(?iU)" + "|".join(f"(?:{h})" for h in headings)
+
+
+def test_blanks_and_attributes_in_any_order(spark):
+    texts = [" a  b\tc \t d\t \te", "x class= class=\"y\"'z' w", "width = '3'>", "width=3 'q'", "a=\"b\" STYLE\n=\n\"c\"d", "\t", "", None]
+    want = ["a b c d e", "x w", ">", "width=3 'q'", "a=\"b\"d", "", "", None]
+    assert many(spark, texts, tx.clean_html_tables) == want
