@@ -32,8 +32,9 @@ class Settings:
 
     ``listed``: words whose counts every task holds; the others' are joined.
     ``warm_rows`` documents, up to ``warm_tokens`` neighbouring tokens of each, are
-    the warm-up sample. All training documents are learned in ``rounds`` shares, one after another: the state runs
-    through each whole document, and one ``window`` in ``every`` has its loss taken and sent back.
+    the warm-up sample, which only comes first. All training documents are learned in ``rounds`` shares, one after another: the state runs
+    through each whole document, and every ``window`` has its loss taken and sent back. An ``every`` above 1 learns from
+    one window in so many, for trials.
     """
 
     own_words: int = 4000
@@ -43,7 +44,7 @@ class Settings:
     hidden: int = 24
     lanes: int = 256
     window: int = 16
-    every: int = 6
+    every: int = 1
     rate: float = 0.1
     warm_rows: int = 1500
     warm_tokens: int = 512

@@ -171,3 +171,16 @@ def test_the_model_beats_the_base_on_held_out_documents(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base, rel=1e-9)
     out = got[got.held_out]
     assert out.score.sum() / out.n_tokens.sum() > out.base_score.sum() / out.n_tokens.sum() + 0.2
+
+
+def test_every_place_is_learned_from(monkeypatch):
+    """With the settings of the query no window of a document is passed by."""
+    s = lm.Settings()
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 20, n) for n in (1, 5, 700, 1300, 40)]
+    taken = []
+    gradients = lm.Net.gradients
+    monkeypatch.setattr(lm.Net, "gradients", lambda self, ids, targets, keep, active, state: (taken.append(active.sum()), gradients(self, ids, targets, keep, active, state))[1])
+    trainer = lm.Trainer(lm.Net.fresh(np.ones(20), s), s.rate)
+    trainer.learn(docs, s.lanes, s.window, s.every)
+    assert sum(taken) == sum(map(len, docs)) == trainer.seen
