@@ -258,34 +258,47 @@ def running_sums(values: Column, block: int = 64) -> Column:
     return bind(bind(values, cut), within)
 
 
-def cjk_share(col) -> Column:
-    def share(t):
-        return F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0))
+def _cjk_count(t: Column) -> Column:
+    return F.length(t) - F.length(F.regexp_replace(t, f"{CJK}+", ""))
+
+
+def _share(t: Column) -> Column:
+    return F.coalesce(_cjk_count(t) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0))
 
-    return bind(F.regexp_replace(_c(col), r"\s+", ""), share)
+
+def cjk_share(col) -> Column:
+    return bind(F.regexp_replace(_c(col), r"\s+", ""), _share)
 
 
 def is_chinese(col, share: float = 0.3) -> Column:
     """Share of CJK characters; very short texts need more than half."""
-    squeezed = strip(F.regexp_replace(_c(col), r"\s+", " "))
 
-    def judge(t):
-        short = F.coalesce(F.regexp_count(t, F.lit(CJK)) / F.nullif(F.length(t), F.lit(0)), F.lit(0.0)) > 0.5
-        return F.when(F.length(t) < 3, short).otherwise(cjk_share(t) >= share)
+    def judge(t, bare):
+        squeezed = strip(F.regexp_replace(t, r"\s+", " "))
+        short = bind(squeezed, lambda q: F.when(F.length(q) < 3, _share(q) > 0.5))
+        # three characters besides blanks are three with them, too
+        return F.coalesce(F.when(F.length(bare) < 3, short), _share(bare) >= share)
+
+    return bind(_c(col), lambda t: bind(strip(F.regexp_replace(t, r"\s+", "")), lambda bare: judge(t, bare)))
 
-    return bind(squeezed, judge)
+
+SNAP = 200  # borders move by fewer characters than this
 
 
 def _last_end_before(text: Column, stop: Column) -> Column:
-    """0-based position of the last sentence end before 0-based ``stop``, -1 if none."""
-    head = F.left(text, stop)
-    at = F.regexp_instr(F.reverse(head), F.lit(f"[{SENTENCE_ENDS}]"))
-    return F.when(at > 0, F.length(head) - at).otherwise(F.lit(-1))
+    """0-based position of the last sentence end before 0-based ``stop`` and close enough to snap to, -1 if none."""
+    first = F.greatest(stop - (SNAP - 1), F.lit(0))
+
+    def find(near):
+        at = F.regexp_instr(F.reverse(near), F.lit(f"[{SENTENCE_ENDS}]"))
+        return F.when(at > 0, first + F.length(near) - at).otherwise(F.lit(-1))
+
+    return bind(F.substr(text, first + 1, stop - first), find)
 
 
 def _first_end_from(text: Column, start: Column) -> Column:
-    """0-based position of the first sentence end at or after 0-based ``start``, NULL if none."""
-    at = F.regexp_instr(F.substr(text, start + 1), F.lit(f"[{SENTENCE_ENDS}]"))
+    """0-based position of the first sentence end at or after 0-based ``start`` and close enough to snap to, NULL if none."""
+    at = F.regexp_instr(F.substr(text, start + 1, F.lit(SNAP)), F.lit(f"[{SENTENCE_ENDS}]"))
     return F.when(at > 0, start + at - 1)
 
 
@@ -308,13 +321,16 @@ def trim_to_sentences(text, max_chars: int | Column = 1000) -> Column:
     """
     limit = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
     marks = F.array(*[F.lit(e) for e in SENTENCE_ENDS])
-    sized = F.struct(
-        _c(text).alias("t"),
-        F.length(_c(text)).alias("n"),
-        limit.alias("max"),
-        F.floor(F.length(_c(text)) / 2).cast("int").alias("mid"),
-        F.floor(limit / 2).cast("int").alias("half"),
-    )
+
+    def sized(given):
+        # the limit may be a costly expression
+        return F.struct(
+            _c(text).alias("t"),
+            F.length(_c(text)).alias("n"),
+            given.alias("max"),
+            F.floor(F.length(_c(text)) / 2).cast("int").alias("mid"),
+            F.floor(given / 2).cast("int").alias("half"),
+        )
 
     def cut(x):
         t, n, mid, half = x["t"], x["n"], x["mid"], x["half"]
@@ -347,7 +363,7 @@ def trim_to_sentences(text, max_chars: int | Column = 1000) -> Column:
             bind(bind(first, finish), lambda s: strip(F.substr(t, s["lo"] + 1, s["hi"] - s["lo"])))
         )
 
-    return bind(sized, cut)
+    return bind(bind(limit, sized), cut)
 
 
 def expand_abbreviations(text, table, word_boundary: bool = True, first_only: bool = False) -> Column:

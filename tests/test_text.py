@@ -170,3 +170,18 @@ def test_blanks_and_attributes_in_any_order(spark):
     texts = [" a  b\tc \t d\t \te", "x class= class=\"y\"'z' w", "width = '3'>", "width=3 'q'", "a=\"b\" STYLE\n=\n\"c\"d", "\t", "", None]
     want = ["a b c d e", "x w", ">", "width=3 'q'", "a=\"b\"d", "", "", None]
     assert many(spark, texts, tx.clean_html_tables) == want
+
+
+def test_the_limit_of_a_trim_is_worked_out_once(spark):
+    """And borders move to sentence ends less than 200 characters away, no farther."""
+    assert str(tx.trim_to_sentences("x", F.col("limit_of_x"))).count("limit_of_x") == 1
+
+    def cut(near, far):
+        # the window of 1,400 characters around the middle starts at 1,300 and ends at 2,700
+        t = ["x"] * 4000
+        t[1300 - near], t[2700 + far] = ".", "."
+        return "".join(t)
+
+    texts = [cut(n, n) for n in (1, 199, 200, 201, 700)]
+    got = many(spark, texts, lambda x: tx.trim_to_sentences(x, 1000))
+    assert [len(g) for g in got] == [1402, 1798, 1400, 1400, 1400]
