@@ -53,6 +53,13 @@ class Settings:
     seed: int = 5
 
 
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each row, one at a time; the column's text is not copied whole."""
+    data, offsets = text_buffer(column)
+    for i in range(len(column)):
+        yield data[offsets[i] : offsets[i + 1]].tobytes()
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words between the six ASCII blanks, A-Z lower-cased."""
     return text.lower().split()
@@ -64,9 +71,12 @@ def ending(word: bytes, endings: int) -> int:
 
 # counts
 
+#: Distinct words that a task holds at a time besides those of the model; bytes of text that it counts words of at a time.
+HELD, PIECE = 100_000, 4_000_000
+
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) summed over a task's documents, written whenever half a million words are held."""
+    """(word, n) summed over a task's documents, written whenever more than ``HELD`` words are held."""
     held: Counter = Counter()
 
     def told():
@@ -74,11 +84,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([words, pa.array(held.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        whole = data.tobytes()
-        for i in range(batch.num_rows):
-            held.update(words_of(whole[offsets[i] : offsets[i + 1]]))
-            if len(held) > 500_000:
+        for text in each_text(batch.column("text")):
+            held.update(words_of(text))
+            if len(held) > HELD:
                 yield told()
                 held.clear()
     if held:
@@ -329,15 +337,16 @@ class Trainer:
         state = None
         for ids, targets, keep, active, _, first in windows(docs, lanes, window * 4):
             state = np.zeros((ids.shape[1], self.net.h), np.float32) if first else state[: ids.shape[1]]
-            halved = self.net.halved()
+            halved = None
             for at in range(0, len(ids), window):
                 now = slice(at, at + window)
                 if turn % every == 0 and active[now].any():
                     loss, grads, state = self.net.gradients(ids[now], targets[now], keep[now], active[now], state)
                     self.step(grads)
-                    halved = self.net.halved()
+                    halved = None
                     total, steps = total + loss, steps + 1
                 else:
+                    halved = halved or self.net.halved()
                     state = self.net.forward(ids[now], keep[now], state, halved)[-1]
                 turn += 1
             self.seen += int(active.sum())
@@ -361,7 +370,7 @@ def windows(docs: list[np.ndarray], lanes: int, window: int):
         mine[k].append(i)
     mine.sort(key=lambda m: -sum(len(docs[i]) for i in m))
     lines = [np.concatenate([docs[i] for i in m]) for m in mine]
-    owner = [np.repeat(m, [len(docs[i]) for i in m]) for m in mine]
+    owner = [np.repeat(np.array(m, np.int32), [len(docs[i]) for i in m]) for m in mine]
     longs = np.array([len(x) for x in lines])
     for start in range(0, int(longs[0]), window):
         alive = int((longs > start).sum())
@@ -394,7 +403,7 @@ def doc_log_probs(net: Net, docs: list[np.ndarray], lanes: int = 512, window: in
 
 @dataclass
 class Model:
-    """``ids``: words with outputs of their own; ``listed``: log10(count + 1) of frequent words.
+    """``ids``: words with outputs of their own; ``listed``: frequent words, ``logs``: log10(count + 1) of each.
 
     ``shared``: log10 of each ending's tokens + words + 1, by ending; ``first_of``: output of each ending.
     ``tokens``, ``types``: all training tokens and distinct ones, ends included.
@@ -404,7 +413,8 @@ class Model:
     net: Net
     ids: dict[bytes, int]
     own_logs: np.ndarray
-    listed: dict[bytes, float]
+    listed: list[bytes]
+    logs: np.ndarray
     shared: np.ndarray
     first_of: np.ndarray
     tokens: int
@@ -414,11 +424,17 @@ class Model:
 
     def local(self, learning: bool = False) -> Model:
         """What tasks need; learning takes no counts."""
-        return Model(**{**self.__dict__, "counts": None, "listed": {} if learning else self.listed})
+        less = {"listed": [], "logs": self.logs[:0]} if learning else {}
+        return Model(**{**self.__dict__, "counts": None, **less})
+
+    def outputs(self, words: list[bytes]) -> np.ndarray:
+        """The output of each word: its own, or its ending's."""
+        own, n = self.ids, self.settings.endings
+        return np.array([own[w] if w in own else self.first_of[ending(w, n)] for w in words], np.int32)
 
 
 class _Outputs(dict):
-    """Outputs of words; an ending's output is kept for the batch."""
+    """Outputs of words; an ending's output is kept until many are."""
 
     def __init__(self, model: Model):
         super().__init__(model.ids)
@@ -428,11 +444,16 @@ class _Outputs(dict):
         self[word] = out = int(self.model.first_of[ending(word, self.model.settings.endings)])
         return out
 
+    def forget_many(self) -> None:
+        if len(self) > len(self.model.ids) + HELD:
+            self.clear()
+            self.update(self.model.ids)
+
 
 class _Numbers(dict):
     """Numbers of words: the listed ones' are fixed, others are numbered on until they are forgotten."""
 
-    def __init__(self, listed: dict[bytes, float]):
+    def __init__(self, listed: list[bytes]):
         super().__init__(zip(listed, range(len(listed))))
         self.rest: list[bytes] = []
 
@@ -448,13 +469,13 @@ class _Numbers(dict):
 
 
 def _encoded(batch: pa.RecordBatch, outputs: _Outputs) -> list[np.ndarray]:
-    data, offsets = text_buffer(batch.column("text"))
-    whole = data.tobytes()
     out = []
-    for i in range(batch.num_rows):
-        found = list(map(outputs.__getitem__, words_of(whole[offsets[i] : offsets[i + 1]])))
-        found.append(0)
-        out.append(np.array(found, np.int64))
+    for text in each_text(batch.column("text")):
+        found = words_of(text)
+        ids = np.zeros(len(found) + 1, np.int32)  # the end comes last
+        ids[:-1] = np.fromiter(map(outputs.__getitem__, found), np.int32, len(found))
+        out.append(ids)
+        outputs.forget_many()
     return out
 
 
@@ -554,8 +575,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     own_logs = np.zeros(len(mass) + 1)
     own_logs[output[: len(own)]] = [math.log10(n + 1) for _, n in own]
     model = Model(
-        s, net, {w: int(output[i]) for i, (w, _) in enumerate(own)}, own_logs, {w: math.log10(n + 1) for w, n in listed},
-        np.log10(shared + 1), output[len(own) :], int(total.n or 0) + ends, total.words + (ends > 0), ends, counts,
+        s, net, {w: int(output[i]) for i, (w, _) in enumerate(own)}, own_logs, [w for w, _ in listed],
+        np.array([math.log10(n + 1) for _, n in listed]), np.log10(shared + 1), output[len(own) :], int(total.n or 0) + ends, total.words + (ends > 0), ends, counts,
     )
     if not ends:
         return model
@@ -582,49 +603,60 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return model
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows, first and behind the last, cut where their texts come to ``PIECE`` bytes."""
+    _, offsets = text_buffer(column)
+    first = 0
+    for i in range(len(column)):
+        if offsets[i + 1] - offsets[first] >= PIECE or i + 1 == len(column):
+            yield first, i + 1
+            first = i + 1
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         numbers = _Numbers(model.listed)
         n_listed = len(model.listed)
-        outputs = _Outputs(model)
-        fixed = np.array([outputs[w] for w in model.listed], np.int64)
-        logs = np.array(list(model.listed.values()))
+        fixed = model.outputs(model.listed)
         less = np.zeros(len(model.own_logs))
         less[model.first_of] = model.shared
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = text_buffer(batch.column("text"))
-            whole = data.tobytes()
+
+        def counted(rows: pa.RecordBatch):
+            """The rows' output ids, their base logarithms, and the words that are joined later."""
             found = []
-            for i in range(batch.num_rows):
-                words = words_of(whole[offsets[i] : offsets[i + 1]])
-                found.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            rest_words = [w.decode() for w in numbers.rest]
-            output = np.concatenate([fixed, np.array([outputs[w] for w in numbers.rest], np.int64)])
-            log = np.concatenate([logs, np.zeros(len(rest_words))])
-            numbers.forget()
-            docs = [np.append(output[x], 0) for x in found]
-            log_p = doc_log_probs(model.net, docs, model.settings.lanes) / math.log(10)
+            for text in each_text(rows.column("text")):
+                words = words_of(text)
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            output = np.concatenate([fixed, model.outputs(numbers.rest)])
+            log = np.concatenate([model.logs, np.zeros(len(numbers.rest))])
+            docs = [np.append(output[x], np.int32(0)) for x in found]
             base = np.array([log[x].sum() for x in found])
-            # within an ending a word has its add-one share: counts from the lists, totals here
-            apart = np.array([model.own_logs[x].sum() + less[x].sum() for x in docs])
-            lengths = np.array([len(x) for x in docs])
-            start = base + math.log10(model.ends + 1) - lengths * math.log10(model.tokens + model.types + 1)
             rest = [np.unique(x[x >= n_listed], return_counts=True) for x in found]
             upto = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rest])]), pa.int32())
-            named = pa.array(rest_words, pa.string()).take(pa.array(np.concatenate([r[0] for r in rest]) - n_listed))
+            words = pa.array(numbers.rest, pa.binary()).cast(pa.string())
+            named = words.take(pa.array(np.concatenate([r[0] for r in rest]) - n_listed))
             times = np.concatenate([r[1] for r in rest]).astype(np.int64)
             unlisted = np.array([r[1].sum() for r in rest], np.int64)
-            kept = [batch.column(c) for c in ("doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *kept, pa.array(lengths), pa.array(lengths - unlisted - (model.ends == 0)), pa.array(start), pa.array(log_p + base - apart),
-                    pa.ListArray.from_arrays(upto, named), pa.ListArray.from_arrays(upto, pa.array(times)),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "rest_n"],
-            )
+            numbers.forget()
+            return docs, base, unlisted, pa.ListArray.from_arrays(upto, named), pa.ListArray.from_arrays(upto, pa.array(times))
+
+        for batch in batches:
+            made = [(lo, hi, *counted(batch.slice(lo, hi - lo))) for lo, hi in _pieces(batch.column("text"))]
+            logs = doc_log_probs(model.net, [d for m in made for d in m[2]], model.settings.lanes) / math.log(10)
+            for lo, hi, docs, base, unlisted, named, times in made:
+                # within an ending a word has its add-one share: counts from the lists, totals here
+                apart = np.array([model.own_logs[x].sum() + less[x].sum() for x in docs])
+                lengths = np.array([len(x) for x in docs])
+                start = base + math.log10(model.ends + 1) - lengths * math.log10(model.tokens + model.types + 1)
+                kept = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *kept, pa.array(lengths), pa.array(lengths - unlisted - (model.ends == 0)), pa.array(start),
+                        pa.array(logs[lo:hi] + base - apart), named, times,
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "rest_n"],
+                )
 
     return run
 

@@ -2,11 +2,14 @@
 
 import math
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +187,55 @@ def test_every_place_is_learned_from(monkeypatch):
     trainer = lm.Trainer(lm.Net.fresh(np.ones(20), s), s.rate)
     trainer.learn(docs, s.lanes, s.window, s.every)
     assert sum(taken) == sum(map(len, docs)) == trainer.seen
+
+
+def test_tasks_hold_little_besides_the_text():
+    """Counting, learning's ids and lanes, and scoring stay within a few times a batch's text."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 40_000, 1500)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "held_out": [False] * 500, "text": texts})
+    size = sum(map(len, texts))
+    s = lm.Settings()
+    net = lm.Net.fresh(np.ones(21), s)
+    model = lm.Model(s, net, {b"w1": 1}, np.zeros(21), [b"w1"], np.zeros(1), np.zeros(s.endings), np.arange(s.endings) % 20 + 1, 9, 9, 9)
+
+    def lanes():
+        for w in lm.windows(lm._encoded(batch, lm._Outputs(model)), 8, 16):
+            yield w
+            return
+
+    def peak(made):
+        tracemalloc.start()
+        for _ in made:
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "HELD", 5000)
+        m.setattr(lm, "PIECE", 200_000)
+        m.setattr(lm, "doc_log_probs", lambda net, docs, lanes: np.zeros(len(docs)))
+        assert peak(lm._counts(iter([batch]))) < 0.8
+        assert peak(lanes()) < 3.5
+        assert peak(lm._scored(SimpleNamespace(value=model))(iter([batch]))) < 4
+
+
+def test_pieces_of_a_batch_score_as_the_whole(spark, monkeypatch):
+    docs = odd_docs(spark).withColumn("held_out", F.coalesce(F.col("doc_id") == 9, F.lit(False)))
+    model = lm.fit(docs.where("not held_out"), lm.Settings(**{**SMALL.__dict__, "listed": 3, "own_words": 3})).local()
+    rows = docs.select("doc_id", "held_out", "text").toPandas()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(rows.doc_id, pa.int64(), from_pandas=True), pa.array(rows.held_out.tolist()), pa.array(rows.text.tolist(), pa.string(), from_pandas=True)],
+        ["doc_id", "held_out", "text"],
+    )
+
+    def scored():
+        return pa.Table.from_batches(lm._scored(SimpleNamespace(value=model))(iter([batch]))).to_pylist()
+
+    whole = scored()
+    monkeypatch.setattr(lm, "PIECE", 20)
+    assert len(list(lm._pieces(batch.column("text")))) > 3 and scored() == whole and len(whole) == len(rows)
+    monkeypatch.setattr(lm, "HELD", 2)
+    outputs = lm._Outputs(model)
+    assert len(lm._encoded(batch, outputs)) == len(rows) and len(outputs) <= len(model.ids) + 2 + 3
