@@ -110,6 +110,17 @@ def lstrip(col) -> Column:
     return F.ltrim(_c(col), F.lit(WHITE_SPACE))
 
 
+def is_blank(char: Column) -> Column:
+    """Whether a single character is white space of any kind."""
+    return char.isin(*WHITE_SPACE)
+
+
+def strip_ends(col) -> Column:
+    """As :func:`strip`, whose search from the end lists the whole text, so only where there is something to remove."""
+    c = _c(col)
+    return F.when(is_blank(F.left(c, F.lit(1))) | is_blank(F.right(c, F.lit(1))), strip(c)).otherwise(c)
+
+
 def newline_count(col) -> Column:
     c = _c(col)
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
@@ -185,14 +196,35 @@ def figure_labels(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(FIGURE_LABEL), F.lit(1))
 
 
+def placed_labels(col) -> Column:
+    """Every figure label of a text with the number of characters in front of it: array of struct(label, at)."""
+
+    def place(x):
+        def at(label, i):
+            gaps = F.aggregate(F.slice(x["gaps"], F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g))
+            return gaps + F.aggregate(F.slice(x["labels"], F.lit(1), i), F.lit(0), lambda n, g: n + F.length(g))
+
+        return F.transform(x["labels"], lambda label, i: F.struct(label.alias("label"), at(label, i).alias("at")))
+
+    def found(labels):
+        # a single label stands where it is first found; nothing in front of it can be read as one
+        one = F.transform(labels, lambda label: F.struct(label.alias("label"), (F.instr(_c(col), label) - 1).alias("at")))
+        return F.when(F.size(labels) == 1, one).otherwise(bind(F.struct(labels.alias("labels"), F.split(_c(col), FIGURE_LABEL).alias("gaps")), place))
+
+    return bind(figure_labels(col), found)
+
+
 def matches_caption(col) -> Column:
     return _c(col).rlike(CAPTION)
 
 
 def is_caption(line, paragraph_first_line) -> Column:
     """A caption names a figure and it, or its paragraph, starts with a figure word."""
-    starts = _c(line).rlike(FIGURE_START) | F.coalesce(_c(paragraph_first_line).rlike(FIGURE_START), F.lit(False))
-    return matches_caption(line) & starts
+    return matches_caption(line) & starts_figure(line, paragraph_first_line)
+
+
+def starts_figure(line, paragraph_first_line) -> Column:
+    return _c(line).rlike(FIGURE_START) | F.coalesce(_c(paragraph_first_line).rlike(FIGURE_START), F.lit(False))
 
 
 def has_digit_run(col, n: int = 3) -> Column:

@@ -24,14 +24,14 @@ def paragraphs_of(text) -> Column:
     """Array of the paragraphs of one text with true 1-based line numbers.
 
     Paragraphs are the pieces between empty lines, stripped, empty ones dropped.
-    ``before`` is the running size (content + 2) of the paragraphs in front, which
-    turns every "at least k characters" search into a comparison of two numbers.
+    ``before`` is the running size (content + 2) of the paragraphs in front, ``size`` the characters of
+    the content, which turn every "at least k characters" search into a comparison of two numbers.
     """
     def measure(piece):
         return F.struct(
             tx.newline_count(piece).alias("nl"),
-            (tx.newline_count(piece) - tx.newline_count(tx.lstrip(piece))).alias("lead"),
-            tx.strip(piece).alias("content"),
+            F.when(tx.is_blank(F.left(piece, F.lit(1))), tx.newline_count(piece) - tx.newline_count(tx.lstrip(piece))).otherwise(0).alias("lead"),
+            tx.strip_ends(piece).alias("content"),
         )
 
     def extend(x):
@@ -57,6 +57,7 @@ def paragraphs_of(text) -> Column:
                 (first + x["inner"]).alias("end_line"),
                 F.substring_index(x["content"], "\n", 1).alias("first_line"),
                 F.get(sums["sizes"], i).alias("before"),
+                x["size"].alias("size"),
             )
 
         return F.filter(F.transform(pieces, para), lambda p: p["content"] != "")
@@ -142,7 +143,7 @@ def window_around(paras: Column, at: Column, k: int) -> Column:
     lo_bound = F.greatest(F.lit(0), at - reach)
     hi_bound = F.least(size - 1, at + reach)
     base = here["before"]
-    tail = base + F.length(here["content"]) + 2
+    tail = base + here["size"] + 2
     lo = F.coalesce(
         F.array_max(
             F.filter(F.sequence(lo_bound, at), lambda i: base - F.get(paras, i)["before"] >= half)
@@ -153,7 +154,7 @@ def window_around(paras: Column, at: Column, k: int) -> Column:
         F.array_min(
             F.filter(
                 F.sequence(at, hi_bound),
-                lambda i: F.get(paras, i)["before"] + F.length(F.get(paras, i)["content"]) + 2 - tail >= half,
+                lambda i: F.get(paras, i)["before"] + F.get(paras, i)["size"] + 2 - tail >= half,
             )
         ),
         size - 1,
@@ -187,7 +188,7 @@ def nested_contexts(paras: Column, at: Column, widest: Column, **sizes: int) ->
             first = F.get(paras, lo)["before"]
             return F.struct(
                 (first - start).cast("int").alias("at"),
-                (last["before"] + F.length(last["content"]) - first).cast("int").alias("n"),
+                (last["before"] + last["size"] - first).cast("int").alias("n"),
             )
 
         return F.struct(

@@ -12,13 +12,14 @@ CLASSES = ("normal", "abnormal", "extreme abnormal")
 
 
 def figure_marks(
-    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), texts: bool = False
+    docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book_id",), texts: bool = False, labels: bool = False
 ) -> DataFrame:
     """One row per document with images, and the sparse lines that the searches look at.
 
     ``marks`` lists the lines that hold an image tag or a figure label, in order, each
     with its paragraph and its offset there. It is made inside the document's own row,
-    so the text itself is never shuffled. ``texts`` adds a second list, one entry for each
+    so the text itself is never shuffled. ``labels`` lists in each mark its figure labels and where
+    they stand in the paragraph. ``texts`` adds a second list, one entry for each
     paragraph with marks (however many it has): a text around it, and where in that text the paragraph and
     the contexts lie that nested records show, 500 characters around captions, 1000 around
     references. Around a paragraph with an image the text is the image's own context of 4000
@@ -26,7 +27,11 @@ def figure_marks(
     """
     wanted = f"(?:{tx.IMAGE_TAG})|(?:{tx.CAPTION})"
 
-    def lines_of(ps, p, i):
+    def labels_of(h, offset):
+        found = F.transform(tx.bind(tx.strip(h["raw"]), tx.placed_labels), lambda x: F.struct(x["label"].alias("label"), (x["at"] + offset).alias("at")))
+        return F.when(h["is_label"], found).alias("labels")
+
+    def lines_of(p, i):
         hits = F.filter(
             F.transform(
                 F.split(p["content"], "\n"),
@@ -39,44 +44,45 @@ def figure_marks(
             ),
             lambda h: h["is_image"] | h["is_label"],
         )
-        return F.transform(
-            hits,
-            lambda h: F.struct(
+        def mark(h, offset):
+            return F.struct(
                 (p["start_line"] + h["j"]).alias("line_no"),
                 tx.strip(h["raw"]).alias("content"),
                 (i + 1).alias("para_no"),
                 p["start_line"].alias("para_start"),
                 p["end_line"].alias("para_end"),
-                # characters of the paragraph in front of the stripped line
-                (
-                    F.when(h["j"] > 0, F.length(F.call_function("substring_index", p["content"], F.lit("\n"), h["j"])) + 1).otherwise(0)
-                    + F.length(h["raw"])
-                    - F.length(tx.lstrip(h["raw"]))
-                ).alias("offset"),
+                offset.alias("offset"),
                 h["is_image"].alias("is_image"),
                 h["is_label"].alias("is_label"),
-                tx.is_caption(h["raw"], p["first_line"]).alias("is_start"),
-            ),
-        )
+                (h["is_label"] & tx.starts_figure(h["raw"], p["first_line"])).alias("is_start"),
+                *([labels_of(h, offset)] if labels else []),
+            )
+
+        def placed(h):
+            # characters of the paragraph in front of the stripped line
+            above = F.when(h["j"] > 0, F.length(F.call_function("substring_index", p["content"], F.lit("\n"), h["j"])) + 1).otherwise(0)
+            return tx.bind(above + F.length(h["raw"]) - F.length(tx.lstrip(h["raw"])), lambda offset: mark(h, offset))
+
+        return F.transform(hits, placed)
 
     def text_of(ps, p, i):
         widest = F.when(p["content"].rlike(tx.IMAGE_TAG), pg.window_around(ps, i, 4000)).otherwise(pg.window_around(ps, i, 1000))
         return F.struct((i + 1).alias("para_no"), pg.nested_contexts(ps, i, widest, near=500, wide=1000).alias("told"))
 
-    def sparse(ps, made):
-        found = F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), made(ps, p, i)))
-        return F.filter(found, lambda a: a.isNotNull())
+    def lists(t, ps):
+        # the places of the paragraphs with marks, looked for once
+        picked = F.filter(F.transform(ps, lambda p, i: F.when(p["content"].rlike(wanted), i)), lambda i: i.isNotNull())
 
-    def lists(ps):
-        return F.struct(
-            F.flatten(sparse(ps, lines_of)).alias("marks"), *([sparse(ps, text_of).alias("texts")] if texts else [])
-        )
+        def made(at):
+            marks = F.flatten(F.transform(at, lambda i: tx.bind(F.get(ps, i), lambda p: lines_of(p, i))))
+            told = F.transform(at, lambda i: tx.bind(F.get(ps, i), lambda p: text_of(ps, p, i)))
+            return F.struct((tx.newline_count(t) + 1).alias("n_lines"), marks.alias("marks"), *([told.alias("texts")] if texts else []))
 
-    return docs.where(F.col(text).rlike(tx.IMAGE_TAG)).select(
-        *keys,
-        (tx.newline_count(text) + 1).alias("n_lines"),
-        tx.bind(pg.paragraphs_of(text), lists).alias("_x"),
-    ).select(*keys, "n_lines", "_x.*")
+        return tx.bind(picked, made)
+
+    # a filter in front would work out a derived text a second time
+    some = F.filter(F.array(F.col(text)), lambda t: t.rlike(tx.IMAGE_TAG))
+    return docs.select(*keys, F.inline(F.transform(some, lambda t: tx.bind(pg.paragraphs_of(t), lambda ps: lists(t, ps)))))
 
 
 def _limit(searched: Column, n_lines: Column, max_range: int) -> Column:

@@ -34,21 +34,10 @@ def distinct_captions(captions: Column) -> Column:
     return F.transform(once, lambda r: first_of(r, "figure_number"))[0]
 
 
-def label_prefixes(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per label in the text and per prefix of it that could be a figure number.
-
-    A number that occurs in a line is a prefix of a label there, so listing the prefixes
-    turns "paragraph contains number" into an equality. A label has few prefixes.
-    """
+def placed_labels(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per label in the text, with its line and its place in the paragraph."""
     m = F.col("m")
-    labels = tx.figure_labels(m["content"])
-    gaps = F.split(m["content"], tx.FIGURE_LABEL)
-    positions = F.transform(
-        labels,
-        lambda lab, i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g))
-        + F.aggregate(F.slice(labels, F.lit(1), i), F.lit(0), lambda n, g: n + F.length(g)),
-    )
-    rows = (
+    return (
         marked.select(*keys, F.explode(F.filter("marks", lambda k: k["is_label"])).alias("m"))
         .select(
             *keys,
@@ -56,14 +45,22 @@ def label_prefixes(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             m["para_no"].alias("ref_para"),
             (m["para_end"] - m["para_start"] + 1).alias("para_lines"),
             m["content"].alias("ref_content"),
-            labels.alias("labels"),
-            F.posexplode(F.arrays_zip(labels.alias("label"), positions.alias("at"))).alias("label_no", "z"),
-            m["offset"].alias("offset"),
+            F.transform(m["labels"], lambda x: x["label"]).alias("labels"),
+            F.posexplode(m["labels"]).alias("label_no", "z"),
         )
-        .withColumn("char_pos", F.col("offset") + F.col("z.at"))
+        .withColumn("char_pos", F.col("z.at"))
         .withColumn("label", F.col("z.label"))
-        .drop("z", "offset")
+        .drop("z")
     )
+
+
+def label_prefixes(marked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per label in the text and per prefix of it that could be a figure number.
+
+    A number that occurs in a line is a prefix of a label there, so listing the prefixes
+    turns "paragraph contains number" into an equality. A label has few prefixes.
+    """
+    rows = placed_labels(marked, keys)
     low = F.lower("label")
     prefixes = F.filter(
         F.transform(F.sequence(F.lit(1), F.length("label")), lambda n: F.left(low, n)), lambda p: p.rlike(r"\d$")
@@ -108,7 +105,7 @@ def marked_documents(
     """The sparse marks, written once: captions and labels are both read from them, so the
     documents are scanned a single time. ``texts`` are a column of their own in the file,
     read by those alone who ask for it."""
-    marked = px.figure_marks(docs, text, keys, texts)
+    marked = px.figure_marks(docs, text, keys, texts, labels=True)
     if not texts:
         return durable(marked)
     out = scratch_dir(docs.sparkSession, "marks")
@@ -168,9 +165,12 @@ def find_references(marked: DataFrame, keys: tuple[str, ...] = ("book_id",), **s
     placed = near.join(
         slices.select(*list_key, "_out_para", "_out_line", "ref_para", "char_pos"), [*list_key, "_out_para", "_out_line"], "left"
     ).drop("_out_para", "_out_line")
-    # what a reference says is fetched once the slices are known
-    told = labels.drop("label", "label_no")
-    return placed.join(told, [*list_key, "ref_para", "char_pos"], "left").drop("prefix")
+    # what a reference says is fetched once the slices are known, from one row per label
+    place = {f"_{c}": c for c in (book, "ref_para", "char_pos")}
+    told = placed_labels(marked.select(book, "marks"), (book,)).drop("label_no").withColumnsRenamed({c: k for k, c in place.items()})
+    here = [F.col(k) == F.col(c) for k, c in place.items()]
+    is_prefix = (F.length("prefix") <= F.length("label")) & (F.left(F.lower("label"), F.length("prefix")) == F.col("prefix"))
+    return placed.join(told, [*here, is_prefix], "left").withColumn("is_exact", _exact("prefix")).drop("prefix", "label", *place)
 
 
 def reference_counts(refs: DataFrame, keys: tuple[str, ...] = ("book_id",), keep_unreferenced: bool = True) -> DataFrame:

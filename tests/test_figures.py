@@ -329,3 +329,24 @@ def test_records_of_no_documents_and_of_repeated_ids(spark, docs):
     assert rf.context_records(spark.createDataFrame([], "book_id string, text string")).count() == 0
     one = docs(lines("see 图1 below", TAG % 1, "图1 growth", *["x"] * 9))
     assert {r["image_surround_text"] is not None for r in rf.context_records(one.unionByName(one)).collect()} == {True}
+
+
+def test_marks_carry_their_labels_so_that_no_join_reads_lines_again(spark, docs):
+    """Labels and their places are those that a search in the paragraph finds; documents are derived and marked in one pass."""
+    text = "Intro\n\n" + TAG % 1 + "\n \tFigure 1 and 图 2-3, Fig. 4 see\n\n  Figure 7\u3000 \n\nNo number\n\n\n\nAs fig 12 Figure 12 shows"
+    marked = rf.marked_documents(docs(text), texts=True)
+    got = rf.placed_labels(marked, ("book_id",)).orderBy("ref_line", "char_pos").collect()
+    assert [r.label for r in got] == ["Figure 1", "图 2-3", "Fig. 4", "Figure 7", "fig 12", "Figure 12"]
+    paras = {p.para_no: p.content for p in pg.split_paragraphs(docs(text)).collect()}
+    assert all(paras[r.ref_para][r.char_pos :].startswith(r.label) for r in got)
+    assert "labels" in marked.select(F.explode("marks").alias("m")).select("m.*").columns
+    derived = px.figure_marks(docs(text).withColumn("text", F.upper(F.lower("text"))), labels=True, texts=True)
+    plan = derived._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
+    assert px.figure_marks(docs("no image, Figure 1"), labels=True).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "\u3000a\x85", "\n\ta b\n", "a\u2028", "\u200ba"])
+def test_ends_are_stripped_as_before(spark, text):
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(tx.strip("t").alias("a"), tx.strip_ends("t").alias("b")).collect()
+    assert all(r.a == r.b for r in row)
