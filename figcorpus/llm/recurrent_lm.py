@@ -539,7 +539,7 @@ def _sampled(shared):
         most = model.settings.warm_tokens
         out = []
         for ids in _encoded(batch, _Outputs(model)):
-            at = zlib.crc32(ids.tobytes()) % (len(ids) - most + 1) if len(ids) > most else 0
+            at = zlib.crc32(ids.astype(np.int64).tobytes()) % (len(ids) - most + 1) if len(ids) > most else 0
             out.append(ids[at : at + most].astype(np.int32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
