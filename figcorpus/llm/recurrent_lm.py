@@ -13,12 +13,12 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,44 +53,87 @@ class Settings:
     seed: int = 5
 
 
-def each_text(column: pa.Array) -> Iterator[bytes]:
-    """The UTF-8 bytes of each row, one at a time; the column's text is not copied whole."""
-    data, offsets = text_buffer(column)
-    for i in range(len(column)):
-        yield data[offsets[i] : offsets[i + 1]].tobytes()
+def words_of(column: pa.Array) -> pa.ListArray:
+    """Words of each row between the six ASCII blanks, A-Z lower-cased; blanks at a row's ends leave empty ones."""
+    column = column.fill_null("") if column.null_count else column
+    return pc.ascii_split_whitespace(pc.ascii_lower(column))
+
 
+def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The rows' words as codes, one row after another; the number of each row's words; the word of each code."""
+    split = words_of(column)
+    lengths = split.value_lengths().to_numpy().astype(np.int64)
+    found = split.flatten().dictionary_encode()
+    codes, words = found.indices.to_numpy(), found.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:
+        there = codes != empty
+        upto = np.append(0, np.cumsum(there))[np.append(0, np.cumsum(lengths))]
+        codes, lengths = codes[there], np.diff(upto)
+    return codes, lengths, words.cast(pa.binary())
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between the six ASCII blanks, A-Z lower-cased."""
-    return text.lower().split()
+
+def with_ends(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Each row's output ids, and behind them the end, 0."""
+    out = np.zeros(len(ids) + len(lengths), np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+    return np.split(out, np.cumsum(lengths + 1)[:-1])
 
 
 def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-4:]) % endings
 
 
+#: What one byte adds to a CRC-32.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1)
+
+
+def endings_of(words: pa.Array, endings: int) -> np.ndarray:
+    """:func:`ending` of each word."""
+    data, offsets = text_buffer(words)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (4, 3, 2, 1):
+        long = np.flatnonzero(np.diff(offsets) >= back)
+        crc[long] = CRC[(crc[long] ^ data[offsets[long + 1] - back]) & 255] ^ crc[long] >> 8
+    return (crc ^ np.uint32(0xFFFFFFFF)) % endings
+
+
 # counts
 
-#: Distinct words that a task holds at a time besides those of the model; bytes of text that it counts words of at a time.
+#: A quarter of the distinct words that a task holds when it writes its counts; bytes of text that it takes words of at a time.
 HELD, PIECE = 100_000, 4_000_000
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows, first and behind the last, cut where their texts come to ``PIECE`` bytes."""
+    _, offsets = text_buffer(column)
+    first = 0
+    for i in range(len(column)):
+        if offsets[i + 1] - offsets[first] >= PIECE or i + 1 == len(column):
+            yield first, i + 1
+            first = i + 1
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) summed over a task's documents, written whenever more than ``HELD`` words are held."""
-    held: Counter = Counter()
+    """(word, n) summed over a task's documents, written whenever more than 4 ``HELD`` words are held."""
+    held: list[pa.Table] = []
 
-    def told():
-        words = pa.array(list(held), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(held.values(), pa.int64())], ["word", "n"])
+    def added() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     for batch in batches:
-        for text in each_text(batch.column("text")):
-            held.update(words_of(text))
-            if len(held) > HELD:
-                yield told()
-                held.clear()
+        for first, last in _pieces(batch.column("text")):
+            found = pc.value_counts(words_of(batch.column("text").slice(first, last - first)).flatten())
+            told = pa.table([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
+            held.append(told.filter(pc.not_equal(told["word"], "")))
+            if sum(t.num_rows for t in held) > 8 * HELD:
+                held = [added()]
+                if held[0].num_rows > 4 * HELD:
+                    yield from held.pop().to_batches()
     if held:
-        yield told()
+        yield from added().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -116,21 +159,65 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 # the network
 
+#: Rows of states whose class logits are held at a time.
+BLOCK = 4096
+
+
+def peaks_off(logits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """Shift runs of logits by the largest of each."""
+    logits -= np.repeat(np.maximum.reduceat(logits, starts), sizes)
+
 
-def exps(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials in place and their sums by row; each row is shifted by its largest unless all are small."""
-    if not small:
-        logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], np.float32)
+def logistic(negated: np.ndarray) -> None:
+    """The logistic function, in place, of the negatives of what is given."""
+    np.minimum(negated, 80, out=negated)  # where exp stays finite
+    np.exp(negated, out=negated)
+    negated += 1
+    np.reciprocal(negated, out=negated)
 
 
-def picked(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
-    """The logarithm of each row's softmax at one place."""
-    if not small:
-        logits -= logits.max(axis=1, keepdims=True)
-    mine = logits[np.arange(len(at)), at]
-    return mine - np.log(exps(logits, True)[1])
+class ByClass:
+    """Softmaxes of rows of states: over the classes, and over the outputs of each row's own class.
+
+    Rows stand in the order of their targets' classes, so that a class is a run of rows: ``order`` says where they come
+    from. Logits within classes lie in one array, row after row, so that all are exponentiated and summed at once.
+    """
+
+    def __init__(self, net: Net, hidden: np.ndarray, targets: np.ndarray):
+        self.net, n = net, len(targets)
+        of = net.class_of[targets]
+        self.order = np.argsort(of, kind="stable")
+        self.cls, wanted = of[self.order], targets[self.order]
+        self.rows = np.empty((n, net.h + 1), np.float32)  # a one behind each state meets the biases
+        self.rows[:, :-1] = hidden[self.order]
+        self.rows[:, -1] = 1
+        counts = np.bincount(of, minlength=len(net.starts) - 1)
+        sizes, behind = np.diff(net.starts), np.cumsum(counts)
+        self.sizes = sizes[self.cls]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.at = self.begins + (wanted - net.starts[self.cls])
+        self.length = int(self.sizes.sum())
+        upto = np.cumsum(counts * sizes)
+        #: of each class with rows: its rows, its outputs and its logits, each as first and behind the last
+        self.runs = [
+            (int(behind[k] - counts[k]), int(behind[k]), int(net.starts[k]), int(net.starts[k + 1]), int(upto[k] - counts[k] * sizes[k]), int(upto[k]))
+            for k in np.flatnonzero(counts)
+        ]
+
+    def logits(self, weights: np.ndarray, small: bool) -> np.ndarray:
+        """Logits within the rows' classes, one array; weights: of each output, its bias last."""
+        out = np.empty(self.length, np.float32)
+        for first, last, lo, hi, begin, end in self.runs:
+            np.matmul(self.rows[first:last], weights[lo:hi].T, out=out[begin:end].reshape(last - first, hi - lo))
+        if not small:
+            peaks_off(out, self.begins, self.sizes)
+        return out
+
+    def class_logits(self, weights: np.ndarray, small: bool, rows: slice = slice(None)) -> np.ndarray:
+        out = self.rows[rows] @ weights
+        if not small:
+            out -= out.max(axis=1, keepdims=True)
+        return out
 
 
 class Net:
@@ -138,7 +225,7 @@ class Net:
 
     def __init__(self, arrays: dict[str, np.ndarray], starts: np.ndarray):
         self.w, self.starts = arrays, starts  # outputs of class k: starts[k] to starts[k + 1]
-        self.class_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.class_of = np.repeat(np.arange(len(starts) - 1, dtype=np.int16 if len(starts) < 2**15 else np.int64), np.diff(starts))
         self.h = arrays["u"].shape[0]
 
     @staticmethod
@@ -177,140 +264,179 @@ class Net:
             at += n
         return Net(out, self.starts)
 
-    def halved(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each output adds to the gates and the news, and the state's weights, with the gates' parts halved."""
-        w, h = self.w, self.h
-        table, u = w["e"] @ w["x"] + w["b"], w["u"].copy()
-        table[:, : 2 * h] *= 0.5
-        u[:, : 2 * h] *= 0.5
-        return table, u
+    def gates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of inputs, biases and weights of states, each for both gates and the news; the gates' are negated."""
+        signs = np.array([-1, -1, 1], np.float32)[:, None, None]
+        parts = (self.w[k].reshape(-1, 3, self.h).transpose(1, 0, 2) for k in ("x", "b", "u"))
+        return tuple(np.ascontiguousarray(signs * p) for p in parts)
+
+    def negated(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each output adds to the gates and the news, and the state's weights, with the gates' parts negated."""
+        x, b, u = self.gates()
+        return self.w["e"] @ x + b, u
 
-    def forward(self, ids: np.ndarray, keep: np.ndarray, state: np.ndarray, halved: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def forward(self, ids: np.ndarray, keep: np.ndarray, state: np.ndarray, negated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """States after each step of ids (steps x lanes); keep is 0 where a document starts."""
-        h, (table, u) = self.h, halved
+        h, (table, u) = self.h, negated
         steps, lanes = ids.shape
-        a = table[ids.ravel()].reshape(steps, lanes, 3 * h)
         after = np.empty((steps, lanes, h), np.float32)
+        a, s = np.empty((3, lanes, h), np.float32), np.empty((3, lanes, h), np.float32)
+        g, (z, r, new) = s[:2], s
         starts = keep.min(axis=1) < 1
         for t in range(steps):
             if starts[t]:
                 state = state * keep[t][:, None]
-            s = state @ u
-            g = a[t, :, : 2 * h] + s[:, : 2 * h]
-            np.tanh(g, out=g)  # the logistic function, by tanh of the half
-            g *= 0.5
-            g += 0.5
-            new = g[:, h:] * s[:, 2 * h :]
-            new += a[t, :, 2 * h :]
+            table.take(ids[t], axis=1, out=a, mode="clip")
+            np.matmul(state, u, out=s)
+            g += a[:2]
+            logistic(g)
+            new *= r
+            new += a[2]
             np.tanh(new, out=new)
-            state = state - new
-            state *= g[:, :h]
+            state = np.subtract(state, new, out=after[t])
+            state *= z
             state += new
-            after[t] = state
         return after
 
     def run(self, ids: np.ndarray, keep: np.ndarray, state: np.ndarray):
-        """As :meth:`forward`, with what the way back needs."""
-        w, h = self.w, self.h
+        """As :meth:`forward`, with what the way back needs: inputs, states before, and (gates, their news' part), by gate first."""
+        h, (wx, b, u) = self.h, self.gates()
         steps, lanes = ids.shape
-        x = w["e"][ids]
-        a = (x.reshape(-1, x.shape[2]) @ w["x"] + w["b"]).reshape(steps, lanes, 3 * h)
-        before, after = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
-        gates, news, inner = np.empty((steps, lanes, 2 * h), np.float32), np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32)
+        x = self.w["e"][ids.ravel()]
+        a = (x @ wx + b).reshape(3, steps, lanes, h)
+        before, after, news = (np.empty((steps, lanes, h), np.float32) for _ in range(3))
+        parts = np.empty((3, steps, lanes, h), np.float32)
+        starts = keep.min(axis=1) < 1
         for t in range(steps):
-            state = state * keep[t][:, None]
             before[t] = state
-            s = state @ w["u"]
-            g = a[t, :, : 2 * h] + s[:, : 2 * h]
-            g *= 0.5
-            np.tanh(g, out=g)  # the logistic function, by tanh
-            g *= 0.5
-            g += 0.5
-            gates[t], inner[t] = g, s[:, 2 * h :]
-            new = np.tanh(a[t, :, 2 * h :] + g[:, h:] * inner[t])
-            news[t] = new
-            state = new + g[:, :h] * (state - new)
-            after[t] = state
-        return after, (x, before, gates, news, inner)
-
-    def by_class(self, targets: np.ndarray):
-        """Runs of rows whose target is in one class: (class, rows)."""
-        cls = self.class_of[targets]
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edges = np.flatnonzero(np.diff(cls[order])) + 1
-        for rows in np.split(order, edges):
-            if len(rows):
-                yield int(cls[rows[0]]), rows
+            if starts[t]:
+                before[t] *= keep[t][:, None]
+            s, new = parts[:, t], news[t]
+            np.matmul(before[t], u, out=s)
+            g = s[:2]
+            g += a[:2, t]
+            logistic(g)
+            np.multiply(s[1], s[2], out=new)
+            new += a[2, t]
+            np.tanh(new, out=new)
+            state = np.subtract(before[t], new, out=after[t])
+            state *= s[0]
+            state += new
+        return after, (x, before, news, parts)
+
+    def back(self, d_after: np.ndarray, keep: np.ndarray, kept: tuple) -> np.ndarray:
+        """What reaches the gates and the news, a row a token: (news, update, reset) as inputs' part, the last two and news as states'."""
+        x, before, news, (z, r, inner) = kept
+        steps, lanes, h = before.shape
+        open_ = 1 - z
+        d_news = news * news
+        np.subtract(1, d_news, out=d_news)
+        d_news *= open_
+        open_ *= z
+        d_z = before - news
+        d_z *= open_
+        d_r = 1 - r
+        d_r *= r
+        d_r *= inner
+        u = np.ascontiguousarray(self.w["u"].T)
+        parts = np.empty((steps, lanes, 4 * h), np.float32)
+        later = np.zeros((lanes, h), np.float32)
+        starts = keep.min(axis=1) < 1
+        for t in range(steps - 1, -1, -1):
+            d, part = d_after[t], parts[t]
+            d += later
+            new = d * d_news[t]
+            part[:, :h] = new
+            np.multiply(d, d_z[t], out=part[:, h : 2 * h])
+            np.multiply(new, d_r[t], out=part[:, 2 * h : 3 * h])
+            np.multiply(new, r[t], out=part[:, 3 * h :])
+            later = part[:, h:] @ u
+            d *= z[t]
+            later += d
+            if starts[t]:
+                later *= keep[t][:, None]
+        return parts.reshape(steps * lanes, 4 * h)
 
     def small(self) -> bool:
         """Whether no logit can leave the range in which exp needs no shift; states lie within -1 and 1."""
         w = self.w
-        return max((np.abs(w["c"]).sum(axis=0) + np.abs(w["cb"])).max(), (np.abs(w["o"]).sum(axis=1) + np.abs(w["ob"])).max()) < 60
+        ones = np.ones(self.h, np.float32)
+        return max((ones @ np.abs(w["c"]) + np.abs(w["cb"])).max(), (np.abs(w["o"]) @ ones + np.abs(w["ob"])).max()) < 60
 
-    def log_probs(self, hidden: np.ndarray, targets: np.ndarray, small: bool = False) -> np.ndarray:
-        """Natural logarithms of the targets' probabilities, one row of states each."""
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases in one: of classes by column, of outputs by row."""
         w = self.w
-        out = picked(hidden @ w["c"] + w["cb"], self.class_of[targets], small)
-        for k, rows in self.by_class(targets):
-            lo, hi = self.starts[k], self.starts[k + 1]
-            out[rows] += picked(hidden[rows] @ w["o"][lo:hi].T + w["ob"][lo:hi], targets[rows] - lo, small)
+        return np.vstack([w["c"], w["cb"]]), np.hstack([w["o"], w["ob"][:, None]])
+
+    def log_probs(self, hidden: np.ndarray, targets: np.ndarray, small: bool = False, joined: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities, one row of states each."""
+        of_classes, of_outputs = joined or self.joined()
+        by = ByClass(self, hidden, targets)
+        logits = by.logits(of_outputs, small)
+        found = logits[by.at]
+        found -= np.log(np.add.reduceat(np.exp(logits, out=logits), by.begins))
+        ones = np.ones(of_classes.shape[1], np.float32)
+        for first in range(0, len(found), BLOCK):
+            rows = slice(first, first + BLOCK)
+            logits = by.class_logits(of_classes, small, rows)
+            found[rows] += logits[np.arange(len(logits)), by.cls[rows]]
+            found[rows] -= np.log(np.exp(logits, out=logits) @ ones)
+        out = np.empty_like(found)
+        out[by.order] = found
         return out
 
     def gradients(self, ids, targets, keep, active, state):
         """Mean loss, gradients of one window (truncated: none beyond it), and the state to go on from.
 
-        Gradients of embeddings come as (rows, values).
+        Gradients of embeddings come as (rows, values). A softmax is never divided by its sums: its rows of states are.
         """
         w, h = self.w, self.h
-        after, (x, before, gates, news, inner) = self.run(ids, keep, state)
+        after, kept = self.run(ids, keep, state)
         on = np.flatnonzero(active.ravel())
-        hidden, wanted = after.reshape(-1, h)[on], targets.ravel()[on]
+        by = ByClass(self, after.reshape(-1, h)[on], targets.ravel()[on])
         n = np.float32(len(on))
-        g = {}
-        small = self.small()
-        logits, sums = exps(hidden @ w["c"] + w["cb"], small)
-        logits /= sums[:, None]
-        cls = self.class_of[wanted]
-        loss = -np.log(logits[np.arange(len(on)), cls] + 1e-30).sum()
-        logits[np.arange(len(on)), cls] -= 1
-        logits /= n
-        g["c"], g["cb"] = hidden.T @ logits, logits.sum(axis=0)
+        g, small, (of_classes, of_outputs) = {}, self.small(), self.joined()
+
+        logits = by.class_logits(of_classes, small)
+        np.exp(logits, out=logits)
+        sums = logits @ np.ones(logits.shape[1], np.float32)
+        at = np.arange(len(on)), by.cls
+        loss = -np.log(logits[at] / sums + 1e-30).sum()
+        logits[at] -= sums
+        share = (1 / (sums * n))[:, None]
+        found = (by.rows * share).T @ logits
+        g["c"], g["cb"] = found[:-1], found[-1]
         back = logits @ w["c"].T
-        g["o"], g["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
-        for k, rows in self.by_class(wanted):
-            lo, hi = self.starts[k], self.starts[k + 1]
-            mine = hidden[rows]
-            inside, sums = exps(mine @ w["o"][lo:hi].T + w["ob"][lo:hi], small)
-            inside /= sums[:, None]
-            at = (np.arange(len(rows)), wanted[rows] - lo)
-            loss -= np.log(inside[at] + 1e-30).sum()
-            inside[at] -= 1
-            inside /= n
-            g["o"][lo:hi], g["ob"][lo:hi] = inside.T @ mine, inside.sum(axis=0)
-            back[rows] += inside @ w["o"][lo:hi]
-        steps, lanes = ids.shape
-        d_after = np.zeros((steps * lanes, h), np.float32)
-        d_after[on] = back
-        d_after = d_after.reshape(steps, lanes, h)
-        da, ds = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, 3 * h), np.float32)
-        later = np.zeros((lanes, h), np.float32)
-        for t in range(steps - 1, -1, -1):
-            d = d_after[t] + later
-            z, r, new = gates[t, :, :h], gates[t, :, h:], news[t]
-            d_new = d * (1 - z) * (1 - new * new)
-            da[t, :, :h] = d * (before[t] - new) * z * (1 - z)
-            da[t, :, h : 2 * h] = d_new * inner[t] * r * (1 - r)
-            da[t, :, 2 * h :] = d_new
-            ds[t, :, : 2 * h], ds[t, :, 2 * h :] = da[t, :, : 2 * h], d_new * r
-            later = (d * z + ds[t] @ w["u"].T) * keep[t][:, None]
-        flat = da.reshape(-1, 3 * h)
-        g["u"] = before.reshape(-1, h).T @ ds.reshape(-1, 3 * h)
-        g["b"] = flat.sum(axis=0)
-        g["x"] = x.reshape(len(flat), -1).T @ flat
-        used = ids.ravel()
+        back *= share
+
+        logits = by.logits(of_outputs, small)
+        np.exp(logits, out=logits)
+        sums = np.add.reduceat(logits, by.begins)
+        loss -= np.log(logits[by.at] / sums + 1e-30).sum()
+        logits[by.at] -= sums
+        share = (1 / (sums * n))[:, None]
+        rows, found, inside = by.rows * share, np.zeros_like(of_outputs), np.empty_like(back)
+        for first, last, lo, hi, begin, end in by.runs:
+            mine = logits[begin:end].reshape(last - first, hi - lo)
+            np.matmul(mine.T, rows[first:last], out=found[lo:hi])
+            np.matmul(mine, w["o"][lo:hi], out=inside[first:last])
+        g["o"], g["ob"] = found[:, :-1], found[:, -1]
+        inside *= share
+        back += inside
+
+        d_after = np.zeros((ids.size, h), np.float32)
+        d_after[on[by.order]] = back
+        parts = self.back(d_after.reshape(*ids.shape, h), keep, kept)
+        x, of_inputs = kept[0], parts[:, : 3 * h]
+        g["u"] = kept[1].reshape(-1, h).T @ parts[:, h:]
+        g["b"] = np.roll(np.ones(len(x), np.float32) @ of_inputs, -h)
+        g["x"] = np.roll(x.T @ of_inputs, -h, axis=1)
+        d_x = of_inputs @ np.roll(w["x"], h, axis=1).T
+        used = ids.ravel().astype(np.int16 if len(w["e"]) < 2**15 else np.int64)
         order = np.argsort(used, kind="stable")
-        rows, starts = np.unique(used[order], return_index=True)
-        g["e"] = (rows, np.add.reduceat((flat @ w["x"].T)[order], starts, axis=0))
+        used = used[order]
+        starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+        g["e"] = (used[starts], np.add.reduceat(d_x[order], starts, axis=0))
         return float(loss / n), g, after[-1]
 
 
@@ -326,7 +452,9 @@ class Trainer:
             at, g = g if isinstance(g, tuple) else (slice(None), g)
             np.clip(g, -0.1, 0.1, out=g)
             self.past[k][at] += g * g
-            self.net.w[k][at] -= self.rate * g / np.sqrt(self.past[k][at])
+            g *= self.rate
+            g /= np.sqrt(self.past[k][at])
+            self.net.w[k][at] -= g
 
     def learn(self, docs: list[np.ndarray], lanes: int, window: int, every: int = 1) -> float:
         """One pass over documents of output ids; each lane's state goes on from window to window.
@@ -337,17 +465,17 @@ class Trainer:
         state = None
         for ids, targets, keep, active, _, first in windows(docs, lanes, window * 4):
             state = np.zeros((ids.shape[1], self.net.h), np.float32) if first else state[: ids.shape[1]]
-            halved = None
+            negated = None
             for at in range(0, len(ids), window):
                 now = slice(at, at + window)
                 if turn % every == 0 and active[now].any():
                     loss, grads, state = self.net.gradients(ids[now], targets[now], keep[now], active[now], state)
                     self.step(grads)
-                    halved = None
+                    negated = None
                     total, steps = total + loss, steps + 1
                 else:
-                    halved = halved or self.net.halved()
-                    state = self.net.forward(ids[now], keep[now], state, halved)[-1]
+                    negated = negated or self.net.negated()
+                    state = self.net.forward(ids[now], keep[now], state, negated)[-1]
                 turn += 1
             self.seen += int(active.sum())
         return total / max(steps, 1)
@@ -387,13 +515,13 @@ def windows(docs: list[np.ndarray], lanes: int, window: int):
 def doc_log_probs(net: Net, docs: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
     """Natural log probability of each document of output ids, the state carried through all its windows."""
     out = np.zeros(len(docs))
-    state, small, halved = None, net.small(), net.halved()
+    state, small, negated, joined = None, net.small(), net.negated(), net.joined()
     for ids, targets, keep, active, doc, first in windows(docs, lanes, window):
         state = np.zeros((ids.shape[1], net.h), np.float32) if first else state[: ids.shape[1]]
-        after = net.forward(ids, keep, state, halved)
+        after = net.forward(ids, keep, state, negated)
         state = after[-1]
         on = np.flatnonzero(active.ravel())
-        found = net.log_probs(after.reshape(-1, net.h)[on], targets.ravel()[on], small)
+        found = net.log_probs(after.reshape(-1, net.h)[on], targets.ravel()[on], small, joined)
         out += np.bincount(doc.ravel()[on], found.astype(np.float64), len(docs))
     return out
 
@@ -427,55 +555,29 @@ class Model:
         less = {"listed": [], "logs": self.logs[:0]} if learning else {}
         return Model(**{**self.__dict__, "counts": None, **less})
 
-    def outputs(self, words: list[bytes]) -> np.ndarray:
-        """The output of each word: its own, or its ending's."""
-        own, n = self.ids, self.settings.endings
-        return np.array([own[w] if w in own else self.first_of[ending(w, n)] for w in words], np.int32)
 
-
-class _Outputs(dict):
-    """Outputs of words; an ending's output is kept until many are."""
+class _Outputs:
+    """The output of each word: its own, or its ending's."""
 
     def __init__(self, model: Model):
-        super().__init__(model.ids)
-        self.model = model
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = int(self.model.first_of[ending(word, self.model.settings.endings)])
-        return out
+        self.model, self.own = model, pa.array(list(model.ids), pa.binary())
+        self.ids = np.fromiter(model.ids.values(), np.int32, len(model.ids))
 
-    def forget_many(self) -> None:
-        if len(self) > len(self.model.ids) + HELD:
-            self.clear()
-            self.update(self.model.ids)
+    def __len__(self) -> int:
+        return len(self.own)
 
-
-class _Numbers(dict):
-    """Numbers of words: the listed ones' are fixed, others are numbered on until they are forgotten."""
-
-    def __init__(self, listed: list[bytes]):
-        super().__init__(zip(listed, range(len(listed))))
-        self.rest: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.rest.append(word)
-        return n
-
-    def forget(self) -> None:
-        for word in self.rest:
-            del self[word]
-        self.rest = []
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(words, self.own), -1).to_numpy()
+        out = self.model.first_of[endings_of(words, self.model.settings.endings)].astype(np.int32)
+        out[at >= 0] = self.ids[at[at >= 0]]
+        return out
 
 
 def _encoded(batch: pa.RecordBatch, outputs: _Outputs) -> list[np.ndarray]:
-    out = []
-    for text in each_text(batch.column("text")):
-        found = words_of(text)
-        ids = np.zeros(len(found) + 1, np.int32)  # the end comes last
-        ids[:-1] = np.fromiter(map(outputs.__getitem__, found), np.int32, len(found))
-        out.append(ids)
-        outputs.forget_many()
+    out, column = [], batch.column("text")
+    for first, last in _pieces(column):
+        codes, lengths, words = coded(column.slice(first, last - first))
+        out += with_ends(outputs.of(words)[codes], lengths)
     return out
 
 
@@ -603,60 +705,43 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return model
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows, first and behind the last, cut where their texts come to ``PIECE`` bytes."""
-    _, offsets = text_buffer(column)
-    first = 0
-    for i in range(len(column)):
-        if offsets[i + 1] - offsets[first] >= PIECE or i + 1 == len(column):
-            yield first, i + 1
-            first = i + 1
-
-
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        numbers = _Numbers(model.listed)
-        n_listed = len(model.listed)
-        fixed = model.outputs(model.listed)
-        less = np.zeros(len(model.own_logs))
-        less[model.first_of] = model.shared
-
-        def counted(rows: pa.RecordBatch):
-            """The rows' output ids, their base logarithms, and the words that are joined later."""
-            found = []
-            for text in each_text(rows.column("text")):
-                words = words_of(text)
-                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            output = np.concatenate([fixed, model.outputs(numbers.rest)])
-            log = np.concatenate([model.logs, np.zeros(len(numbers.rest))])
-            docs = [np.append(output[x], np.int32(0)) for x in found]
-            base = np.array([log[x].sum() for x in found])
-            rest = [np.unique(x[x >= n_listed], return_counts=True) for x in found]
-            upto = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rest])]), pa.int32())
-            words = pa.array(numbers.rest, pa.binary()).cast(pa.string())
-            named = words.take(pa.array(np.concatenate([r[0] for r in rest]) - n_listed))
-            times = np.concatenate([r[1] for r in rest]).astype(np.int64)
-            unlisted = np.array([r[1].sum() for r in rest], np.int64)
-            numbers.forget()
-            return docs, base, unlisted, pa.ListArray.from_arrays(upto, named), pa.ListArray.from_arrays(upto, pa.array(times))
+        listed, outputs = pa.array(model.listed, pa.binary()), _Outputs(model)
+        less = model.own_logs.copy()
+        less[model.first_of] += model.shared
+
+        def counted(column: pa.Array):
+            """The rows' output ids, base logarithms, what words have within their outputs, and the words that are joined later."""
+            codes, lengths, words = coded(column)
+            number = pc.fill_null(pc.index_in(words, listed), -1).to_numpy()
+            output, log = outputs.of(words), np.zeros(len(words))
+            log[number >= 0] = model.logs[number[number >= 0]]
+            row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            # within an ending a word has its add-one share: counts from the lists, totals here
+            base, share = (np.bincount(row, x[codes], len(lengths)) for x in (log, log - less[output]))
+            apart = np.flatnonzero(number[codes] < 0)
+            pairs, times = np.unique(row[apart].astype(np.int64) * len(words) + codes[apart], return_counts=True)
+            of_row, word = np.divmod(pairs, max(len(words), 1))
+            upto = pa.array(np.append(0, np.cumsum(np.bincount(of_row, minlength=len(lengths)))), pa.int32())
+            unlisted = np.bincount(row[apart], minlength=len(lengths))
+            named = words.take(pa.array(word)).cast(pa.string())
+            docs = with_ends(output[codes], lengths)
+            return docs, base, share, unlisted, pa.ListArray.from_arrays(upto, named), pa.ListArray.from_arrays(upto, pa.array(times.astype(np.int64)))
 
         for batch in batches:
-            made = [(lo, hi, *counted(batch.slice(lo, hi - lo))) for lo, hi in _pieces(batch.column("text"))]
+            column = batch.column("text")
+            made = [(lo, hi, *counted(column.slice(lo, hi - lo))) for lo, hi in _pieces(column)]
             logs = doc_log_probs(model.net, [d for m in made for d in m[2]], model.settings.lanes) / math.log(10)
-            for lo, hi, docs, base, unlisted, named, times in made:
-                # within an ending a word has its add-one share: counts from the lists, totals here
-                apart = np.array([model.own_logs[x].sum() + less[x].sum() for x in docs])
+            for lo, hi, docs, base, share, unlisted, named, times in made:
                 lengths = np.array([len(x) for x in docs])
                 start = base + math.log10(model.ends + 1) - lengths * math.log10(model.tokens + model.types + 1)
                 kept = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out")]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *kept, pa.array(lengths), pa.array(lengths - unlisted - (model.ends == 0)), pa.array(start),
-                        pa.array(logs[lo:hi] + base - apart), named, times,
-                    ],
+                    [*kept, pa.array(lengths), pa.array(lengths - unlisted - (model.ends == 0)), pa.array(start), pa.array(logs[lo:hi] + share), named, times],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "rest_n"],
-                )
+                )
 
     return run
 

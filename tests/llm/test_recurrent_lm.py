@@ -239,3 +239,56 @@ def test_pieces_of_a_batch_score_as_the_whole(spark, monkeypatch):
     monkeypatch.setattr(lm, "HELD", 2)
     outputs = lm._Outputs(model)
     assert len(lm._encoded(batch, outputs)) == len(rows) and len(outputs) <= len(model.ids) + 2 + 3
+
+
+def test_words_and_endings_are_those_of_the_bytes():
+    texts = ["", None, " ", "\n\t", " a  B a ", "\x0bA\x0c\x1c b\x85c", "İ É 　x " + "".join(map(chr, range(1, 256))), "a b c a"]
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    codes, lengths, words = lm.coded(column)
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [words[c].as_py() for c in codes.tolist()] == sum(want, []) and lengths.tolist() == list(map(len, want))
+    assert lm.endings_of(words, 97).tolist() == [lm.ending(w, 97) for w in words.to_pylist()]
+    assert [x.tolist() for x in lm.with_ends(codes + 1, lengths)] == [[1 + words.to_pylist().index(w) for w in ws] + [0] for ws in want]
+
+
+def test_counts_of_a_task_add_up_however_few_are_held(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"W{n}" for n in rng.integers(0, 300, 60)) + " " for _ in range(50)] + [None, " "]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    want = Counter(w for t in texts for w in (t or "").lower().split())
+    for held, piece in ((100_000, 4_000_000), (20, 500), (1, 1)):
+        monkeypatch.setattr(lm, "HELD", held)
+        monkeypatch.setattr(lm, "PIECE", piece)
+        told, times = Counter(), 0
+        for out in lm._counts(iter([batch, batch])):
+            times += 1
+            told.update(dict(zip(out["word"].to_pylist(), out["n"].to_pylist())))
+        assert told == {w: 2 * n for w, n in want.items()} and (times > 1) == (held < 100)
+
+
+def test_the_work_of_a_window_is_not_done_class_by_class(monkeypatch):
+    """Exponentials are taken of all classes' logits at once, in learning and in scoring."""
+    net, rng, calls = small_net(400), np.random.default_rng(7), []
+    docs = [np.append(rng.integers(1, 400, 300), 0) for _ in range(8)]
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **b: (calls.append(1), exp(*a, **b))[1])
+    ids, targets, keep, active, _, _ = next(lm.windows(docs, 8, 4))
+    net.gradients(ids, targets, keep, active, np.zeros((8, net.h), np.float32))
+    assert len(net.starts) > 15 and len(calls) <= 2 + 4
+    calls.clear()
+    lm.doc_log_probs(net, docs, 8, 301)
+    assert len(calls) <= 2 + 301
+
+
+def test_large_logits_stay_finite():
+    net, rng = small_net(), np.random.default_rng(8)
+    net = net.filled(net.flat() * 60)
+    docs = [np.append(rng.integers(1, 23, n), 0) for n in (9, 40, 0)]
+    assert not net.small()
+    ids, targets, keep, active, _, _ = next(lm.windows(docs, 2, 64))
+    loss, grads, state = net.gradients(ids, targets, keep, active, np.zeros((2, net.h), np.float32))
+    parts = [g[1] if isinstance(g, tuple) else g for g in grads.values()]
+    assert math.isfinite(loss) and all(np.isfinite(x).all() for x in [state, *parts])
+    hidden = rng.uniform(-1, 1, (20, net.h)).astype(np.float32)
+    every = [net.log_probs(hidden, np.full(20, k)) for k in range(23)]
+    assert np.exp(np.array(every, float)).sum(axis=0) == pytest.approx(np.ones(20), rel=1e-3)
