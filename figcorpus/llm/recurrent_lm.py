@@ -159,13 +159,8 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 # the network
 
-#: Rows of states whose class logits are held at a time.
-BLOCK = 4096
-
-
-def peaks_off(logits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-    """Shift runs of logits by the largest of each."""
-    logits -= np.repeat(np.maximum.reduceat(logits, starts), sizes)
+#: Rows of states whose class logits are held at a time; logits within classes, but for one class, at a time. Both stay in a core's cache.
+BLOCK, WITHIN = 512, 60_000
 
 
 def logistic(negated: np.ndarray) -> None:
@@ -196,28 +191,45 @@ class ByClass:
         self.sizes = sizes[self.cls]
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.at = self.begins + (wanted - net.starts[self.cls])
-        self.length = int(self.sizes.sum())
-        upto = np.cumsum(counts * sizes)
-        #: of each class with rows: its rows, its outputs and its logits, each as first and behind the last
-        self.runs = [
-            (int(behind[k] - counts[k]), int(behind[k]), int(net.starts[k]), int(net.starts[k + 1]), int(upto[k] - counts[k] * sizes[k]), int(upto[k]))
-            for k in np.flatnonzero(counts)
-        ]
-
-    def logits(self, weights: np.ndarray, small: bool) -> np.ndarray:
-        """Logits within the rows' classes, one array; weights: of each output, its bias last."""
-        out = np.empty(self.length, np.float32)
-        for first, last, lo, hi, begin, end in self.runs:
-            np.matmul(self.rows[first:last], weights[lo:hi].T, out=out[begin:end].reshape(last - first, hi - lo))
-        if not small:
-            peaks_off(out, self.begins, self.sizes)
-        return out
-
-    def class_logits(self, weights: np.ndarray, small: bool, rows: slice = slice(None)) -> np.ndarray:
-        out = self.rows[rows] @ weights
-        if not small:
-            out -= out.max(axis=1, keepdims=True)
-        return out
+        ends = np.cumsum(counts * sizes)
+        #: of each class with rows: its rows and its outputs, each as first and behind the last; classes are grouped by their logits' number
+        self.groups: list[list[tuple[int, int, int, int]]] = []
+        upto = -1
+        for k in np.flatnonzero(counts).tolist():
+            if ends[k] > upto:
+                self.groups.append([])
+                upto = ends[k] - counts[k] * sizes[k] + WITHIN
+            self.groups[-1].append((int(behind[k] - counts[k]), int(behind[k]), int(net.starts[k]), int(net.starts[k + 1])))
+
+    def within(self, weights: np.ndarray, small: bool):
+        """Logits within the rows' classes, a group of classes at a time: (rows, logits, each row's first, each target's place, blocks).
+
+        weights: of each output, its bias last. A block is a class: its rows, first and behind the last, its outputs, and its logits.
+        """
+        for runs in self.groups:
+            rows = slice(runs[0][0], runs[-1][1])
+            sizes, shift = self.sizes[rows], self.begins[rows.start]
+            begins = self.begins[rows] - shift
+            out = np.empty(int(begins[-1] + sizes[-1]), np.float32)
+            blocks, begin = [], 0
+            for first, last, lo, hi in runs:
+                end = begin + (last - first) * (hi - lo)
+                block = out[begin:end].reshape(last - first, hi - lo)
+                np.matmul(self.rows[first:last], weights[lo:hi].T, out=block)
+                blocks.append((first, last, lo, hi, block))
+                begin = end
+            if not small:
+                out -= np.repeat(np.maximum.reduceat(out, begins), sizes)
+            yield rows, out, begins, self.at[rows] - shift, blocks
+
+    def classes(self, weights: np.ndarray, small: bool):
+        """Logits of the classes, some rows at a time: (rows, logits, places of the targets' classes)."""
+        for first in range(0, len(self.rows), BLOCK):
+            rows = slice(first, min(first + BLOCK, len(self.rows)))
+            out = self.rows[rows] @ weights
+            if not small:
+                out -= out.max(axis=1, keepdims=True)
+            yield rows, out, (np.arange(len(out)), self.cls[rows])
 
 
 class Net:
@@ -302,60 +314,65 @@ class Net:
         """As :meth:`forward`, with what the way back needs: inputs, states before, and (gates, their news' part), by gate first."""
         h, (wx, b, u) = self.h, self.gates()
         steps, lanes = ids.shape
-        x = self.w["e"][ids.ravel()]
-        a = (x @ wx + b).reshape(3, steps, lanes, h)
+        x = self.w["e"][ids]
         before, after, news = (np.empty((steps, lanes, h), np.float32) for _ in range(3))
-        parts = np.empty((3, steps, lanes, h), np.float32)
+        parts, a = np.empty((steps, 3, lanes, h), np.float32), np.empty((3, lanes, h), np.float32)
         starts = keep.min(axis=1) < 1
         for t in range(steps):
             before[t] = state
             if starts[t]:
                 before[t] *= keep[t][:, None]
-            s, new = parts[:, t], news[t]
+            s, new = parts[t], news[t]
+            np.matmul(x[t], wx, out=a)
+            a += b
             np.matmul(before[t], u, out=s)
             g = s[:2]
-            g += a[:2, t]
+            g += a[:2]
             logistic(g)
             np.multiply(s[1], s[2], out=new)
-            new += a[2, t]
+            new += a[2]
             np.tanh(new, out=new)
             state = np.subtract(before[t], new, out=after[t])
             state *= s[0]
             state += new
         return after, (x, before, news, parts)
 
-    def back(self, d_after: np.ndarray, keep: np.ndarray, kept: tuple) -> np.ndarray:
-        """What reaches the gates and the news, a row a token: (news, update, reset) as inputs' part, the last two and news as states'."""
-        x, before, news, (z, r, inner) = kept
+    def back(self, d_after: np.ndarray, keep: np.ndarray, kept: tuple) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the layer's weights and of its inputs from those of its states, a step at a time from the last."""
+        x, before, news, parts = kept
         steps, lanes, h = before.shape
-        open_ = 1 - z
-        d_news = news * news
-        np.subtract(1, d_news, out=d_news)
-        d_news *= open_
-        open_ *= z
-        d_z = before - news
-        d_z *= open_
-        d_r = 1 - r
-        d_r *= r
-        d_r *= inner
-        u = np.ascontiguousarray(self.w["u"].T)
-        parts = np.empty((steps, lanes, 4 * h), np.float32)
-        later = np.zeros((lanes, h), np.float32)
+        u, wx = np.ascontiguousarray(self.w["u"].T), np.ascontiguousarray(np.roll(self.w["x"], h, axis=1).T)
+        # columns: what reaches the news as inputs' part, update, reset, the news as states' part
+        part = np.empty((lanes, 4 * h), np.float32)
+        of_inputs, of_states = part[:, : 3 * h], part[:, h:]
+        later, ones = np.zeros((lanes, h), np.float32), np.ones(lanes, np.float32)
+        g_u, g_x, g_b, d_x = np.zeros((h, 3 * h), np.float32), np.zeros((x.shape[2], 3 * h), np.float32), np.zeros(3 * h, np.float32), np.empty_like(x)
         starts = keep.min(axis=1) < 1
         for t in range(steps - 1, -1, -1):
-            d, part = d_after[t], parts[t]
+            d, (z, r, inner), new = d_after[t], parts[t], news[t]
             d += later
-            new = d * d_news[t]
-            part[:, :h] = new
-            np.multiply(d, d_z[t], out=part[:, h : 2 * h])
-            np.multiply(new, d_r[t], out=part[:, 2 * h : 3 * h])
-            np.multiply(new, r[t], out=part[:, 3 * h :])
-            later = part[:, h:] @ u
-            d *= z[t]
+            through = 1 - z
+            through *= d
+            d_new = new * new
+            np.subtract(1, d_new, out=d_new)
+            d_new *= through
+            part[:, :h] = d_new
+            through *= z
+            np.multiply(through, before[t] - new, out=part[:, h : 2 * h])
+            d_new *= r
+            part[:, 3 * h :] = d_new
+            d_new *= inner
+            np.multiply(d_new, 1 - r, out=part[:, 2 * h : 3 * h])
+            g_u += before[t].T @ of_states
+            g_x += x[t].T @ of_inputs
+            g_b += ones @ of_inputs
+            np.matmul(of_inputs, wx, out=d_x[t])
+            later = of_states @ u
+            d *= z
             later += d
             if starts[t]:
                 later *= keep[t][:, None]
-        return parts.reshape(steps * lanes, 4 * h)
+        return {"u": g_u, "x": np.roll(g_x, -h, axis=1), "b": np.roll(g_b, -h)}, d_x.reshape(steps * lanes, -1)
 
     def small(self) -> bool:
         """Whether no logit can leave the range in which exp needs no shift; states lie within -1 and 1."""
@@ -372,14 +389,13 @@ class Net:
         """Natural logarithms of the targets' probabilities, one row of states each."""
         of_classes, of_outputs = joined or self.joined()
         by = ByClass(self, hidden, targets)
-        logits = by.logits(of_outputs, small)
-        found = logits[by.at]
-        found -= np.log(np.add.reduceat(np.exp(logits, out=logits), by.begins))
+        found = np.empty(len(targets), np.float32)
+        for rows, logits, begins, at, _ in by.within(of_outputs, small):
+            found[rows] = logits[at]
+            found[rows] -= np.log(np.add.reduceat(np.exp(logits, out=logits), begins))
         ones = np.ones(of_classes.shape[1], np.float32)
-        for first in range(0, len(found), BLOCK):
-            rows = slice(first, first + BLOCK)
-            logits = by.class_logits(of_classes, small, rows)
-            found[rows] += logits[np.arange(len(logits)), by.cls[rows]]
+        for rows, logits, at in by.classes(of_classes, small):
+            found[rows] += logits[at]
             found[rows] -= np.log(np.exp(logits, out=logits) @ ones)
         out = np.empty_like(found)
         out[by.order] = found
@@ -397,41 +413,36 @@ class Net:
         n = np.float32(len(on))
         g, small, (of_classes, of_outputs) = {}, self.small(), self.joined()
 
-        logits = by.class_logits(of_classes, small)
-        np.exp(logits, out=logits)
-        sums = logits @ np.ones(logits.shape[1], np.float32)
-        at = np.arange(len(on)), by.cls
-        loss = -np.log(logits[at] / sums + 1e-30).sum()
-        logits[at] -= sums
-        share = (1 / (sums * n))[:, None]
-        found = (by.rows * share).T @ logits
+        loss, back = 0.0, np.empty((len(on), h), np.float32)
+        found, weights, ones = np.zeros_like(of_classes), np.ascontiguousarray(w["c"].T), np.ones(of_classes.shape[1], np.float32)
+        for rows, logits, at in by.classes(of_classes, small):
+            sums = np.exp(logits, out=logits) @ ones
+            loss -= np.log(logits[at] / sums + 1e-30).sum()
+            logits[at] -= sums
+            share = (1 / (sums * n))[:, None]
+            found += (by.rows[rows] * share).T @ logits
+            np.multiply(logits @ weights, share, out=back[rows])
         g["c"], g["cb"] = found[:-1], found[-1]
-        back = logits @ w["c"].T
-        back *= share
-
-        logits = by.logits(of_outputs, small)
-        np.exp(logits, out=logits)
-        sums = np.add.reduceat(logits, by.begins)
-        loss -= np.log(logits[by.at] / sums + 1e-30).sum()
-        logits[by.at] -= sums
-        share = (1 / (sums * n))[:, None]
-        rows, found, inside = by.rows * share, np.zeros_like(of_outputs), np.empty_like(back)
-        for first, last, lo, hi, begin, end in by.runs:
-            mine = logits[begin:end].reshape(last - first, hi - lo)
-            np.matmul(mine.T, rows[first:last], out=found[lo:hi])
-            np.matmul(mine, w["o"][lo:hi], out=inside[first:last])
+
+        found = np.zeros_like(of_outputs)
+        for rows, logits, begins, at, blocks in by.within(of_outputs, small):
+            sums = np.add.reduceat(np.exp(logits, out=logits), begins)
+            loss -= np.log(logits[at] / sums + 1e-30).sum()
+            logits[at] -= sums
+            share = (1 / (sums * n))[:, None]
+            mine, inside = by.rows[rows] * share, np.empty((len(sums), h), np.float32)
+            for first, last, lo, hi, block in blocks:
+                of = slice(first - rows.start, last - rows.start)
+                np.matmul(block.T, mine[of], out=found[lo:hi])
+                np.matmul(block, w["o"][lo:hi], out=inside[of])
+            inside *= share
+            back[rows] += inside
         g["o"], g["ob"] = found[:, :-1], found[:, -1]
-        inside *= share
-        back += inside
 
         d_after = np.zeros((ids.size, h), np.float32)
         d_after[on[by.order]] = back
-        parts = self.back(d_after.reshape(*ids.shape, h), keep, kept)
-        x, of_inputs = kept[0], parts[:, : 3 * h]
-        g["u"] = kept[1].reshape(-1, h).T @ parts[:, h:]
-        g["b"] = np.roll(np.ones(len(x), np.float32) @ of_inputs, -h)
-        g["x"] = np.roll(x.T @ of_inputs, -h, axis=1)
-        d_x = of_inputs @ np.roll(w["x"], h, axis=1).T
+        of_layer, d_x = self.back(d_after.reshape(*ids.shape, h), keep, kept)
+        g |= of_layer
         used = ids.ravel().astype(np.int16 if len(w["e"]) < 2**15 else np.int64)
         order = np.argsort(used, kind="stable")
         used = used[order]
@@ -449,12 +460,15 @@ class Trainer:
 
     def step(self, grads: dict) -> None:
         for k, g in grads.items():
-            at, g = g if isinstance(g, tuple) else (slice(None), g)
-            np.clip(g, -0.1, 0.1, out=g)
-            self.past[k][at] += g * g
-            g *= self.rate
-            g /= np.sqrt(self.past[k][at])
-            self.net.w[k][at] -= g
+            at, g = g if isinstance(g, tuple) else (None, g)
+            w, past = self.net.w[k], self.past[k]
+            for first in range(0, len(g), BLOCK):
+                rows = slice(first, first + BLOCK)
+                part, now = np.clip(g[rows], -0.1, 0.1), rows if at is None else at[rows]
+                past[now] += part * part
+                part *= self.rate
+                part /= np.sqrt(past[now])
+                w[now] -= part
 
     def learn(self, docs: list[np.ndarray], lanes: int, window: int, every: int = 1) -> float:
         """One pass over documents of output ids; each lane's state goes on from window to window.
